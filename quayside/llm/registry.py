@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import op10_line_dedup
 from .quality import op7_quality_rules
+from .simhash import op6_simhash
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op10_line_dedup)}
+    found = (op1_toxicity, op6_simhash, op7_quality_rules, op10_line_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
