@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op9_decontamination
+from .extract import op3_extract_text
 from .line_dedup import op10_line_dedup
 from .packing import op8_packing
 from .quality import op7_quality_rules
@@ -17,7 +18,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup)
+    found = (op1_toxicity, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
