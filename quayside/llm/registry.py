@@ -13,12 +13,13 @@ from .packing import op8_packing
 from .quality import op7_quality_rules
 from .simhash import op6_simhash
 from .token_files import op4_token_files
+from .surrogates import op2_surrogates
 from .toxicity import op1_toxicity
 from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup)
+    found = (op1_toxicity, op2_surrogates, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
