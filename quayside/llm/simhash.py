@@ -183,7 +183,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     found = simhash_components(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # always a merge join: a broadcast of what goes would have no bound
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
