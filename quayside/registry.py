@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import market
+from .plans import feeds, market
 
-FAMILIES = (market,)
+FAMILIES = (market, feeds)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
