@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import feeds, market
+from .plans import feeds, market, research, streams
 
-FAMILIES = (market, feeds)
+FAMILIES = (market, feeds, research, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,3 +19,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/quayside-table-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark) -> str:
+    """A fresh path below the shared folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/quayside-stream-{uuid.uuid4().hex[:12]}"
