@@ -244,12 +244,12 @@ def book_depth_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     mids = book.top(b).select("symbol", "epoch", "t", ((F.col("bid_px") + F.col("ask_px")) / 2).alias("mid"))
     deep = book.ranked(b).groupBy("symbol", "epoch", "t", "side").agg(F.sum(F.when(F.col("rank") <= 5, F.col("size"))).alias("qty5"))
     band = b.join(mids, ["symbol", "epoch", "t"]).groupBy("symbol", "epoch", "t", "side").agg(F.sum(F.when(F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * 0.005 + 1e-9, F.col("price") * F.col("size")).otherwise(0.0)).alias("notional"))
-    return band.join(deep, ["symbol", "epoch", "t", "side"]).select("symbol", "epoch", "t", "side", F.round("notional", 4).alias("notional"), F.round("qty5", 4).alias("qty5"))
+    return band.join(deep, ["symbol", "epoch", "t", "side"]).select("symbol", "epoch", "t", "side", F.round("notional", 7).alias("notional"), F.round("qty5", 5).alias("qty5"))
 
 
 BAND = f"""{_BOOK}, mid AS (SELECT symbol, epoch, t, (max(price) FILTER (side = 'bid') + min(price) FILTER (side = 'ask')) / 2 AS mid FROM bk GROUP BY ALL),
  rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, epoch, t, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS rank FROM bk)
- SELECT symbol, epoch, t, side, round(sum(CASE WHEN abs(price - mid) <= mid * CAST(0.005 AS DOUBLE) + CAST(1e-9 AS DOUBLE) THEN price * size ELSE 0 END), 4) AS notional, round(sum(CASE WHEN rank <= 5 THEN size END), 4) AS qty5
+ SELECT symbol, epoch, t, side, round(sum(CASE WHEN abs(price - mid) <= mid * CAST(0.005 AS DOUBLE) + CAST(1e-9 AS DOUBLE) THEN price * size ELSE 0 END), 7) AS notional, round(sum(CASE WHEN rank <= 5 THEN size END), 5) AS qty5
  FROM rk JOIN mid USING (symbol, epoch, t) GROUP BY symbol, epoch, t, side"""
 
 
@@ -260,7 +260,7 @@ def _walk_sql(target: str, by: str) -> str:
  k AS (SELECT *, greatest(0, least({unit}, {target} - before)) / {'1' if by == 'qty' else 'price'} AS take FROM c),
  s AS (SELECT symbol, epoch, t, CASE WHEN side = 'ask' THEN 'buy' ELSE 'sell' END AS taker, sum(take) AS qty, sum(take * price) AS notional, count(*) FILTER (take > 0) AS n_levels,
   CASE WHEN side = 'ask' THEN max(price) FILTER (take > 0) ELSE min(price) FILTER (take > 0) END AS worst, sum({unit}) >= {target} - 1e-6 AS complete FROM k GROUP BY symbol, epoch, t, side)
- SELECT symbol, epoch, t, taker, round(qty, 4) AS qty, round(notional, 4) AS notional, round(notional / qty, 6) AS vwap, worst, n_levels, complete,
+ SELECT symbol, epoch, t, taker, round(qty, 5) AS qty, round(notional, 7) AS notional, round(notional / qty, 6) AS vwap, worst, n_levels, complete,
  round(CASE WHEN complete THEN (notional / qty / mid - 1) * 1e4 * (CASE WHEN taker = 'buy' THEN 1 ELSE -1 END) END, 4) AS impact_bps FROM s JOIN mid USING (symbol, epoch, t)"""
 
 
@@ -268,7 +268,7 @@ def _walked(spark: SparkSession, sf_dir: str, by: str, target: float) -> DataFra
     b = _book(spark, sf_dir)
     mids = book.top(b).select("symbol", "epoch", "t", ((F.col("bid_px") + F.col("ask_px")) / 2).alias("mid"))
     w = book.walk(b, ["symbol", "epoch", "t"], by, target).join(mids, ["symbol", "epoch", "t"])
-    return w.select("symbol", "epoch", "t", "taker", F.round("qty", 4).alias("qty"), F.round("notional", 4).alias("notional"), R6("vwap").alias("vwap"), "worst", "n_levels", "complete", F.round(book.impact_bps("vwap", "mid", "taker", "complete"), 4).alias("impact_bps"))
+    return w.select("symbol", "epoch", "t", "taker", F.round("qty", 5).alias("qty"), F.round("notional", 7).alias("notional"), R6("vwap").alias("vwap"), "worst", "n_levels", "complete", F.round(book.impact_bps("vwap", "mid", "taker", "complete"), 4).alias("impact_bps"))
 
 
 def book_walk_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,11 +286,11 @@ def band_added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("symbol", "epoch", "side", "price").orderBy("ts_local_ns", "seq")
     old = F.coalesce(F.lag("size").over(w), F.lit(0.0))
     d = levels(spark, sf_dir).withColumn("change", F.col("size") - old)
-    return d.groupBy("symbol", "side", F.floor(F.col("ts_local_ns") / DAY).alias("day")).agg(F.round(F.sum(F.greatest("change", F.lit(0.0))), 4).alias("added"), F.round(F.sum(F.greatest(-F.col("change"), F.lit(0.0))), 4).alias("removed"))
+    return d.groupBy("symbol", "side", F.floor(F.col("ts_local_ns") / DAY).alias("day")).agg(F.round(F.sum(F.greatest("change", F.lit(0.0))), 5).alias("added"), F.round(F.sum(F.greatest(-F.col("change"), F.lit(0.0))), 5).alias("removed"))
 
 
 ADDED = f"""WITH {LEVELS}, d AS (SELECT *, size - coalesce(lag(size) OVER (PARTITION BY symbol, epoch, side, price ORDER BY ts_local_ns, seq), 0) AS change FROM levels)
- SELECT symbol, side, ts_local_ns // {DAY} AS day, round(sum(greatest(change, 0)), 4) AS added, round(sum(greatest(-change, 0)), 4) AS removed FROM d GROUP BY 1, 2, 3"""
+ SELECT symbol, side, ts_local_ns // {DAY} AS day, round(sum(greatest(change, 0)), 5) AS added, round(sum(greatest(-change, 0)), 5) AS removed FROM d GROUP BY 1, 2, 3"""
 
 
 def hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:

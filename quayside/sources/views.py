@@ -63,13 +63,13 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("seq"), F.concat(F.lit("S"), (F.col("o_custkey") % 8).cast("string")).alias("symbol"),
         F.when(bid, "bid").otherwise("ask").alias("side"), F.round(F.when(bid, 100 - step).otherwise(100 + step), 2).alias("price"),
-        F.when(F.col("o_orderstatus") == "F", 0.0).otherwise(F.round(F.col("o_totalprice") / 1000, 2)).alias("size"),
+        F.when(F.col("o_orderstatus") == "F", 0.0).otherwise(F.round(F.col("o_totalprice") / 1000, 5)).alias("size"),
         (ns("o_orderdate") + F.col("o_orderkey") * 1000).alias("ts_local_ns"), F.year("o_orderdate").cast("long").alias("epoch"))
 
 
 LEVELS = """levels AS (SELECT o_orderkey AS seq, concat('S', CAST(o_custkey % 8 AS VARCHAR)) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side,
  round(CASE WHEN o_orderkey % 2 = 0 THEN 100 - CAST(0.05 AS DOUBLE) * ((o_orderkey // 2) % 20 + 1) ELSE 100 + CAST(0.05 AS DOUBLE) * ((o_orderkey // 2) % 20 + 1) END, 2) AS price,
- CASE WHEN o_orderstatus = 'F' THEN CAST(0 AS DOUBLE) ELSE round(o_totalprice / 1000, 2) END AS size,
+ CASE WHEN o_orderstatus = 'F' THEN CAST(0 AS DOUBLE) ELSE round(o_totalprice / 1000, 5) END AS size,
  epoch_us(o_orderdate) * 1000 + o_orderkey * 1000 AS ts_local_ns, CAST(year(o_orderdate) AS BIGINT) AS epoch FROM orders)"""
 
 
