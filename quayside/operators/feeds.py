@@ -186,6 +186,28 @@ def depth_sync(messages: DataFrame, keys: list[str], order: list[str], bucket: C
     return m.withColumn("state", state).select(*messages.columns, "state")
 
 
+def release_buffered(messages: DataFrame, keys: list[str], order: str, bucket: Column, limit: int = 2000, rounds: int = 3) -> DataFrame:
+    """``messages`` as in ``depth_sync`` with ``state`` and ``at``: updates refused while unsynced are kept, at most the
+    ``limit`` newest, and tried again at the next snapshot, arriving with it.
+
+    ``at`` is the place in ``order`` at which a message counts.  What a snapshot still refuses
+    is tried at the one after it, for ``rounds`` snapshots; the rest stays a gap.
+    """
+    now = messages.withColumn("at", F.col(order)).withColumn("__late", F.lit(0))
+    for _ in range(rounds):
+        sort = ["at", "__late", order]
+        seen = depth_sync(now, keys, sort, bucket)
+        snaps = F.when(F.col("snapshot"), F.col("at"))
+        later = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(1, Window.unboundedFollowing)
+        seen = seen.withColumn("__next", F.first(snaps, True).over(later))
+        newest = Window.partitionBy(*keys, "__next").orderBy(F.desc(order))
+        refused = (F.col("state") == "gap") & F.col("__next").isNotNull()
+        seen = seen.withColumn("__n", F.when(refused, F.row_number().over(newest)))
+        kept = refused & (F.col("__n") <= limit)
+        now = seen.withColumn("at", F.when(kept, F.col("__next")).otherwise(F.col("at"))).withColumn("__late", F.when(kept, 1).otherwise(F.col("__late"))).drop("state", "__next", "__n")
+    return depth_sync(now, keys, ["at", "__late", order], bucket).drop("__late")
+
+
 def stream_quality(events: DataFrame) -> DataFrame:
     """By stream (venue, symbol): messages, trades, updates, gaps, disconnects, span, longest silence, regressions.
 

@@ -165,3 +165,15 @@ def test_non_overlapping_is_the_greedy_pass(spark):
             want.add(i)
             free = e
     assert got == want
+
+
+@pytest.mark.parametrize("rows, want", [
+    # buffered updates bridge the snapshot; a later one breaks the chain
+    ([(1, False, 90, 95, 89), (2, False, 96, 105, 95), (3, True, None, 100, None), (4, False, 106, 110, 105), (5, False, 113, 115, 112)], {1: ("old", 3), 2: ("delta", 3), 3: ("snapshot", 3), 4: ("delta", 4), 5: ("gap", 5)}),
+    # the buffer doesn't bridge
+    ([(1, False, 120, 130, 119), (2, True, None, 100, None)], {1: ("gap", 2), 2: ("snapshot", 2)}),
+])
+def test_release_of_buffered_updates(spark, rows, want):
+    df = spark.createDataFrame([("ref", "S", *r) for r in rows], "venue string, symbol string, n long, snapshot boolean, first_id long, last_id long, prev_id long")
+    got = {r.n: (r.state, r.at) for r in feeds.release_buffered(df, ["venue", "symbol"], "n", F.floor(F.col("at") / 100)).collect()}
+    assert got == want
