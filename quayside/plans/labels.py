@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scans import asof_join, interval_join, prefix_scan
 from ..operators import feeds, stats
+from ..sources import datasets
+from ..sources.tables import shared_path
 from ..sources.views import DAY, GRID, HOUR, QUOTES, TAPE, grid, quotes, tape
+from .market import LABELS, LEAD_LAG, MIDS, entry_exit_labels, lead_lag_features
+from .research import IC, MATRIX, ic_tstat, matrix
 
 MONTH_NS = 30 * DAY
 R = lambda c, n=6: F.round(c, n)
@@ -145,6 +149,60 @@ def depth_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "state", "at")
 
 
+def dataset_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature dataset written by day, the second time nothing, and read again."""
+    root = shared_path(spark)
+    key = datasets.fingerprint(spark, sf_dir, "events*")
+    features = lead_lag_features(spark, sf_dir)
+    datasets.write_days(features, root, key)
+    if datasets.write_days(features, root, key):
+        raise ValueError("known days were built again")
+    return spark.read.parquet(f"{root}/data").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), R(F.sum("basis_bps"), 4).alias("basis"))
+
+
+SINK = f"""WITH {MIDS}, f AS ({LEAD_LAG}) SELECT strftime(make_timestamp(ts_ns // 1000), '%Y%m%d') AS day, count(*) AS n, round(sum(basis_bps), 4) AS basis FROM f GROUP BY 1"""
+
+
+def trade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executed rows of decided sides with their parts of the return."""
+    labels = entry_exit_labels(spark, sf_dir)
+    e = _entries(spark, sf_dir).select("symbol", "ts_ns", "bid", "ask", "queue")
+    side = F.when(F.col("queue") >= 5, 1).when(F.col("queue") <= 2, -1).otherwise(0)
+    j = labels.join(e, ["symbol", "ts_ns"]).withColumn("side", side).where("side <> 0")
+    net = F.when(F.col("side") == 1, F.col("net_long")).otherwise(F.col("net_short"))
+    return j.where(net.isNotNull()).select(
+        "symbol", "side", F.col("ts_ns").alias("t_decision"), F.lit("aggressive").alias("exec_mode"), net.alias("ret"), R((F.col("ask") - F.col("bid")) / (F.col("ask") + F.col("bid")) * 2e4, 5).alias("spread_bps"), "hold_ms")
+
+
+TRADES = f"""WITH lb AS ({LABELS}), e2 AS (WITH {_ENTRIES} SELECT * FROM en), j AS (SELECT lb.*, bid, ask, CASE WHEN queue >= 5 THEN 1 WHEN queue <= 2 THEN -1 ELSE 0 END AS side FROM lb JOIN e2 USING (symbol, ts_ns))
+ SELECT symbol, side, ts_ns AS t_decision, 'aggressive' AS exec_mode, CASE WHEN side = 1 THEN net_long ELSE net_short END AS ret, round((ask - bid) / (ask + bid) * 2e4, 5) AS spread_bps, hold_ms FROM j WHERE side <> 0 AND CASE WHEN side = 1 THEN net_long ELSE net_short END IS NOT NULL"""
+
+
+def baseline_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookback with the largest signed t statistic of its family, the first of equals."""
+    t = ic_tstat(spark, sf_dir).withColumn("family", F.when(F.substring("feature", 2, 2).cast("int") < 4, "momentum").otherwise("lag"))
+    w = Window.partitionBy("family").orderBy(F.desc("t"), "feature")
+    return t.withColumn("r", F.row_number().over(w)).where("r = 1").select("family", "feature", "t")
+
+
+BASELINE = f"""WITH {IC}, t AS (SELECT feature, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ic GROUP BY feature) SELECT family, feature, t FROM (SELECT *, CASE WHEN CAST(substr(feature, 2) AS INTEGER) < 4 THEN 'momentum' ELSE 'lag' END AS family FROM t)
+ QUALIFY row_number() OVER (PARTITION BY family ORDER BY t DESC, feature) = 1"""
+
+
+def temporal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain in squared error of one score over another on the last quarter, by blocks, and whether it is proven."""
+    m = matrix(spark, sf_dir)
+    w = Window.orderBy("vec_id")  # one row for each example of the validation part: ids alone are ordered
+    m = m.withColumn("part", F.ntile(4).over(w)).where("part = 4").withColumn("block", F.ntile(10).over(w))
+    gain = F.pow(F.col("target") - F.col("f0"), 2) - F.pow(F.col("target") - F.col("f1"), 2)
+    c = stats.cluster_se(m.withColumn("gain", gain).withColumn("all", F.lit(1)), ["all"], "gain", "block")
+    return c.select("n", "clusters", R("mean").alias("gain"), R("se").alias("se"), (F.col("mean") > 1.645 * F.col("se")).alias("used"))
+
+
+GATE = f"""WITH {MATRIX}, p AS (SELECT *, ntile(4) OVER (ORDER BY vec_id) AS part FROM mx), b AS (SELECT *, ntile(10) OVER (ORDER BY vec_id) AS block FROM p WHERE part = 4), h AS (SELECT block, sum(pow(target - f0, 2) - pow(target - f1, 2)) AS s, count(*) AS k FROM b GROUP BY block),
+ m AS (SELECT *, sum(s) OVER () / sum(k) OVER () AS mu FROM h), c AS (SELECT CAST(sum(k) AS BIGINT) AS n, count(*) AS clusters, any_value(mu) AS mean, sqrt(sum(pow(s - k * mu, 2)) * count(*) / (count(*) - 1)) / sum(k) AS se FROM m)
+ SELECT n, clusters, round(mean, 6) AS gain, round(se, 6) AS se, mean > 1.645 * se AS used FROM c"""
+
 QUERIES = {
     "mae_window": (mae_window, MAE),
     "passive_fill": (passive_fill, PASSIVE),
@@ -155,4 +213,8 @@ QUERIES = {
     "selected_profile": (selected_profile, PROFILE),
     "promotion_checks": (promotion_checks, PROMOTION),
     "depth_release": (depth_release, None),
+    "dataset_sink": (dataset_sink, SINK),
+    "trade_rows": (trade_rows, TRADES),
+    "baseline_choice": (baseline_choice, BASELINE),
+    "temporal_gate": (temporal_gate, GATE),
 }

@@ -48,7 +48,7 @@ def block_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _block_ic(spark, sf_dir).select("feature", "block", "n", R("ic").alias("ic"))
 
 
-_IC = f"""{_LONG}, b AS (SELECT *, ntile(8) OVER (PARTITION BY feature ORDER BY vec_id) AS block FROM lg),
+IC = f"""{_LONG}, b AS (SELECT *, ntile(8) OVER (PARTITION BY feature ORDER BY vec_id) AS block FROM lg),
  r AS (SELECT *, rank() OVER (PARTITION BY feature, block ORDER BY x) + (count(*) OVER (PARTITION BY feature, block, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature, block ORDER BY target) + (count(*) OVER (PARTITION BY feature, block, target) - 1) / 2 AS ry FROM b),
  ic AS (SELECT feature, block, count(*) AS n, corr(rx, ry) AS ic FROM r GROUP BY feature, block)"""
 
@@ -97,7 +97,6 @@ def flow_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of z scores with signs, over the root of their number; missing counts 0."""
     m = matrix(spark, sf_dir)
     use = FEATURES[:4]
-    w = Window.partitionBy()
     moments = m.agg(*[F.avg(f).alias(f"m_{f}") for f in use], *[F.stddev_pop(f).alias(f"s_{f}") for f in use])
     z = sum(F.coalesce((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"), F.lit(0.0)) * (1 if i % 2 == 0 else -1) for i, f in enumerate(use))
     return m.join(F.broadcast(moments)).select("vec_id", R(z / F.sqrt(F.lit(float(len(use))))).alias("score"))
@@ -583,8 +582,8 @@ HASH = f"WITH {TAPE}, t AS (SELECT model, mode, count(*) AS n FROM tape GROUP BY
 
 QUERIES = {
     "feature_screen": (feature_screen, f"WITH {_LONG} SELECT feature, round(avg(CASE WHEN x IS NULL THEN 1 ELSE 0 END), 6) AS missing, round(stddev_pop(x), 6) AS sd, stddev_pop(x) > 1e-12 AS kept FROM lg GROUP BY feature"),
-    "block_rank_ic": (block_rank_ic, f"WITH {_IC} SELECT feature, block, n, round(ic, 6) AS ic FROM ic"),
-    "ic_tstat": (ic_tstat, f"WITH {_IC} SELECT feature, count(ic) AS blocks, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ic GROUP BY feature"),
+    "block_rank_ic": (block_rank_ic, f"WITH {IC} SELECT feature, block, n, round(ic, 6) AS ic FROM ic"),
+    "ic_tstat": (ic_tstat, f"WITH {IC} SELECT feature, count(ic) AS blocks, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ic GROUP BY feature"),
     "rank_corr_matrix": (rank_corr_matrix, f"WITH {_LONG}, r AS (SELECT vec_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS r FROM lg) SELECT p.feature AS a, q.feature AS b, round(corr(p.r, q.r), 6) AS corr FROM r p JOIN r q ON p.vec_id = q.vec_id AND p.feature < q.feature GROUP BY 1, 2"),
     "ridge_gram": (ridge_gram, GRAM),
     "ridge_fit": (ridge_fit, None),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.views import QUOTES, quotes, table
+from ..sources.views import HOUR, QUOTES, quotes
 from ..streaming import jobs
+from .market import MIDS
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,20 @@ SEQUENCE = """WITH m AS (SELECT event_id, event_id % 2 AS venue, user_id % 8 AS
  row_number() OVER (PARTITION BY venue, symbol ORDER BY event_id) AS i FROM m), b AS (SELECT *, max(CASE WHEN NOT snap AND cut AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol, epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS broken FROM n)
  SELECT event_id, CASE WHEN snap THEN 'snapshot' WHEN epoch = 0 OR broken = 1 THEN 'gap' ELSE 'delta' END AS state FROM b"""
 
+def stream_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid samples of a live run; the batch twin is ``asof_grid_state``."""
+    e = jobs.stream_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    base = F.round(100 + F.col("value") / 100, 2)
+    mid = (F.round(base - 0.01 * (k % 5 + 1), 2) + F.round(base + 0.01 * (k % 5 + 1), 2)) / 2
+    q = e.select(
+        F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("event_id") % 2 == 0, "lit").otherwise("ref").alias("venue"), "event_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), mid.alias("mid"))
+    out = jobs.run_once(jobs.grid_samples(q, HOUR // 1000))
+    known = lambda c: F.round(F.nanvl(c, F.lit(None).cast("double")), 6).alias(c)
+    return out.select("symbol", (F.col("tick_us") * 1000).alias("ts_ns"), known("lit_mid"), known("ref_mid"))
+
+
 QUERIES = {
     "stream_typed": (stream_typed, f"WITH {QUOTES} SELECT event_id, venue, symbol, (ts_local_ns - ts_exch_ns) // 1000000 AS delay_ms FROM quotes"),
     "stream_health": (stream_health, HEALTH),
@@ -83,4 +98,5 @@ QUERIES = {
     "stream_signals": (stream_signals, SIGNALS),
     "stream_edge_monitor": (stream_edge_monitor, None),
     "stream_sequence": (stream_sequence, SEQUENCE),
+    "stream_grid": (stream_grid, f"WITH {MIDS} SELECT symbol, ts_ns, round(lit_mid, 6) AS lit_mid, round(ref_mid, 6) AS ref_mid FROM mids"),
 }

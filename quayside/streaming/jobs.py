@@ -113,3 +113,27 @@ def sequence_monitor(messages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["event_id", "state"])
 
     return messages.groupBy("venue", "symbol").applyInPandasWithState(step, "event_id long, state string", state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def grid_samples(events: DataFrame, step_us: int) -> DataFrame:
+    """Mids of both venues at each tick that a later event of the symbol has passed.
+
+    ``events``: symbol, venue, event_id, ts_us, mid, in order of arrival.  State is a few numbers for
+    each symbol.
+    """
+    state_schema = "lit double, ref double, tick long"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lit, ref, tick = state.get if state.exists else (None, None, 0)
+        for pdf in batches:
+            rows = []
+            for r in pdf.sort_values(["ts_us", "event_id"]).itertuples():
+                tick = tick or (r.ts_us // step_us + 1) * step_us
+                while tick < r.ts_us:
+                    rows.append((key[0], tick, lit, ref))
+                    tick += step_us
+                lit, ref = (r.mid, ref) if r.venue == "lit" else (lit, r.mid)
+            state.update((lit, ref, int(tick)))
+            yield pd.DataFrame(rows, columns=["symbol", "tick_us", "lit_mid", "ref_mid"]).astype({"lit_mid": "float64", "ref_mid": "float64"})
+
+    return events.groupBy("symbol").applyInPandasWithState(step, "symbol string, tick_us long, lit_mid double, ref_mid double", state_schema, "append", GroupStateTimeout.NoTimeout)
