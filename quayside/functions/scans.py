@@ -100,18 +100,21 @@ def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Colum
     return counted.join(mean, [*keys, n], "left").select(*df.columns, out)
 
 
-def non_overlapping(df: DataFrame, key: str, row: str, start: str, end: str, written) -> DataFrame:
+def non_overlapping(df: DataFrame, key: str, row: str, start: str, end: str, written, bucket: int) -> DataFrame:
     """Rows that a greedy pass takes: per key the first by (start, row), then always the next whose start is
     not before the end of the one taken.
 
     Each row points to the row taken after it; doubling the pointers log2(rows) times marks all
-    that the first row reaches.  ``written`` cuts the lineage of the few columns used.
+    that the first row reaches.  ``row`` is a number; ``written`` cuts the lineage of the few columns
+    used; ``bucket`` is the length of the time buckets.
     """
     rows = written(df.select(key, row, start, end))
-    ahead = Window.partitionBy(key).orderBy("__t", "__side", row).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    starts = rows.select(key, F.col(start).alias("__t"), F.lit(1).alias("__side"), F.col(row).alias(row), F.struct(F.col(start).alias("s"), F.col(row).alias("r")).alias("__me"))
-    ends = rows.select(key, F.col(end).alias("__t"), F.lit(0).alias("__side"), F.col(row).alias(row), F.lit(None).cast(starts.schema["__me"].dataType).alias("__me"))
-    jumps = starts.unionByName(ends).withColumn("__next", F.first("__me", True).over(ahead)).where("__side = 0 and __next is not null").select(key, F.col(row).alias("a"), F.col("__next.r").alias("b"))
+    starts = rows.select(key, F.col(start).alias("__t"), F.lit(1).alias("__side"), F.col(row), F.col(row).alias("__me"))
+    ends = rows.select(key, F.col(end).alias("__t"), F.lit(0).alias("__side"), F.col(row), F.lit(None).cast(starts.schema["__me"].dataType).alias("__me"))
+    # the next start after an end is the last one seen when time runs backwards
+    back = starts.unionByName(ends).withColumns({"__bt": -F.col("__t"), "__bs": -F.col("__side"), "__br": -F.col(row)})
+    seen = prefix_scan(back, [key], ["__bt", "__bs", "__br"], F.floor(F.col("__bt") / bucket), {"__next": ("last", F.col("__me"))})
+    jumps = seen.where("__side = 0 and __next is not null").select(key, F.col(row).alias("a"), F.col("__next").alias("b"))
     jumps = written(jumps)
     taken = written(rows.groupBy(key).agg(F.min_by(row, F.struct(start, row)).alias("a")))
     n = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0

@@ -198,8 +198,9 @@ def release_buffered(messages: DataFrame, keys: list[str], order: str, bucket: C
         sort = ["at", "__late", order]
         seen = depth_sync(now, keys, sort, bucket)
         snaps = F.when(F.col("snapshot"), F.col("at"))
-        later = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(1, Window.unboundedFollowing)
-        seen = seen.withColumn("__next", F.first(snaps, True).over(later))
+        # a refused message is no snapshot, so the last one seen when time runs backwards is the next
+        back = seen.withColumns({f"__b{i}": -F.col(c) for i, c in enumerate(sort)}).withColumn("__snap", snaps)
+        seen = prefix_scan(back, keys, ["__b0", "__b1", "__b2"], -bucket, {"__next": ("last", F.col("__snap"))}).drop("__b0", "__b1", "__b2", "__snap")
         newest = Window.partitionBy(*keys, "__next").orderBy(F.desc(order))
         refused = (F.col("state") == "gap") & F.col("__next").isNotNull()
         seen = seen.withColumn("__n", F.when(refused, F.row_number().over(newest)))

@@ -207,7 +207,7 @@ DECIDE = f"""WITH {QUOTES}, s AS (SELECT *, CASE WHEN ask_sz >= 7 AND (bid_sz <
 def non_overlap_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals that open a position: one at a time in each market."""
     s = levels(spark, sf_dir).select("symbol", "seq", F.col("ts_local_ns").alias("t_open")).withColumn("t_close", F.col("t_open") + (F.col("seq") % 7 + 1) * DAY)
-    return non_overlapping(s, "symbol", "seq", "t_open", "t_close", written)
+    return non_overlapping(s, "symbol", "seq", "t_open", "t_close", written, MONTH_NS)
 
 
 NON_OVERLAP = f"""WITH RECURSIVE {LEVELS}, s AS (SELECT symbol, seq, ts_local_ns AS a, ts_local_ns + (seq % 7 + 1) * {DAY} AS b FROM levels), u AS (SELECT symbol, a AS t, 1 AS side, seq, seq AS me FROM s UNION ALL SELECT symbol, b, 0, seq, NULL FROM s),

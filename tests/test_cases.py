@@ -158,7 +158,7 @@ def test_asof_and_interval_joins(spark):
 def test_non_overlapping_is_the_greedy_pass(spark):
     rows = [("a", i, (i * 13) % 101, (i * 13) % 101 + 1 + (i * 5) % 17) for i in range(60)]
     df = spark.createDataFrame(rows, "k string, i long, s long, e long")
-    got = {r.i for r in non_overlapping(df, "k", "i", "s", "e", written).collect()}
+    got = {r.i for r in non_overlapping(df, "k", "i", "s", "e", written, 16).collect()}
     want, free = set(), None
     for _, i, s, e in sorted(rows, key=lambda r: (r[2], r[1])):
         if free is None or s >= free:
