@@ -23,5 +23,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Base32 of a SHA-1: five hex digits at a time are four letters.
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+ d AS (SELECT page_id, strlen(body) AS n, min(page_id) OVER (PARTITION BY body) AS first,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST(concat('0x', substr(h, i // 4 * 5 + 1, 5)) AS BIGINT) >> ((3 - i % 4) * 5)) & 31) AS INTEGER) + 1, 1)), '') AS digest FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+#: The shortest run of 50 words from each line, named by its text; where it begins earlier, its lines go.
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'raw': i - 1, 'line': x})) AS u FROM documents),
+ a AS (SELECT doc_id, u.raw AS raw, u.line AS line, len(regexp_extract_all(u.line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+ c AS (SELECT *, row_number() OVER o - 1 AS seq, sum(w) OVER o AS cum FROM a WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY raw ROWS UNBOUNDED PRECEDING)),
+ r AS (SELECT s.doc_id, s.seq, min(e.seq) AS last FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.seq BETWEEN s.seq AND s.seq + 49 AND e.cum - s.cum + s.w >= 50 GROUP BY ALL),
+ k AS (SELECT r.doc_id, r.seq, r.last - r.seq + 1 AS len, string_agg(c.line, chr(10) ORDER BY c.seq) AS run FROM r JOIN c ON r.doc_id = c.doc_id AND c.seq BETWEEN r.seq AND r.last GROUP BY ALL),
+ f AS (SELECT *, min({'d': doc_id, 's': seq}) OVER (PARTITION BY run) AS first FROM k),
+ g AS (SELECT DISTINCT doc_id, unnest(range(seq, seq + len)) AS seq FROM f WHERE first.d < doc_id OR (first.d = doc_id AND first.s + len <= seq)),
+ x AS (SELECT c.doc_id, c.raw FROM g JOIN c USING (doc_id, seq)),
+ t AS (SELECT a.doc_id, coalesce(string_agg(line, chr(10) ORDER BY a.raw) FILTER (x.raw IS NULL), '') AS text, count(x.raw) AS n FROM a LEFT JOIN x ON a.doc_id = x.doc_id AND a.raw = x.raw GROUP BY a.doc_id)
+SELECT doc_id, text, CAST(n AS INTEGER) AS n_lines_cut FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL, "op10_line_dedup": OP10_SQL}

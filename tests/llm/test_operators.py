@@ -430,3 +430,19 @@ def test_pipeline_packs_what_the_stages_keep(spark):
         assert docs.columns == columns
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert 0 < got.doc_id.nunique() <= 200 and got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_operators_with_sql(spark, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+    got = registry.queries()[name](spark, SF).collect()
+    r = con.execute(registry.oracle_sql()[name])
+    names = sorted(d[0] for d in r.description)
+    at = [[d[0] for d in r.description].index(n) for n in names]
+    assert sorted(map(str, ([row[n] for n in names] for row in got))) == sorted(map(str, ([row[i] for i in at] for row in r.fetchall())))
