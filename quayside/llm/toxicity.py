@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table, text_of, written
 
 FIT_DOCS = 8_000
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 #: Counts taken off a word, a stem and a bigram for their fallbacks.
 WORD_DISCOUNT, STEM_DISCOUNT, PAIR_DISCOUNT = 4.0, 8.0, 4.0
 #: Log ratio of a token that counts as none.
@@ -39,6 +39,8 @@ MARGIN = 2.0
 STEM = 4
 #: Of crc32(doc_id as text) mod FOLDS: fold 0 is held out, CALIBRATION fits the curve, the rest the counts.
 FOLDS, CALIBRATION = 5, 1
+#: Distinct expressions counted in a task before they are passed on.
+COUNTED = 60_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -97,16 +99,21 @@ def fit_rows(labels: DataFrame, limit: int = FIT_DOCS) -> DataFrame:
 def gram_counts(docs: DataFrame) -> DataFrame:
     """v (null for single words), w, n0, n1: counts by class of documents (text, toxic)."""
 
+    def frame(counts: Counter) -> pd.DataFrame:
+        rows = [(v, w, n * (c == 0), n * (c == 1)) for (c, v, w), n in counts.items()]
+        return pd.DataFrame(rows, columns=["v", "w", "n0", "n1"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
         for b in batches:
-            for lo in range(0, len(b), 500):
-                counts: Counter = Counter()
-                part = b.iloc[lo : lo + 500]
-                for text, c in zip(part["text"], part["toxic"], strict=True):
-                    seq = tokens(text)
-                    counts.update((c, None, w) for w in seq)
-                    counts.update((c, v, w) for v, w in zip(seq, seq[1:], strict=False))
-                yield pd.DataFrame([(v, w, n * (c == 0), n * (c == 1)) for (c, v, w), n in counts.items()], columns=["v", "w", "n0", "n1"])
+            for text, c in zip(b["text"], b["toxic"], strict=True):
+                seq = tokens(text)
+                counts.update((c, None, w) for w in seq)
+                counts.update((c, v, w) for v, w in zip(seq, seq[1:], strict=False))
+                if len(counts) > COUNTED:
+                    yield frame(counts)
+                    counts = Counter()
+        yield frame(counts)
 
     rows = docs.select(text_of().alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInPandas(run, "v string, w string, n0 long, n1 long")
     return rows.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
