@@ -95,11 +95,11 @@ def corrected_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = q.where("event_type = 'click'").select("venue", "ts_local_ns", "event_id", (F.col("value") / 100).alias("offset"))
     j = asof_join(q.select("venue", "symbol", "event_id", "ts_local_ns", "ts_exch_ns").withColumnRenamed("ts_local_ns", "t"), probes, ["venue"], "t", "ts_local_ns", ["offset"], DAY, "event_id")
     d = (F.col("t") - F.col("ts_exch_ns")) / 1e6 - F.coalesce("offset", F.lit(0.0))
-    return j.groupBy("venue", "symbol").agg(R(F.percentile(d, F.lit(0.5)), 5).alias("p50"), R(F.percentile(d, F.lit(0.95)), 5).alias("p95"))
+    return j.groupBy("venue", "symbol").agg(R(F.percentile(d, F.lit(0.5)), 7).alias("p50"), R(F.percentile(d, F.lit(0.95)), 7).alias("p95"))
 
 
 DELAYS = f"""WITH {QUOTES}, p AS (SELECT venue, ts_local_ns, max_by(value / 100, event_id) AS o FROM quotes WHERE event_type = 'click' GROUP BY ALL), j AS (SELECT q.venue, q.symbol, (q.ts_local_ns - q.ts_exch_ns) / 1e6 - coalesce(o, 0) AS d FROM quotes q ASOF LEFT JOIN p ON q.venue = p.venue AND q.ts_local_ns >= p.ts_local_ns)
- SELECT venue, symbol, round(quantile_cont(d, 0.5), 5) AS p50, round(quantile_cont(d, 0.95), 5) AS p95 FROM j GROUP BY venue, symbol"""
+ SELECT venue, symbol, round(quantile_cont(d, 0.5), 7) AS p50, round(quantile_cont(d, 0.95), 7) AS p95 FROM j GROUP BY venue, symbol"""
 
 
 def latency_now(spark: SparkSession, sf_dir: str) -> DataFrame:
