@@ -166,6 +166,33 @@ def test_line_dedup_odd_rows(spark):
     assert cut == {0: f"x\n{long}", 1: "y", 2: ""}
 
 
+def brute_whole(texts, least):
+    """From the definition: every line of every run of ``least`` words that an earlier place has, apart from it."""
+    rows = {i: [(k, x) for k, x in enumerate(t.split("\n")) if words(x)] for i, t in texts.items()}
+    first, gone = {}, {}
+    for i in sorted(rows):
+        ls = rows[i]
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if sum(len(words(x)) for _, x in ls[a:b]) >= least:
+                    i0, a0 = first.setdefault(tuple(x for _, x in ls[a:b]), (i, a))
+                    if i0 != i or a0 + b - a <= a:
+                        gone.setdefault(i, set()).update(k for k, _ in ls[a:b])
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in texts.items()}
+
+
+def test_whole_line_runs_against_definition(spark):
+    rng = np.random.default_rng(4)
+    lines = ["", " "] + [" ".join(f"w{rng.integers(0, 9)}" for _ in range(rng.integers(1, 6))) for _ in range(6)]
+    texts = {i: "\n".join(lines[k] for k in rng.integers(0, len(lines), rng.integers(0, 25))) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for least in (1, 5, 12):
+        assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, least, whole=True).collect()} == brute_whole(texts, least)
+    run = lambda *n: "\n".join(f"{k} " * k for k in n)
+    ends = odd(spark, [run(60, 20), f"x\n{run(60, 20)}\ny", run(20, 21, 22, 5), f"{run(20, 21, 22, 5)}\nz"])
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(ends, whole=True).collect() if r.doc_id in (1, 3)} == {1: "x\ny", 3: "z"}
+
+
 # op 4 and 8
 
 
