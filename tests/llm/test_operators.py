@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quayside.llm import decontaminate, extract, line_dedup, packing, quality, registry, simhash, surrogates, token_files, tokenize, toxicity, warc
+from quayside.llm import decontaminate, extract, line_dedup, near_dup, packing, quality, registry, simhash, surrogates, token_files, tokenize, toxicity, warc
 from quayside.llm.common import connected_components, scratch
 
 SF = "/root/testdata/sf0.001"
@@ -122,6 +122,34 @@ def test_quality_odd_rows(spark):
     assert quality.quality_rules(odd(spark, ODD), labels.limit(0)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_near_dedup_against_exact_jaccard(spark, hot, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dup, "HOT", hot)
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for _ in range(6):  # one to three words changed: similarities on both sides of 0.8
+            t = list(base)
+            for at in rng.choice(150, int(rng.integers(1, 4)), replace=False):
+                t[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(t))
+    texts += ["", " ", "a b", "A  b", "a c", texts[0]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for j, y in enumerate(sets):
+        for i in range(j):
+            if sets[i] == y or len(sets[i] & y) >= 0.8 * len(sets[i] | y):
+                root = [root[i] if r == root[j] else r for r in root]
+    want = {min(i for i, r in enumerate(root) if r == k) for k in set(root)}
+    assert 8 < len(want) < len(texts) - 8
+    df = odd(spark, [*texts, (None, texts[0])])
+    got = corpus_pipeline._near(spark, df, SF)
+    assert got.columns == df.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in got.collect()) == [-1, *sorted(want)]
+
+
 # op 10
 
 
