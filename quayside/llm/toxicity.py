@@ -12,8 +12,9 @@ logarithm of the remaining sum, normalised by the document's length with an expo
 curve learns, together with its shift, from labelled documents that the counts haven't seen.
 
 The models are fitted on at most ``FIT_DOCS`` labelled documents of each class (the smallest by a
-hash of doc_id) and hold at most ``MAX_WORDS`` words, stems and bigrams each, so what tasks
-receive is bounded at any corpus size.  Every whole document is scored.
+hash of doc_id), whole texts of them.  Tasks receive every word, stem and bigram whose counts exceed its discount;
+the others have their fallback's ratio exactly, so leaving them out changes no score.  Every whole
+document is scored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of, written
 
 FIT_DOCS = 8_000
-MAX_WORDS = 100_000
 #: Counts taken off a word, a stem and a bigram for their fallbacks.
 WORD_DISCOUNT, STEM_DISCOUNT, PAIR_DISCOUNT = 4.0, 8.0, 4.0
 #: Log ratio of a token that counts as none.
@@ -41,6 +43,10 @@ STEM = 4
 FOLDS, CALIBRATION = 5, 1
 #: Distinct expressions counted in a task before they are passed on.
 COUNTED = 60_000
+#: Words that a Python worker remembers the rows of; then the memory is emptied.
+REMEMBERED = 200_000
+#: Seed of Spark's xxhash64, which names words.
+SEED = 42
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -52,32 +58,63 @@ def fold(column: str = "doc_id") -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS
 
 
+class Rows(dict):
+    """Row of each word in a model's ``llr``, looked up by hash and remembered up to a bound."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        m, first = self.model, len(self.model.words)
+        at = _place(m.words, word)
+        if at < 0:
+            stem = _place(m.stems, word[:STEM])
+            at = first + (stem if stem >= 0 else len(m.stems))
+        self[word] = at
+        return at
+
+
+def _place(keys: np.ndarray, word: str) -> int:
+    key = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), SEED)
+    key -= (key >> 63) << 64
+    at = int(np.searchsorted(keys, key))
+    return at if at < len(keys) and keys[at] == key else -1
+
+
 @dataclass
 class Model:
-    words: dict  # word -> row of the arrays below
-    stems: dict  # stem -> log ratio of a word that is known by its stem alone
-    word_llr: np.ndarray  # log ratio of a known word; one more row for others
-    pairs: np.ndarray  # sorted context * len(words) + word
+    words: np.ndarray  # sorted hashes of the words
+    stems: np.ndarray  # sorted hashes of the stems
+    llr: np.ndarray  # log ratios of the words, of the stems, and of what has no known stem
+    pairs: np.ndarray  # sorted row of context * number of words + row of word
     pair_llr: np.ndarray
-    unknown: float
     curve: tuple = (1.0, -1.0, 0.0)  # weights of excess, of length, shift
+    rows: Rows | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}
+
+    def ratios(self, seq: list[str]) -> np.ndarray:
+        """The log-likelihood ratio of each token in its context."""
+        if self.rows is None:
+            self.rows = Rows(self)
+        n = len(self.words)
+        at = np.fromiter(map(self.rows.__getitem__, seq), np.int64, len(seq))
+        llr = self.llr[at]
+        if len(self.pairs) and len(seq) > 1:
+            key = np.where((at[:-1] < n) & (at[1:] < n), at[:-1] * n + at[1:], -1)
+            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            llr[1:] = np.where(self.pairs[place] == key, self.pair_llr[place], llr[1:])
+        return llr
 
     def evidence(self, text: str) -> tuple[float, float]:
         """Logarithms of the tokens' excess log ratio and of their number."""
         seq = tokens(text)
         if not seq:
             return 0.0, 0.0
-        get, n = self.words.get, len(self.words)
-        at = np.fromiter((get(w, -1) for w in seq), np.int64, len(seq))
-        llr = self.word_llr[at]
-        stem, unknown = self.stems.get, self.unknown
-        for i in np.flatnonzero(at < 0):
-            llr[i] = stem(seq[i][:STEM], unknown)
-        if len(self.pairs) and len(seq) > 1:
-            key = np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] * n + at[1:], -1)
-            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            llr[1:] = np.where(self.pairs[place] == key, self.pair_llr[place], llr[1:])
-        return float(np.log1p(np.maximum(llr - MARGIN, 0).sum())), float(np.log1p(len(seq)))
+        return float(np.log1p(np.maximum(self.ratios(seq) - MARGIN, 0).sum(dtype=np.float64))), float(np.log1p(len(seq)))
 
     def score(self, text: str) -> float:
         excess, length = self.evidence(text)
@@ -120,7 +157,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model:
-    """The two models of documents (text, toxic), as log ratios."""
+    """The two models of documents (text, toxic), as log ratios.
+
+    Spark counts, smooths and divides; the driver gets hashes and ratios alone, in Arrow batches."""
     counts = written(gram_counts(docs), "toxic-counts")
     pairs, single = counts.where("v is not null"), counts.where("v is null").drop("v")
     context = pairs.groupBy(F.col("v").alias("w")).agg(F.count("*").alias("after"))
@@ -128,40 +167,46 @@ def fit(docs: DataFrame) -> Model:
     words = single.join(context, "w", "left").join(left, "w", "left").fillna(0)
     words = written(words.withColumn("stem", F.substring("w", 1, STEM)), "toxic-words")
     by_stem = words.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "cont")])
-    top = lambda df, *keys: df.orderBy(F.desc(F.col("n0") + F.col("n1")), *keys).limit(MAX_WORDS)
-    freed = lambda c, d: F.sum(F.least(F.col(c), F.lit(d))).alias(f"free_{c}")
-    total = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("cont").alias("cont"), freed("n0", WORD_DISCOUNT), freed("n1", WORD_DISCOUNT)).first()
+    freed = lambda c, d: F.coalesce(F.sum(F.least(F.col(c), F.lit(d))), F.lit(0.0)).alias(f"free_{c}")
+    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "cont")], freed("n0", WORD_DISCOUNT), freed("n1", WORD_DISCOUNT)).first()
     stem_total = by_stem.agg(freed("n0", STEM_DISCOUNT), freed("n1", STEM_DISCOUNT), F.count("*").alias("n")).first()
-    n = [max(1, total["n0"] or 0), max(1, total["n1"] or 0)]
-    w, s = top(words, "w").toPandas(), top(by_stem, "stem").toPandas()
-    p = top(pairs.where(f"greatest(n0, n1) > {PAIR_DISCOUNT}"), "v", "w").toPandas()
-
-    lam = [max(1.0, total[f"free_n{c}"] or 0) / n[c] for c in (0, 1)]
-    lam_stem = [max(1.0, stem_total[f"free_n{c}"] or 0) / n[c] for c in (0, 1)]
-    base_total = (total["cont"] or 0) + stem_total["n"] + 1
-    base = (s["cont"].to_numpy() + 1) / base_total  # continuation share of a stem, both classes together
-    p_stem = [np.append(np.maximum(s[f"n{c}"].to_numpy() - STEM_DISCOUNT, 0) / n[c] + lam_stem[c] * base, lam_stem[c] / base_total) for c in (0, 1)]
-    llr = np.log(lam[1] * p_stem[1]) - np.log(lam[0] * p_stem[0])
-
-    number = {k: i for i, k in enumerate(s["stem"])}
-    row = np.fromiter((number.get(k, -1) for k in w["stem"]), np.int64, len(w))
-    stem_cont = np.append(s["cont"].to_numpy(), 0)[row]
-    share = (w["cont"].to_numpy() + 1) / (stem_cont + w["cont"].to_numpy() + 2)
-    p_word = [np.maximum(w[f"n{c}"].to_numpy() - WORD_DISCOUNT, 0) / n[c] + lam[c] * p_stem[c][row] * share for c in (0, 1)]
-
-    index = {k: i for i, k in enumerate(w["w"])}
-    v_at = np.fromiter((index.get(k, -1) for k in p["v"]), np.int64, len(p))
-    w_at = np.fromiter((index.get(k, -1) for k in p["w"]), np.int64, len(p))
-    both = (v_at >= 0) & (w_at >= 0)
-    v_at, w_at, p = v_at[both], w_at[both], p[both]
-    seen = (w["n0"] + w["n1"]).to_numpy()[v_at]
-    back = np.minimum(1.0, PAIR_DISCOUNT * w["after"].to_numpy()[v_at] / np.maximum(seen, 1))
-    p_pair = [np.maximum(p[f"n{c}"].to_numpy() - PAIR_DISCOUNT, 0) / np.maximum(w[f"n{c}"].to_numpy()[v_at], 1) + back * p_word[c][w_at] for c in (0, 1)]
-    key = v_at * max(1, len(index)) + w_at
-    order = np.argsort(key)
-    return Model(
-        index, dict(zip(s["stem"], llr[:-1].tolist(), strict=True)), np.append(np.log(p_word[1] / p_word[0]), 0.0),
-        key[order], np.log(p_pair[1] / p_pair[0])[order], float(llr[-1]))
+    n = [max(1, total["n0"]), max(1, total["n1"])]
+    lam = [max(1.0, total[f"free_n{c}"]) / n[c] for c in (0, 1)]
+    lam_stem = [max(1.0, stem_total[f"free_n{c}"]) / n[c] for c in (0, 1)]
+    base_total = total["cont"] + stem_total["n"] + 1
+    beyond = lambda c, d: F.greatest(F.col(c) - d, F.lit(0.0))
+    ratio = lambda one, none: F.log(F.col(one) / F.col(none)).cast("float").alias("llr")
+    known = lambda d: F.greatest("n0", "n1") > d
+
+    base = (F.col("cont") + 1) / F.lit(float(base_total))  # continuation share of a stem, both classes together
+    stems = by_stem.select("stem", "n0", "n1", "cont", *[(lam[c] * (beyond(f"n{c}", STEM_DISCOUNT) / n[c] + lam_stem[c] * base)).alias(f"s{c}") for c in (0, 1)])
+    share = (F.col("cont") + 1) / (F.col("stem_cont") + F.col("cont") + 2)
+    smooth = words.where(known(WORD_DISCOUNT)).join(stems.select("stem", F.col("cont").alias("stem_cont"), "s0", "s1"), "stem")
+    smooth = smooth.select("w", "n0", "n1", "after", *[(beyond(f"n{c}", WORD_DISCOUNT) / n[c] + F.col(f"s{c}") * share).alias(f"p{c}") for c in (0, 1)])
+    smooth = written(smooth, "toxic-smooth")
+    back = F.least(F.lit(1.0), PAIR_DISCOUNT * F.col("after") / (F.col("v0") + F.col("v1")))
+    often = pairs.where(known(PAIR_DISCOUNT)).join(smooth.select("w", "p0", "p1"), "w")
+    often = often.join(smooth.select(F.col("w").alias("v"), F.col("n0").alias("v0"), F.col("n1").alias("v1"), "after"), "v")
+    often = often.select("v", "w", *[(beyond(f"n{c}", PAIR_DISCOUNT) / F.greatest(f"v{c}", F.lit(1)) + back * F.col(f"p{c}")).alias(f"q{c}") for c in (0, 1)])
+
+    w = smooth.select(F.xxhash64("w").alias("key"), ratio("p1", "p0")).toArrow()
+    s = stems.where(known(STEM_DISCOUNT)).select(F.xxhash64("stem").alias("key"), ratio("s1", "s0")).toArrow()
+    p = often.select(F.xxhash64("v").alias("v"), F.xxhash64("w").alias("w"), ratio("q1", "q0")).toArrow()
+    word_keys, word_llr = _sorted(_numpy(w, "key"), _numpy(w, "llr"))
+    stem_keys, stem_llr = _sorted(_numpy(s, "key"), _numpy(s, "llr"))
+    at = np.searchsorted(word_keys, _numpy(p, "v")) * max(1, len(word_keys)) + np.searchsorted(word_keys, _numpy(p, "w"))
+    pair_keys, pair_llr = _sorted(at, _numpy(p, "llr"))
+    unknown = np.log(lam[1] * lam_stem[1] / (lam[0] * lam_stem[0]))
+    return Model(word_keys, stem_keys, np.concatenate((word_llr, stem_llr, [unknown])).astype(np.float32), pair_keys, pair_llr)
+
+
+def _numpy(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy()
+
+
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 def calibrate(model: Model, seen: np.ndarray, toxic: np.ndarray) -> Model:
@@ -198,8 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> Model:
             yield pd.DataFrame({"excess": excess, "length": length, "toxic": b["toxic"]})
 
     seen = rows.where(F.col("fold") == CALIBRATION).select(text_of().alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    seen = seen.mapInPandas(run, "excess double, length double, toxic int").toPandas()
-    return calibrate(model, seen[["excess", "length"]].to_numpy(), seen["toxic"].to_numpy())
+    seen = seen.mapInPandas(run, "excess double, length double, toxic int").toArrow()
+    shared.destroy()
+    return calibrate(model, np.column_stack((_numpy(seen, "excess"), _numpy(seen, "length"))), _numpy(seen, "toxic"))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
