@@ -2,9 +2,11 @@
 
 Written archives hold one gzip member for each record.  A member's header carries its compressed and
 plain lengths in an ``sl`` field, so a reader steps from record to record without inflating
-what it doesn't want; archives without that field are read by inflating.
+what it doesn't want; members of 4 GiB and more and those of other writers have no such field and are read by inflating.
+Plain ``.warc`` files are read as they are.
 
-The reader plans partitions of whole files up to ``partitionbytes`` each.  Comparisons of
+The reader plans partitions of whole files up to ``partitionbytes`` each, or less where option ``parallelism``
+tasks would otherwise not all have work; a writer begins a new file at that size, so no file is larger than a partition.  Comparisons of
 record type and other header columns with constants are pushed down to it: it inflates a record's
 first bytes, parses the WARC headers, tests them, and decodes the payload only of records that
 pass, and only if option ``payload`` (give it back) or ``verify`` (hold it against its digest) asks.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,8 +47,8 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_length")
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: A writer begins the next file beyond this size.
-ROLL = 256 << 20
+#: A writer begins the next file beyond this size, and a partition holds files up to it.
+ROLL = 128 << 20
 HEAD = 4096
 
 
@@ -76,7 +79,10 @@ def member(data: bytes) -> bytes:
     deflate = zlib.compressobj(4, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     total = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(total, len(data)) < 1 << 32:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total, len(data))
+    else:
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -118,35 +124,50 @@ def parse_head(data: bytes) -> dict | None:
 
 
 def _inflate(data: bytes, limit: int = 0) -> tuple[bytes, int]:
-    """What a gzip member holds, up to ``limit`` bytes (0: all), and where the member ends if that was reached."""
+    """What a gzip member holds, up to ``limit`` bytes (0: all), and where the member ends if that was reached; plain records as they are."""
+    if data[:5] == b"WARC/":
+        return data, len(data)
     d = zlib.decompressobj(31)
     out = d.decompress(data, limit) if limit else d.decompress(data)
     return out, (len(data) - len(d.unused_data) if d.eof else 0)
 
 
 def read_members(stream) -> Iterator[tuple[int, bytes]]:
-    """Offset and bytes of each gzip member of an open file."""
+    """Offset and bytes of each record of an open file: a gzip member, or a plain record."""
     at, rest = 0, b""
+
+    def fill(total: int) -> None:
+        nonlocal rest
+        parts = [rest]
+        missing = total - len(rest)
+        while missing > 0:
+            if not (more := stream.read(max(1 << 16, missing))):
+                raise ValueError(f"torn record at {at}")
+            parts.append(more)
+            missing -= len(more)
+        rest = b"".join(parts)
+
     while True:
         if len(rest) < 24:
             rest += stream.read(1 << 16)
         if not rest:
             return
-        if rest[:3] != b"\x1f\x8b\x08":
-            raise ValueError(f"no gzip member at {at}")
-        if rest[3] & 4 and rest[12:14] == b"sl":
+        if rest[:5] == b"WARC/":
+            while (end := rest.find(b"\r\n\r\n")) < 0:
+                fill(len(rest) + 1)
+            size = re.search(rb"^content-length:\s*(\d+)", rest[:end], re.I | re.M)
+            if size is None:
+                raise ValueError(f"no length of the record at {at}")
+            total = end + 8 + int(size[1])
+            fill(total)
+        elif rest[:3] != b"\x1f\x8b\x08":
+            raise ValueError(f"no record at {at}")
+        elif rest[3] & 4 and rest[12:14] == b"sl":
             total = struct.unpack_from("<I", rest, 16)[0]
-            while len(rest) < total:
-                more = stream.read(max(1 << 16, total - len(rest)))
-                if not more:
-                    raise ValueError(f"torn member at {at}")
-                rest += more
+            fill(total)
         else:
             while not (total := _inflate(rest)[1]):
-                more = stream.read(max(1 << 20, len(rest)))
-                if not more:
-                    raise ValueError(f"torn member at {at}")
-                rest += more
+                fill(2 * len(rest))
         yield at, rest[:total]
         at, rest = at + total, rest[total:]
 
@@ -184,7 +205,8 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
-        self.most = int(options.get("partitionbytes", 128 << 20))
+        self.most = int(options.get("partitionbytes", ROLL))
+        self.parallelism = int(options.get("parallelism", 1))
         self.tests: list = []
 
     def pushFilters(self, filters: list) -> Iterator:
@@ -199,15 +221,16 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         files, root = _files(self.path)
-        found = sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(root)) if x.path.endswith((".warc.gz", ".warc")))
-        plans, size = [], self.most
+        found = sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith((".warc.gz", ".warc")))
+        most = min(self.most, max(1, sum(n for _, n in found) // self.parallelism))
+        plans, size = [], most
         for path, n in found:
-            if size + n > self.most:
+            if size + n > most:
                 plans.append([])
                 size = 0
             plans[-1].append(path)
             size += n
-        return [Files(p) for p in plans]
+        return [Files(p) for p in plans] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         files, _ = _files(self.path)
@@ -223,7 +246,7 @@ class WarcReader(DataSourceReader):
                         continue
                     payload = None
                     if (self.payload or self.verify) and head["record_type"] != "revisit":
-                        whole = part if len(part) < limit else _inflate(data)[0]
+                        whole = part if len(part) < limit or data is part else _inflate(data)[0]
                         payload = whole[head["payload_at"] : head["payload_at"] + head["payload_held"]]
                         if self.verify and (len(payload) != head["payload_length"] or digest_of(payload) != head["payload_digest"]):
                             raise ValueError(f"payload differs from its digest at {path}:{offset}")
@@ -235,6 +258,8 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
+        files, root = _files(self.path)
+        files.create_dir(root)  # at the driver: a table without rows is an empty folder
 
     def write(self, batches: Iterator) -> Wrote:
         from pyspark import TaskContext
@@ -299,7 +324,8 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Of rows with equal payloads of at least ``min_bytes`` the one with the smallest page_id is a
     response, the others revisit it.  Null html is an empty payload.  Rows that repeat a page_id and its
-    payload are all responses if it is the smallest; a null page_id is always a response.
+    payload are all responses if it is the smallest; a null page_id is always a response.  Other columns are ignored;
+    an empty table gives no records.
     """
     html = text_of("html")
     keyed = pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= min_bytes)
@@ -317,7 +343,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     path = scratch(spark, "warc")
     page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").option("payload", "false").option("verify", "true").load(path)
+    back = spark.read.format("warc").option("payload", "false").option("verify", "true").option("parallelism", spark.sparkContext.defaultParallelism).load(path)
     back = back.where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.when(F.length(c) > 9, F.substring(c, 10, 40)).cast("long")
     return back.select(
