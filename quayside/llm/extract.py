@@ -20,6 +20,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,20 @@ from .common import table, text_of
 FIT_PAGES = 300
 EPOCHS = 4
 BATCH = 16
+#: Blocks of a training sequence; longer pages are trained in windows that overlap by a quarter.
+WINDOW = 400
 HIDDEN = 16
 WIDTH = 24
 PATH_BUCKETS, WORD_BUCKETS = 4096, 4096
 #: Words of a block that its vector adds up: all, as bags; longer texts only take more time.
 SHAPES = 6
 
-SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "textarea", "select", "math", "canvas")
+#: Elements whose content is text up to their end tag, or to the end of the page.
+RAW = frozenset(("script", "style", "textarea"))
+#: Elements whose content is no text of the page.
+SILENT = frozenset(("head", "noscript", "template", "svg", "iframe", "object", "select", "math", "canvas"))
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("base link meta title noscript style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -47,10 +55,15 @@ BLOCKS = frozenset(
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"body", "html", "button", "label", "option", "legend", "caption"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# quotes count at the beginning of a value only, and only if they are closed
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 NAMES = re.compile(r"[a-z]+")
+#: Steps of a tag path; what is nested deeper has the path of its ancestor.
+DEEPEST = 200
 
 #: Names in tag paths that the teacher takes for boilerplate.
 BOILERPLATE = frozenset(
@@ -60,11 +73,19 @@ BOILERPLATE = frozenset(
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(tag path, text) of each leaf block in page order; texts aren't empty."""
+    """(tag path, text) of each leaf block in page order; texts aren't empty.
+
+    Markup need not be well formed.  A head ends at the first thing that no head holds.  Of the other elements
+    whose content isn't text (``SILENT``) one that is closed somewhere later ends there or with its parent; one that
+    never is closed ends at the next block or with its parent.
+    """
     out: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter = Counter()
     path: tuple[str, ...] = ()
     parts: list[str] = []
+    last_end: dict[str, int] = {}
+    silent = soft = 0  # silent elements on the stack, and those of them without an end tag
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -75,42 +96,72 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
             parts.clear()
 
     def close(depth: int) -> None:
-        nonlocal path
+        nonlocal path, silent, soft
         if any(t in BLOCKS for t, _ in stack[depth:]):
             flush()
+        for t, _ in stack[depth:]:
+            opened[t] -= 1
+            silent -= t.lstrip("~") in SILENT
+            soft -= t[0] == "~"
         path = stack[depth][1]
         del stack[depth:]
 
+    def innermost(test) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if test(stack[i][0]))
+
+    def closed_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return last_end[tag] >= at
+
     while at < n:
         m = TOKEN.search(page, at)
+        text = page[at : m.start() if m else n]
+        if text and opened["head"] and not text.isspace():
+            close(innermost("head".__eq__))
+        if text and not silent:
+            parts.append(text)
         if m is None:
-            parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
+        empty = (m[3] or "").rstrip().endswith("/")
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
+            if opened[tag]:
+                close(innermost(tag.__eq__))
+            elif opened[f"~{tag}"]:
+                close(innermost(f"~{tag}".__eq__))
             elif tag in BLOCKS:
                 flush()
             continue
-        if tag in SILENT:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "head":  # a head that is never closed ends at the body
-                end = end or re.compile(r"(?=<body\b)", re.I).search(page, at)
-            if tag in BLOCKS or tag == "head":
+        if opened["head"] and tag not in IN_HEAD:
+            close(innermost("head".__eq__))
+        if tag in RAW or tag == "title":
+            if tag == "title":
                 flush()
-            if not (m[3] or "").rstrip().endswith("/"):
+            if not empty:
+                # a title that is never closed ends at the next tag
+                end = re.compile(rf"</{tag}\b[^>]*>" if tag in RAW or closed_later(tag) else "(?=<)", re.I).search(page, at)
                 at = end.end() if end else n
             continue
+        if soft and tag in BLOCKS and tag not in ("option", "label", "legend"):
+            close(next(i for i, (t, _) in enumerate(stack) if t[0] == "~"))
         if tag == "br":
-            parts.append(" ")
+            if not silent:
+                parts.append(" ")
+            continue
+        if tag in SILENT:
+            if tag == "head":
+                flush()
+            if not empty:
+                name = tag if tag == "head" or closed_later(tag) else f"~{tag}"
+                stack.append((name, path))
+                opened[name] += 1
+                silent += 1
+                soft += name[0] == "~"
             continue
         if tag in CLOSES_P or tag in IMPLIED:
             ends = IMPLIED.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
@@ -118,17 +169,18 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
                 if stack[i][0] in ends:
                     close(i)
                     break
-                if stack[i][0] in BLOCKS and stack[i][0] not in ends:
+                if stack[i][0] in BLOCKS or stack[i][0] in SILENT:
                     break
         if tag in BLOCKS:
             flush()
-        if tag in VOID or (m[3] or "").rstrip().endswith("/"):
+        if tag in VOID or empty:
             continue
         names = [tag]
         for a in ATTRIBUTE.finditer(m[3] or ""):
             names += NAMES.findall((a[2] or a[3] or a[4] or "").lower())
         stack.append((tag, path))
-        if tag in BLOCKS or len(names) > 1 or tag == "a":
+        opened[tag] += 1
+        if len(path) < DEEPEST and (tag in BLOCKS or len(names) > 1 or tag == "a"):
             path = (*path, ".".join(names))
     flush()
     return out
@@ -343,16 +395,24 @@ def train(pages: list[str], seed: int = 5) -> Labeller:
         rng.shuffle(order)
         for lo in range(0, len(order), BATCH):
             part = [(known[i], labels[i]) if rng.random() < 0.3 else vary(known[i], labels[i], rng, others) for i in order[lo : lo + BATCH]]
-            part.sort(key=lambda x: len(x[0]))
-            part = [(b[:400], y[:400]) for b, y in part]
-            bag = Labeller.bags([b for b, _ in part], features)
-            y = np.zeros(bag["mask"].shape, np.float32)
-            for i, (_, each) in enumerate(part):
-                y[i, : len(each)] = each
-            net.step(bag, y, state, 0.02 if epoch < EPOCHS - 1 else 0.005)
+            part = sorted((w for b, y in part for w in windows(b, y)), key=lambda x: len(x[0]))
+            for a in range(0, len(part), BATCH):
+                some = part[a : a + BATCH]
+                bag = Labeller.bags([b for b, _ in some], features)
+                y = np.zeros(bag["mask"].shape, np.float32)
+                for i, (_, each) in enumerate(some):
+                    y[i, : len(each)] = each
+                net.step(bag, y, state, 0.02 if epoch < EPOCHS - 1 else 0.005)
     return net
 
 
+def windows(blocks: list, labels: list[int]) -> Iterator[tuple[list, list[int]]]:
+    """The page itself, or overlapping stretches of a long one, the last of which ends with it."""
+    last = max(0, len(blocks) - WINDOW)
+    for lo in [*range(0, last, WINDOW * 3 // 4), last]:
+        yield blocks[lo : lo + WINDOW], labels[lo : lo + WINDOW]
+
+
 def extract(pages: list[str], net: Labeller, features: Features) -> list[str]:
     """Main text of each page."""
     cut = [blocks_of(p) for p in pages]
