@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_base(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder takes its place.
+    Only where it is unset and everything runs in one process a temporary folder takes its place; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -48,6 +50,25 @@ def text_of(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Keys that hold more than this share of the rows are joined by broadcast: there are at most as many.
+HOT_SHARE = 1000
+
+
+def hot_join(detail: DataFrame, small: DataFrame, on: list[str], n: str, share: int = HOT_SHARE) -> DataFrame:
+    """Inner join of ``detail`` with ``small``, which has one row a key and in ``n`` how many rows of ``detail`` the key has.
+
+    A key may hold a third of all rows.  Keys with over 1/``share`` of them are at most ``share`` rows of ``small``, whatever
+    the size, and are broadcast, so their rows stay spread as they are; all others meet in a shuffle.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = small.where(F.col(n) * share > total).withColumn("__hot", F.lit(True))
+    added = [c for c in small.columns if c not in on]
+    marked = detail.join(F.broadcast(hot), on, "left")
+    columns = [*detail.columns, *added]
+    cold = marked.where("__hot is null").drop("__hot", *added).join(small.where(F.col(n) * share <= total), on)
+    return marked.where("__hot").select(columns).unionByName(cold.select(columns))
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Smallest reachable node for each node of undirected ``edges`` (a long, b long).
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, text_of, written
+from .common import connected_components, hot_join, table, text_of, written
 
 SHINGLE = 3
 SEED = 42
@@ -168,12 +168,12 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     component unless no other row does (then it is null).
     """
     sigs = written(signatures(docs), "simhash-sigs")
-    fps = written(sigs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
+    fps = written(sigs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-fps")
     roots = connected_components(links(fps), "simhash-cc")
     grouped = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    place = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return sigs.join(place, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    place = written(fps.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-place")
+    return hot_join(sigs, place, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
