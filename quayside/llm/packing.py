@@ -6,7 +6,7 @@ populations, each a task of its own, whose genes are whole bins: crossover injec
 best-filled bins of one parent into another, drops the bins that now hold a piece twice, and
 puts their displaced pieces back best-fit.  Between epochs every island's elite migrates to its
 neighbour.  The best solution of a region stands; pieces of its badly filled bins are dealt
-into fewer, new regions and packed again.  A region at the lower bound (total length over capacity)
+into fewer, new regions and packed again, which stands if it needs fewer bins.  A region at the lower bound (total length over capacity)
 stops at once.  Everything is drawn from seeds of region and island, so a task that runs again
 finds the same packing.
 """
@@ -31,7 +31,8 @@ REGION = 2000
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 10
+#: Children of an epoch at most, and how many may follow each other without a better best.
+GENERATIONS, PATIENCE = 60, 15
 #: Bins filled less are opened again in the last round.
 WELL_FILLED = 0.98
 
@@ -163,12 +164,14 @@ def evolve(lengths: list[int], seeds: list[np.ndarray], rng: random.Random, capa
         if len(people[-1].bins) <= bound:
             return people[-1]
     people.sort(key=lambda p: -p.fitness())
+    waited = 0
     for _ in range(GENERATIONS):
         a, b = rng.sample(people[:POPULATION], 2)
         child = mutate(crossover(a, b, rng), rng)
+        waited = 0 if child.fitness() > people[0].fitness() else waited + 1
         people[-1] = max(people[-1], child, key=Packing.fitness)
         people.sort(key=lambda p: -p.fitness())
-        if len(people[0].bins) <= bound:
+        if len(people[0].bins) <= bound or waited > PATIENCE:
             break
     return people[0]
 
@@ -246,14 +249,13 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end: int = END, capacity: in
     first = _round(small, 1, capacity)
     open_bins = F.col("fill") < WELL_FILLED * capacity
     second = _round(first.where(open_bins).select("item", "length"), 2, capacity)
-    places = [
-        df.select("item", "length", (F.lit(k << 60).cast("long") + F.col("region").cast("long") * (1 << 24) + F.col("bin")).alias("sequence_id"))
-        for k, df in ((1, first.where(~open_bins)), (2, second))
-    ]
+    bins = lambda df: df.select("region", "bin").distinct().count()
+    packed = [(1, first.where(~open_bins)), (2, second)] if bins(second) < bins(first.where(open_bins)) else [(1, first)]
+    places = [df.select("item", "length", (F.lit(k << 60).cast("long") + F.col("region").cast("long") * (1 << 24) + F.col("bin")).alias("sequence_id")) for k, df in packed]
 
     # a sequence holds at most ``capacity`` pieces
     before = Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    placed = places[0].unionByName(places[1]).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("length")
+    placed = (places[0] if len(places) == 1 else places[0].unionByName(places[1])).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("length")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.col("item")).withColumn("offset", F.lit(0).cast("long"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     rest = pieces.where(F.col("length") < capacity).join(placed, "item")

@@ -35,6 +35,8 @@ MASK = 0xA282EAD8
 END = 2
 #: Read at once from a shard.
 BUFFER = 1 << 20
+#: Bytes of text in a shard, about; there are at least as many shards as shuffle partitions.
+SHARD = 256 << 20
 
 INDEX = "shard int, file string, doc_id long, offset long, length long, n_tokens long"
 
@@ -85,10 +87,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     """Encodes every row of ``docs`` (doc_id, text) into shards under ``path``; returns the index, read from there.
 
     Null text counts as empty (its sequence is the end id alone).  Rows without doc_id come
-    first, repeated doc_ids stay repeated records, other columns are ignored.
+    first, repeated doc_ids stay repeated records, other columns are ignored.  An empty table has an empty index.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     last = np.array([end], "<u4").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,8 +145,8 @@ def read_token_files(index: DataFrame, path: str) -> DataFrame:
                             rows = []
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = index.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    found = base.select("file", "base").repartition(int(n)).mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    # a task for each shard: shards are of one size
+    found = base.select("file", "base").repartition(max(1, totals.count())).mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
