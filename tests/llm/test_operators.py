@@ -330,6 +330,30 @@ def test_warc_without_length_fields(tmp_path):
     assert [(r[0], r[-1]) for p in reader.partitions() for r in reader.read(p)] == [("urn:page:1", b"hello"), ("urn:page:2", b"hello")]
 
 
+def test_warc_of_plain_files_empty_tables_and_clashing_columns(spark, tmp_path):
+    import gzip
+
+    a = warc.record_bytes("urn:page:1", "http://a/", b"hello" * 40_000, None)
+    b = a.replace(b"page:1", b"page:2")
+    (tmp_path / "x.warc").write_bytes(a + b)
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(a))
+    for verify in ("true", "false"):
+        reader = warc.WarcReader({"path": f"file://{tmp_path}", "verify": verify, "parallelism": "2"})
+        parts = reader.partitions()
+        assert len(parts) == 2
+        assert sorted((r[0], len(r[-1])) for p in parts for r in reader.read(p)) == [("urn:page:1", 200_000)] * 2 + [("urn:page:2", 200_000)]
+    with pytest.raises(ValueError):
+        (tmp_path / "z.warc").write_bytes(a[:-20])
+        list(warc.WarcReader({"path": f"file://{tmp_path}"}).read(warc.Files([str(tmp_path / "z.warc")])))
+    warc.register(spark)
+    path = scratch(spark, "w")
+    none = spark.createDataFrame([], "page_id long, url string, html string, digest string, first long, n long, payload string")
+    warc.page_records(none).write.format("warc").mode("append").save(path)
+    assert spark.read.format("warc").load(path).count() == 0
+    some = none.union(spark.createDataFrame([(i, "u", "same", "d", 9, 9, "p") for i in (2, 1)], none.schema))
+    assert sorted(r.record_id + (r.refers_to or "") for r in warc.page_records(some).collect()) == ["urn:page:1", "urn:page:2urn:page:1"]
+
+
 # op 3
 
 
@@ -345,11 +369,50 @@ def test_extraction_of_given_pages(spark):
         assert got[r.page_id] == want
 
 
+def texts_of(page):
+    return [t for _, t in extract.blocks_of(page)]
+
+
 def test_blocks_of_broken_markup():
     page = '<HTML><body><script>if (a<b) "</p>"</script><p>One &amp; two<p>three <!-- x > --> four<div class="ad">five</div><p>six'
-    assert [t for _, t in extract.blocks_of(page)] == ["One & two", "three four", "five", "six"]
+    assert texts_of(page) == ["One & two", "three four", "five", "six"]
     assert extract.blocks_of("") == [] and extract.blocks_of("<p>") == []
-    assert [t for _, t in extract.blocks_of("plain\n text")] == ["plain text"]
+    assert texts_of("plain\n text") == ["plain text"]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p title=it's>First one.</p><p>Second isn't last.</p><p>Third.</p></article>", ["First one.", "Second isn't last.", "Third."]),
+    ('<p title="a>b">one</p><p title="open>two</p><p>three</p>', ["one", "two", "three"]),
+    ("<head><title>t</title><meta name=x><p>One</p><div>two</div>", ["One", "two"]),
+    ("<html><head><title>t<p>One</p>", ["One"]),
+    ("<head><style>p{}</style>Text begins <b>here</b><p>two", ["Text begins here", "two"]),
+    *[(f"<div><p>a</p><{t} x=1>inside<p>b</p></div><p>c</p>", ["a", "b", "c"]) for t in ("object", "noscript", "svg", "select", "iframe", "math", "canvas", "template")],
+    *[(f"<div>a <{t}>inside <{t}>deeper</{t}> still</{t}> b</div><p>c</p>", ["a b", "c"]) for t in ("object", "noscript", "svg")],
+    ("<div>a<select><option>x<option>y</div><p>c", ["a", "c"]),
+    ("<p>a<script>x<p>b", ["a"]),
+    ("<p>a<textarea>x</textarea>b", ["ab"]),
+])
+def test_blocks_keep_what_broken_markup_says(page, want):
+    assert texts_of(page) == want
+
+
+def test_parsing_time_grows_with_the_page():
+    import time
+
+    def seconds(page):
+        t = time.process_time()
+        extract.blocks_of(page)
+        return time.process_time() - t
+
+    for piece in ("<div><b>x", "<a title='x>y</a>", "</i>", '<p id="', "<svg>", "<!-"):
+        assert seconds(piece * 20_000) < 12 * seconds(piece * 4_000) + 0.5
+
+
+def test_long_pages_are_trained_whole():
+    blocks = [((("p",)), str(i)) for i in range(1000)]
+    seen = list(extract.windows(blocks, list(range(1000))))
+    assert {y for _, ys in seen for y in ys} == set(range(1000)) and all(len(b) == extract.WINDOW for b, _ in seen) and seen[-1][1][-1] == 999
+    assert [len(b) for b, _ in extract.windows(blocks[:30], [0] * 30)] == [30]
 
 
 def test_extraction_odd_rows(spark):
@@ -392,9 +455,14 @@ def test_toxicity_odd_rows(spark):
 # op 2
 
 
-def test_surrogates_keep_type_format_and_reference():
+def one_text(spark, *texts):
+    rows = surrogates.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    return [(r.text, r.n_replaced) for r in rows]
+
+
+def test_surrogates_keep_type_format_and_reference(spark):
     text = "Mr. John Smith met Frau Müller-Lang and Госпожа Иванова; Mr. John Smith. 5500-0000-0000-0004, +44 20 7946 0958, 123-45-6789, a.b@c.co.uk, A.B@C.co.uk, 10.20.30.40, password=Ab12Cd34"
-    out, n = surrogates.replace(text, "k", {})
+    [(out, n)] = one_text(spark, text)
     assert n == 11 and not any(x in out for x in ("Smith", "Müller", "Иванова", "5500", "7946", "6789", "a.b@c", "10.20.30.40", "Ab12Cd34"))
     first, again = re.findall(r"Mr\. (\w+ \w+)", out)
     assert first == again
@@ -407,11 +475,42 @@ def test_surrogates_keep_type_format_and_reference():
     assert surrogates.replace(text, "other", {})[0] != out
 
 
+def test_a_person_keeps_one_name_whatever_the_title(spark):
+    texts = [
+        "Mr. John Smith came. Mr. Smith spoke, then John Smith left; Smith, not Smithson, paid.", "Dr. John Smith", "Frau Dr. Anna Weber", "Dr Anna Weber and Frau Weber", "Herr Weber", "my name is Anna Lind", "Smith without a title"]
+    out = [t for t, _ in one_text(spark, *texts)]
+    john, smith = re.match(r"Mr\. (\w+) (\w+) came", out[0]).groups()
+    assert out[0] == f"Mr. {john} {smith} came. Mr. {smith} spoke, then {john} {smith} left; {smith}, not Smithson, paid."
+    assert out[1] == f"Dr. {john} {smith}"
+    anna, weber = re.fullmatch(r"Frau Dr\. (\w+) (\w+)", out[2]).groups()
+    assert out[3] == f"Dr {anna} {weber} and Frau {weber}" and out[4] == f"Herr {weber}"
+    assert re.search("(a|ia|ina)$", anna) and re.search("(o|us|en)$", john)  # as their titles say
+    assert re.fullmatch(rf"my name is {anna} \w+", out[5]) and out[6] == texts[6]  # a text that never names anybody
+    assert len({john, smith, anna, weber}) == 4
+
+
+def test_account_numbers_and_long_addresses(spark):
+    iban, six = "GB82 WEST 1234 5698 7654 32", "2001:db8:0:0:1:0:0:1"
+    long = "a" * 300 + "@" + "b" * 300 + ".example.org"
+    [(out, n)] = one_text(spark, f"{iban}, {six}, 2001:DB8::1:0:0:1 at 12:34:56, {long}.")
+    assert n == 4 and "12:34:56" in out
+    new = re.match(r"[A-Z]{2}\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", out)[0]
+    assert new != iban and new[:2] == "GB" and surrogates._mod97(new.replace(" ", "")) == 1
+    import ipaddress
+
+    a, b = out[len(new) + 2 :].split(" at ")[0].split(", ")
+    assert ipaddress.ip_address(a) == ipaddress.ip_address(b) != ipaddress.ip_address(six) and b.isupper() and "::" in b and "::" not in a
+    mail = re.search(r"[a-z]+@[a-z]+\.[a-z]+\.org", out)[0]
+    assert len(mail) == len(long) and "aaa" not in mail[:9]
+
+
 @pytest.mark.parametrize("bound", [100_000, 0])
 def test_surrogates_stay_distinct(spark, bound):
     df = spark.createDataFrame([(i, f"at 1.1.1.{i % 10} and 2.2.2.{i % 10}") for i in range(40)] + [(99, None), (98, ""), (None, "x 3.3.3.3")], "doc_id long, text string")
-    df = df.withColumn("n", F.lit(1)).withColumn("kind", F.lit("k"))
-    got = surrogates.pseudonymize(df, broadcast=bound).collect()
+    df = df.withColumn("n", F.lit(1)).withColumn("kind", F.lit("k")).withColumn("n_replaced", F.lit("mine"))
+    out = surrogates.pseudonymize(df, broadcast=bound)
+    assert sorted(out.columns) == sorted(df.columns) and surrogates.pseudonymize(df.limit(0), broadcast=bound).count() == 0
+    got = out.collect()
     assert len(got) == 43
     olds, news = (set(re.findall(r"[\d.]{7,}", " ".join(r.text or "" for r in rows))) for rows in (df.collect(), got))
     assert len(news) == 21 and not olds & news
