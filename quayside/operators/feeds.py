@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scans import prefix_scan
+from ..sources.tables import written
+
+DAY_NS = 86_400_000_000_000
 
 
 def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -156,78 +159,96 @@ def continuity(messages: DataFrame, keys: list[str], order: list[str], bucket: C
     A delta must begin where the message before it ended (unless it names no beginning); from the first that
     doesn't, and before the first snapshot, everything is a gap until the next snapshot.
     """
-    m = prefix_scan(messages, keys, order, bucket, {"__epoch": ("sum", F.col("snapshot").cast("int"))})
-    w = Window.partitionBy(*keys, "__epoch").orderBy(*order)
-    before = F.last(F.when(F.col("nonce") > 0, F.col("nonce")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # a scan reads its input twice, so it is written before the next one
+    m = written(prefix_scan(messages, keys, order, bucket, {"__epoch": ("sum", F.col("snapshot").cast("int"))}))
+    inside = [*keys, "__epoch"]
+    m = prefix_scan(m, inside, order, bucket, {"__before": ("last<", F.when(F.col("nonce") > 0, F.col("nonce")))})
+    before = F.col("__before")
     bad = ~F.col("snapshot") & F.coalesce((F.col("begin") > 0) & (before > 0) & (F.col("begin") != before), F.lit(False))
-    m = m.withColumn("__bad", bad.cast("int"))
-    broken = F.max("__bad").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    state = F.when(F.col("snapshot"), "snapshot").when((F.col("__epoch") == 0) | (broken == 1), "gap").otherwise("delta")
+    m = prefix_scan(written(m.withColumn("__bad", bad.cast("int"))), inside, order, bucket, {"__broken": ("max", F.col("__bad"))})
+    state = F.when(F.col("snapshot"), "snapshot").when((F.col("__epoch") == 0) | (F.col("__broken") == 1), "gap").otherwise("delta")
     return m.withColumn("state", state).select(*messages.columns, "state")
 
 
 def depth_sync(messages: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
     """``messages`` (snapshot boolean, first_id, last_id, prev_id) with ``state``: snapshot, old, delta or gap.
 
-    After a snapshot updates that end before it are old; the first kept one must bridge it, each later one
-    must name its predecessor; from the first that doesn't everything is a gap until the next snapshot.
+    After a snapshot updates that end before it are old; the first kept one must bridge it.  From then on updates that
+    bring nothing new are old, and each other one must name the last as its predecessor; from the first
+    that doesn't everything is a gap until the next snapshot.
     """
-    m = prefix_scan(messages, keys, order, bucket, {"__epoch": ("sum", F.col("snapshot").cast("int")), "__base": ("last", F.when(F.col("snapshot"), F.col("last_id")))})
-    old = ~F.col("snapshot") & (F.col("__epoch") > 0) & (F.col("last_id") < F.col("__base"))
-    m = m.withColumn("__old", old)
-    w = Window.partitionBy(*keys, "__epoch").orderBy(*order)
-    kept = F.when(~F.col("snapshot") & ~F.col("__old"), F.col("last_id"))
-    before = F.last(kept, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    bridge = (F.col("first_id") <= F.col("__base") + 1) & (F.col("last_id") >= F.col("__base"))
-    good = F.when(before.isNull(), bridge).otherwise(F.col("prev_id") == before)
-    m = m.withColumn("__bad", (~F.col("snapshot") & ~F.col("__old") & ~F.coalesce(good, F.lit(False))).cast("int"))
-    broken = F.max("__bad").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    state = F.when(F.col("snapshot"), "snapshot").when(F.col("__epoch") == 0, "gap").when(broken == 1, "gap").when(F.col("__old"), "old").otherwise("delta")
+    # a scan reads its input twice, so it is written before the next one
+    m = written(prefix_scan(messages, keys, order, bucket, {"__epoch": ("sum", F.col("snapshot").cast("int")), "__base": ("last", F.when(F.col("snapshot"), F.col("last_id")))}))
+    inside, update, last, base = [*keys, "__epoch"], ~F.col("snapshot"), F.col("last_id"), F.col("__base")
+    # up to the first break the last id kept is the largest so far: what is dropped is never larger
+    m = prefix_scan(m, inside, order, bucket, {"__seen": ("max<", F.when(update, last)), "__bridged": ("max<", F.when(update & (last >= base), 1))})
+    bridged, before = F.coalesce(F.col("__bridged") == 1, F.lit(False)), F.greatest("__seen", "__base")
+    old = update & F.coalesce(F.when(bridged, last <= before).otherwise(last < base), F.lit(False))
+    good = F.coalesce(F.when(bridged, F.col("prev_id") == before).otherwise(F.col("first_id") <= base + 1), F.lit(False))
+    m = m.withColumn("__old", old).withColumn("__bad", (update & ~old & ~good).cast("int"))
+    m = prefix_scan(written(m), inside, order, bucket, {"__broken": ("max", F.col("__bad"))})
+    state = F.when(F.col("snapshot"), "snapshot").when((F.col("__epoch") == 0) | (F.col("__broken") == 1), "gap").when(F.col("__old"), "old").otherwise("delta")
     return m.withColumn("state", state).select(*messages.columns, "state")
 
 
-def release_buffered(messages: DataFrame, keys: list[str], order: str, bucket: Column, limit: int = 2000, rounds: int = 3) -> DataFrame:
+def release_buffered(messages: DataFrame, keys: list[str], order: str, bucket: Column, limit: int = 2000) -> DataFrame:
     """``messages`` as in ``depth_sync`` with ``state`` and ``at``: updates refused while unsynced are kept, at most the
-    ``limit`` newest, and tried again at the next snapshot, arriving with it.
+    ``limit`` newest, and tried again at the next snapshot, arriving with it, until none is left to try.
 
-    ``at`` is the place in ``order`` at which a message counts.  What a snapshot still refuses
-    is tried at the one after it, for ``rounds`` snapshots; the rest stays a gap.
+    ``at`` is the place in ``order`` at which a message counts.
     """
-    now = messages.withColumn("at", F.col(order)).withColumn("__late", F.lit(0))
-    for _ in range(rounds):
-        sort = ["at", "__late", order]
-        seen = depth_sync(now, keys, sort, bucket)
-        snaps = F.when(F.col("snapshot"), F.col("at"))
+    now = messages.withColumn("at", F.col(order)).withColumn("__late", F.lit(0)).withColumn("__lost", F.lit(False))
+    while True:
+        seen = depth_sync(now, keys, ["at", "__late", order], bucket)
         # a refused message is no snapshot, so the last one seen when time runs backwards is the next
-        back = seen.withColumns({f"__b{i}": -F.col(c) for i, c in enumerate(sort)}).withColumn("__snap", snaps)
+        back = seen.withColumns({f"__b{i}": -F.col(c) for i, c in enumerate(["at", "__late", order])}).withColumn("__snap", F.when(F.col("snapshot"), F.col("at")))
         seen = prefix_scan(back, keys, ["__b0", "__b1", "__b2"], -bucket, {"__next": ("last", F.col("__snap"))}).drop("__b0", "__b1", "__b2", "__snap")
-        newest = Window.partitionBy(*keys, "__next").orderBy(F.desc(order))
-        refused = (F.col("state") == "gap") & F.col("__next").isNotNull()
-        seen = seen.withColumn("__n", F.when(refused, F.row_number().over(newest)))
-        kept = refused & (F.col("__n") <= limit)
-        now = seen.withColumn("at", F.when(kept, F.col("__next")).otherwise(F.col("at"))).withColumn("__late", F.when(kept, 1).otherwise(F.col("__late"))).drop("state", "__next", "__n")
-    return depth_sync(now, keys, ["at", "__late", order], bucket).drop("__late")
+        seen = written(seen.withColumn("__refused", (F.col("state") == "gap") & ~F.col("__lost") & F.col("__next").isNotNull()))
+        if seen.where("__refused").isEmpty():
+            return seen.drop("__late", "__lost", "__next", "__refused")
+        late = Window.partitionBy(*keys, "__next").orderBy(F.desc(order))
+        refused = seen.where("__refused").withColumn("__kept", F.row_number().over(late) <= limit)
+        now = seen.where("not __refused").withColumn("__kept", F.lit(False)).unionByName(refused)
+        now = now.withColumn("at", F.when(F.col("__kept"), F.col("__next")).otherwise(F.col("at")))
+        now = now.withColumn("__late", F.when(F.col("__kept"), 1).otherwise(F.col("__late"))).withColumn("__lost", F.col("__lost") | (F.col("__refused") & ~F.col("__kept"))).drop("state", "__next", "__refused", "__kept")
+
+
+def fan_out(statuses: DataFrame, streams: DataFrame) -> DataFrame:
+    """``statuses`` with one row for each stream (venue, symbol) of the venue where the symbol is ``*``; a status of one symbol stays."""
+    one = statuses.where("symbol <> '*'")
+    each = statuses.where("symbol = '*'").drop("symbol").join(streams.select("venue", "symbol").distinct(), "venue")
+    return one.unionByName(each)
 
 
 def stream_quality(events: DataFrame) -> DataFrame:
     """By stream (venue, symbol): messages, trades, updates, gaps, disconnects, span, longest silence, regressions.
 
-    ``events``: kind in trade, update, gap, disconnect; ts_local_ns, ts_exch_ns, event_id.
+    ``events``: kind in trade, update, gap, disconnect; ts_local_ns, ts_exch_ns, event_id.  Gaps and disconnects are statuses of
+    the feed: they aren't messages, and one for ``*`` counts once for each stream of its venue.
     """
-    w = Window.partitionBy("venue", "symbol").orderBy("ts_local_ns", "event_id")
-    seen = prefix_scan(events, ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / 86_400_000_000_000), {"__max": ("max", F.when(F.col("kind") == "update", F.col("ts_exch_ns")))})
-    seen = seen.withColumn("silence_ms", (F.col("ts_local_ns") - F.lag("ts_local_ns").over(w)) / 1e6)
+    status = F.col("kind").isin("gap", "disconnect")
+    messages = events.where(~status)
+    seen = prefix_scan(messages, ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY_NS), {
+        "__max": ("max", F.when(F.col("kind") == "update", F.col("ts_exch_ns"))), "__before": ("last<", F.col("ts_local_ns"))})
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))
-    return seen.groupBy("venue", "symbol").agg(
-        F.count("*").alias("messages"), n("trade").alias("trades"), n("update").alias("updates"), n("gap").alias("gaps"), n("disconnect").alias("disconnects"),
-        F.round((F.max("ts_local_ns") - F.min("ts_local_ns")) / 3.6e12, 6).alias("span_hours"), F.round(F.max("silence_ms"), 3).alias("max_silence_ms"),
+    streams = seen.groupBy("venue", "symbol").agg(
+        F.count("*").alias("messages"), n("trade").alias("trades"), n("update").alias("updates"),
+        F.round((F.max("ts_local_ns") - F.min("ts_local_ns")) / 3.6e12, 6).alias("span_hours"), F.round(F.max((F.col("ts_local_ns") - F.col("__before")) / 1e6), 3).alias("max_silence_ms"),
         F.count(F.when((F.col("kind") == "update") & (F.col("ts_exch_ns") < F.col("__max")), 1)).alias("regressions"))
+    counts = events.where(status).groupBy("venue", "symbol").agg(n("gap").alias("gaps"), n("disconnect").alias("disconnects"))
+    counts = fan_out(counts, streams).groupBy("venue", "symbol").agg(F.sum("gaps").alias("gaps"), F.sum("disconnects").alias("disconnects"))
+    return streams.join(counts, ["venue", "symbol"], "left").fillna(0, ["gaps", "disconnects"])
+
+
+def newest(events: DataFrame, keys: list[str], order: list[str], bucket: Column, last: int) -> DataFrame:
+    """The ``last`` rows of each key along ``order``."""
+    back = events.withColumns({f"__b{i}": -F.col(c) for i, c in enumerate(order)})
+    return prefix_scan(back, keys, [f"__b{i}" for i in range(len(order))], -bucket, {"__n": ("count", F.lit(1))}).where(F.col("__n") <= last).select(*events.columns)
 
 
 def delay_quantiles(events: DataFrame, last: int, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Quantiles of the arrival delay (ms) of each stream's ``last`` messages."""
-    w = Window.partitionBy("venue", "symbol").orderBy(F.desc("ts_local_ns"), F.desc("event_id"))
-    e = events.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= last)
+    e = newest(events, ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY_NS), last)
     d = (F.col("ts_local_ns") - F.col("ts_exch_ns")) / 1e6
     return e.groupBy("venue", "symbol").agg(*[F.round(F.percentile(d, F.lit(q)), 4).alias(f"p{round(q * 100)}") for q in qs])
 

@@ -55,6 +55,48 @@ def kelly_size(df: DataFrame, kappa: float, z: float, f_max: float, loss_share:
     return sized.withColumn("qty", qty).withColumn("size_reason", reason)
 
 
+def account_leverage(max_gross: Column, market_max: Column) -> Column:
+    """The account's setting: the gross cap rounded up, at least 1 and at most what the market allows."""
+    return F.greatest(F.lit(1.0), F.least(market_max, F.ceil(max_gross).cast("double")))
+
+
+def allocate(
+    df: DataFrame, *, reserve: float, kappa: float, z: float, min_lcb: float, position_cap: float, gross_cap: float, margin_cap: float, loss_share: float, max_notional: float) -> DataFrame:
+    """``df`` with leverage, fraction, qty and size_reason: fractional growth on the lower bound of the edge less the covariance
+    with open positions, under five caps.
+
+    ``df``: equity, side, mu, se, sd, es, price, decimals, min_base, min_quote, market_leverage, multiplier and open_positions
+    (array of side, notional, sd, leverage, corr with the candidate).  A size below the exchange's minimum is lifted to it
+    only within the caps and with positive growth.
+    """
+    c, zero = F.col, F.lit(0.0)
+    free = c("equity") - reserve
+    total = lambda f: F.aggregate("open_positions", zero, lambda a, p: a + f(p))
+    d = df.withColumn("__e", free).withColumn("__lcb", c("mu") - z * c("se")).withColumn("leverage", account_leverage(F.lit(gross_cap), c("market_leverage")))
+    d = d.withColumn("__cov", total(lambda p: p["side"] * p["notional"] / c("__e") * p["corr"] * c("sd") * p["sd"] * c("side")))
+    d = d.withColumn("__gross", total(lambda p: p["notional"]) / c("__e")).withColumn("__margin", total(lambda p: p["notional"] / p["leverage"]) / c("__e"))
+    d = d.withColumn("__opt", F.when(c("sd") > 0, (c("__lcb") - c("__cov")) / (c("sd") * c("sd"))))
+    caps = {
+        "position": F.lit(position_cap), "gross": gross_cap - c("__gross"), "margin": (margin_cap - c("__margin")) * c("leverage"),
+        "loss_budget": F.when(c("es") < 0, loss_share / F.abs("es")).otherwise(F.lit(float("inf"))), "validated_notional": max_notional / c("__e")}
+    d = d.withColumns({f"__cap_{k}": v for k, v in caps.items()})
+    d = d.withColumn("__cap", F.least(*[f"__cap_{k}" for k in caps]))
+    binding = F.coalesce(*[F.when(c(f"__cap_{k}") == c("__cap"), F.lit(f"cap_{k}_exhausted")) for k in caps])
+    refused = (
+        F.when(c("__e") <= 0, "no_free_equity").when(c("multiplier") <= 0, "risk_halt").when(~F.coalesce(c("__lcb") > min_lcb, F.lit(False)), "ev_lcb_not_positive")
+        .when(~F.coalesce((c("sd") > 0) & (c("price") > 0), F.lit(False)), "invalid_risk_estimate").when(c("__opt") <= 0, "portfolio_correlation").when(c("__cap") <= 0, binding))
+    d = d.withColumn("__refused", refused).withColumn("__f", F.least(kappa * c("__opt") * c("multiplier"), c("__cap")))
+    d = d.withColumn("__raw", quantize_down(c("__f") * c("__e") / c("price"), c("decimals")))
+    feasible = (c("__raw") + 1e-12 >= c("min_base")) & (c("__raw") * c("price") + 1e-9 >= c("min_quote"))
+    d = d.withColumn("__least", min_feasible_qty(c("min_base"), c("min_quote"), c("price"), c("decimals"))).withColumn("__fmin", c("__least") * c("price") / c("__e"))
+    growth = c("__fmin") * c("__lcb") - 0.5 * c("__fmin") * c("__fmin") * c("sd") * c("sd") - c("__fmin") * c("__cov")
+    lifted = (c("__fmin") <= c("__cap")) & (growth > 0)
+    qty = F.when(c("__refused").isNotNull(), zero).when(feasible, c("__raw")).when(lifted, c("__least")).otherwise(zero)
+    reason = F.coalesce("__refused", F.when(feasible, "ok").when(lifted, "raised_to_exchange_minimum").when(c("__fmin") > c("__cap"), "below_exchange_minimum_cap").otherwise("below_exchange_minimum_negative_growth"))
+    d = d.withColumn("qty", qty).withColumn("size_reason", reason).withColumn("fraction", c("qty") * c("price") / c("__e"))
+    return d.select(*df.columns, "leverage", "fraction", "qty", "size_reason")
+
+
 def execution_choice(mu: Column, se: Column, p_fill: Column, mu_passive: Column, se_passive: Column, d_spread: Column, d_impact: Column, latency: Column, calibrated: Column, capacity: Column, z: float) -> Column:
     """aggressive, passive or why neither: the larger lower bound after the drift of costs."""
     drift = F.greatest(F.lit(0.0), d_spread / 2 + d_impact) / 1e4
@@ -72,20 +114,36 @@ def data_reason(lit_usable: Column, ref_usable: Column, lit_stale: Column, ref_s
         .when(F.abs(lit_stale - ref_stale) > 1500, "venue_skew").when(~within(clock, clock_ms), "clock_uncertain"))
 
 
-def instrument_mapping(markets: DataFrame, prices: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """For each market the first candidate and multiplier whose price fits, with a reason.
+MULTIPLIERS = (1.0, 1e-3, 1e3, 1e-4, 1e4, 1e-6, 1e6)
+
+
+def candidate_names(symbol: str, override: str) -> Column:
+    """Reference symbols that a market may have, the likeliest first; an override replaces them."""
+    s = F.col(symbol)
+    stripped = [F.when(s.startswith(p) & (F.length(s) > len(p)), F.substring(s, len(p) + 1, 100)) for p in ("1000000", "1000", "K")]
+    own = F.array_distinct(F.array_compact(F.array(s, F.concat(F.lit("1000"), s), F.concat(F.lit("1000000"), s), *stripped)))
+    return F.when(F.col(override).isNotNull(), F.array(override)).otherwise(own)
+
+
+def instrument_mapping(markets: DataFrame, prices: DataFrame, min_volume: float = 0.0, tolerance: float = 0.02) -> DataFrame:
+    """For each market the first candidate and multiplier whose price fits, whether it is eligible, and a reason.
 
-    ``markets``: symbol, last_price, active; ``prices``: candidate, price.  Every market has a
-    handful of candidates and seven multipliers, so the join is on the candidate.
+    ``markets``: symbol, last_price, active, volume, override (null: none), covered; ``prices``: candidate, price.  A candidate
+    without a price is skipped.  Every market has a handful of candidates and seven multipliers, so the join
+    is on the candidate.
     """
-    s = F.col("symbol")
-    names = F.array_distinct(F.array(s, F.concat(F.lit("1000"), s), F.concat(F.lit("1000000"), s), F.regexp_replace("symbol", "^(1000000|1000|K)", "")))
-    c = markets.select("*", F.posexplode(names).alias("cand_pos", "candidate"))
-    c = c.join(prices, "candidate").select("*", F.posexplode(F.array(*[F.lit(x) for x in (1.0, 1e-3, 1e3, 1e-4, 1e4, 1e-6, 1e6)])).alias("mult_pos", "multiplier"))
-    w = Window.partitionBy("symbol").orderBy("cand_pos", "mult_pos")
-    fits = F.abs(F.col("last_price") / (F.col("price") * F.col("multiplier")) - 1) <= tolerance
-    best = c.where(fits).withColumn("__r", F.row_number().over(w)).where("__r = 1").select("symbol", F.col("candidate").alias("__c"), F.col("multiplier").alias("__m"))
-    seen = c.select("symbol").distinct().withColumn("__seen", F.lit(True))
-    out = markets.join(best, "symbol", "left").join(seen, "symbol", "left")
-    reason = F.when(F.col("__m").isNull(), F.when(F.col("__seen"), "price_mismatch").otherwise("not_covered")).when(~F.col("active"), "inactive").otherwise("ok")
-    return out.select("symbol", F.col("__c").alias("candidate"), F.col("__m").alias("multiplier"), reason.alias("reason"))
+    c = markets.select("*", F.posexplode(candidate_names("symbol", "override")).alias("cand_pos", "candidate"))
+    c = c.join(prices.where("price > 0"), "candidate").select("*", F.posexplode(F.array(*[F.lit(x) for x in MULTIPLIERS])).alias("mult_pos", "multiplier"))
+    fits = (F.col("last_price") > 0) & (F.abs(F.col("last_price") / (F.col("price") * F.col("multiplier")) - 1) <= tolerance)
+    best = F.min(F.when(fits, F.struct("cand_pos", "mult_pos", "candidate", "multiplier")))
+    met = c.groupBy("symbol").agg(best.alias("__best"), F.lit(True).alias("__seen"))
+    out = markets.join(met, "symbol", "left")
+    unmapped = F.when(F.col("__seen").isNull(), "not_covered").when(~F.coalesce(F.col("last_price") > 0, F.lit(False)), "no_price").otherwise("price_mismatch")
+    reason = F.when(F.col("__best").isNull(), unmapped).when(~F.col("active"), "inactive").when(F.col("volume") < min_volume, "low_volume").when(~F.col("covered"), "outside_coverage").otherwise("ok")
+    return out.select("symbol", F.col("__best.candidate").alias("candidate"), F.col("__best.multiplier").alias("multiplier"), (reason == "ok").alias("eligible"), reason.alias("reason"))
+
+
+def eligible_symbols(mappings: DataFrame) -> DataFrame:
+    """Symbols that the latest mapping (symbol, ts, eligible) of each calls eligible."""
+    last = mappings.groupBy("symbol").agg(F.max_by("eligible", "ts").alias("eligible"))
+    return last.where("eligible").select("symbol")

@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scans import uniform
+from ..functions.scans import prefix_scan, uniform
 
 
 def cluster_se(df: DataFrame, by: list[str], value: str, cluster: str) -> DataFrame:
@@ -48,11 +48,14 @@ def stationary_paths(length: int, mean_block: float, reps: int, seed: str, spark
     return p.withColumn("__l", last).select("rep", "t", ((F.col("__l.i") + F.col("t") - F.col("__l.t")) % length).alias("idx"))
 
 
-def expected_shortfall(df: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:
-    """Mean of the worst max(1, ceil(alpha n)) values."""
-    w = Window.partitionBy(*by)
-    r = df.withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__k", F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * alpha)))
-    return r.where("__r <= __k").groupBy(*by).agg(F.avg(value).alias("es"))
+def expected_shortfall(df: DataFrame, by: list[str], value: str, alpha: float, width: float = 2.0**-10) -> DataFrame:
+    """Mean of the worst max(1, ceil(alpha n)) values: distinct values are counted and scanned in buckets of ``width``, so no
+    task sees all rows of a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    total = counts.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum("__n") * alpha)).alias("__k"))
+    scanned = prefix_scan(counts, by, [value], F.floor(F.col(value) / width), {"__before": ("sum<", F.col("__n"))}).join(total, by)
+    taken = F.greatest(F.lit(0), F.least(F.col("__n"), F.col("__k") - F.col("__before")))
+    return scanned.where("__before < __k").groupBy(*by).agg((F.sum(F.col(value) * taken) / F.max("__k")).alias("es"))
 
 
 def drawdown(df: DataFrame, by: list[str], order: str, value: str, initial: float) -> DataFrame:
@@ -97,8 +100,13 @@ def pbo(perf: DataFrame, period: str, model: str, value: str, groups: int = 8) -
     return out.join(best, (out["combo"] == best["combo"]) & (out[model] == best["best"])).select(out["combo"], "best", share.alias("share"), F.log(share / (1 - share)).alias("logit"))
 
 
+#: Values of each part that a drift needs.
+LEAST_PSI = 100
+
+
 def psi(expected: DataFrame, actual: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
-    """feature, psi: shift of the distribution over quantile bins of the expected values."""
+    """feature, psi: shift of the distribution over quantile bins of the expected values; null where either part has fewer
+    than ``LEAST_PSI`` values."""
 
     def long(df: DataFrame, part: str) -> DataFrame:
         pairs = F.expr("stack({}, {}) AS (feature, x)".format(len(features), ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in features)))
@@ -111,4 +119,5 @@ def psi(expected: DataFrame, actual: DataFrame, features: list[str], bins: int =
     counts = both.groupBy("feature", at.alias("bin"), last.alias("bins")).agg(F.count(F.when(F.col("part") == "e", 1)).alias("e"), F.count(F.when(F.col("part") == "a", 1)).alias("a"))
     w = Window.partitionBy("feature")
     p, q = F.col("e") / F.sum("e").over(w) + 1e-6, F.col("a") / F.sum("a").over(w) + 1e-6
-    return counts.withColumn("__t", (q - p) * F.log(q / p)).groupBy("feature").agg(F.sum("__t").alias("psi"))
+    enough = (F.sum("e") >= LEAST_PSI) & (F.sum("a") >= LEAST_PSI)
+    return counts.withColumn("__t", (q - p) * F.log(q / p)).groupBy("feature").agg(F.when(enough, F.sum("__t")).alias("psi"))

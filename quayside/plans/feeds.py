@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scans import prefix_scan
 from ..operators import feeds
 from ..sources.views import DAY, QUOTES, quotes
 
@@ -12,7 +13,9 @@ KIND = "CASE event_type WHEN 'purchase' THEN 'trade' WHEN 'error' THEN 'gap' WHE
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes(spark, sf_dir).withColumn("kind", F.expr(KIND))
+    """Quotes as events; every third disconnect is one of the whole venue."""
+    whole = (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)
+    return quotes(spark, sf_dir).withColumn("kind", F.expr(KIND)).withColumn("symbol", F.when(whole, "*").otherwise(F.col("symbol")))
 
 
 def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,19 +23,23 @@ def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.stream_quality(_events(spark, sf_dir))
 
 
-QUALITY = f"""WITH {QUOTES}, e AS (SELECT *, {KIND} AS kind FROM quotes), s AS (SELECT *, (ts_local_ns - lag(ts_local_ns) OVER w) / 1e6 AS silence,
- max(CASE WHEN kind = 'update' THEN ts_exch_ns END) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING) AS mx FROM e WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id))
- SELECT venue, symbol, count(*) AS messages, count(*) FILTER (kind = 'trade') AS trades, count(*) FILTER (kind = 'update') AS updates, count(*) FILTER (kind = 'gap') AS gaps, count(*) FILTER (kind = 'disconnect') AS disconnects,
- round((max(ts_local_ns) - min(ts_local_ns)) / 3.6e12, 6) AS span_hours, round(max(silence), 3) AS max_silence_ms, count(*) FILTER (kind = 'update' AND ts_exch_ns < mx) AS regressions FROM s GROUP BY venue, symbol"""
+QUALITY = f"""WITH {QUOTES}, e AS (SELECT *, {KIND} AS kind, event_type = 'signup' AND event_id % 3 = 0 AS whole FROM quotes), s AS (SELECT *, (ts_local_ns - lag(ts_local_ns) OVER w) / 1e6 AS silence,
+ max(CASE WHEN kind = 'update' THEN ts_exch_ns END) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING) AS mx FROM e WHERE kind IN ('trade', 'update') WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id)),
+ v AS (SELECT venue, count(*) AS n FROM e WHERE whole GROUP BY venue), c AS (SELECT venue, symbol, count(*) FILTER (kind = 'gap') AS gaps, count(*) FILTER (kind = 'disconnect' AND NOT whole) AS own FROM e GROUP BY venue, symbol)
+ SELECT venue, symbol, count(*) AS messages, count(*) FILTER (kind = 'trade') AS trades, count(*) FILTER (kind = 'update') AS updates, any_value(c.gaps) AS gaps, any_value(c.own) + coalesce(any_value(v.n), 0) AS disconnects,
+ round((max(ts_local_ns) - min(ts_local_ns)) / 3.6e12, 6) AS span_hours, round(max(silence), 3) AS max_silence_ms, count(*) FILTER (kind = 'update' AND ts_exch_ns < mx) AS regressions FROM s JOIN c USING (venue, symbol) LEFT JOIN v USING (venue) GROUP BY venue, symbol"""
+
+#: Messages of a stream that its delay quantiles look at.
+LAST = 20_000
 
 
 def delay_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A05."""
-    return feeds.delay_quantiles(_events(spark, sf_dir), 200)
+    return feeds.delay_quantiles(quotes(spark, sf_dir), LAST)
 
 
 DELAYS = f"""WITH {QUOTES}, n AS (SELECT *, row_number() OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns DESC, event_id DESC) AS n, (ts_local_ns - ts_exch_ns) / 1e6 AS d FROM quotes)
- SELECT venue, symbol, round(quantile_cont(d, 0.5), 4) AS p50, round(quantile_cont(d, 0.95), 4) AS p95, round(quantile_cont(d, 0.99), 4) AS p99 FROM n WHERE n <= 200 GROUP BY venue, symbol"""
+ SELECT venue, symbol, round(quantile_cont(d, 0.5), 4) AS p50, round(quantile_cont(d, 0.95), 4) AS p95, round(quantile_cont(d, 0.99), 4) AS p99 FROM n WHERE n <= {LAST} GROUP BY venue, symbol"""
 
 
 def merged_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +55,8 @@ MERGED = f"""WITH {QUOTES}, d AS (SELECT venue, symbol, ts_local_ns // {DAY} AS
 
 def data_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last arrival by venue, and whether any session was synthetic."""
-    return quotes(spark, sf_dir).groupBy("venue").agg(F.min("ts_local_ns").alias("first_ns"), F.max("ts_local_ns").alias("last_ns"), F.max(F.coalesce(F.col("event_type") == "none", F.lit(False))).alias("synthetic"))
+    session = F.when(F.col("event_type") == "signup", F.col("event_id") % 97 == 0)  # other messages carry no session
+    return quotes(spark, sf_dir).groupBy("venue").agg(F.min("ts_local_ns").alias("first_ns"), F.max("ts_local_ns").alias("last_ns"), F.max(F.coalesce(session, F.lit(False))).alias("synthetic"))
 
 
 def period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,30 +130,36 @@ def parse_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lambda x: F.col(x).cast("string")
     bbo = F.concat(F.lit('{"e":"bookTicker","s":"1000s'), F.substring("symbol", 2, 3), F.lit('","b":"'), c("bid_px"), F.lit('","B":"'), c("bid_sz"), F.lit('","a":"'), c("ask_px"), F.lit('","A":"'), c("ask_sz"), F.lit('"}'))
     trade = F.concat(F.lit('{"e":"aggTrade","s":"1000s'), F.substring("symbol", 2, 3), F.lit('","p":"'), c("bid_px"), F.lit('","q":"'), c("bid_sz"), F.lit('","m":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit("}"))
-    raw = F.concat(F.lit('{"stream":"x","data":'), F.when(F.col("event_type") == "purchase", trade).otherwise(bbo), F.lit("}"))
+    mark = F.concat(F.lit('{"e":"markPriceUpdate","s":"1000s'), F.substring("symbol", 2, 3), F.lit('","p":"'), c("ask_px"), F.lit('","r":"'), c("bid_sz"), F.lit('"}'))
+    raw = F.concat(F.lit('{"stream":"x","data":'), F.when(F.col("event_type") == "purchase", trade).when(F.col("event_type") == "click", mark).otherwise(bbo), F.lit("}"))
     rows = feeds.parse_ref(quotes(spark, sf_dir).select("event_id", raw.alias("raw")))
     mapping = spark.createDataFrame([(f"1000S{i}", f"S{i}", 0.001) for i in range(7)], "venue_symbol string, symbol string, multiplier double")
     out = feeds.canonical_symbols(rows, mapping, ["px", "ask_px"], ["sz", "ask_sz"])
-    return out.select("event_id", "kind", "symbol", F.round("px", 8).alias("px"), F.round("sz", 4).alias("sz"), F.round("ask_px", 8).alias("ask_px"), "taker_side")
+    return out.select("event_id", "kind", "symbol", F.round("px", 8).alias("px"), F.round("sz", 4).alias("sz"), F.round("ask_px", 8).alias("ask_px"), "taker_side", "funding_rate")
 
 
-REFERENCE = f"""WITH {QUOTES} SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'trade' ELSE 'bbo' END AS kind, symbol, round(bid_px * CAST(0.001 AS DOUBLE), 8) AS px, round(bid_sz / CAST(0.001 AS DOUBLE), 4) AS sz,
- CASE WHEN event_type <> 'purchase' THEN round(ask_px * CAST(0.001 AS DOUBLE), 8) END AS ask_px, CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END END AS taker_side FROM quotes WHERE symbol <> 'S7'"""
+REFERENCE = f"""WITH {QUOTES}, k AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'trade' WHEN 'click' THEN 'stats' ELSE 'bbo' END AS kind FROM quotes) SELECT event_id, kind, symbol, round((CASE WHEN kind = 'stats' THEN ask_px ELSE bid_px END) * CAST(0.001 AS DOUBLE), 8) AS px, CASE WHEN kind <> 'stats' THEN round(bid_sz / CAST(0.001 AS DOUBLE), 4) END AS sz,
+ CASE WHEN kind = 'bbo' THEN round(ask_px * CAST(0.001 AS DOUBLE), 8) END AS ask_px, CASE WHEN kind = 'trade' THEN CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END END AS taker_side, CASE WHEN kind = 'stats' THEN bid_sz END AS funding_rate FROM k WHERE symbol <> 'S7'"""
 
 
 def feed_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed markers among messages."""
+    """Feed markers among messages, as statuses of all streams of the venue."""
     raw = F.when(F.col("event_type") == "error", F.lit('{"type":"_feed/disconnected","detail":"x"}')).when(F.col("event_type") == "signup", F.lit('{"stream":"_feed/connected","data":{}}')).otherwise(F.lit('{"type":"update/order_book","detail":"........................ _feed/disconnected"}'))
-    return feeds.feed_status(quotes(spark, sf_dir).select("event_id", raw.alias("raw")))
+    q = quotes(spark, sf_dir)
+    return feeds.fan_out(feeds.feed_status(q.select("event_id", "venue", raw.alias("raw"))), q).select("event_id", "venue", "symbol", "status")
+
+
+MARKERS = f"WITH {QUOTES} SELECT event_id, venue, s.symbol, CASE WHEN event_type = 'error' THEN 'disconnected' ELSE 'connected' END AS status FROM quotes JOIN (SELECT DISTINCT venue, symbol FROM quotes) s USING (venue) WHERE event_type IN ('error', 'signup')"
 
 
-MARKERS = f"WITH {QUOTES} SELECT event_id, '*' AS symbol, CASE WHEN event_type = 'error' THEN 'disconnected' ELSE 'connected' END AS status FROM quotes WHERE event_type IN ('error', 'signup')"
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes with ``n``, their place in the stream from 1."""
+    return prefix_scan(quotes(spark, sf_dir), ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY), {"n": ("count", F.lit(1))})
 
 
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuity of numbered messages with snapshots and breaks."""
-    w = Window.partitionBy("venue", "symbol").orderBy("ts_local_ns", "event_id")
-    m = quotes(spark, sf_dir).withColumn("nonce", F.row_number().over(w).cast("long")).withColumn("snapshot", F.col("event_type") == "signup")
+    m = numbered(spark, sf_dir).withColumn("nonce", F.col("n")).withColumn("snapshot", F.col("event_type") == "signup")
     m = m.withColumn("begin", F.col("nonce") - F.when(F.col("event_id") % 11 == 0, 2).otherwise(1))
     return feeds.continuity(m, ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY)).select("event_id", "state")
 
@@ -156,26 +170,27 @@ GAPS = f"""WITH {QUOTES}, m AS (SELECT *, row_number() OVER w AS nonce, sum(CASE
 
 
 def depth_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bridging and chaining of depth updates after a snapshot."""
-    w = Window.partitionBy("venue", "symbol").orderBy("ts_local_ns", "event_id")
-    n = F.row_number().over(w).cast("long") * 10
-    m = quotes(spark, sf_dir).withColumn("last_id", n).withColumn("snapshot", F.col("event_type") == "signup")
-    m = m.withColumn("last_id", F.when(F.col("snapshot"), F.col("last_id") + 15).otherwise(F.col("last_id"))).withColumn("first_id", F.col("last_id") - 9).withColumn("prev_id", F.col("last_id") - F.when(F.col("event_id") % 13 == 0, 11).otherwise(10))
+    """Bridging and chaining of depth updates after a snapshot, some of them sent twice."""
+    n = F.col("n") * 10
+    m = numbered(spark, sf_dir).withColumn("snapshot", F.col("event_type") == "signup")
+    # an update of each seventh number repeats the one before it
+    m = m.withColumn("last_id", F.when(F.col("snapshot"), n + 15).when(F.col("n") % 7 == 0, n - 10).otherwise(n))
+    m = m.withColumn("first_id", F.col("last_id") - 9).withColumn("prev_id", F.col("last_id") - F.when(F.col("event_id") % 13 == 0, 11).when(F.col("n") % 7 == 1, 20).otherwise(10))
     return feeds.depth_sync(m, ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY)).select("event_id", "state")
 
 
-SYNC = f"""WITH {QUOTES}, m AS (SELECT *, row_number() OVER w * 10 AS u, event_type = 'signup' AS snap, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM quotes WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id)),
- n AS (SELECT *, min(u) OVER (PARTITION BY venue, symbol, epoch) + 15 AS base FROM m),
- o AS (SELECT *, NOT snap AND epoch > 0 AND u < base AS old FROM n),
- p AS (SELECT *, last_value(CASE WHEN NOT snap AND NOT old THEN u END IGNORE NULLS) OVER (PARTITION BY venue, symbol, epoch ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM o),
- q AS (SELECT *, max(CASE WHEN NOT snap AND NOT old AND NOT coalesce(CASE WHEN prev IS NULL THEN u - 9 <= base + 1 AND u >= base ELSE u - (CASE WHEN event_id % 13 = 0 THEN 11 ELSE 10 END) = prev END, false) THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol, epoch ORDER BY u ROWS UNBOUNDED PRECEDING) AS broken FROM p)
+SYNC = f"""WITH {QUOTES}, m AS (SELECT *, row_number() OVER w AS n, event_type = 'signup' AS snap, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM quotes WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id)),
+ u AS (SELECT *, CASE WHEN snap THEN n * 10 + 15 WHEN n % 7 = 0 THEN n * 10 - 10 ELSE n * 10 END AS u FROM m), k AS (SELECT *, u - (CASE WHEN event_id % 13 = 0 THEN 11 WHEN n % 7 = 1 THEN 20 ELSE 10 END) AS pu, max(CASE WHEN snap THEN u END) OVER (PARTITION BY venue, symbol, epoch) AS base FROM u),
+ s AS (SELECT *, max(CASE WHEN NOT snap THEN u END) OVER e AS seen, coalesce(max(CASE WHEN NOT snap AND u >= base THEN 1 END) OVER e, 0) = 1 AS bridged FROM k WINDOW e AS (PARTITION BY venue, symbol, epoch ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ o AS (SELECT *, NOT snap AND epoch > 0 AND CASE WHEN bridged THEN u <= greatest(seen, base) ELSE u < base END AS old FROM s),
+ q AS (SELECT *, max(CASE WHEN NOT snap AND epoch > 0 AND NOT old AND NOT (CASE WHEN bridged THEN pu = greatest(seen, base) ELSE u - 9 <= base + 1 END) THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol, epoch ORDER BY n ROWS UNBOUNDED PRECEDING) AS broken FROM o)
  SELECT event_id, CASE WHEN snap THEN 'snapshot' WHEN epoch = 0 OR broken = 1 THEN 'gap' WHEN old THEN 'old' ELSE 'delta' END AS state FROM q"""
 
 QUERIES = {
     "stream_quality": (stream_quality, QUALITY),
     "delay_quantiles": (delay_quantiles, DELAYS),
     "merged_quality": (merged_quality, MERGED),
-    "data_span": (data_span, f"WITH {QUOTES} SELECT venue, min(ts_local_ns) AS first_ns, max(ts_local_ns) AS last_ns, false AS synthetic FROM quotes GROUP BY venue"),
+    "data_span": (data_span, f"WITH {QUOTES} SELECT venue, min(ts_local_ns) AS first_ns, max(ts_local_ns) AS last_ns, bool_or(event_type = 'signup' AND event_id % 97 = 0) AS synthetic FROM quotes GROUP BY venue"),
     "period_summary": (period_summary, f"WITH {QUOTES} SELECT round((max(ts_local_ns) - min(ts_local_ns)) / 3.6e12, 6) AS hours, count(*) AS n_rows, round(avg(CASE WHEN bid_sz > 1 THEN 1 ELSE 0 END), 6) AS valid_share, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS symbols FROM quotes"),
     "raw_scan": (raw_scan, RAW),
     "ts_unit_inference": (ts_units, UNITS),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scans import asof_join, interval_join, prefix_scan
+from ..functions.scans import asof_join, interval_join, prefix_scan, rolling
 from ..operators import feeds, stats
 from ..sources import datasets
 from ..sources.tables import shared_path
 from ..sources.views import DAY, GRID, HOUR, QUOTES, TAPE, grid, quotes, tape
+from .feeds import numbered
 from .market import LABELS, LEAD_LAG, MIDS, entry_exit_labels, lead_lag_features
-from .research import IC, MATRIX, ic_tstat, matrix
+from .research import IC, MATRIX, ic_tstat, matrix, placed, tile
 
 MONTH_NS = 30 * DAY
 R = lambda c, n=6: F.round(c, n)
@@ -104,9 +105,10 @@ DELAYS = f"""WITH {QUOTES}, p AS (SELECT venue, ts_local_ns, max_by(value / 100,
 
 def latency_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of the last 200 samples known, a prior of 400 ms below ten."""
-    w = Window.partitionBy("symbol").orderBy("ts_local_ns", "event_id").rowsBetween(-199, 0)
     q = quotes(spark, sf_dir).withColumn("ms", (F.col("ts_local_ns") - F.col("ts_exch_ns")) / 1e6)
-    return q.withColumn("n", F.count("ms").over(w)).withColumn("m", F.percentile("ms", F.lit(0.5)).over(w)).select("event_id", R(F.when(F.col("n") >= 10, F.col("m")).otherwise(400.0), 4).alias("latency_ms"))
+    last = lambda w: w.rowsBetween(-199, 0)
+    q = rolling(q, ["symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY), 200, {"n": lambda w: F.count("ms").over(last(w)), "m": lambda w: F.percentile("ms", F.lit(0.5)).over(last(w))})
+    return q.select("event_id", R(F.when(F.col("n") >= 10, F.col("m")).otherwise(400.0), 4).alias("latency_ms"))
 
 
 NOW = f"""WITH {QUOTES} SELECT event_id, round(CASE WHEN count(*) OVER w >= 10 THEN quantile_cont((ts_local_ns - ts_exch_ns) / 1e6, 0.5) OVER w ELSE 400 END, 4) AS latency_ms FROM quotes WINDOW w AS (PARTITION BY symbol ORDER BY ts_local_ns, event_id ROWS 199 PRECEDING)"""
@@ -142,8 +144,7 @@ PROMOTION = PROMOTION.replace(" AS check,", ' AS "check",')
 
 def depth_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth updates refused before a snapshot and released at it."""
-    n = F.row_number().over(Window.partitionBy("venue", "symbol").orderBy("ts_local_ns", "event_id")).cast("long") * 10
-    m = quotes(spark, sf_dir).where("venue = 'ref'").withColumn("last_id", n).withColumn("snapshot", F.col("event_type") == "signup")
+    m = numbered(spark, sf_dir).where("venue = 'ref'").withColumn("last_id", F.col("n") * 10).withColumn("snapshot", F.col("event_type") == "signup")
     m = m.withColumn("last_id", F.when(F.col("snapshot"), F.col("last_id") - 25).otherwise(F.col("last_id"))).withColumn("first_id", F.col("last_id") - 9).withColumn("prev_id", F.col("last_id") - 10)
     out = feeds.release_buffered(m, ["venue", "symbol"], "ts_local_ns", F.floor(F.col("at") / DAY))
     return out.select("event_id", "state", "at")
@@ -191,9 +192,10 @@ BASELINE = f"""WITH {IC}, t AS (SELECT feature, round(avg(ic) / (stddev_samp(ic)
 
 def temporal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain in squared error of one score over another on the last quarter, by blocks, and whether it is proven."""
-    m = matrix(spark, sf_dir)
-    w = Window.orderBy("vec_id")  # one row for each example of the validation part: ids alone are ordered
-    m = m.withColumn("part", F.ntile(4).over(w)).where("part = 4").withColumn("block", F.ntile(10).over(w))
+    m = placed(matrix(spark, sf_dir).select("vec_id", "target", "f0", "f1"))
+    m = m.withColumn("part", tile(F.col("place"), F.col("rows"), 4)).where("part = 4")
+    first = (F.col("rows") - F.expr("rows DIV 4")).cast("long")  # places of the last quarter begin here
+    m = m.withColumn("block", tile(F.col("place") - first, F.expr("rows DIV 4"), 10))
     gain = F.pow(F.col("target") - F.col("f0"), 2) - F.pow(F.col("target") - F.col("f1"), 2)
     c = stats.cluster_se(m.withColumn("gain", gain).withColumn("all", F.lit(1)), ["all"], "gain", "block")
     return c.select("n", "clusters", R("mean").alias("gain"), R("se").alias("se"), (F.col("mean") > 1.645 * F.col("se")).alias("used"))

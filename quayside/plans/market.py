@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scans import asof_join, ewma, interval_join, prefix_scan, uniform
+from ..functions.scans import asof_join, asof_scan, ewma, interval_join, lagged, prefix_scan, rolling, uniform
 from ..operators import book
+from ..sources.tables import written
 from ..sources.views import DAY, GRID, HOUR, LEVELS, QUOTES, grid, levels, quotes
 
 R6 = lambda c: F.round(c, 6)
 
 
 def grid_mids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ts_ns, lit_mid, ref_mid, lit_ts, ref_ts on the hourly grid."""
-    q = quotes(spark, sf_dir).withColumn("mid", (F.col("bid_px") + F.col("ask_px")) / 2)
-    out = grid(q, HOUR)
-    for venue in ("lit", "ref"):
-        side = q.where(F.col("venue") == venue).select("symbol", "ts_local_ns", "event_id", F.col("mid").alias(f"{venue}_mid"), F.col("ts_local_ns").alias(f"{venue}_ts"))
-        out = asof_join(out, side, ["symbol"], "ts_ns", "ts_local_ns", [f"{venue}_mid", f"{venue}_ts"], DAY, "event_id")
-    return out
+    """symbol, ts_ns, lit_mid, ref_mid, lit_ts, ref_ts on the hourly grid, both venues in one scan."""
+    q = quotes(spark, sf_dir)
+    seen = F.struct(((F.col("bid_px") + F.col("ask_px")) / 2).alias("mid"), F.col("ts_local_ns").alias("ts"))
+    state = asof_scan(grid(q, HOUR), q, ["symbol"], "ts_ns", "ts_local_ns", {v: ("last", F.when(F.col("venue") == v, seen)) for v in ("lit", "ref")}, DAY, "event_id")
+    return state.select("symbol", "ts_ns", *[F.col(f"{v}.{c}").alias(f"{v}_{c}") for c in ("mid", "ts") for v in ("lit", "ref")])
 
 
 MIDS = f"""{QUOTES}, {GRID}, mids AS (SELECT g.symbol, g.ts_ns, l.mid AS lit_mid, r.mid AS ref_mid, l.ts_local_ns AS lit_ts, r.ts_local_ns AS ref_ts FROM grid g
@@ -29,16 +28,15 @@ MIDS = f"""{QUOTES}, {GRID}, mids AS (SELECT g.symbol, g.ts_ns, l.mid AS lit_mid
 
 def lead_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns over two lags of both venues, their difference, basis and validity."""
-    m = grid_mids(spark, sf_dir)
-    w = Window.partitionBy("symbol").orderBy("ts_ns")
-    ret = lambda c, k: F.log(F.col(c) / F.lag(c, k).over(w)) * 1e4
-    out = m.select(
+    m = grid_mids(spark, sf_dir).withColumn("at", F.col("ts_ns"))
+    m = lagged(m, ["symbol"], "ts_ns", HOUR, {f"__{v}{k}": (f"{v}_mid", k) for v in ("lit", "ref") for k in (1, 2)} | {"__at2": ("at", 2)})
+    ret = lambda v, k: F.log(F.col(f"{v}_mid") / F.col(f"__{v}{k}")) * 1e4
+    return m.select(
         "symbol", "ts_ns",
-        *[R6(ret(f"{v}_mid", k)).alias(f"{v}_ret_{k}") for v in ("lit", "ref") for k in (1, 2)],
-        *[R6(ret("ref_mid", k) - ret("lit_mid", k)).alias(f"xret_{k}") for k in (1, 2)],
+        *[R6(ret(v, k)).alias(f"{v}_ret_{k}") for v in ("lit", "ref") for k in (1, 2)],
+        *[R6(ret("ref", k) - ret("lit", k)).alias(f"xret_{k}") for k in (1, 2)],
         R6(F.log(F.col("lit_mid") / F.col("ref_mid")) * 1e4).alias("basis_bps"),
-        F.coalesce((F.col("ts_ns") - F.col("lit_ts") <= 4 * HOUR) & (F.col("ts_ns") - F.col("ref_ts") <= 4 * HOUR) & (F.row_number().over(w) > 2), F.lit(False)).alias("valid"))
-    return out
+        F.coalesce((F.col("ts_ns") - F.col("lit_ts") <= 4 * HOUR) & (F.col("ts_ns") - F.col("ref_ts") <= 4 * HOUR) & F.col("__at2").isNotNull(), F.lit(False)).alias("valid"))
 
 
 _RET = "ln({v}_mid / lag({v}_mid, {k}) OVER w) * 1e4"
@@ -50,9 +48,7 @@ LEAD_LAG = (
 
 def lead_lag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, valid share and correlation of the lagged cross return with the next traded return, by symbol."""
-    f = lead_lag_features(spark, sf_dir)
-    w = Window.partitionBy("symbol").orderBy("ts_ns")
-    f = f.withColumn("next", F.lead("lit_ret_1").over(w))
+    f = lagged(lead_lag_features(spark, sf_dir), ["symbol"], "ts_ns", HOUR, {"next": ("lit_ret_1", -1)})
     return f.groupBy("symbol").agg(F.count("*").alias("n"), R6(F.avg(F.col("valid").cast("int"))).alias("valid_share"), R6(F.corr("xret_1", "next")).alias("corr_next"))
 
 
@@ -76,17 +72,19 @@ PREFIX = f"""WITH {QUOTES} SELECT event_id, coalesce(round(sum(CASE WHEN event_t
 
 
 def window_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes inside (t, t + 3 h] of each twelfth grid row: count, best bid, worst ask."""
+    """Quotes inside (t, t + 3 h] of each grid row: count, best bid, worst ask."""
     q = quotes(spark, sf_dir).where("venue = 'lit'")
-    spans = grid(quotes(spark, sf_dir), HOUR).where(F.col("ts_ns") % (12 * HOUR) == 0).withColumn("until", F.col("ts_ns") + 3 * HOUR)
+    spans = grid(quotes(spark, sf_dir), HOUR).withColumn("until", F.col("ts_ns") + 3 * HOUR)
     held = interval_join(q.select("symbol", "ts_local_ns", "bid_px", "ask_px"), spans, ["symbol"], "ts_local_ns", "ts_ns", "until", 3 * HOUR)
     return held.groupBy("symbol", "ts_ns").agg(F.count("*").alias("n"), F.max("bid_px").alias("best_bid"), F.max("ask_px").alias("worst_ask"))
 
 
 MARKS = f"""WITH {QUOTES}, {GRID} SELECT g.symbol, g.ts_ns, count(*) AS n, max(bid_px) AS best_bid, max(ask_px) AS worst_ask FROM grid g JOIN quotes q
- ON g.symbol = q.symbol AND q.ts_local_ns > g.ts_ns AND q.ts_local_ns <= g.ts_ns + 3 * {HOUR} WHERE q.venue = 'lit' AND g.ts_ns % (12 * {HOUR}) = 0 GROUP BY g.symbol, g.ts_ns"""
+ ON g.symbol = q.symbol AND q.ts_local_ns > g.ts_ns AND q.ts_local_ns <= g.ts_ns + 3 * {HOUR} WHERE q.venue = 'lit' GROUP BY g.symbol, g.ts_ns"""
 
 ALPHA = 0.02
+#: A variance up to here is rounding noise of a constant.
+NO_VARIANCE = 1e-12
 
 
 def _quote_mids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,40 +104,50 @@ _NUMBERED = f"""{QUOTES}, m AS (SELECT symbol, event_id, ts_local_ns, (bid_px +
  v AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE pow({1 - ALPHA}, i) * sum({ALPHA} * dev * dev * {1 - ALPHA} * pow({1 - ALPHA}, -i)) OVER (PARTITION BY symbol ORDER BY i) END AS var FROM d)"""
 
 
-def _variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order, bucket = ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY)
-    m = ewma(_quote_mids(spark, sf_dir), ["symbol"], order, bucket, ALPHA, "mid", "mean")
-    w = Window.partitionBy("symbol").orderBy(*order)
-    m = m.withColumn("mean_before", F.lag("mean").over(w)).withColumn("dev", F.col("mid") - F.col("mean_before"))
-    m = m.withColumn("sq", (1 - ALPHA) * F.coalesce(F.col("dev") * F.col("dev"), F.lit(0.0)))
-    return ewma(m, ["symbol"], order, bucket, ALPHA, "sq", "var", seed_zero=True)
+def ewma_variance(df: DataFrame, keys: list[str], order: list[str], bucket, alpha: float, x: str, out: str) -> DataFrame:
+    """``df`` with mean, dev (from the mean before), n (values so far) and the variance around the mean before each value.
+
+    Each scan reads its input twice, so what a scan gives is written before the next one."""
+    m = written(ewma(df, keys, order, bucket, alpha, x, f"{out}_mean", count=f"{out}_n"))
+    m = prefix_scan(m, keys, order, bucket, {"__before": ("last<", F.col(f"{out}_mean"))}).withColumn(f"{out}_dev", F.col(x) - F.col("__before")).drop("__before")
+    m = written(m.withColumn("__sq", F.when(F.col(x).isNotNull(), (1 - alpha) * F.coalesce(F.col(f"{out}_dev") * F.col(f"{out}_dev"), F.lit(0.0)))))
+    return written(ewma(m, keys, order, bucket, alpha, "__sq", f"{out}_var", seed_zero=True).drop("__sq"))
 
 
 def ewma_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponentially weighted variance around the mean before each value."""
-    return _variance(spark, sf_dir).select("event_id", R6("var").alias("var"))
+    v = ewma_variance(_quote_mids(spark, sf_dir), ["symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY), ALPHA, "mid", "mid")
+    return v.select("event_id", R6("mid_var").alias("var"))
 
 
 def basis_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of a mid against the mean and variance before it, from the 21st value on."""
-    w = Window.partitionBy("symbol").orderBy("ts_local_ns", "event_id")
-    v = _variance(spark, sf_dir).withColumn("var_before", F.lag("var").over(w)).withColumn("n", F.row_number().over(w))
-    z = F.when((F.col("n") > 20) & (F.col("var_before") > 0), F.col("dev") / F.sqrt("var_before"))
-    return v.select("event_id", F.round(z, 5).alias("z"))
+    """Score of the basis against its mean and variance before it, from the 21st value on."""
+    m = written(grid_mids(spark, sf_dir).withColumn("basis", F.log(F.col("lit_mid") / F.col("ref_mid")) * 1e4))
+    order, bucket = ["ts_ns"], F.floor(F.col("ts_ns") / (30 * DAY))
+    v = ewma_variance(m, ["symbol"], order, bucket, ALPHA, "basis", "basis")
+    v = prefix_scan(v, ["symbol"], order, bucket, {"var_before": ("last<", F.col("basis_var"))})
+    z = F.when((F.col("basis_n") > 20) & (F.col("var_before") > NO_VARIANCE), F.col("basis_dev") / F.sqrt("var_before"))
+    return v.select("symbol", "ts_ns", F.round(z, 5).alias("z"))
+
 
+BASIS_Z = f"""WITH {MIDS}, b AS (SELECT symbol, ts_ns, ln(lit_mid / ref_mid) * 1e4 AS x FROM mids), m AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns) - 1 AS i FROM b WHERE x IS NOT NULL),
+ e AS (SELECT *, pow({1 - ALPHA}, i) * sum((CASE WHEN i = 0 THEN 1 ELSE {ALPHA} END) * x * pow({1 - ALPHA}, -i)) OVER (PARTITION BY symbol ORDER BY i) AS mean FROM m), d AS (SELECT *, x - lag(mean) OVER (PARTITION BY symbol ORDER BY i) AS dev FROM e),
+ v AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE pow({1 - ALPHA}, i) * sum({ALPHA} * dev * dev * {1 - ALPHA} * pow({1 - ALPHA}, -i)) OVER (PARTITION BY symbol ORDER BY i) END AS var FROM d), z AS (SELECT *, lag(var) OVER (PARTITION BY symbol ORDER BY i) AS vb FROM v)
+ SELECT b.symbol, b.ts_ns, round(CASE WHEN i >= 20 AND vb > CAST({NO_VARIANCE} AS DOUBLE) THEN dev / sqrt(vb) END, 5) AS z FROM b LEFT JOIN z ON b.symbol = z.symbol AND b.ts_ns = z.ts_ns"""
 
-BASIS_Z = f"""WITH {_NUMBERED} SELECT event_id, round(CASE WHEN i >= 20 AND vb > 0 THEN dev / sqrt(vb) END, 5) AS z FROM (SELECT *, lag(var) OVER (PARTITION BY symbol ORDER BY i) AS vb FROM v)"""
+#: Delays that a rolling median looks at.
+DELAYS_SEEN = 512
 
 
 def rolling_median_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank median of the last 64 arrival delays of a stream."""
-    w = Window.partitionBy("venue", "symbol").orderBy("ts_local_ns", "event_id").rowsBetween(-63, 0)
+    """Nearest-rank median of the last 512 arrival delays of a stream."""
     q = quotes(spark, sf_dir).withColumn("delay", (F.col("ts_local_ns") - F.col("ts_exch_ns")) / 1e6)
-    last = F.sort_array(F.collect_list("delay").over(w))
-    return q.withColumn("last", last).select("event_id", F.get("last", F.bround(0.5 * (F.size("last") - 1)).cast("int")).alias("delay_ms"))
+    last = lambda w: F.sort_array(F.collect_list("delay").over(w.rowsBetween(1 - DELAYS_SEEN, 0)))
+    q = rolling(q, ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY), DELAYS_SEEN, {"last": last})
+    return q.select("event_id", F.get("last", F.bround(0.5 * (F.size("last") - 1)).cast("int")).alias("delay_ms"))
 
 
-ROLLING = f"""WITH {QUOTES}, d AS (SELECT event_id, list_sort(list((ts_local_ns - ts_exch_ns) / 1e6) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS 63 PRECEDING)) AS l FROM quotes)
+ROLLING = f"""WITH {QUOTES}, d AS (SELECT event_id, list_sort(list((ts_local_ns - ts_exch_ns) / 1e6) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS {DELAYS_SEEN - 1} PRECEDING)) AS l FROM quotes)
  SELECT event_id, l[CAST(round_even(0.5 * (len(l) - 1), 0) AS INTEGER) + 1] AS delay_ms FROM d"""
 
 
@@ -155,24 +163,40 @@ OBI = f"""WITH {QUOTES} SELECT event_id, round((bid_sz - ask_sz) / (bid_sz + ask
  round((bid_px * ask_sz + ask_px * bid_sz) / (bid_sz + ask_sz), 6) AS micro FROM quotes"""
 
 
+def with_flow(q: DataFrame) -> DataFrame:
+    """Quotes with ``ofi``, cumulated over a stream; nothing is compared across a snapshot of the traded venue's book."""
+    order, bucket = ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY)
+    snapshot = ((F.col("venue") == "lit") & (F.col("event_type") == "signup")).cast("int")
+    q = prefix_scan(q, ["venue", "symbol"], order, bucket, {"__part": ("sum", snapshot)})
+    return book.order_flow(q, ["venue", "symbol"], order, bucket, "__part").drop("__part")
+
+
 def ofi_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-flow imbalance of top changes, cumulated over a stream."""
-    return book.order_flow(quotes(spark, sf_dir), ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY)).select("event_id", R6("ofi").alias("ofi"))
+    return with_flow(quotes(spark, sf_dir)).select("event_id", R6("ofi").alias("ofi"))
+
 
+_OFI = f"""{QUOTES}, sg AS (SELECT *, sum(CASE WHEN venue = 'lit' AND event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING) AS part FROM quotes),
+ ol AS (SELECT *, lag(bid_px) OVER w AS b0, lag(bid_sz) OVER w AS bs0, lag(ask_px) OVER w AS a0, lag(ask_sz) OVER w AS as0 FROM sg WINDOW w AS (PARTITION BY venue, symbol, part ORDER BY ts_local_ns, event_id)),
+ fl AS (SELECT *, sum(CASE WHEN b0 IS NULL THEN 0 ELSE (CASE WHEN bid_px >= b0 THEN bid_sz ELSE 0 END) - (CASE WHEN bid_px <= b0 THEN bs0 ELSE 0 END) - (CASE WHEN ask_px <= a0 THEN ask_sz ELSE 0 END) + (CASE WHEN ask_px >= a0 THEN as0 ELSE 0 END) END)
+ OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING) AS ofi FROM ol)"""
+OFI = f"WITH {_OFI} SELECT event_id, round(ofi, 6) AS ofi FROM fl"
 
-OFI = f"""WITH {QUOTES}, l AS (SELECT *, lag(bid_px) OVER w AS b0, lag(bid_sz) OVER w AS bs0, lag(ask_px) OVER w AS a0, lag(ask_sz) OVER w AS as0 FROM quotes WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id))
- SELECT event_id, round(sum(CASE WHEN b0 IS NULL THEN 0 ELSE (CASE WHEN bid_px >= b0 THEN bid_sz ELSE 0 END) - (CASE WHEN bid_px <= b0 THEN bs0 ELSE 0 END) - (CASE WHEN ask_px <= a0 THEN ask_sz ELSE 0 END) + (CASE WHEN ask_px >= a0 THEN as0 ELSE 0 END) END)
- OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING), 6) AS ofi FROM l"""
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ts_ns, r: log return of the reference mid over one grid row."""
+    m = lagged(grid_mids(spark, sf_dir), ["symbol"], "ts_ns", HOUR, {"__old": ("ref_mid", 1)})
+    return m.select("symbol", "ts_ns", F.log(F.col("ref_mid") / F.col("__old")).alias("r"))
 
 
 def vol_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Realised volatility over 24 rows, its ratio to 96 rows, and the trend in its units."""
-    m = grid_mids(spark, sf_dir)
-    w = Window.partitionBy("symbol").orderBy("ts_ns")
-    m = m.withColumn("r", F.log(F.col("ref_mid") / F.lag("ref_mid").over(w)) * 1e4)
-    rv = lambda n: F.sqrt(F.avg(F.col("r") * F.col("r")).over(w.rowsBetween(1 - n, 0)))
-    trend = F.sum("r").over(w.rowsBetween(-23, 0))
-    return m.select("symbol", "ts_ns", R6(rv(24)).alias("rv"), R6(rv(24) / F.nullif(rv(96), F.lit(0.0))).alias("vol_ratio"), R6(trend / F.nullif(rv(24) * F.sqrt(F.lit(24.0)), F.lit(0.0))).alias("trend"))
+    """Volatility over the last 24 rows, its ratio to 96 rows, and the trend in its units."""
+    m = _returns(spark, sf_dir).withColumn("r", F.col("r") * 1e4)
+    frame = lambda w, n: w.rowsBetween(1 - n, 0)
+    m = rolling(m, ["symbol"], ["ts_ns"], F.floor(F.col("ts_ns") / (30 * DAY)), 96, {
+        "s": lambda w: F.sqrt(F.avg(F.col("r") * F.col("r")).over(frame(w, 24))), "l": lambda w: F.sqrt(F.avg(F.col("r") * F.col("r")).over(frame(w, 96))), "t": lambda w: F.sum("r").over(frame(w, 24))})
+    zero = F.lit(0.0)
+    return m.select("symbol", "ts_ns", R6("s").alias("rv"), R6(F.col("s") / F.nullif("l", zero)).alias("vol_ratio"), R6(F.col("t") / F.nullif(F.col("s") * F.sqrt(F.lit(24.0)), zero)).alias("trend"))
 
 
 VOL = f"""WITH {MIDS}, r AS (SELECT symbol, ts_ns, ln(ref_mid / lag(ref_mid) OVER (PARTITION BY symbol ORDER BY ts_ns)) * 1e4 AS r FROM mids),
@@ -182,26 +206,44 @@ VOL = f"""WITH {MIDS}, r AS (SELECT symbol, ts_ns, ln(ref_mid / lag(ref_mid) OVE
 
 def lag_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a feature 4 and 20 grid rows back."""
-    m = grid_mids(spark, sf_dir)
-    w = Window.partitionBy("symbol").orderBy("ts_ns")
-    return m.select("symbol", "ts_ns", *[R6(F.lag("lit_mid", k).over(w)).alias(f"lit_mid__lag{k}") for k in (4, 20)])
+    m = lagged(grid_mids(spark, sf_dir), ["symbol"], "ts_ns", HOUR, {f"lit_mid__lag{k}": ("lit_mid", k) for k in (4, 20)})
+    return m.select("symbol", "ts_ns", *[R6(f"lit_mid__lag{k}").alias(f"lit_mid__lag{k}") for k in (4, 20)])
 
 
 LAGS = f"WITH {MIDS} SELECT symbol, ts_ns, round(lag(lit_mid, 4) OVER w, 6) AS lit_mid__lag4, round(lag(lit_mid, 20) OVER w, 6) AS lit_mid__lag20 FROM mids WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns)"
 
 
-def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of two symbols' returns at the same tick, missing returns counting as 0."""
-    m = grid_mids(spark, sf_dir)
-    w = Window.partitionBy("symbol").orderBy("ts_ns")
-    r = m.select("symbol", "ts_ns", F.coalesce(F.log(F.col("ref_mid") / F.lag("ref_mid").over(w)), F.lit(0.0)).alias("r"))
-    a, b = r.select(F.col("symbol").alias("a"), "ts_ns", F.col("r").alias("ra")), r.select(F.col("symbol").alias("b"), "ts_ns", F.col("r").alias("rb"))
+#: Ticks after which a product of returns has half its weight, and the variances that the weights start from.
+HALFLIFE, FIRST_VARIANCE = 48, 1e-8
+
+
+def pair_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tick, a, b, ra, rb, n: returns of each two symbols at every tick of the whole span, 0 where one is missing."""
+    r = _returns(spark, sf_dir)
+    span = r.agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"))
+    # one row of the span, few symbols
+    calendar = r.select("symbol").distinct().join(F.broadcast(span)).select("symbol", ((F.col("hi") - F.col("lo")) / HOUR + 1).cast("long").alias("n"), F.explode(F.sequence("lo", "hi", F.lit(HOUR))).alias("ts_ns"), ((F.col("ts_ns") - F.col("lo")) / HOUR).cast("long").alias("tick"))
+    each = calendar.join(r, ["symbol", "ts_ns"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    a, b = each.select("tick", "n", F.col("symbol").alias("a"), F.col("r").alias("ra")), each.select("tick", F.col("symbol").alias("b"), F.col("r").alias("rb"))
     # as many pairs as symbols squared at a tick: symbols are few
-    return a.join(b, "ts_ns").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), R6(F.when(F.count("*") >= 100, F.corr("ra", "rb")).otherwise(0.5)).alias("corr"))
+    return a.join(b, "tick").where("a < b")
+
 
+def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of two symbols from exponentially weighted products of their returns, 0.5 below 100 ticks."""
+    keep = 0.5 ** (1 / HALFLIFE)
+    weighted = lambda x: F.sum((1 - keep) * F.pow(F.lit(keep), F.col("n") - 1 - F.col("tick")) * x)
+    start = F.pow(F.lit(keep), F.max("n")) * FIRST_VARIANCE
+    aa, bb = start + weighted(F.col("ra") * F.col("ra")), start + weighted(F.col("rb") * F.col("rb"))
+    corr = weighted(F.col("ra") * F.col("rb")) / F.sqrt(aa * bb)
+    return pair_returns(spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("n"), R6(F.when(F.count("*") >= 100, corr).otherwise(0.5)).alias("corr"))
 
-PAIRS = f"""WITH {MIDS}, r AS (SELECT symbol, ts_ns, coalesce(ln(ref_mid / lag(ref_mid) OVER (PARTITION BY symbol ORDER BY ts_ns)), 0) AS r FROM mids)
- SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(CASE WHEN count(*) >= 100 THEN corr(x.r, y.r) ELSE 0.5 END, 6) AS corr FROM r x JOIN r y ON x.ts_ns = y.ts_ns AND x.symbol < y.symbol GROUP BY 1, 2"""
+
+_KEEP = f"pow(CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) / {HALFLIFE})"
+PAIRS = f"""WITH {MIDS}, r AS (SELECT symbol, ts_ns, ln(ref_mid / lag(ref_mid) OVER (PARTITION BY symbol ORDER BY ts_ns)) AS r FROM mids), s AS (SELECT min(ts_ns) AS lo, (max(ts_ns) - min(ts_ns)) // {HOUR} + 1 AS n FROM r),
+ p AS (SELECT x.symbol AS a, y.symbol AS b, sum((1 - {_KEEP}) * pow({_KEEP}, n - 1 - (x.ts_ns - lo) // {HOUR}) * x.r * y.r) AS ab FROM s, r x JOIN r y ON x.ts_ns = y.ts_ns AND x.symbol < y.symbol GROUP BY 1, 2),
+ v AS (SELECT symbol, pow({_KEEP}, any_value(n)) * CAST({FIRST_VARIANCE} AS DOUBLE) + coalesce(sum((1 - {_KEEP}) * pow({_KEEP}, n - 1 - (ts_ns - lo) // {HOUR}) * r * r), 0) AS v, any_value(n) AS n FROM s, r GROUP BY symbol)
+ SELECT x.symbol AS a, y.symbol AS b, x.n AS n, round(CASE WHEN x.n >= 100 THEN coalesce(ab, 0) / sqrt(x.v * y.v) ELSE 0.5 END, 6) AS corr FROM v x JOIN v y ON x.symbol < y.symbol LEFT JOIN p ON p.a = x.symbol AND p.b = y.symbol"""
 
 
 def level_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,22 +252,23 @@ def level_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INTERVALS = f"""{LEVELS}, iv AS (SELECT * FROM (SELECT symbol, epoch, side, price, size, seq, ts_local_ns AS valid_from, lead(ts_local_ns) OVER (PARTITION BY symbol, epoch, side, price ORDER BY ts_local_ns, seq) AS valid_to FROM levels) WHERE size > 0)"""
 
-#: Instants at which books are read: noon of the first day of each month, by symbol.
-MONTH = 30 * DAY
+#: Time buckets in which intervals of levels meet the instants.
+WEEK = 7 * DAY
 
 
 def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = levels(spark, sf_dir).groupBy("symbol", "epoch").agg(F.floor(F.min("ts_local_ns") / MONTH).alias("lo"), F.floor(F.max("ts_local_ns") / MONTH).alias("hi")).where("hi > lo")
-    return span.select("symbol", "epoch", F.explode(F.sequence((F.col("lo") + 1) * MONTH, F.col("hi") * MONTH, F.lit(MONTH))).alias("t"))
+    """Every midnight inside an epoch of a symbol."""
+    span = levels(spark, sf_dir).groupBy("symbol", "epoch").agg(F.floor(F.min("ts_local_ns") / DAY).alias("lo"), F.floor(F.max("ts_local_ns") / DAY).alias("hi")).where("hi > lo")
+    return span.select("symbol", "epoch", F.explode(F.sequence((F.col("lo") + 1) * DAY, F.col("hi") * DAY, F.lit(DAY))).alias("t"))
 
 
-_INSTANTS = f"""instants AS (SELECT symbol, epoch, unnest(range(min(ts_local_ns) // {MONTH} + 1, max(ts_local_ns) // {MONTH} + 1)) * {MONTH} AS t FROM levels GROUP BY symbol, epoch),
+_INSTANTS = f"""instants AS (SELECT symbol, epoch, unnest(range(min(ts_local_ns) // {DAY} + 1, max(ts_local_ns) // {DAY} + 1)) * {DAY} AS t FROM levels GROUP BY symbol, epoch),
  bk AS (SELECT i.symbol, i.epoch, i.t, side, price, size FROM instants i JOIN iv ON i.symbol = iv.symbol AND i.epoch = iv.epoch AND i.t >= valid_from AND (valid_to IS NULL OR i.t < valid_to))"""
 _BOOK = f"WITH {INTERVALS}, {_INSTANTS}"
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.book_at(level_intervals(spark, sf_dir), _instants(spark, sf_dir), MONTH)
+    return book.book_at(level_intervals(spark, sf_dir), _instants(spark, sf_dir), WEEK)
 
 
 def book_asof_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,18 +324,6 @@ def book_walk_notional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walked(spark, sf_dir, "notional", 50000.0)
 
 
-def band_added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size added and removed at the levels of a side, by day."""
-    w = Window.partitionBy("symbol", "epoch", "side", "price").orderBy("ts_local_ns", "seq")
-    old = F.coalesce(F.lag("size").over(w), F.lit(0.0))
-    d = levels(spark, sf_dir).withColumn("change", F.col("size") - old)
-    return d.groupBy("symbol", "side", F.floor(F.col("ts_local_ns") / DAY).alias("day")).agg(F.round(F.sum(F.greatest("change", F.lit(0.0))), 5).alias("added"), F.round(F.sum(F.greatest(-F.col("change"), F.lit(0.0))), 5).alias("removed"))
-
-
-ADDED = f"""WITH {LEVELS}, d AS (SELECT *, size - coalesce(lag(size) OVER (PARTITION BY symbol, epoch, side, price ORDER BY ts_local_ns, seq), 0) AS change FROM levels)
- SELECT symbol, side, ts_local_ns // {DAY} AS day, round(sum(greatest(change, 0)), 5) AS added, round(sum(greatest(-change, 0)), 5) AS removed FROM d GROUP BY 1, 2, 3"""
-
-
 def hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency draws of decisions: the same for both sides, another for each exit."""
     g = grid(quotes(spark, sf_dir), HOUR)
@@ -308,8 +339,10 @@ def entry_exit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(quotes(spark, sf_dir), HOUR).withColumn("mid_t", F.col("ts_ns"))
     q = quotes(spark, sf_dir).where("venue = 'lit'").select("symbol", "ts_local_ns", "event_id", "bid_px", "ask_px")
     g = g.withColumn("t_in", F.col("ts_ns") + F.floor(uniform("7", F.col("symbol"), F.col("ts_ns"), "entry") * 1_000_000_000)).withColumn("t_out", F.col("t_in") + 6 * HOUR)
-    a = asof_join(g.drop("mid_t"), q.withColumnsRenamed({"bid_px": "bid_in", "ask_px": "ask_in"}), ["symbol"], "t_in", "ts_local_ns", ["bid_in", "ask_in"], DAY, "event_id")
-    b = asof_join(a, q.withColumnsRenamed({"bid_px": "bid_out", "ask_px": "ask_out"}), ["symbol"], "t_out", "ts_local_ns", ["bid_out", "ask_out"], DAY, "event_id")
+    ends = g.drop("mid_t").select("symbol", "ts_ns", F.explode(F.array(F.struct(F.lit("in").alias("leg"), F.col("t_in").alias("t")), F.struct(F.lit("out").alias("leg"), F.col("t_out").alias("t")))).alias("e")).select("symbol", "ts_ns", "e.leg", "e.t")
+    got = asof_join(ends, q, ["symbol"], "t", "ts_local_ns", ["bid_px", "ask_px"], DAY, "event_id")
+    at = lambda leg, c: F.max(F.when(F.col("leg") == leg, F.col(c)))
+    b = got.groupBy("symbol", "ts_ns").agg(*[at(leg, f"{c}_px").alias(f"{c}_{leg}") for leg in ("in", "out") for c in ("bid", "ask")], at("in", "t").alias("t_in"), at("out", "t").alias("t_out"))
     fee = 0.0004
     net = lambda side, px_in, px_out: side * (F.col(px_out) - F.col(px_in)) / F.col(px_in) - fee * (F.col(px_in) + F.col(px_out)) / F.col(px_in)
     return b.select("symbol", "ts_ns", F.round(net(1, "ask_in", "bid_out"), 8).alias("net_long"), F.round(net(-1, "bid_in", "ask_out"), 8).alias("net_short"), ((F.col("t_out") - F.col("t_in")) / 1e6).alias("hold_ms"))
@@ -343,7 +376,6 @@ QUERIES = {
     "book_depth_band": (book_depth_band, BAND),
     "book_walk_qty": (book_walk_qty, _walk_sql("500.0", "qty")),
     "book_walk_notional": (book_walk_notional, _walk_sql("50000.0", "notional")),
-    "band_added_removed": (band_added_removed, ADDED),
     "hash_uniform": (hash_uniform, UNIFORM),
     "entry_exit_labels": (entry_exit_labels, LABELS),
 }

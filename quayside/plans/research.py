@@ -2,32 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scans import non_overlapping
+from ..functions.scans import non_overlapping, prefix_scan, rolling
 from ..operators import risk, stats
 from ..sources.tables import written
 from ..sources.views import DAY, LEVELS, QUOTES, TAPE, levels, quotes, table, tape
 
-FEATURES = [f"f{i}" for i in range(8)]
+FEATURES = [f"f{i}" for i in range(64)]
 R = lambda c, n=6: F.round(c, n)
 MONTH_NS = 30 * DAY
+#: Ids of one bucket of a scan along the matrix.
+IDS = 1 << 16
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, target, f0..f7 of the embeddings."""
+    """vec_id, target, f0..f63 of the embeddings."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.col("label").cast("double").alias("target"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
+    return e.select("vec_id", F.col("label").cast("double").alias("target"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)])
 
 
-MATRIX = "mx AS (SELECT vec_id, CAST(label AS DOUBLE) AS target, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8)) + " FROM embeddings)"
+MATRIX = "mx AS (SELECT vec_id, CAST(label AS DOUBLE) AS target, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(len(FEATURES))) + " FROM embeddings)"
 _LONG = f"{MATRIX}, lg AS (SELECT vec_id, target, feature, x FROM mx UNPIVOT (x FOR feature IN ({', '.join(FEATURES)})))"
 
 
-def long_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unpivoted(m: DataFrame, *keep: str) -> DataFrame:
     stack = "stack({}, {}) AS (feature, x)".format(len(FEATURES), ", ".join(f"'{f}', {f}" for f in FEATURES))
-    return matrix(spark, sf_dir).select("vec_id", "target", F.expr(stack))
+    return m.select(*keep, F.expr(stack))
+
+
+def long_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unpivoted(matrix(spark, sf_dir), "vec_id", "target")
+
+
+def placed(m: DataFrame) -> DataFrame:
+    """``m`` with its rows' ``place`` by vec_id from 0, and their number ``rows``: a scan over ranges of ids, no task sees all."""
+    n = m.agg(F.count("*").alias("rows"))  # one row
+    scanned = prefix_scan(m.withColumn("__one", F.lit(1)), ["__one"], ["vec_id"], F.floor(F.col("vec_id") / IDS), {"place": ("count", F.lit(1))})
+    return scanned.drop("__one").withColumn("place", F.col("place") - 1).join(F.broadcast(n))
+
+
+def tile(place: Column, rows: Column, k: int) -> Column:
+    """The block from 1 of a place among k contiguous ones that are as equal as can be, larger ones first."""
+    size, more = F.floor(rows / k), rows % k
+    return F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(more + F.floor((place - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+
+
+def average_rank(df: DataFrame, keys: list[str], x: str, out: str, width: float = 2.0**-8) -> DataFrame:
+    """``df`` with the rank of ``x`` inside ``keys``, ties sharing their mean (W08): distinct values are counted and scanned in
+    buckets of ``width``, so no task sees all rows of a key.  Rows without ``x`` go."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("__n"))
+    ranks = prefix_scan(counts, keys, [x], F.floor(F.col(x) / width), {"__upto": ("sum", F.col("__n"))})
+    return df.join(ranks.select(*keys, x, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out)), [*keys, x])
+
+
+def gram(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
+    """a, b, s: sums of products of each two ``columns`` (a before b in their order, or the same); tasks multiply Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            x = batch.to_numpy(float)
+            total += x.T @ x
+        i, j = np.triu_indices(len(columns))
+        yield pd.DataFrame({"a": np.array(columns, object)[i], "b": np.array(columns, object)[j], "s": total[i, j]})
+
+    sums = df.select(*columns).mapInPandas(run, "a string, b string, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+    return sums if digits is None else sums.withColumn("s", F.round("s", digits))
 
 
 def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +82,11 @@ def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _block_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = long_matrix(spark, sf_dir).withColumn("block", F.ntile(8).over(Window.partitionBy("feature").orderBy("vec_id")))
-    w = Window.partitionBy("feature", "block")
-    avg_rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("feature", "block", c)) - 1) / 2
-    m = m.withColumn("rx", avg_rank("x")).withColumn("ry", avg_rank("target"))
-    return m.groupBy("feature", "block").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("ic"))
+    m = placed(matrix(spark, sf_dir)).withColumn("block", tile(F.col("place"), F.col("rows"), 8))
+    m = written(unpivoted(m, "vec_id", "target", "block"))
+    y = average_rank(m.where("feature = 'f0'").select("vec_id", "block", "target"), ["block"], "target", "ry").select("vec_id", "block", "ry")  # the same for all features
+    x = average_rank(m.select("vec_id", "block", "feature", "x"), ["feature", "block"], "x", "rx")
+    return x.join(y, ["vec_id", "block"]).groupBy("feature", "block").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("ic"))
 
 
 def block_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,39 +104,98 @@ def ic_tstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _block_ic(spark, sf_dir).groupBy("feature").agg(F.count("ic").alias("blocks"), R(F.avg("ic") / (F.stddev_samp("ic") / F.sqrt(F.count("ic")))).alias("t"))
 
 
+def _rank_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, corr: rank correlation of each two features."""
+    ranks = average_rank(long_matrix(spark, sf_dir).select("vec_id", "feature", "x"), ["feature"], "x", "r")
+    n = ranks.groupBy("feature").agg(F.count("*").alias("n"))  # one row a feature
+    ranks = ranks.join(F.broadcast(n), "feature").withColumn("r", F.col("r") - (F.col("n") + 1) / 2)
+    wide = ranks.groupBy("vec_id").agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("r"))), F.lit(0.0)).alias(f) for f in FEATURES])
+    s = gram(wide, FEATURES)
+    own = s.where("a = b").select(F.col("a").alias("f"), "s")  # one row a feature
+    pairs = s.where("a <> b").join(F.broadcast(own.withColumnsRenamed({"f": "a", "s": "sa"})), "a").join(F.broadcast(own.withColumnsRenamed({"f": "b", "s": "sb"})), "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("s") / F.sqrt(F.col("sa") * F.col("sb"))).alias("corr"))
+
+
 def rank_corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of each pair of features."""
-    m = long_matrix(spark, sf_dir)
-    w = Window.partitionBy("feature")
-    m = m.withColumn("r", F.rank().over(w.orderBy("x")) + (F.count("*").over(Window.partitionBy("feature", "x")) - 1) / 2).select("vec_id", "feature", "r")
-    a, b = m.withColumnsRenamed({"feature": "a", "r": "ra"}), m.withColumnsRenamed({"feature": "b", "r": "rb"})
-    # pairs of features of one row: as many as features squared
-    return a.join(b, "vec_id").where("a < b").groupBy("a", "b").agg(R(F.corr("ra", "rb")).alias("corr"))
+    return _rank_corr(spark, sf_dir).select("a", "b", R("corr").alias("corr"))
+
+
+REDUNDANT = 0.1
+
+
+def feature_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features in order of their absolute t, each dropped whose rank correlation with one kept before reaches a limit.
+
+    The greedy pass runs over a table of features times features, whatever the number of rows."""
+    t = {r["feature"]: r["t"] for r in ic_tstat(spark, sf_dir).collect()}
+    corr = {(r["a"], r["b"]): r["corr"] for r in rank_corr_matrix(spark, sf_dir).collect()}
+    kept: list[str] = []
+    out = []
+    for f in sorted(t, key=lambda f: (-abs(t[f] or 0.0), f)):
+        over = next((k for k in kept if abs(corr[min(f, k), max(f, k)]) >= REDUNDANT), None)
+        if over is None:
+            kept.append(f)
+        out.append((f, t[f], over is None, over))
+    return spark.createDataFrame(out, "feature string, t double, kept boolean, redundant_with string")
+
+
+def standardised(m: DataFrame) -> DataFrame:
+    """Features less their mean over their deviation, missing ones replaced by the median before, clipped at 8."""
+    medians = m.agg(*[F.percentile(f, F.lit(0.5)).alias(f"q_{f}") for f in FEATURES])  # one row
+    m = m.join(F.broadcast(medians)).select("vec_id", "target", *[F.coalesce(f, f"q_{f}").alias(f) for f in FEATURES])
+    moments = m.agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES])
+    return m.join(F.broadcast(moments)).select("vec_id", "target", *[F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"))).alias(f) for f in FEATURES])
 
 
 def ridge_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sufficient statistics of standardised features for every ridge penalty."""
-    m = matrix(spark, sf_dir)
-    moments = m.agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES])
-    z = m.join(F.broadcast(moments)).select("target", *[F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"))).alias(f) for f in FEATURES])
-    pairs = [(a, b) for i, a in enumerate(FEATURES) for b in [*FEATURES[i:], "target"]]
-    sums = z.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs])
-    return sums.select(F.expr("stack({}, {}) AS (a, b, s)".format(len(pairs), ", ".join(f"'{a}', '{b}', round({a}_{b}, 4)" for a, b in pairs))))
+    s = gram(standardised(matrix(spark, sf_dir)), [*FEATURES, "target"], 4).where("a <> 'target'")
+    least, most = F.least("a", "b"), F.greatest("a", "b")
+    return s.select(F.when(F.col("b") == "target", F.col("a")).otherwise(least).alias("a"), F.when(F.col("b") == "target", F.col("b")).otherwise(most).alias("b"), "s")
 
 
 GRAM = f"WITH {MATRIX}, mm AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES) + " FROM mx), z AS (SELECT vec_id, target, " + ", ".join(f"greatest(-8, least(8, ({f} - m_{f}) / s_{f})) AS {f}" for f in FEATURES) + " FROM mx, mm), " \
     f"l AS (SELECT vec_id, target, feature, x FROM z UNPIVOT (x FOR feature IN ({', '.join(FEATURES)}))) SELECT p.feature AS a, q.feature AS b, round(sum(p.x * q.x), 4) AS s FROM l p JOIN l q ON p.vec_id = q.vec_id AND p.feature <= q.feature GROUP BY 1, 2 UNION ALL SELECT feature, 'target', round(sum(x * target), 4) FROM l GROUP BY 1"
 
 
-def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge coefficients for three penalties from the sums alone: features, not rows, reach the driver."""
-    import numpy as np
+PENALTIES = (0.1, 1.0, 10.0, 100.0, 1000.0)
 
-    rows = {(r["a"], r["b"]): r["s"] for r in ridge_gram(spark, sf_dir).collect()}
-    g = np.array([[rows[min(a, b), max(a, b)] for b in FEATURES] for a in FEATURES])
-    y = np.array([rows[a, "target"] for a in FEATURES])
-    out = [(float(k), f, float(c)) for k in (0.1, 10.0, 1000.0) for f, c in zip(FEATURES, np.linalg.solve(g + k * np.eye(len(FEATURES)), y), strict=True)]
-    return spark.createDataFrame(out, "penalty double, feature string, coefficient double")
+
+def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge coefficients with the penalty that has the least squared error on the last quarter of rows, refitted on all.
+
+    One pass sums products for the first three quarters and the last one apart; features, not rows, reach
+    the driver, and the validation error of every penalty follows from the last quarter's sums.
+    """
+    names = [*FEATURES, "target", "one"]
+    z = placed(standardised(matrix(spark, sf_dir))).withColumn("one", F.lit(1.0))
+    late = tile(F.col("place"), F.col("rows"), 4) == 4
+    grams = []
+    for part in (~late, late):
+        g = np.zeros((len(names), len(names)))
+        for r in gram(z.where(part), names).collect():  # features squared
+            i, j = names.index(r["a"]), names.index(r["b"])
+            g[i, j] = g[j, i] = r["s"]
+        grams.append(g)
+    p = len(FEATURES)
+
+    def solve(g: np.ndarray, penalty: float) -> np.ndarray:
+        """Coefficients and intercept; the intercept isn't penalised."""
+        n = max(1.0, g[-1, -1])
+        mean, ty = g[:p, -1] / n, g[-2, -1] / n
+        c = np.linalg.solve(g[:p, :p] - n * np.outer(mean, mean) + penalty * np.eye(p), g[:p, p] - n * mean * ty)
+        return np.append(c, ty - mean @ c)
+
+    def error(g: np.ndarray, w: np.ndarray) -> float:
+        at = [*range(p), p + 1]
+        return float(g[p, p] - 2 * w @ g[at, p] + w @ g[np.ix_(at, at)] @ w)
+
+    fit, val = grams
+    enough = fit[-1, -1] > 100 and val[-1, -1] > 100
+    penalty = min(PENALTIES, key=lambda k: error(val, solve(fit, k))) if enough else PENALTIES[-1]
+    w = solve(fit + val, penalty)
+    return spark.createDataFrame([(penalty, f, float(c)) for f, c in zip([*FEATURES, "intercept"], w, strict=True)], "penalty double, feature string, coefficient double")
 
 
 def flow_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,18 +240,22 @@ def isotonic_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IsotonicRegression().fit(m).transform(m).select("vec_id", "prediction")
 
 
+TREES = 200
+
+
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on the features."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     m = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(matrix(spark, sf_dir))
-    return GBTRegressor(labelCol="target", stepSize=0.05, maxIter=10, maxDepth=4, minInstancesPerNode=20, seed=1).fit(m).transform(m).select("vec_id", "prediction")
+    least = max(20, m.count() // 200)
+    return GBTRegressor(labelCol="target", stepSize=0.05, maxIter=TREES, maxDepth=4, minInstancesPerNode=least, seed=1).fit(m).transform(m).select("vec_id", "prediction")
 
 
 def walk_forward(t0: int, t1: int, n: int, test: int, train: int, cal: float, gap: int) -> list[tuple]:
     """(fold, fit_start, fit_end, cal_start, cal_end, test_start, test_end): expanding fits before disjoint tests that end at ``t1``."""
-    while n > 0 and t1 - n * test - gap - train < t0:
+    while n > 0 and train + 2 * gap + n * test > t1 - t0:  # a gap before the calibration and one before the test
         n -= 1
     if n <= 0:
         raise ValueError("too little data for a fold")
@@ -219,18 +328,6 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tape(spark, sf_dir).withColumn("block", F.floor(F.col("ts_local_ns") / MONTH_NS))
 
 
-def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, means, hit rate, profit factor and tails of trades by model and mode, and by model."""
-    t = tape(spark, sf_dir)
-    agg = [
-        F.count("*").alias("n"), R(F.avg("ret"), 8).alias("mean"), R(F.percentile("ret", F.lit(0.5)), 8).alias("median"), R(F.avg((F.col("ret") > 0).cast("int"))).alias("hit_rate"), R(stats.profit_factor("ret")).alias("profit_factor"),
-        R(F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"), R(F.min("ret"), 8).alias("worst"), R(F.max("ret"), 8).alias("best"), R(F.percentile("price", F.lit(0.9)), 4).alias("price_p90")]
-    return t.groupBy("model", "mode").agg(*agg).unionByName(t.groupBy("model").agg(*agg).withColumn("mode", F.lit("all")))
-
-
-_METRICS = "count(*) AS n, round(avg(ret), 8) AS mean, round(quantile_cont(ret, 0.5), 8) AS median, round(avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END), 6) AS hit_rate, round(sum(greatest(ret, 0)) / sum(greatest(-ret, 0)), 6) AS profit_factor, round(avg(ret) / stddev_samp(ret), 6) AS sharpe, round(min(ret), 8) AS worst, round(max(ret), 8) AS best, round(quantile_cont(price, 0.9), 4) AS price_p90"
-
-
 def period_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of returns by month, zero where nothing was traded."""
     b = _blocks(spark, sf_dir)
@@ -401,7 +498,7 @@ def psi_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PSI = f"""WITH {_LONG}, c AS (SELECT quantile_cont(vec_id, 0.8) AS cut FROM mx), e AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [{', '.join(f'{i / 10}' for i in range(11))}]))) AS ed FROM lg, c WHERE vec_id <= cut GROUP BY feature),
  b AS (SELECT feature, vec_id <= cut AS old, greatest(1, least(len(ed) - 1, len(list_filter(ed, lambda v: v <= x)))) AS bin FROM lg JOIN e USING (feature), c), n AS (SELECT feature, bin, count(*) FILTER (old) AS e, count(*) FILTER (NOT old) AS a FROM b GROUP BY ALL),
- p AS (SELECT feature, e / sum(e) OVER (PARTITION BY feature) + CAST(1e-6 AS DOUBLE) AS p, a / sum(a) OVER (PARTITION BY feature) + CAST(1e-6 AS DOUBLE) AS q FROM n) SELECT feature, round(sum((q - p) * ln(q / p)), 6) AS psi FROM p GROUP BY feature"""
+ p AS (SELECT feature, e, a, e / sum(e) OVER (PARTITION BY feature) + CAST(1e-6 AS DOUBLE) AS p, a / sum(a) OVER (PARTITION BY feature) + CAST(1e-6 AS DOUBLE) AS q FROM n) SELECT feature, CASE WHEN sum(e) >= 100 AND sum(a) >= 100 THEN round(sum((q - p) * ln(q / p)), 6) END AS psi FROM p GROUP BY feature ORDER BY psi DESC, feature LIMIT 15"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,19 +565,39 @@ CASCADE = f"""WITH {QUOTES}, d AS (SELECT *, (ts_local_ns - ts_exch_ns) / 1e6 AS
  CASE WHEN event_id % 9 < 2 THEN 'transaction_capacity' WHEN dl > 90 THEN 'latency_degraded' WHEN greatest(a, p) <= 0 THEN 'skip' WHEN p > a THEN 'passive' ELSE 'aggressive' END AS choice FROM x"""
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    own = F.concat(F.lit("P"), k.cast("string"))
+    m = p.select(
+        own.alias("symbol"), F.when(k % 13 != 0, F.col("p_retailprice")).alias("last_price"), (F.col("p_size") > 5).alias("active"), (F.col("p_size") * 1000.0).alias("volume"),
+        F.when(k % 11 == 0, F.concat(F.lit("OV"), k.cast("string"))).alias("override"), (k % 17 != 0).alias("covered"))
+    name = F.concat(F.when(k % 2 == 0, "").otherwise("1000"), own)
+    times = F.when(k % 2 == 0, 1.0).otherwise(1000.0) * F.when(k % 7 == 0, 1.5).otherwise(1.0)
+    prices = p.where("p_partkey % 5 <> 0").select(name.alias("candidate"), (F.col("p_retailprice") * times).alias("price"))
+    prices = prices.unionByName(p.where("p_partkey % 11 = 0").select(F.concat(F.lit("OV"), k.cast("string")).alias("candidate"), F.col("p_retailprice").alias("price")))
+    return risk.instrument_mapping(m, prices, 8000.0)
+
+
 def instrument_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markets mapped to reference symbols by name and price."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
-    m = p.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_retailprice").alias("last_price"), (F.col("p_size") > 5).alias("active"))
-    k = F.when(F.col("p_partkey") % 2 == 0, 1.0).otherwise(1000.0)
-    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "").otherwise("1000"), F.lit("P"), F.col("p_partkey").cast("string"))
-    prices = p.where("p_partkey % 5 <> 0").select(name.alias("candidate"), (F.col("p_retailprice") * k * F.when(F.col("p_partkey") % 7 == 0, 1.5).otherwise(1.0)).alias("price"))
-    return risk.instrument_mapping(m, prices)
+    """Every market mapped to a reference symbol by name and price, or the reason why not."""
+    return _mapped(spark, sf_dir)
+
+
+_MAPPED = """mp AS (SELECT p_partkey AS k, p_size, p_partkey % 11 = 0 OR p_partkey % 5 <> 0 AS priced, p_partkey % 13 <> 0 AND (p_partkey % 11 = 0 OR (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0)) AS fits FROM part),
+ mapping AS (SELECT concat('P', k) AS symbol, CASE WHEN fits THEN CASE WHEN k % 11 = 0 THEN concat('OV', k) ELSE concat(CASE WHEN k % 2 = 0 THEN '' ELSE '1000' END, 'P', k) END END AS candidate,
+ CASE WHEN fits THEN CASE WHEN k % 11 = 0 OR k % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END END AS multiplier,
+ CASE WHEN NOT priced THEN 'not_covered' WHEN NOT fits AND k % 13 = 0 THEN 'no_price' WHEN NOT fits THEN 'price_mismatch' WHEN p_size <= 5 THEN 'inactive' WHEN p_size < 8 THEN 'low_volume' WHEN k % 17 = 0 THEN 'outside_coverage' ELSE 'ok' END AS reason FROM mp)"""
+MAPPING = f"WITH {_MAPPED} SELECT symbol, candidate, multiplier, reason = 'ok' AS eligible, reason FROM mapping"
+
+
+def eligible_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols whose latest mapping is eligible; some were mapped again later."""
+    now = _mapped(spark, sf_dir).select("symbol", F.lit(1).alias("ts"), "eligible")
+    again = table(spark, sf_dir, "part").where("p_partkey % 6 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.lit(2).alias("ts"), (F.col("p_partkey") % 4 == 0).alias("eligible"))
+    return risk.eligible_symbols(now.unionByName(again))
 
 
-MAPPING = """SELECT concat('P', p_partkey) AS symbol, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '1000' END, 'P', p_partkey) END AS candidate,
- CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END END AS multiplier,
- CASE WHEN p_partkey % 5 = 0 THEN 'not_covered' WHEN p_partkey % 7 = 0 THEN 'price_mismatch' WHEN p_size <= 5 THEN 'inactive' ELSE 'ok' END AS reason FROM part WHERE p_partkey % 3 = 0"""
+ELIGIBLE = f"WITH {_MAPPED} SELECT symbol FROM mapping WHERE CASE WHEN CAST(substr(symbol, 2) AS BIGINT) % 6 = 0 THEN CAST(substr(symbol, 2) AS BIGINT) % 4 = 0 ELSE reason = 'ok' END"
 
 
 def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,9 +614,9 @@ LATENCY = f"""WITH {QUOTES}, d AS (SELECT symbol, (ts_local_ns - ts_exch_ns) / 1
 def clock_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock offset of the quickest of the last 64 probes, with its uncertainty."""
     q = quotes(spark, sf_dir).withColumn("rtt", F.col("bid_sz") * 7 + F.col("ask_sz")).withColumn("offset", F.round(F.col("value") - F.col("rtt") / 2, 4))
-    w = Window.partitionBy("venue").orderBy("ts_local_ns", "event_id").rowsBetween(-63, 0)
-    best = F.min(F.struct("rtt", "event_id", "offset")).over(w)
-    return q.withColumn("best", best).select("event_id", F.col("best.offset").alias("offset_ms"), (F.col("best.rtt") / 2).alias("uncertainty_ms"))
+    best = lambda w: F.min(F.struct("rtt", "event_id", "offset")).over(w.rowsBetween(-63, 0))
+    q = rolling(q, ["venue"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY), 64, {"best": best})
+    return q.select("event_id", F.col("best.offset").alias("offset_ms"), (F.col("best.rtt") / 2).alias("uncertainty_ms"))
 
 
 CLOCK = f"""WITH {QUOTES}, p AS (SELECT *, bid_sz * 7 + ask_sz AS rtt FROM quotes), b AS (SELECT event_id, min({{'r': rtt, 'e': event_id, 'o': round(value - rtt / 2, 4)}}) OVER (PARTITION BY venue ORDER BY ts_local_ns, event_id ROWS 63 PRECEDING) AS b FROM p) SELECT event_id, b.o AS offset_ms, b.r / 2 AS uncertainty_ms FROM b"""
@@ -554,23 +671,6 @@ def exec_latency_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRINTS = "SELECT o_orderkey, (min(epoch_us(l_shipdate)) - any_value(epoch_us(o_orderdate))) / 1e6 AS latency_s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING min(epoch_us(l_shipdate)) > any_value(epoch_us(o_orderdate))"
 
 
-def champion_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each model is not credible, and the one that is chosen."""
-    c = stats.cluster_se(_blocks(spark, sf_dir), ["model", "mode"], "ret", "block")
-    pf = tape(spark, sf_dir).groupBy("model", "mode").agg(stats.profit_factor("ret").alias("pf"))
-    j = c.join(pf, ["model", "mode"]).withColumn("lo", F.col("mean") - 1.645 * F.col("se"))
-    checks = F.array(F.when(F.col("n") < 30, F.lit("too_few_trades")), F.when(~(F.col("lo") > 0), F.lit("interval_not_positive")), F.when(~(F.col("pf") > 1), F.lit("profit_factor")))
-    j = j.withColumn("reasons", F.array_join(F.filter(checks, lambda r: r.isNotNull()), ","))
-    w = Window.orderBy(F.desc(F.col("reasons") == ""), F.desc("mean"), "model", "mode")
-    return j.withColumn("place", F.row_number().over(w)).select("model", "mode", "reasons", "place", R("lo", 8).alias("lo"))
-
-
-CHAMPION = f"""WITH {TAPE}, h AS (SELECT model, mode, ts_local_ns // {MONTH_NS} AS block, sum(ret) AS s, count(*) AS n FROM tape GROUP BY ALL), m AS (SELECT *, sum(s) OVER (PARTITION BY model, mode) / sum(n) OVER (PARTITION BY model, mode) AS mean FROM h),
- c AS (SELECT model, mode, sum(n) AS n, any_value(mean) AS mean, any_value(mean) - CAST(1.645 AS DOUBLE) * sqrt(sum(pow(s - n * mean, 2)) * count(*) / (count(*) - 1)) / sum(n) AS lo FROM m GROUP BY model, mode), p AS (SELECT model, mode, sum(greatest(ret, 0)) / sum(greatest(-ret, 0)) AS pf FROM tape GROUP BY ALL),
- r AS (SELECT c.*, array_to_string(list_filter([CASE WHEN n < 30 THEN 'too_few_trades' END, CASE WHEN NOT lo > 0 THEN 'interval_not_positive' END, CASE WHEN NOT pf > 1 THEN 'profit_factor' END], lambda v: v IS NOT NULL), ',') AS reasons FROM c JOIN p USING (model, mode))
- SELECT model, mode, reasons, CAST(row_number() OVER (ORDER BY reasons = '' DESC, mean DESC, model, mode) AS INTEGER) AS place, round(lo, 8) AS lo FROM r"""
-
-
 def results_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of a result that doesn't depend on row order."""
     t = tape(spark, sf_dir).groupBy("model", "mode").agg(F.count("*").alias("n"))
@@ -580,11 +680,20 @@ def results_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HASH = f"WITH {TAPE}, t AS (SELECT model, mode, count(*) AS n FROM tape GROUP BY ALL) SELECT substr(sha256(array_to_string(list_sort(list(concat_ws('|', model, mode, CAST(n AS VARCHAR)))), ';')), 1, 16) AS digest FROM t"
 
+# the greedy pass as a recursion over features in order, keeping the list of those kept
+CHOICE = f"""WITH RECURSIVE {IC}, t AS (SELECT feature, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ic GROUP BY feature), o AS (SELECT *, row_number() OVER (ORDER BY abs(t) DESC, feature) AS i FROM t),
+ rr AS (SELECT vec_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS r FROM lg), cc AS (SELECT p.feature AS a, q.feature AS b, round(corr(p.r, q.r), 6) AS c FROM rr p JOIN rr q ON p.vec_id = q.vec_id AND p.feature <> q.feature GROUP BY 1, 2),
+ near AS (SELECT a, list(b) AS bs FROM cc WHERE abs(c) >= CAST({REDUNDANT} AS DOUBLE) GROUP BY a),
+ g AS (SELECT i, feature, t, true AS kept, CAST(NULL AS VARCHAR) AS redundant_with, [feature] AS ks FROM o WHERE i = 1
+  UNION ALL SELECT o.i, o.feature, o.t, over IS NULL, over, CASE WHEN over IS NULL THEN list_append(ks, o.feature) ELSE ks END FROM (SELECT g.i, g.ks, o.i AS ni, list_filter(g.ks, lambda k: list_contains(coalesce(near.bs, []), k))[1] AS over FROM g JOIN o ON o.i = g.i + 1 LEFT JOIN near ON near.a = o.feature) s JOIN o ON o.i = s.ni)
+ SELECT feature, t, kept, redundant_with FROM g"""
+
 QUERIES = {
     "feature_screen": (feature_screen, f"WITH {_LONG} SELECT feature, round(avg(CASE WHEN x IS NULL THEN 1 ELSE 0 END), 6) AS missing, round(stddev_pop(x), 6) AS sd, stddev_pop(x) > 1e-12 AS kept FROM lg GROUP BY feature"),
     "block_rank_ic": (block_rank_ic, f"WITH {IC} SELECT feature, block, n, round(ic, 6) AS ic FROM ic"),
     "ic_tstat": (ic_tstat, f"WITH {IC} SELECT feature, count(ic) AS blocks, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ic GROUP BY feature"),
     "rank_corr_matrix": (rank_corr_matrix, f"WITH {_LONG}, r AS (SELECT vec_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS r FROM lg) SELECT p.feature AS a, q.feature AS b, round(corr(p.r, q.r), 6) AS corr FROM r p JOIN r q ON p.vec_id = q.vec_id AND p.feature < q.feature GROUP BY 1, 2"),
+    "feature_choice": (feature_choice, CHOICE),
     "ridge_gram": (ridge_gram, GRAM),
     "ridge_fit": (ridge_fit, None),
     "flow_composite": (flow_composite, FLOW),
@@ -596,7 +705,6 @@ QUERIES = {
     "threshold_candidates": (threshold_candidates, THRESHOLDS),
     "decide_side": (decide_side, DECIDE),
     "non_overlap_trades": (non_overlap_trades, NON_OVERLAP),
-    "trade_metrics": (trade_metrics, f"WITH {TAPE} SELECT model, mode, {_METRICS} FROM tape GROUP BY model, mode UNION ALL SELECT model, 'all', {_METRICS} FROM tape GROUP BY model"),
     "period_series": (period_series, f"WITH {_SERIES} SELECT model, block, round(value, 7) AS value FROM ps"),
     "equity_drawdown": (equity_drawdown, DRAWDOWN),
     "expected_shortfall": (expected_shortfall, ES),
@@ -616,12 +724,12 @@ QUERIES = {
     "limits": (limits, LIMITS),
     "signal_cascade": (signal_cascade, CASCADE),
     "instrument_mapping": (instrument_mapping, MAPPING),
+    "eligible_symbols": (eligible_symbols, ELIGIBLE),
     "latency_quantiles": (latency_quantiles, LATENCY),
     "clock_offset": (clock_offset, CLOCK),
     "fill_rollup": (fill_rollup, FILLS),
     "delta_fills": (delta_fills, DELTA),
     "position_mismatch": (position_mismatch, MISMATCH),
     "exec_latency_match": (exec_latency_match, PRINTS),
-    "champion_choice": (champion_choice, CHAMPION),
     "results_hash": (results_hash, HASH),
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_path
 from ..sources.views import HOUR, QUOTES, quotes
 from ..streaming import jobs
-from .market import MIDS
+from .market import HALFLIFE, MIDS, PAIRS, pair_returns
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +34,18 @@ def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct trade ids among repeated fills."""
+    """Orders rolled up from fills that may come twice."""
     t = jobs.stream_table(spark, sf_dir, "lineitem")
-    fills = t.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("trade_id"), F.col("l_shipdate").cast("timestamp").alias("ts"))
-    return jobs.run_once(jobs.unique_fills(fills, "3650 days")).select("trade_id")
+    fills = t.select(
+        F.col("l_orderkey").alias("order_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("trade_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"))
+    twice = fills.withColumn("copy", F.explode(F.when(F.crc32("trade_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+    last = jobs.run_updates(jobs.fill_ledger(twice)).groupBy("order_id").agg(F.max_by(F.struct("fills", "qty", "notional", "fees"), "batch").alias("s"))
+    return last.select("order_id", "s.fills", F.round("s.qty", 4).alias("qty"), F.round(F.col("s.notional") / F.col("s.qty"), 9).alias("avg_px"), F.round("s.fees", 4).alias("fees"))
+
+
+STREAM_FILLS = """WITH o AS (SELECT l_orderkey, l_linenumber, min_by(l_quantity, l_shipdate) AS q, min_by(l_extendedprice, l_shipdate) AS x, min_by(l_tax, l_shipdate) AS t FROM lineitem GROUP BY ALL)
+ SELECT l_orderkey AS order_id, count(*) AS fills, round(sum(q), 4) AS qty, round(sum(x) / sum(q), 9) AS avg_px, round(sum(x * t), 4) AS fees FROM o GROUP BY l_orderkey"""
 
 
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,19 +57,17 @@ SIGNALS = f"""WITH {QUOTES}, d AS (SELECT *, (ts_local_ns - ts_exch_ns) // 10000
  SELECT event_id, symbol, CASE WHEN dl > 80 THEN 'latency_degraded' WHEN greatest(a, p) <= 0 THEN 'skip' WHEN p > a THEN 'passive' ELSE 'aggressive' END AS choice FROM d"""
 
 
-def stream_edge_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last state of each strategy's monitor over all its trades."""
-    t = jobs.stream_table(spark, sf_dir, "lineitem")
-    trades = t.select(F.concat("l_returnflag", "l_linestatus").alias("strategy"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts"), ((F.col("l_discount") - 0.05) + (F.col("l_tax") - 0.04) / 10).alias("ret"), F.lit(-0.01).alias("lcb"))
-    path = jobs.shared_path(spark)
+def edge_trades(t: DataFrame) -> DataFrame:
+    return t.select(
+        F.concat("l_returnflag", "l_linestatus").alias("strategy"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+        ((F.col("l_discount") - 0.05) + (F.col("l_tax") - 0.04) / 10).alias("ret"), F.lit(-0.01).alias("lcb"))
 
-    def keep(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
 
-    query = jobs.edge_monitor(trades).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    w = Window.partitionBy("strategy").orderBy(F.desc("n"), F.desc("batch"))
-    return spark.read.parquet(f"{path}/out").withColumn("r", F.row_number().over(w)).where("r = 1").select("strategy", "n", "multiplier", "status")
+def stream_edge_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last state of each strategy's monitor over all its trades."""
+    seen = jobs.run_updates(jobs.edge_monitor(edge_trades(jobs.stream_table(spark, sf_dir, "lineitem"))))
+    last = seen.groupBy("strategy").agg(F.max_by(F.struct("n", "multiplier", "reductions", "status"), "batch").alias("s"))
+    return last.select("strategy", "s.*")
 
 
 def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,27 +83,65 @@ SEQUENCE = """WITH m AS (SELECT event_id, event_id % 2 AS venue, user_id % 8 AS
  row_number() OVER (PARTITION BY venue, symbol ORDER BY event_id) AS i FROM m), b AS (SELECT *, max(CASE WHEN NOT snap AND cut AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol, epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS broken FROM n)
  SELECT event_id, CASE WHEN snap THEN 'snapshot' WHEN epoch = 0 OR broken = 1 THEN 'gap' ELSE 'delta' END AS state FROM b"""
 
+
+def stream_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth synchronisation as a stateful stream; numbers follow the event ids of a stream, some updates come twice."""
+    e = jobs.stream_table(spark, sf_dir, "events")
+    n, snap = F.col("event_id") * 10, F.col("event_type") == "signup"
+    last = F.when(snap, n + 15).when(F.col("event_id") % 7 == 0, n - 160).otherwise(n)
+    m = e.select(
+        F.lit("ref").alias("venue"), (F.col("event_id") % 16).cast("string").alias("symbol"), "event_id", snap.alias("snapshot"), (last - 159).alias("first_id"), last.alias("last_id"),
+        (last - F.when(F.col("event_id") % 13 == 0, 161).when((F.col("event_id") - 16) % 7 == 0, 320).otherwise(160)).alias("prev_id"))
+    return jobs.run_once(jobs.depth_monitor(m))
+
+
+DEPTH = """WITH m AS (SELECT event_id, event_id % 16 AS k, event_type = 'signup' AS snap, CASE WHEN event_type = 'signup' THEN event_id * 10 + 15 WHEN event_id % 7 = 0 THEN event_id * 10 - 160 ELSE event_id * 10 END AS u,
+  CASE WHEN event_id % 13 = 0 THEN 161 WHEN (event_id - 16) % 7 = 0 THEN 320 ELSE 160 END AS back FROM events),
+ e AS (SELECT *, sum(CASE WHEN snap THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM m), b AS (SELECT *, max(CASE WHEN snap THEN u END) OVER (PARTITION BY k, epoch) AS base FROM e),
+ s AS (SELECT *, greatest(base, max(CASE WHEN NOT snap THEN u END) OVER w) AS last, coalesce(max(CASE WHEN NOT snap AND u >= base THEN 1 END) OVER w, 0) = 1 AS bridged FROM b WINDOW w AS (PARTITION BY k, epoch ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ o AS (SELECT *, NOT snap AND epoch > 0 AND CASE WHEN bridged THEN u <= last ELSE u < base END AS old FROM s),
+ q AS (SELECT *, max(CASE WHEN NOT snap AND epoch > 0 AND NOT old AND NOT CASE WHEN bridged THEN u - back = last ELSE u - 159 <= base + 1 END THEN 1 ELSE 0 END) OVER (PARTITION BY k, epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS broken FROM o)
+ SELECT event_id, CASE WHEN snap THEN 'snapshot' WHEN epoch = 0 OR broken = 1 THEN 'gap' WHEN old THEN 'old' ELSE 'delta' END AS state FROM q"""
+
+
 def stream_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid samples of a live run; the batch twin is ``asof_grid_state``."""
     e = jobs.stream_table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     base = F.round(100 + F.col("value") / 100, 2)
     mid = (F.round(base - 0.01 * (k % 5 + 1), 2) + F.round(base + 0.01 * (k % 5 + 1), 2)) / 2
+    traded = lambda side: F.when((F.col("event_type") == "purchase") & (F.expr("event_id DIV 2") % 2 == side), (k % 11 + 1).cast("double")).otherwise(0.0)
     q = e.select(
         F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("event_id") % 2 == 0, "lit").otherwise("ref").alias("venue"), "event_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), mid.alias("mid"))
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), mid.alias("mid"), traded(0).alias("buy"), traded(1).alias("sell"))
     out = jobs.run_once(jobs.grid_samples(q, HOUR // 1000))
     known = lambda c: F.round(F.nanvl(c, F.lit(None).cast("double")), 6).alias(c)
-    return out.select("symbol", (F.col("tick_us") * 1000).alias("ts_ns"), known("lit_mid"), known("ref_mid"))
+    return out.select("symbol", (F.col("tick_us") * 1000).alias("ts_ns"), known("lit_mid"), known("ref_mid"), "buy", "sell", "trades")
+
+
+STREAM_GRID = f"""WITH {MIDS}, t AS (SELECT symbol, ts_local_ns, sum(CASE WHEN event_id // 2 % 2 = 0 THEN ask_sz ELSE 0 END) AS b, sum(CASE WHEN event_id // 2 % 2 = 1 THEN ask_sz ELSE 0 END) AS s, count(*) AS n FROM quotes WHERE venue = 'lit' AND event_type = 'purchase' GROUP BY ALL),
+ c AS (SELECT symbol, ts_local_ns, sum(b) OVER w AS b, sum(s) OVER w AS s, sum(n) OVER w AS n FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_local_ns))
+ SELECT m.symbol, m.ts_ns, round(lit_mid, 6) AS lit_mid, round(ref_mid, 6) AS ref_mid, coalesce(b, CAST(0 AS DOUBLE)) AS buy, coalesce(s, CAST(0 AS DOUBLE)) AS sell, CAST(coalesce(n, 0) AS BIGINT) AS trades FROM mids m ASOF LEFT JOIN c ON m.symbol = c.symbol AND m.ts_ns >= c.ts_local_ns"""
+
+
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair tracker over landed returns of the grid; the batch twin is ``pair_correlation``."""
+    path = shared_path(spark)
+    pair_returns(spark, sf_dir).select("tick", "a", "b", "ra", "rb").write.parquet(path)
+    landed = spark.readStream.schema("tick long, a string, b string, ra double, rb double").parquet(path)
+    last = jobs.run_updates(jobs.pair_tracker(landed, HALFLIFE)).groupBy("a", "b").agg(F.max_by(F.struct("n", "corr"), "batch").alias("s"))
+    return last.select("a", "b", "s.n", F.round("s.corr", 6).alias("corr"))
 
 
 QUERIES = {
     "stream_typed": (stream_typed, f"WITH {QUOTES} SELECT event_id, venue, symbol, (ts_local_ns - ts_exch_ns) // 1000000 AS delay_ms FROM quotes"),
     "stream_health": (stream_health, HEALTH),
     "stream_silences": (stream_silences, None),
-    "stream_fills": (stream_fills, "SELECT DISTINCT concat(l_orderkey, '-', l_linenumber) AS trade_id FROM lineitem"),
+    "stream_fills": (stream_fills, STREAM_FILLS),
     "stream_signals": (stream_signals, SIGNALS),
     "stream_edge_monitor": (stream_edge_monitor, None),
     "stream_sequence": (stream_sequence, SEQUENCE),
-    "stream_grid": (stream_grid, f"WITH {MIDS} SELECT symbol, ts_ns, round(lit_mid, 6) AS lit_mid, round(ref_mid, 6) AS ref_mid FROM mids"),
+    "stream_depth": (stream_depth, DEPTH),
+    "stream_grid": (stream_grid, STREAM_GRID),
+    "stream_pairs": (stream_pairs, PAIRS),
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import feeds, labels, market, research, streams
+from .plans import evaluation, features, feeds, labels, market, metadata, research, streams
 
-FAMILIES = (market, feeds, labels, research, streams)
+FAMILIES = (market, features, metadata, evaluation, feeds, labels, research, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

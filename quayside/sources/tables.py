@@ -5,26 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table below ``spark.checkpoint.dir``, read again: later steps survive lost
-    executors.  Where the setting is missing (one machine) a temporary folder takes its place."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str = "stream") -> str:
+    """A fresh path below ``spark.checkpoint.dir``.
+
+    Only where the setting is missing and everything runs in one process a temporary folder takes its place; on a
+    cluster that is an error."""
+    sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/quayside-table-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/quayside-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def shared_path(spark) -> str:
-    """A fresh path below the shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quayside-stream-{uuid.uuid4().hex[:12]}"
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: later steps survive lost executors."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import risk
 from ..sources.tables import shared_path
@@ -33,6 +35,17 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def run_updates(stream: DataFrame) -> DataFrame:
+    """All updates of a stream in update mode, as a table with ``batch``: a batch that runs again replaces its rows."""
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession)
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out")
+
+
 def typed_events(events: DataFrame) -> DataFrame:
     """Raw rows to quotes with a watermark."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -52,9 +65,29 @@ def silences(events: DataFrame, gap: str = "3 hours") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap), "venue", "symbol").agg(F.count("*").alias("messages")).select("venue", "symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("alarm"), "messages")
 
 
-def unique_fills(fills: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Fills counted once by trade id."""
-    return fills.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["trade_id"])
+def fill_ledger(fills: DataFrame, silence: str = "30 days") -> DataFrame:
+    """Orders rolled up from fills (order_id, trade_id, ts, qty, px, fee), each counted once by trade id.
+
+    State is an order's trade ids and sums; it goes once the watermark is ``silence`` past the order's last fill.
+    """
+    out = "order_id long, fills long, qty double, notional double, fees double"
+    state_schema = "ids array<string>, qty double, notional double, fees double"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, qty, notional, fees = state.get if state.exists else ([], 0.0, 0.0, 0.0)
+        new = _in_order(batches, ["ts", "trade_id"]).drop_duplicates("trade_id")
+        fresh = new[~new["trade_id"].isin(list(ids))]
+        qty, notional, fees = qty + fresh["qty"].sum(), notional + (fresh["qty"] * fresh["px"]).sum(), fees + fresh["fee"].sum()
+        ids = [*ids, *fresh["trade_id"]]
+        state.update((ids, float(qty), float(notional), float(fees)))
+        state.setTimeoutTimestamp(max(int(new["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(silence).total_seconds() * 1000))
+        if len(fresh):
+            yield pd.DataFrame([(int(key[0]), len(ids), qty, notional, fees)], columns=["order_id", "fills", "qty", "notional", "fees"])
+
+    return fills.withWatermark("ts", "1 hour").groupBy("order_id").applyInPandasWithState(step, out, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def annotated(events: DataFrame, policy: DataFrame) -> DataFrame:
@@ -64,30 +97,50 @@ def annotated(events: DataFrame, policy: DataFrame) -> DataFrame:
     return events.join(policy, "symbol").select("event_id", "symbol", "value", choice.alias("choice"))
 
 
-def edge_monitor(trades: DataFrame, window: int = 200, least: int = 30) -> DataFrame:
-    """Multiplier of each strategy after its trades (strategy, ts, ret, lcb): halved while the edge is lost, suspended at
-    the third time, restored when it is proven (X07).  State is one window of returns for each strategy."""
-    out = "strategy string, n long, multiplier double, status string"
-    state_schema = "rets array<double>, multiplier double, strikes int, wait int, n long"
+def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """All rows of a key in a micro-batch, sorted: Arrow cuts them into batches anywhere, so each alone has no order.
+    What a micro-batch holds is bounded by the source's ``maxFilesPerTrigger`` or offsets."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+
+
+def edge_monitor(trades: DataFrame, window: int = 200, least: int = 30, suspend: int = 3) -> DataFrame:
+    """Multiplier of each strategy after its trades (strategy, ts, id, ret, lcb): halved while the edge is lost, suspended
+    for good at the ``suspend``-th reduction, doubled back when the edge is proven (X07).
+
+    After an action ``least`` // 2 trades pass before the next; a restore takes no reduction back.  State is one window
+    of returns for each strategy.
+    """
+    out = "strategy string, n long, multiplier double, reductions int, status string"
+    state_schema = "rets array<double>, multiplier double, reductions int, since int, n long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rets, multiplier, strikes, wait, n = state.get if state.exists else ([], 1.0, 0, 0, 0)
-        rets = list(rets)
-        for pdf in batches:
-            for row in pdf.sort_values(["ts", "ret"]).itertuples():
-                rets, n, wait = [*rets[1 - window :], row.ret], n + 1, max(0, wait - 1)
-                if len(rets) < least or wait or strikes >= 3:
-                    continue
-                s = pd.Series(rets)
-                mean, se = s.mean(), s.std() / len(rets) ** 0.5
-                if mean + 1.96 * se < 0 or mean < row.lcb - 2 * se:
-                    strikes, wait = strikes + 1, least // 2
-                    multiplier = 0.0 if strikes >= 3 else multiplier / 2
-                elif mean - 1.96 * se > 0 and multiplier < 1:
-                    multiplier, strikes, wait = min(1.0, 2 * multiplier), 0, least // 2
-        state.update((rets, multiplier, strikes, wait, n))
-        status = "suspended" if strikes >= 3 else "reduced" if multiplier < 1 else "ok"
-        yield pd.DataFrame([(key[0], n, multiplier, status)], columns=["strategy", "n", "multiplier", "status"])
+        rets, multiplier, reductions, since, n = state.get if state.exists else ([], 1.0, 0, 0, 0)
+        new = _in_order(batches, ["ts", "id"])
+        x = np.concatenate((np.asarray(rets, float), new["ret"].to_numpy(float)))
+        ends = np.arange(len(rets) + 1, len(x) + 1)
+        starts = np.maximum(0, ends - window)
+        # moments of every window at once; centred first, so that the differences of sums lose nothing
+        centre = x.mean() if len(x) else 0.0
+        s1, s2 = (np.concatenate(([0.0], np.cumsum((x - centre) ** p))) for p in (1, 2))
+        size = ends - starts
+        mean = (s1[ends] - s1[starts]) / size
+        se = np.sqrt(np.maximum(0.0, (s2[ends] - s2[starts]) - size * mean**2) / np.maximum(1, size - 1) / size)
+        mean = mean + centre
+        lost = (mean + 1.96 * se < 0) | (mean < new["lcb"].to_numpy(float) - 2 * se)
+        proven, full = mean - 1.96 * se > 0, size >= least
+        for i in range(len(new)):
+            since += 1
+            if not full[i] or reductions >= suspend or since < least // 2:
+                continue
+            if lost[i]:
+                reductions, since = reductions + 1, 0
+                multiplier = 0.0 if reductions >= suspend else multiplier / 2
+            elif proven[i] and multiplier < 1:
+                multiplier, since = min(1.0, 2 * multiplier), 0
+        n += len(new)
+        state.update((x[-window:].tolist(), float(multiplier), int(reductions), int(since), int(n)))
+        status = "suspended" if reductions >= suspend else "reduced" if multiplier < 1 else "ok"
+        yield pd.DataFrame([(key[0], n, multiplier, reductions, status)], columns=["strategy", "n", "multiplier", "reductions", "status"])
 
     return trades.groupBy("strategy").applyInPandasWithState(step, out, state_schema, "update", GroupStateTimeout.NoTimeout)
 
@@ -98,42 +151,91 @@ def sequence_monitor(messages: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, synced = state.get if state.exists else (0, False)
-        for pdf in batches:
-            rows = []
-            for r in pdf.sort_values("event_id").itertuples():
-                if r.snapshot:
-                    kind, synced = "snapshot", True
-                elif not synced or (r.begin > 0 and last > 0 and r.begin != last):
-                    kind, synced = "gap", False
-                else:
-                    kind = "delta"
-                last = r.nonce if r.nonce > 0 else last
-                rows.append((int(r.event_id), kind))
-            state.update((int(last), bool(synced)))
-            yield pd.DataFrame(rows, columns=["event_id", "state"])
+        rows = []
+        for r in _in_order(batches, ["event_id"]).itertuples():
+            if r.snapshot:
+                kind, synced = "snapshot", True
+            elif not synced or (r.begin > 0 and last > 0 and r.begin != last):
+                kind, synced = "gap", False
+            else:
+                kind = "delta"
+            last = r.nonce if r.nonce > 0 else last
+            rows.append((int(r.event_id), kind))
+        state.update((int(last), bool(synced)))
+        yield pd.DataFrame(rows, columns=["event_id", "state"])
+
+    return messages.groupBy("venue", "symbol").applyInPandasWithState(step, "event_id long, state string", state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def depth_monitor(messages: DataFrame) -> DataFrame:
+    """State of each depth message (venue, symbol, event_id, snapshot, first_id, last_id, prev_id) as ``feeds.depth_sync`` has it."""
+    state_schema = "last long, synced boolean, bridged boolean"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, synced, bridged = state.get if state.exists else (0, False, False)
+        rows = []
+        for r in _in_order(batches, ["event_id"]).itertuples():
+            if r.snapshot:
+                kind, last, synced, bridged = "snapshot", r.last_id, True, False
+            elif not synced:
+                kind = "gap"
+            elif r.last_id < last or (bridged and r.last_id == last):
+                kind = "old"
+            elif (r.prev_id == last) if bridged else (r.first_id <= last + 1):
+                kind, last, bridged = "delta", r.last_id, True
+            else:
+                kind, synced = "gap", False
+            rows.append((int(r.event_id), kind))
+        state.update((int(last), bool(synced), bool(bridged)))
+        yield pd.DataFrame(rows, columns=["event_id", "state"])
 
     return messages.groupBy("venue", "symbol").applyInPandasWithState(step, "event_id long, state string", state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def grid_samples(events: DataFrame, step_us: int) -> DataFrame:
-    """Mids of both venues at each tick that a later event of the symbol has passed.
+    """State of both venues at each tick that a later event of the symbol has passed (X03): mids, traded volume of the traded
+    venue by side, trades.
 
-    ``events``: symbol, venue, event_id, ts_us, mid, in order of arrival.  State is a few numbers for
-    each symbol.
+    ``events``: symbol, venue, event_id, ts_us, mid, buy, sell (volumes, 0 where nothing traded), in order of arrival.
+    State is a few numbers for each symbol.
+    """
+    schema = "symbol string, tick_us long, lit_mid double, ref_mid double, buy double, sell double, trades long"
+    state_schema = "lit double, ref double, tick long, buy double, sell double, trades long"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lit, ref, tick, buy, sell, trades = state.get if state.exists else (None, None, 0, 0.0, 0.0, 0)
+        rows = []
+        for r in _in_order(batches, ["ts_us", "event_id"]).itertuples():
+            tick = tick or (r.ts_us // step_us + 1) * step_us
+            while tick < r.ts_us:
+                rows.append((key[0], tick, lit, ref, buy, sell, trades))
+                tick += step_us
+            if r.venue == "lit":
+                lit, buy, sell, trades = r.mid, buy + r.buy, sell + r.sell, trades + int(r.buy + r.sell > 0)
+            else:
+                ref = r.mid
+        state.update((lit, ref, int(tick), float(buy), float(sell), int(trades)))
+        yield pd.DataFrame(rows, columns=["symbol", "tick_us", "lit_mid", "ref_mid", "buy", "sell", "trades"]).astype({"lit_mid": "float64", "ref_mid": "float64"})
+
+    return events.groupBy("symbol").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def pair_tracker(returns: DataFrame, halflife: float, least: int = 100) -> DataFrame:
+    """Correlation of pairs (a, b) from exponentially weighted products of returns.
+
+    ``returns``: tick, a, b, ra, rb, one row for each pair and tick in order of arrival; 0.5 below ``least`` ticks.
+    Variances start at 1e-8, products of different symbols at 0.  State is three numbers for each pair.
     """
-    state_schema = "lit double, ref double, tick long"
+    alpha = 1 - 0.5 ** (1 / max(halflife, 1.0))
+    state_schema = "n long, aa double, bb double, ab double"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lit, ref, tick = state.get if state.exists else (None, None, 0)
-        for pdf in batches:
-            rows = []
-            for r in pdf.sort_values(["ts_us", "event_id"]).itertuples():
-                tick = tick or (r.ts_us // step_us + 1) * step_us
-                while tick < r.ts_us:
-                    rows.append((key[0], tick, lit, ref))
-                    tick += step_us
-                lit, ref = (r.mid, ref) if r.venue == "lit" else (lit, r.mid)
-            state.update((lit, ref, int(tick)))
-            yield pd.DataFrame(rows, columns=["symbol", "tick_us", "lit_mid", "ref_mid"]).astype({"lit_mid": "float64", "ref_mid": "float64"})
-
-    return events.groupBy("symbol").applyInPandasWithState(step, "symbol string, tick_us long, lit_mid double, ref_mid double", state_schema, "append", GroupStateTimeout.NoTimeout)
+        n, aa, bb, ab = state.get if state.exists else (0, 1e-8, 1e-8, 0.0)
+        new = _in_order(batches, ["tick"])
+        for x, y in zip(new["ra"].to_numpy(float), new["rb"].to_numpy(float), strict=True):
+            aa, bb, ab = (1 - alpha) * aa + alpha * x * x, (1 - alpha) * bb + alpha * y * y, (1 - alpha) * ab + alpha * x * y
+        n += len(new)
+        state.update((int(n), float(aa), float(bb), float(ab)))
+        yield pd.DataFrame([(*key, n, ab / (aa * bb) ** 0.5 if n >= least and aa * bb > 0 else 0.5)], columns=["a", "b", "n", "corr"])
+
+    return returns.groupBy("a", "b").applyInPandasWithState(step, "a string, b string, n long, corr double", state_schema, "update", GroupStateTimeout.NoTimeout)
