@@ -183,6 +183,13 @@ def test_line_dedup_against_brute_force(spark):
         assert got == brute_lines(texts, least)
 
 
+def test_line_dedup_replaces_its_column(spark):
+    df = odd(spark, ODD).withColumn("n_lines_cut", F.lit("mine")).withColumn("a", F.lit(1)).withColumn("b", F.lit(2))
+    got = line_dedup.line_dedup(df)
+    assert sorted(got.columns) == sorted(df.columns) and dict(got.dtypes)["n_lines_cut"] == "int" and got.count() == len(ODD)
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
 def test_line_dedup_odd_rows(spark):
     df = odd(spark, ODD)
     got = line_dedup.line_dedup(df)
@@ -283,6 +290,26 @@ def test_packing_is_whole_and_tight(spark, docs, tokenizer):
     assert got.sequence_id.nunique() <= -(-total // 2048) * 1.02 + 1
 
 
+def test_the_search_beats_best_fit_on_hard_lengths(spark):
+    """Lengths of which two or three fill a sequence: best fit wastes room that crossover and mutation win back."""
+    import random
+
+    rng = random.Random(7)
+    lengths = [rng.randint(400, 1100) for _ in range(1500)]
+    plain = packing.first_packing(lengths, 2048, 0.0, rng)
+    found = packing.evolve(lengths, [], random.Random(1))
+    assert sorted(i for items in found.bins.values() for i in items) == list(range(1500)) and all(f >= 0 for f in found.free.values())
+    assert len(found.bins) <= len(plain.bins) - 5
+    # and so do the islands with their migration, over regions
+    items = spark.createDataFrame([(i, x) for i, x in enumerate(lengths)], "item long, length long")
+    packed = packing._round(items, 1, 2048).collect()
+    assert len(packed) == 1500 and len({(r.region, r.bin) for r in packed}) <= len(plain.bins) - 5
+    fills = Counter()
+    for r in packed:
+        fills[r.region, r.bin] += r.length
+    assert max(fills.values()) <= 2048
+
+
 def test_crossover_keeps_every_piece():
     import random
 
@@ -444,6 +471,48 @@ def test_toxicity_learns_on_small_table(spark):
     assert ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
+def test_toxicity_ratios_against_plain_counts(spark):
+    """The two smoothed models, written out over plain counters, give every token the same ratio."""
+    rng = np.random.default_rng(11)
+    rows = [(" ".join(f"{'bad' if c and rng.random() < 0.1 else 'word'}{rng.integers(0, 40)}{'ing' * int(rng.integers(0, 2))}" for _ in range(60)), c) for c in (0, 1) for _ in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    single, pair = [Counter(), Counter()], [Counter(), Counter()]
+    for t, c in rows:
+        seq = toxicity.tokens(t)
+        single[c].update(seq)
+        pair[c].update(zip(seq, seq[1:], strict=False))
+    words, pairs = set(single[0]) | set(single[1]), set(pair[0]) | set(pair[1])
+    after, cont = Counter(v for v, _ in pairs), Counter(w for _, w in pairs)
+    stem = lambda w: w[: toxicity.STEM]
+    stem_n, stem_cont = [Counter(), Counter()], Counter()
+    for w in words:
+        stem_cont[stem(w)] += cont[w]
+        for c in (0, 1):
+            stem_n[c][stem(w)] += single[c][w]
+    n = [sum(x.values()) for x in single]
+    freed = lambda counts, d, all_of: [max(1.0, sum(min(counts[c][x], d) for x in all_of)) / n[c] for c in (0, 1)]
+    lam, lam_stem = freed(single, toxicity.WORD_DISCOUNT, words), freed(stem_n, toxicity.STEM_DISCOUNT, stem_cont)
+    total = sum(cont.values()) + len(stem_cont) + 1
+
+    def p_stem(s, c):
+        return max(stem_n[c][s] - toxicity.STEM_DISCOUNT, 0) / n[c] + lam_stem[c] * (stem_cont[s] + 1 if s in stem_cont else 1) / total
+
+    def p_word(w, c):
+        if w not in words:
+            return lam[c] * p_stem(stem(w), c)
+        share = (cont[w] + 1) / (stem_cont[stem(w)] + cont[w] + 2)
+        return max(single[c][w] - toxicity.WORD_DISCOUNT, 0) / n[c] + lam[c] * p_stem(stem(w), c) * share
+
+    def p_pair(v, w, c):
+        back = min(1.0, toxicity.PAIR_DISCOUNT * after[v] / (single[0][v] + single[1][v])) if after[v] else 1.0
+        return max(pair[c][v, w] - toxicity.PAIR_DISCOUNT, 0) / max(single[c][v], 1) + back * p_word(w, c)
+
+    for t in [*(r[0] for r in rows[::17]), "bad1 word2 wordless never bad3ing badness"]:
+        seq = toxicity.tokens(t)
+        want = [np.log(p_word(seq[0], 1) / p_word(seq[0], 0))] + [np.log(p_pair(v, w, 1) / p_pair(v, w, 0)) for v, w in zip(seq, seq[1:], strict=False)]
+        assert model.ratios(seq) == pytest.approx(want, abs=1e-4)
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (5, 0), (9, 1), (None, 1), (0, None)], "doc_id long, toxic int")
     got = toxicity.score_documents(odd(spark, ODD), toxicity.train(odd(spark, ODD), labels)).collect()
@@ -564,6 +633,49 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs):
     assert left == {r.doc_id for r in df.collect()} - {d for d, _ in got}
 
 
+def test_retrieval_against_all_windows(spark, docs):
+    """Of the pairs that the verifier accepts at any window of any document, the search finds nine tenths at least."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = bench.collect()
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, r in enumerate(docs.orderBy("doc_id").limit(40).collect()):
+        host, w = r.text.split()[:400], items[k % len(items)].text.split()
+        how = k % 5
+        if how == 1:
+            w = [x if i % 4 else "changed" for i, x in enumerate(w)]
+        elif how == 2:
+            w = [x for i, x in enumerate(w) if i % 5]
+        elif how == 3:
+            w = [y for i, x in enumerate(w) for y in ([x, "added"] if i % 4 == 0 else [x])]
+        elif how == 4:
+            w = []
+        at = int(rng.integers(0, len(host) + 1))
+        rows.append((k, " ".join([*host[:at], *w, *host[at:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = decontaminate.document_frequencies(df)
+    idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32) + np.float32(1e-3)
+    known = decontaminate.Items([r.item_id for r in items], [r.text for r in items], idf, np.ones((decontaminate.BUCKETS, 2), np.float32))
+    want = set()
+    for d, t in rows:
+        h = decontaminate.word_hashes(t).tolist()
+        for k, i in enumerate(known.ids):
+            reach = int(1.5 * (known.word_ends[k + 1] - known.word_ends[k])) + 8
+            if any(known.holds(k, h[a : a + reach]) for a in range(0, max(1, len(h)), 8)):
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert len(want) >= 25 and len(want & got) >= 0.9 * len(want)
+
+
+def test_blocks_of_items_change_nothing(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    pairs = lambda: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    whole = pairs()
+    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "PASS", max(1, bench.count() // 3))
+    assert pairs() == whole and whole
+
+
 def test_decontamination_empty_tables(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.contaminated(odd(spark, []), bench).count() == 0
