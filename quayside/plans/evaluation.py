@@ -83,12 +83,12 @@ def equity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         R(F.max_by("after", F.struct("t_entry", "id")), 3).alias("final"), R(F.max_by("after", F.struct("t_entry", "id")) / INITIAL - 1, 8).alias("total_return"), R(F.max(fall), 3).alias("dd_abs"), R(F.max(fall / F.col("peak")), 8).alias("dd_frac"),
         R(F.min(F.col("before") - F.col("notional") * F.abs("mae")), 3).alias("worst_intratrade"))
     month = t.groupBy("model", bucket.alias("block")).agg(F.round(F.sum("pnl"), 5).alias("pnl"))
-    return whole.join(stats.expected_shortfall(month, ["model"], "pnl", 0.05, 1000.0).select("model", R("es", 3).alias("period_es95")), "model")
+    return whole.join(stats.expected_shortfall(month, ["model"], "pnl", 0.05, 1000.0).select("model", R("es", 8).alias("period_es95")), "model")
 
 
 EQUITY = f"""WITH {TRADES}, o AS (SELECT model, t_entry, l_orderkey * 8 + l_linenumber AS id, min(notional) AS notional, min(mae) AS mae, sum(ret * notional) AS pnl FROM tr GROUP BY ALL),
  a AS (SELECT *, {INITIAL} + sum(pnl) OVER w AS after, {INITIAL} + sum(pnl) OVER w - pnl AS before FROM o WINDOW w AS (PARTITION BY model ORDER BY t_entry, id ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, greatest({INITIAL}, max(after) OVER (PARTITION BY model ORDER BY t_entry, id ROWS UNBOUNDED PRECEDING)) AS peak FROM a),
- m AS (SELECT model, t_entry // {MONTH_NS} AS block, round(sum(pnl), 5) AS pnl FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY pnl) AS r, greatest(1, ceil(count(*) OVER (PARTITION BY model) * {_D(0.05)})) AS k FROM m), e AS (SELECT model, round(avg(pnl), 3) AS period_es95 FROM r WHERE r <= k GROUP BY model),
+ m AS (SELECT model, t_entry // {MONTH_NS} AS block, round(sum(pnl), 5) AS pnl FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY pnl) AS r, greatest(1, ceil(count(*) OVER (PARTITION BY model) * {_D(0.05)})) AS k FROM m), e AS (SELECT model, round(avg(pnl), 8) AS period_es95 FROM r WHERE r <= k GROUP BY model),
  x AS (SELECT model, arg_max(after, {{'t': t_entry, 'i': id}}) AS f, max(peak - after) AS d, max((peak - after) / peak) AS g, min(before - notional * abs(mae)) AS w FROM p GROUP BY model)
  SELECT model, round(f, 3) AS final, round(f / {INITIAL} - 1, 8) AS total_return, round(d, 3) AS dd_abs, round(g, 8) AS dd_frac, round(w, 3) AS worst_intratrade, period_es95 FROM x JOIN e USING (model)"""
 
@@ -108,19 +108,19 @@ def position_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     one = t.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_quantity", "l_extendedprice", "l_tax", "l_discount")).alias("f"))
     entry = F.col("l_linenumber") <= 2
-    when = lambda c, x: F.sum(F.when(c, x).otherwise(0.0))
+    when = lambda c, x: F.round(F.sum(F.when(c, x).otherwise(0.0)), 2)
     p = one.groupBy("l_orderkey").agg(
         when(entry, F.col("f.l_quantity")).alias("qty"), when(entry, F.col("f.l_extendedprice")).alias("paid"), when(~entry, F.col("f.l_quantity")).alias("sold"), when(~entry, F.col("f.l_extendedprice")).alias("got"),
-        F.sum(F.col("f.l_extendedprice") * F.col("f.l_tax") / 100).alias("fees"), F.sum(F.col("f.l_discount")).alias("funding"))
+        F.round(F.sum(F.col("f.l_extendedprice") * F.col("f.l_tax") / 100), 8).alias("fees"), F.round(F.sum(F.col("f.l_discount")), 2).alias("funding"))
     done = F.least("qty", "sold")
     p = p.where("qty > 0").withColumn("entry_px", F.col("paid") / F.col("qty")).withColumn("pnl", F.coalesce(done * (F.col("got") / F.nullif("sold", F.lit(0.0)) - F.col("entry_px")), F.lit(0.0)))
-    return p.select("l_orderkey", R("qty", 4).alias("qty"), R("entry_px").alias("entry_px"), (F.col("sold") >= F.col("qty")).alias("done"), R("pnl", 4).alias("pnl"), R("fees", 8).alias("fees"), R((F.col("pnl") - F.col("fees") - F.col("funding")) / F.col("paid"), 8).alias("net_return"))
+    return p.select("l_orderkey", R("qty", 4).alias("qty"), R("entry_px").alias("entry_px"), (F.col("sold") >= F.col("qty")).alias("done"), "pnl", "fees", R((F.col("pnl") - F.col("fees") - F.col("funding")) / F.col("paid"), 8).alias("net_return"))
 
 
 LEDGER = """WITH o AS (SELECT l_orderkey, l_linenumber, min({'a': l_quantity, 'b': l_extendedprice, 'c': l_tax, 'd': l_discount}) AS f FROM lineitem GROUP BY ALL),
- p AS (SELECT l_orderkey, coalesce(sum(f.a) FILTER (l_linenumber <= 2), 0) AS qty, coalesce(sum(f.b) FILTER (l_linenumber <= 2), 0) AS paid, coalesce(sum(f.a) FILTER (l_linenumber > 2), 0) AS sold, coalesce(sum(f.b) FILTER (l_linenumber > 2), 0) AS got, sum(f.b * f.c / 100) AS fees, sum(f.d) AS funding FROM o GROUP BY l_orderkey),
- q AS (SELECT *, paid / qty AS entry_px, coalesce(least(qty, sold) * (got / nullif(sold, 0) - paid / qty), 0) AS pnl FROM p WHERE qty > 0)
- SELECT l_orderkey, round(qty, 4) AS qty, round(entry_px, 6) AS entry_px, sold >= qty AS done, round(pnl, 4) AS pnl, round(fees, 8) AS fees, round((pnl - fees - funding) / paid, 8) AS net_return FROM q"""
+ p AS (SELECT l_orderkey, round(coalesce(sum(f.a) FILTER (l_linenumber <= 2), 0), 2) AS qty, round(coalesce(sum(f.b) FILTER (l_linenumber <= 2), 0), 2) AS paid, round(coalesce(sum(f.a) FILTER (l_linenumber > 2), 0), 2) AS sold, round(coalesce(sum(f.b) FILTER (l_linenumber > 2), 0), 2) AS got, round(sum(f.b * f.c / 100), 8) AS fees, round(sum(f.d), 2) AS funding FROM o GROUP BY l_orderkey),
+ q AS (SELECT *, paid / qty AS entry_px, coalesce(least(qty, sold) * (got / nullif(sold, 0) - paid / qty), CAST(0 AS DOUBLE)) AS pnl FROM p WHERE qty > 0)
+ SELECT l_orderkey, round(qty, 4) AS qty, round(entry_px, 6) AS entry_px, sold >= qty AS done, pnl, fees, round((pnl - fees - funding) / paid, 8) AS net_return FROM q"""
 
 
 def walked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

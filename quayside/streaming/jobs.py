@@ -72,20 +72,27 @@ def fill_ledger(fills: DataFrame, silence: str = "30 days") -> DataFrame:
     """
     out = "order_id long, fills long, qty double, notional double, fees double"
     state_schema = "ids array<string>, qty double, notional double, fees double"
+    kept_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         ids, qty, notional, fees = state.get if state.exists else ([], 0.0, 0.0, 0.0)
-        new = _in_order(batches, ["ts", "trade_id"]).drop_duplicates("trade_id")
-        fresh = new[~new["trade_id"].isin(list(ids))]
-        qty, notional, fees = qty + fresh["qty"].sum(), notional + (fresh["qty"] * fresh["px"]).sum(), fees + fresh["fee"].sum()
-        ids = [*ids, *fresh["trade_id"]]
-        state.update((ids, float(qty), float(notional), float(fees)))
-        state.setTimeoutTimestamp(max(int(new["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + int(pd.Timedelta(silence).total_seconds() * 1000))
-        if len(fresh):
-            yield pd.DataFrame([(int(key[0]), len(ids), qty, notional, fees)], columns=["order_id", "fills", "qty", "notional", "fees"])
+        rows: list[tuple] = []
+        for pdf in batches:  # plain values: an order has few fills
+            rows += zip(*(pdf[c].tolist() for c in ("ts", "trade_id", "qty", "px", "fee")), strict=True)
+        known = dict.fromkeys(ids)
+        for _, trade_id, q, px, fee in sorted(rows):
+            if trade_id not in known:
+                known[trade_id] = None
+                qty, notional, fees = qty + q, notional + q * px, fees + fee
+        fresh = len(known) > len(ids)
+        state.update((list(known), float(qty), float(notional), float(fees)))
+        last = max(r[0] for r in rows).timestamp()
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + kept_ms)
+        if fresh:
+            yield pd.DataFrame({"order_id": [int(key[0])], "fills": [len(known)], "qty": [qty], "notional": [notional], "fees": [fees]})
 
     return fills.withWatermark("ts", "1 hour").groupBy("order_id").applyInPandasWithState(step, out, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
 
