@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scans import asof_join, prefix_scan, uniform
 from ..operators import book, risk, stats
-from ..sources.tables import written
+from ..sources import reports
+from ..sources.tables import shared_path, written
 from ..sources.views import DAY, HOUR, QUOTES, quotes, table
 from .labels import _ENTRIES, PASSIVE, passive_fill
 from .market import _INSTANTS, INTERVALS, WEEK, _instants, level_intervals
@@ -321,7 +322,25 @@ SIZES = f"""WITH d AS (SELECT p_partkey AS k, 500 + p_partkey % 9 * 100 - {_D(_L
  u AS (SELECT k, e, price, lev, CASE WHEN refused IS NOT NULL THEN 0 WHEN feasible THEN raw WHEN lifted THEN qmin ELSE 0 END AS qty, coalesce(refused, CASE WHEN feasible THEN 'ok' WHEN lifted THEN 'raised_to_exchange_minimum' WHEN fmin > cap THEN 'below_exchange_minimum_cap' ELSE 'below_exchange_minimum_negative_growth' END) AS size_reason FROM t)
  SELECT k AS p_partkey, lev AS leverage, round(qty * price / e, 8) AS fraction, round(qty, 6) AS qty, size_reason FROM u"""
 
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades as CSV, metrics as JSON and the log of two runs, written and read again."""
+    root, t = shared_path(spark, "report"), trades(spark, sf_dir)
+    results = written(metrics(t, BY))
+    reports.write_trades(t, f"{root}/trades")
+    reports.write_results(results, f"{root}/results")
+    for run in ("first", "second"):
+        reports.log_experiment(results, run, f"{root}/experiments")
+    back = spark.read.schema(t.schema).option("header", True).csv(f"{root}/trades")
+    rows = lambda df, name, x: df.agg(F.lit(name).alias("file"), F.count("*").alias("n"), R(F.sum(x), 6).alias("total"))
+    out = rows(back, "trades", F.col("ret")).unionByName(rows(spark.read.schema(results.schema).json(f"{root}/results"), "results", F.col("n_trades").cast("double")))
+    return out.unionByName(rows(reports.read_experiments(spark, f"{root}/experiments"), "experiments", F.col("n_trades").cast("double")))
+
+
+REPORT = f"""WITH {TRADES}, g AS (SELECT {_BY}, count(*) AS n FROM tr GROUP BY ALL), s AS (SELECT count(*) AS n, CAST(sum(n) AS DOUBLE) AS t FROM g)
+ SELECT 'trades' AS file, count(*) AS n, round(sum(ret), 6) AS total FROM tr UNION ALL SELECT 'results', n, t FROM s UNION ALL SELECT 'experiments', 2 * n, 2 * t FROM s"""
+
 QUERIES = {
+    "report_files": (report_files, REPORT),
     "trade_metrics": (trade_metrics, METRICS),
     "equity_metrics": (equity_metrics, EQUITY),
     "median_costs": (median_costs, COSTS),

@@ -198,24 +198,45 @@ def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(penalty, f, float(c)) for f, c in zip([*FEATURES, "intercept"], w, strict=True)], "penalty double, feature string, coefficient double")
 
 
-def flow_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of z scores with signs, over the root of their number; missing counts 0."""
-    m = matrix(spark, sf_dir)
-    use = FEATURES[:4]
+#: Absolute t from which a feature counts as flow.
+TOLD = 2.0
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, f0, flow: the sum of z scores signed by their t over the root of their number, of features whose t tells something."""
+    t = {r["feature"]: r["t"] for r in ic_tstat(spark, sf_dir).where(F.abs("t") >= TOLD).collect()}  # one row a feature
+    m, use = matrix(spark, sf_dir), sorted(t)
+    if not use:
+        return m.select("vec_id", "f0", F.lit(None).cast("double").alias("flow"))
     moments = m.agg(*[F.avg(f).alias(f"m_{f}") for f in use], *[F.stddev_pop(f).alias(f"s_{f}") for f in use])
-    z = sum(F.coalesce((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"), F.lit(0.0)) * (1 if i % 2 == 0 else -1) for i, f in enumerate(use))
-    return m.join(F.broadcast(moments)).select("vec_id", R(z / F.sqrt(F.lit(float(len(use))))).alias("score"))
+    z = sum((F.coalesce((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"), F.lit(0.0)) * (1 if t[f] > 0 else -1) for f in use), F.lit(0.0))
+    return m.join(F.broadcast(moments)).select("vec_id", "f0", (z / F.sqrt(F.lit(float(len(use))))).alias("flow"))
+
 
+def flow_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed sum of the features that tell something."""
+    return _flow(spark, sf_dir).select("vec_id", R("flow").alias("score"))
 
-FLOW = f"WITH {MATRIX}, mm AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES[:4]) + " FROM mx) SELECT vec_id, round((" + " ".join(f"{'+' if i % 2 == 0 else '-'} coalesce(({f} - m_{f}) / s_{f}, 0)" for i, f in enumerate(FEATURES[:4])) + ") / sqrt(4), 6) AS score FROM mx, mm"
+
+def lag_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag score where the flow agrees with it in sign."""
+    return _flow(spark, sf_dir).select("vec_id", R(F.when(F.signum("f0") == F.signum("flow"), F.col("f0"))).alias("score"))
+
+
+_FLOW = f"""{IC}, tt AS (SELECT feature, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t FROM ic GROUP BY feature HAVING abs(round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6)) >= {TOLD}),
+ zz AS (SELECT vec_id, feature, (x - avg(x) OVER (PARTITION BY feature)) / stddev_pop(x) OVER (PARTITION BY feature) AS z FROM lg), fl AS (SELECT mx.vec_id, any_value(f0) AS f0, sum(sign(t) * coalesce(z, 0)) / sqrt(count(t)) AS flow FROM mx LEFT JOIN (zz JOIN tt USING (feature)) USING (vec_id) GROUP BY mx.vec_id)"""
+FLOW = f"WITH {_FLOW} SELECT vec_id, round(flow, 6) AS score FROM fl"
+LAG_FLOW = f"WITH {_FLOW} SELECT vec_id, round(CASE WHEN sign(f0) = sign(flow) THEN f0 END, 6) AS score FROM fl"
 
 
 def gated_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signal where a second feature exceeds its 80 % quantile, agreeing in sign with a third."""
+    """Signals of regimes: reversion where a feature exceeds its 80 % quantile, momentum where another exceeds its 67 %."""
     m = matrix(spark, sf_dir)
-    q = m.agg(F.percentile("f1", F.lit(0.8)).alias("q"))
-    gate = (F.col("f1") > F.col("q")) & (F.signum("f0") == F.signum("f2"))
-    return m.join(F.broadcast(q)).select("vec_id", R(F.when(gate, -F.col("f0"))).alias("score"))
+    q = m.agg(F.percentile("f1", F.lit(0.8)).alias("a"), F.percentile("f4", F.lit(0.67)).alias("b"))
+    return m.join(F.broadcast(q)).select("vec_id", R(F.when(F.col("f1") > F.col("a"), -F.col("f2"))).alias("shock_reversion"), R(F.when(F.col("f4") > F.col("b"), F.col("f3"))).alias("vol_momentum"))
+
+
+GATED = f"WITH {MATRIX}, q AS (SELECT quantile_cont(f1, 0.8) AS a, quantile_cont(f4, 0.67) AS b FROM mx) SELECT vec_id, round(CASE WHEN f1 > a THEN -f2 END, 6) AS shock_reversion, round(CASE WHEN f4 > b THEN f3 END, 6) AS vol_momentum FROM mx, q"
 
 
 def regime_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -697,7 +718,8 @@ QUERIES = {
     "ridge_gram": (ridge_gram, GRAM),
     "ridge_fit": (ridge_fit, None),
     "flow_composite": (flow_composite, FLOW),
-    "gated_signal": (gated_signal, f"WITH {MATRIX}, q AS (SELECT quantile_cont(f1, 0.8) AS q FROM mx) SELECT vec_id, round(CASE WHEN f1 > q AND sign(f0) = sign(f2) THEN -f0 END, 6) AS score FROM mx, q"),
+    "lag_flow": (lag_flow, LAG_FLOW),
+    "gated_signal": (gated_signal, GATED),
     "regime_labels": (regime_labels, REGIMES),
     "isotonic_calibrate": (isotonic_calibrate, None),
     "gbt_scores": (gbt_scores, None),

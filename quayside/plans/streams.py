@@ -36,16 +36,16 @@ def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders rolled up from fills that may come twice."""
     t = jobs.stream_table(spark, sf_dir, "lineitem")
+    name = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
     fills = t.select(
-        F.col("l_orderkey").alias("order_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("trade_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
-        F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"))
+        F.col("l_orderkey").alias("order_id"), name.alias("trade_id"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
+        (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"))
     twice = fills.withColumn("copy", F.explode(F.when(F.crc32("trade_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
-    last = jobs.run_updates(jobs.fill_ledger(twice)).groupBy("order_id").agg(F.max_by(F.struct("fills", "qty", "notional", "fees"), "batch").alias("s"))
-    return last.select("order_id", "s.fills", F.round("s.qty", 4).alias("qty"), F.round(F.col("s.notional") / F.col("s.qty"), 9).alias("avg_px"), F.round("s.fees", 4).alias("fees"))
+    return jobs.fill_ledger(twice).select("order_id", "fills", F.round("qty", 4).alias("qty"), F.round(F.col("notional") / F.col("qty"), 9).alias("avg_px"), F.round("fees", 6).alias("fees"))
 
 
-STREAM_FILLS = """WITH o AS (SELECT l_orderkey, l_linenumber, min_by(l_quantity, l_shipdate) AS q, min_by(l_extendedprice, l_shipdate) AS x, min_by(l_tax, l_shipdate) AS t FROM lineitem GROUP BY ALL)
- SELECT l_orderkey AS order_id, count(*) AS fills, round(sum(q), 4) AS qty, round(sum(x) / sum(q), 9) AS avg_px, round(sum(x * t), 4) AS fees FROM o GROUP BY l_orderkey"""
+STREAM_FILLS = """WITH o AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax FROM lineitem)
+ SELECT l_orderkey AS order_id, CAST(count(*) AS BIGINT) AS fills, round(sum(l_quantity), 4) AS qty, round(sum(l_quantity * (l_extendedprice / l_quantity)) / sum(l_quantity), 9) AS avg_px, round(sum(l_extendedprice * l_tax), 6) AS fees FROM o GROUP BY l_orderkey"""
 
 
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

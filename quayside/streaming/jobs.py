@@ -65,36 +65,24 @@ def silences(events: DataFrame, gap: str = "3 hours") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap), "venue", "symbol").agg(F.count("*").alias("messages")).select("venue", "symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("alarm"), "messages")
 
 
-def fill_ledger(fills: DataFrame, silence: str = "30 days") -> DataFrame:
-    """Orders rolled up from fills (order_id, trade_id, ts, qty, px, fee), each counted once by trade id.
+def unique_fills(fills: DataFrame, watermark: str = "30 days") -> DataFrame:
+    """Fills counted once by trade id (X06); an id's state goes once the watermark has passed it."""
+    return fills.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["trade_id"])
 
-    State is an order's trade ids and sums; it goes once the watermark is ``silence`` past the order's last fill.
-    """
-    out = "order_id long, fills long, qty double, notional double, fees double"
-    state_schema = "ids array<string>, qty double, notional double, fees double"
-    kept_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ids, qty, notional, fees = state.get if state.exists else ([], 0.0, 0.0, 0.0)
-        rows: list[tuple] = []
-        for pdf in batches:  # plain values: an order has few fills
-            rows += zip(*(pdf[c].tolist() for c in ("ts", "trade_id", "qty", "px", "fee")), strict=True)
-        known = dict.fromkeys(ids)
-        for _, trade_id, q, px, fee in sorted(rows):
-            if trade_id not in known:
-                known[trade_id] = None
-                qty, notional, fees = qty + q, notional + q * px, fees + fee
-        fresh = len(known) > len(ids)
-        state.update((list(known), float(qty), float(notional), float(fees)))
-        last = max(r[0] for r in rows).timestamp()
-        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + kept_ms)
-        if fresh:
-            yield pd.DataFrame({"order_id": [int(key[0])], "fills": [len(known)], "qty": [qty], "notional": [notional], "fees": [fees]})
-
-    return fills.withWatermark("ts", "1 hour").groupBy("order_id").applyInPandasWithState(step, out, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
+def fill_ledger(fills: DataFrame) -> DataFrame:
+    """Orders rolled up from a stream of fills (order_id, trade_id, ts, qty, px, fee) that may come twice.
+
+    Each micro-batch leaves one row of sums for each of its orders in a ledger, and replaces it if it runs again; an order is the
+    sum of its rows."""
+    spark, path = fills.sparkSession, shared_path(fills.sparkSession)
+
+    def keep(df: DataFrame, batch: int) -> None:
+        sums = df.groupBy("order_id").agg(F.count("*").alias("fills"), F.sum("qty").alias("qty"), F.sum(F.col("qty") * F.col("px")).alias("notional"), F.sum("fee").alias("fees"))
+        sums.write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
+
+    unique_fills(fills).writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/ledger").groupBy("order_id").agg(*[F.sum(c).alias(c) for c in ("fills", "qty", "notional", "fees")])
 
 
 def annotated(events: DataFrame, policy: DataFrame) -> DataFrame:
