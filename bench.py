@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from quayside import registry
 
 HEADLINE = (
-    "lead_lag_features", "asof_grid_state", "prefix_sum_flow", "stream_quality", "delay_quantiles", "ewma_mean", "ofi_cumulative", "level_intervals", "book_asof_top", "book_walk_notional",
+    "lead_lag_features", "grid_features", "book_features", "asof_grid_state", "prefix_sum_flow", "stream_quality", "delay_quantiles", "ewma_mean", "ofi_cumulative", "level_intervals", "book_asof_top", "book_walk_notional",
     "entry_exit_labels", "vol_trend", "sequence_gaps", "trade_metrics", "threshold_candidates", "cluster_bootstrap_ci", "spa_test", "pbo_cscv", "fill_rollup", "position_mismatch")
 
 
