@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.llm import decontaminate, extract, line_dedup, near_dup, packing, quality, registry, simhash, surrogates, token_files, tokenize, toxicity, warc
-from quayside.llm.common import connected_components, scratch
+from quayside.llm.common import connected_components, hot_join, scratch
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, fp string"
@@ -113,6 +113,46 @@ def test_quality_counts_against_plain(spark, docs):
         assert not (g.kept and g.base_failed)
 
 
+def test_quality_ratios_against_plain_counts(spark, docs):
+    """Scores and verdicts from counters over the same buckets, in exact arithmetic."""
+    import xxhash
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()} - {r.doc_id for r in labels.where("quality = 0").collect()}
+
+    def grams(text):
+        w = [x.encode() for x in words(text)]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        two = [xxhash.xxh64_intdigest(v, h) for h, v in zip(one, w[1:], strict=False)]
+        return [(h - ((h >> 63) << 64)) % quality.BUCKETS for h in one + two]
+
+    raw, target = Counter(), Counter()
+    rows = docs.collect()
+    for r in rows:
+        g = grams(r.text)
+        raw.update(g)
+        if r.doc_id in good:
+            target.update(g)
+    n, t = sum(raw.values()), sum(target.values())
+    prior = quality.PRIOR
+    ratio = {b: round(np.log(((target[b] + prior) / (t + prior * quality.BUCKETS)) / ((raw[b] + prior) / (n + prior * quality.BUCKETS))) * quality.UNIT) for b in raw}
+    got = quality.quality_rules(docs, labels).toPandas().set_index("doc_id")
+    for r in rows:
+        g = grams(r.text)
+        assert got.loc[r.doc_id].llr == pytest.approx(sum(ratio[b] for b in g) / quality.UNIT / len(g) if g else 0.0, abs=1e-6)
+    cut = min([x.llr for x in got.itertuples() if x.kept], default=0.0)
+    assert all(x.kept == (not x.base_failed and x.llr >= cut) for x in got.itertuples())
+
+
+def test_hot_keys_join_like_others(spark):
+    detail = spark.createDataFrame([(k, i) for i in range(300) for k in ([0] if i % 3 else [0, i])], "k long, i long")
+    small = detail.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")).where("k % 2 = 0")
+    want = sorted(tuple(r) for r in detail.join(small, "k").select("k", "i", "n", "top").collect())
+    for share in (1, 2, 50, 10_000):
+        assert sorted(tuple(r) for r in hot_join(detail, small, ["k"], "n", share).select("k", "i", "n", "top").collect()) == want
+    assert hot_join(detail.limit(0), small.limit(0), ["k"], "n").count() == 0
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     got = quality.quality_rules(odd(spark, ODD), labels).collect()
