@@ -10,9 +10,10 @@ from ..operators import book, risk, stats
 from ..sources import reports
 from ..sources.tables import shared_path, written
 from ..sources.views import DAY, HOUR, QUOTES, quotes, table
+from .feeds import data_span
 from .labels import _ENTRIES, PASSIVE, passive_fill
 from .market import _INSTANTS, INTERVALS, WEEK, _instants, level_intervals
-from .research import _DRAW, MONTH_NS, THRESHOLDS, R, threshold_candidates
+from .research import _DRAW, MONTH_NS, THRESHOLDS, R, deflated_sharpe, exec_latency_match, pbo_cscv, results_hash, spa_test, threshold_candidates, walk_forward_folds
 
 REPS = 100
 NOTIONAL, TAKER, MAKER, HOLD = 50_000.0, 0.0004, 0.0002, 7 * DAY
@@ -322,6 +323,53 @@ SIZES = f"""WITH d AS (SELECT p_partkey AS k, 500 + p_partkey % 9 * 100 - {_D(_L
  u AS (SELECT k, e, price, lev, CASE WHEN refused IS NOT NULL THEN 0 WHEN feasible THEN raw WHEN lifted THEN qmin ELSE 0 END AS qty, coalesce(refused, CASE WHEN feasible THEN 'ok' WHEN lifted THEN 'raised_to_exchange_minimum' WHEN fmin > cap THEN 'below_exchange_minimum_cap' ELSE 'below_exchange_minimum_negative_growth' END) AS size_reason FROM t)
  SELECT k AS p_partkey, lev AS leverage, round(qty * price / e, 8) AS fraction, round(qty, 6) AS qty, size_reason FROM u"""
 
+def paired(spark: SparkSession, sf_dir: str, a: tuple[str, str], b: tuple[str, str], since: int = 0) -> tuple[float, float]:
+    """Mean monthly difference of two series (model, execution) from block ``since`` on, and the one-sided p that it is none."""
+    t = trades(spark, sf_dir).withColumn("block", F.floor(F.col("t_entry") / MONTH_NS)).where(F.col("block") >= since)
+    is_a, is_b = ((F.col("model") == m) & (F.col("exec_mode") == e) for m, e in (a, b))
+    d = t.where(is_a | is_b).groupBy("block").agg(F.sum(F.when(is_a, F.col("ret")).otherwise(-F.col("ret"))).alias("d"))
+    span = t.agg(F.min("block").alias("lo"), F.max("block").alias("hi")).first()
+    n = span["hi"] - span["lo"] + 1
+    mean = (d.agg(F.sum("d")).first()[0] or 0.0) / n
+    idx = d.select((F.col("block") - span["lo"]).cast("int").alias("idx"), "d")
+    reps = stats.stationary_paths(n, 4.0, REPS, "5", spark).join(idx, "idx", "left").groupBy("rep").agg((F.sum(F.coalesce("d", F.lit(0.0))) / n).alias("m"))
+    return mean, reps.agg(F.avg((F.col("m") - mean >= mean).cast("int"))).first()[0]
+
+
+#: What a promotion asks for.
+GATE = {"periods": 3, "trades": 200, "alpha": 0.05, "pbo": 0.3, "dsr": 0.9}
+
+
+def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve checks of a promotion with their details, and whether all pass (T11): recorded data, measured latency, a credible
+    champion, periods, trades, interval, both tests against nothing and the baseline, overfitting, deflated ratio,
+    reproduction and the present champion on months it has not seen.
+
+    Every number is a result of another query, a few rows each; the driver only compares them."""
+    chosen = champion_choice(spark, sf_dir).where("chosen").first()
+    synthetic = data_span(spark, sf_dir).agg(F.max("synthetic")).first()[0]
+    samples = exec_latency_match(spark, sf_dir).count()
+    out = [("data_recorded", not synthetic, "synthetic" if synthetic else "recorded"), ("latency_measured", samples >= 30, f"{samples} samples"), ("credible_selection", chosen is not None, "/".join(chosen[:2]) if chosen else "none")]
+    if chosen is not None:
+        key = (chosen["model"], chosen["exec_mode"])
+        m = trade_metrics(spark, sf_dir).where((F.col("model") == key[0]) & (F.col("exec_mode") == key[1])).first()
+        folds = walk_forward_folds(spark, sf_dir).select("fold").distinct().count()
+        spa = spa_test(spark, sf_dir).first()["p"]
+        baseline = min(COMPLEXITY, key=COMPLEXITY.get)
+        mean, p = paired(spark, sf_dir, key, (baseline, key[1]))
+        pbo = pbo_cscv(spark, sf_dir).agg(F.avg((F.col("logit") <= 0).cast("int"))).first()[0]
+        dsr = {r["model"]: r["dsr"] for r in deflated_sharpe(spark, sf_dir).collect()}.get(key[0])
+        digests = {results_hash(spark, sf_dir).first()[0] for _ in range(2)}
+        present = ("A", "aggressive")
+        unseen, q = paired(spark, sf_dir, key, present, 883_612_800_000_000_000 // MONTH_NS + 1) if key != present else (None, None)
+        out += [
+            ("oos_periods", folds >= GATE["periods"], f"{folds} periods"), ("min_trades", m["n_trades"] >= GATE["trades"], f"{m['n_trades']} trades"), ("net_ci_positive", m["ci_lo"] > 0, f"{m['ci_lo']:.6f}"), ("spa_vs_no_trading", spa < GATE["alpha"], f"p {spa:.4f}"),
+            ("beats_baselines", mean > 0 and p < GATE["alpha"], f"{mean:.6f}, p {p:.4f}"), ("pbo", pbo <= GATE["pbo"], f"{pbo:.4f}"), ("deflated_sharpe", dsr is not None and dsr >= GATE["dsr"], "none" if dsr is None else f"{dsr:.4f}"),
+            ("reproducible", len(digests) == 1, ",".join(sorted(digests))), ("beats_champion", key == present or (unseen > 0 and q < GATE["alpha"]), "is the champion" if key == present else f"{unseen:.6f}, p {q:.4f}")]
+    passes = all(ok for _, ok, _ in out)
+    return spark.createDataFrame([(*r, passes) for r in out], "check string, ok boolean, detail string, passes boolean")
+
+
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades as CSV, metrics as JSON and the log of two runs, written and read again."""
     root, t = shared_path(spark, "report"), trades(spark, sf_dir)
@@ -340,6 +388,7 @@ REPORT = f"""WITH {TRADES}, g AS (SELECT {_BY}, count(*) AS n FROM tr GROUP BY A
  SELECT 'trades' AS file, count(*) AS n, round(sum(ret), 6) AS total FROM tr UNION ALL SELECT 'results', n, t FROM s UNION ALL SELECT 'experiments', 2 * n, 2 * t FROM s"""
 
 QUERIES = {
+    "promotion_gate": (promotion_gate, None),
     "report_files": (report_files, REPORT),
     "trade_metrics": (trade_metrics, METRICS),
     "equity_metrics": (equity_metrics, EQUITY),
