@@ -13,7 +13,7 @@ from ..sources.views import DAY, HOUR, QUOTES, quotes, table
 from .feeds import data_span
 from .labels import _ENTRIES, PASSIVE, passive_fill
 from .market import _INSTANTS, INTERVALS, WEEK, _instants, level_intervals
-from .research import _DRAW, MONTH_NS, THRESHOLDS, R, deflated_sharpe, exec_latency_match, pbo_cscv, results_hash, spa_test, threshold_candidates, walk_forward_folds
+from .research import _DRAW, MONTH_NS, THRESHOLDS, R, deflated_sharpe, exec_latency_match, pbo_cscv, results_hash, spa, spa_test, threshold_candidates, walk_forward_folds
 
 REPS = 100
 NOTIONAL, TAKER, MAKER, HOLD = 50_000.0, 0.0004, 0.0002, 7 * DAY
@@ -336,6 +336,34 @@ def paired(spark: SparkSession, sf_dir: str, a: tuple[str, str], b: tuple[str, s
     return mean, reps.agg(F.avg((F.col("m") - mean >= mean).cast("int"))).first()[0]
 
 
+def comparison_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each execution: mean period result and deflated ratio of each model, each against the baseline, the best against
+    nothing and against the baseline, and the probability of overfitting (E05, E07).
+
+    Series have one row a model and month; the driver gets a few numbers."""
+    t = trades(spark, sf_dir).withColumn("block", F.floor(F.col("t_entry") / MONTH_NS))
+    lo, hi = t.agg(F.min("block"), F.max("block")).first()
+    n, base = hi - lo + 1, min(COMPLEXITY, key=COMPLEXITY.get)
+    paths = written(stats.stationary_paths(n, 4.0, REPS, "5", spark))
+    calendar = spark.createDataFrame([(m, i) for m in COMPLEXITY for i in range(n)], "model string, idx int")
+    out = []
+    for mode in ("aggressive", "passive"):
+        sums = t.where(F.col("exec_mode") == mode).groupBy("model", (F.col("block") - lo).cast("int").alias("idx")).agg(F.sum("ret").alias("value"))
+        s = written(calendar.join(sums, ["model", "idx"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))))
+        moments = s.groupBy("model").agg(F.avg("value").alias("mean"), (F.avg("value") / F.stddev_samp("value")).alias("sharpe"), F.skewness("value").alias("skew"), (F.kurtosis("value") + 3).alias("kurtosis")).collect()
+        ratios = [r["sharpe"] for r in moments]
+        spread = sum((x - sum(ratios) / len(ratios)) ** 2 for x in ratios) / len(ratios)
+        for r in moments:
+            out += [(mode, "mean", r["model"], r["mean"]), (mode, "deflated_sharpe", r["model"], stats.deflated_sharpe(n, r["sharpe"], r["skew"], r["kurtosis"], len(moments) * 2 * 3 * 8, spread))]
+            if r["model"] != base:
+                out.append((mode, "p_against_baseline", r["model"], float(paired(spark, sf_dir, (r["model"], mode), (base, mode))[1])))
+        own = s.where(F.col("model") == base).select("idx", F.col("value").alias("b"))
+        over = s.where(F.col("model") != base).join(own, "idx").select("model", "idx", (F.col("value") - F.col("b")).alias("value"))
+        overfit = stats.pbo(s, "idx", "model", "value").agg(F.avg((F.col("logit") <= 0).cast("int"))).first()[0]
+        out += [(mode, "spa_against_nothing", None, spa(paths, s, n).first()["p"]), (mode, "spa_against_baseline", None, spa(paths, over, n).first()["p"]), (mode, "pbo", None, overfit)]
+    return spark.createDataFrame(out, "exec_mode string, metric string, model string, value double")
+
+
 #: What a promotion asks for.
 GATE = {"periods": 3, "trades": 200, "alpha": 0.05, "pbo": 0.3, "dsr": 0.9}
 
@@ -388,6 +416,7 @@ REPORT = f"""WITH {TRADES}, g AS (SELECT {_BY}, count(*) AS n FROM tr GROUP BY A
  SELECT 'trades' AS file, count(*) AS n, round(sum(ret), 6) AS total FROM tr UNION ALL SELECT 'results', n, t FROM s UNION ALL SELECT 'experiments', 2 * n, 2 * t FROM s"""
 
 QUERIES = {
+    "comparison_bundle": (comparison_bundle, None),
     "promotion_gate": (promotion_gate, None),
     "report_files": (report_files, REPORT),
     "trade_metrics": (trade_metrics, METRICS),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -455,19 +456,23 @@ PAIRED = f"""WITH {_PATHS}, x AS (SELECT rep, sum(CASE model WHEN 'A' THEN m WHE
  SELECT round(any_value(mean), 8) AS mean, round(quantile_cont(m, CAST(0.05 AS DOUBLE)), 8) AS lo, round(quantile_cont(m, CAST(0.95 AS DOUBLE)), 8) AS hi, round(avg(CASE WHEN m - mean >= mean THEN 1 ELSE 0 END), 6) AS p FROM x, y"""
 
 
+def spa(paths: DataFrame, s: DataFrame, n: int) -> DataFrame:
+    """stat, p: whether the best of the series (model, idx, value) over ``n`` periods beats 0, by the consistent test."""
+    means = s.groupBy("model").agg((F.sum("value") / n).alias("d"))
+    boot = paths.join(s, "idx").groupBy("rep", "model").agg((F.sum("value") / n).alias("m"))
+    root, edge = math.sqrt(n), -math.sqrt(2 * math.log(math.log(n)))
+    omega = boot.groupBy("model").agg((F.stddev_pop("m") * root).alias("w"))
+    ratio = root * F.col("d") / F.col("w")
+    each = means.join(omega, "model").withColumn("t", F.greatest(F.lit(0.0), ratio)).withColumn("g", F.when(ratio >= edge, F.col("d")).otherwise(0.0))  # one row a model
+    stat = each.agg(F.max("t").alias("stat"))
+    top = boot.join(F.broadcast(each), "model").groupBy("rep").agg(F.greatest(F.lit(0.0), F.max(root * (F.col("m") - F.col("g")) / F.col("w"))).alias("b"))
+    return top.join(F.broadcast(stat)).agg(R(F.first("stat")).alias("stat"), R(F.avg((F.col("b") >= F.col("stat")).cast("int"))).alias("p"))
+
+
 def spa_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Superior predictive ability of the best model over none, consistent p."""
-    import math
-
     paths, s = _paths(spark, sf_dir)
-    n = s.agg(F.max("idx")).first()[0] + 1
-    means = s.groupBy("model").agg(F.avg("value").alias("d"))
-    boot = paths.join(s, "idx").groupBy("rep", "model").agg(F.avg("value").alias("m"))
-    omega = boot.groupBy("model").agg((F.stddev_pop("m") * math.sqrt(n)).alias("w"))
-    each = means.join(omega, "model").withColumn("t", F.greatest(F.lit(0.0), math.sqrt(n) * F.col("d") / F.col("w"))).withColumn("g", F.when(math.sqrt(n) * F.col("d") / F.col("w") >= -math.sqrt(2 * math.log(math.log(n))), F.col("d")).otherwise(0.0))
-    stat = each.agg(F.max("t").alias("stat"))
-    top = boot.join(F.broadcast(each), "model").groupBy("rep").agg(F.greatest(F.lit(0.0), F.max(math.sqrt(n) * (F.col("m") - F.col("g")) / F.col("w"))).alias("b"))
-    return top.join(F.broadcast(stat)).agg(R(F.first("stat")).alias("stat"), R(F.avg((F.col("b") >= F.col("stat")).cast("int"))).alias("p"))
+    return spa(paths, s, s.agg(F.max("idx")).first()[0] + 1)
 
 
 SPA = f"""WITH {_PATHS}, e AS (SELECT model, avg(round(value, 7)) AS d FROM ps GROUP BY model), v AS (SELECT model, stddev_pop(m) * sqrt(any_value(len)) AS w FROM mm, o GROUP BY model),
