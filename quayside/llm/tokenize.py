@@ -13,6 +13,7 @@ REMEMBERED = 1_000_000
 JOINED = 5_000
 #: Punctuation that may follow a word of letters.
 TAIL = b".,;:!?|*$%&#\"')-"
+PUNCTUATION = TAIL.decode()
 
 
 def default_path() -> str:
@@ -96,7 +97,79 @@ class TokenIds:
         return out
 
 
+class ByteTokenIds(TokenIds):
+    """The same for a byte-level vocabulary, whose tokens carry the space before a word.
+
+    Its pattern never joins what stands before a single space or line feed between visible characters
+    with what follows, so a text's ids are those of its words, each with the separator before it.  A
+    text with any other white space, or with a special token's string, is encoded whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.known, self.cores, self.tails = {}, {}, {}
+        self.feed = self._ids("\n")[-1]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _odd(self, word: str) -> bool:
+        """Words that may not be looked up alone: blank ones, with white space inside, or special."""
+        core = word[1:] if word.startswith("\n") else word
+        ends = core[:1] + core[-1:]
+        return not core or not all(c.isalnum() or "!" <= c <= "~" for c in ends) or any(map(str.isspace, core)) or any(t in word for t in self.special)
+
+    def _letters(self, words: list[str], separator: str) -> None:
+        """Remembers words of letters only, each after ``separator``, which begins their ids."""
+        for lo in range(0, len(words), JOINED):
+            part = [separator + w for w in words[lo : lo + JOINED]]
+            ids = self._ids("".join(part))
+            at = np.flatnonzero(self.starts[ids] if separator == " " else ids == self.feed)
+            if len(at) == len(part):
+                raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                self.cores.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:
+                self.cores.update((w, self._plain(w)) for w in part)
+
+    def _learn(self, words: set[str]) -> None:
+        known, cores, tails, pairs, letters = self.known, self.cores, self.tails, [], {" ": set(), "\n": set()}
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            bare, separator = (core[1:], "\n") if core.startswith("\n") else (core, " ")
+            if bare.isalpha():
+                tail = w[len(core) :]
+                if tail not in tails:
+                    tails[tail] = self._plain(tail)
+                pairs.append((w, separator + bare, tail))
+                letters[separator].add(bare)
+            elif self._odd(w):
+                known[w] = None
+            else:
+                known[w] = self._plain(w if w.startswith("\n") else " " + w)
+        for separator, found in letters.items():
+            self._letters([w for w in found if separator + w not in cores], separator)
+        for w, core, tail in pairs:
+            known[w] = cores[core] + tails[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 50):
+            for memory in (self.known, self.cores, self.tails):
+                if len(memory) > REMEMBERED:
+                    memory.clear()
+            words = [t.replace("\n", " \n").split(" ") for t in texts[lo : lo + 50]]
+            self._learn(set().union(*(w[1:] for w in words)).difference(self.known))
+            for t, (first, *rest) in zip(texts[lo : lo + 50], words, strict=True):
+                ids = list(map(self.known.__getitem__, rest))
+                out.append(self._plain(t) if self._odd(first) or None in ids else self._plain(first) + b"".join(ids))
+        return out
+
+
 @cache
 def token_ids(path: str) -> TokenIds:
     """One for each Python worker."""
-    return TokenIds(path)
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    # the default pattern without a space before the text; any other settings encode whole texts
+    plain = repr(Tokenizer.from_file(path).pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False))
+    return (ByteTokenIds if plain else TokenIds)(path)
