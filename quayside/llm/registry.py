@@ -11,6 +11,7 @@ from .extract import op3_extract_text
 from .histogram_packing import op11_histogram_packing
 from .line_dedup import op10_line_dedup, op10_line_dedup_whole
 from .packing import op8_packing
+from .periodic_runs import op13_periodic_runs
 from .quality import op7_quality_rules
 from .simhash import op6_simhash
 from .token_files import op4_token_files
@@ -20,7 +21,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_surrogates, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup, op10_line_dedup_whole, op11_histogram_packing)
+    found = (op1_toxicity, op2_surrogates, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup, op10_line_dedup_whole, op11_histogram_packing, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
