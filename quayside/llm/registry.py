@@ -12,6 +12,7 @@ from .histogram_packing import op11_histogram_packing
 from .line_dedup import op10_line_dedup, op10_line_dedup_whole
 from .packing import op8_packing
 from .periodic_runs import op13_periodic_runs
+from .prefix_trie import op12_prefix_trie
 from .quality import op7_quality_rules
 from .simhash import op6_simhash
 from .token_files import op4_token_files
@@ -21,7 +22,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_surrogates, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup, op10_line_dedup_whole, op11_histogram_packing, op13_periodic_runs)
+    found = (op1_toxicity, op2_surrogates, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup, op10_line_dedup_whole, op11_histogram_packing, op12_prefix_trie, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
@@ -47,6 +48,22 @@ WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lam
 SELECT doc_id, text, CAST(n AS INTEGER) AS n_lines_cut FROM t
 """
 
+#: Nodes as lists of turns; the CRC-32 of a decimal by its table, which a rule gives.
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS u, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ k AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END)) AS crc),
+ s AS (SELECT conv_id, list(u ORDER BY i) AS own FROM t GROUP BY conv_id),
+ h AS (SELECT s.*, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, d: xor(c // 256, k.crc[xor(c % 256, d) + 1])), CAST(4294967295 AS BIGINT)) % 4 AS h FROM s, k),
+ w AS (SELECT c.conv_id, list_concat(coalesce(list_slice(b.own, 1, c.h), []), list_slice(c.own, c.h + 1, len(c.own))) AS turns FROM h c LEFT JOIN s b ON b.conv_id = c.conv_id - c.conv_id % 20),
+ m AS (SELECT conv_id, len(turns) AS n, d, list_slice(turns, 1, d) AS node FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM w)),
+ n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(node[-1].t, '[^\x20\x09-\x0D]+')) END AS saved,
+   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY node, d),
+ c AS (SELECT p.node, p.d, count(*) AS kids FROM n JOIN n p ON p.d = n.d - 1 AND p.node = list_slice(n.node, 1, n.d - 1) GROUP BY ALL),
+ a AS (SELECT list_slice(node, 1, up) AS node, sum(saved) AS saved, count(*) FILTER (kids IS NULL) AS leaves FROM (SELECT n.*, c.kids, unnest(range(0, n.d + 1)) AS up FROM n LEFT JOIN c USING (node, d)) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(c.kids, 0) AS BIGINT) AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN a USING (node) LEFT JOIN c USING (node, d) LEFT JOIN n p ON p.d = n.d - 1 AND p.node = list_slice(n.node, 1, n.d - 1)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op5_warc": OP5_SQL, "op10_line_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL}
