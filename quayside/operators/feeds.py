@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scans import prefix_scan
@@ -156,17 +160,16 @@ def feed_status(raw: DataFrame) -> DataFrame:
 def continuity(messages: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
     """``messages`` (snapshot boolean, begin, nonce) with ``state``: snapshot, delta or gap.
 
-    A delta must begin where the message before it ended (unless it names no beginning); from the first that
-    doesn't, and before the first snapshot, everything is a gap until the next snapshot.
+    A delta that has a nonce and names a beginning, be it 0, must begin where the message before it ended: at the last
+    nonce other than 0 since the snapshot, or at the snapshot's own, 0 if it has none.  From the first that doesn't, and before the first
+    snapshot, everything is a gap until the next snapshot.
     """
+    snapshot, nonce = F.col("snapshot"), F.coalesce("nonce", F.lit(0))
     # a scan reads its input twice, so it is written before the next one
-    m = written(prefix_scan(messages, keys, order, bucket, {"__epoch": ("sum", F.col("snapshot").cast("int"))}))
-    inside = [*keys, "__epoch"]
-    m = prefix_scan(m, inside, order, bucket, {"__before": ("last<", F.when(F.col("nonce") > 0, F.col("nonce")))})
-    before = F.col("__before")
-    bad = ~F.col("snapshot") & F.coalesce((F.col("begin") > 0) & (before > 0) & (F.col("begin") != before), F.lit(False))
-    m = prefix_scan(written(m.withColumn("__bad", bad.cast("int"))), inside, order, bucket, {"__broken": ("max", F.col("__bad"))})
-    state = F.when(F.col("snapshot"), "snapshot").when((F.col("__epoch") == 0) | (F.col("__broken") == 1), "gap").otherwise("delta")
+    m = written(prefix_scan(messages, keys, order, bucket, {"__before": ("last<", F.when(snapshot, nonce).when(nonce != 0, nonce))}))
+    bad = ~snapshot & (nonce != 0) & (F.col("begin") != F.col("__before"))
+    m = prefix_scan(m, keys, order, bucket, {"__mark": ("last", F.when(snapshot, 0).when(bad, 1))})
+    state = F.when(snapshot, "snapshot").when(F.col("__mark") == 0, "delta").otherwise("gap")
     return m.withColumn("state", state).select(*messages.columns, "state")
 
 
@@ -191,26 +194,90 @@ def depth_sync(messages: DataFrame, keys: list[str], order: list[str], bucket: C
     return m.withColumn("state", state).select(*messages.columns, "state")
 
 
-def release_buffered(messages: DataFrame, keys: list[str], order: str, bucket: Column, limit: int = 2000) -> DataFrame:
-    """``messages`` as in ``depth_sync`` with ``state`` and ``at``: updates refused while unsynced are kept, at most the
+class DepthSequence:
+    """Synchronisation of one stream of depth messages with a list of refused updates; updates are (name, first_id, last_id, prev_id).
+
+    ``lost`` gathers the names that the list had no room for.
+    """
+
+    def __init__(self, limit: int, last: int = 0, synced: bool = False, bridged: bool = False, waiting: Iterable[tuple] = ()) -> None:
+        self.limit, self.last, self.synced, self.bridged, self.waiting, self.lost = limit, last, synced, bridged, deque(waiting), []
+
+    def _judge(self, update: tuple) -> str:
+        _, first, last, prev = update
+        if self.synced and (last < self.last or (self.bridged and last == self.last)):
+            return "old"
+        if self.synced and (prev == self.last if self.bridged else first <= self.last + 1):
+            self.last, self.bridged = last, True
+            return "delta"
+        self.synced = False
+        self.waiting.append(update)
+        if len(self.waiting) > self.limit:
+            self.lost.append(self.waiting.popleft()[0])
+        return "gap"
+
+    def snapshot(self, last: int) -> list[tuple]:
+        """(name, old or delta) of the waiting updates that count now."""
+        self.last, self.synced, self.bridged = last, True, False
+        tries, self.waiting = self.waiting, deque()
+        judged = [(u[0], self._judge(u)) for u in tries]
+        return [j for j in judged if j[1] != "gap"]
+
+    def update(self, update: tuple) -> str:
+        return self._judge(update)
+
+
+def release_buffered(messages: DataFrame, keys: list[str], order: list[str], bucket: Column, limit: int = 2000) -> DataFrame:
+    """``keys``, ``order``, ``state`` and ``at`` of ``messages`` as in ``depth_sync``: updates refused while unsynced are kept, at most the
     ``limit`` newest, and tried again at the next snapshot, arriving with it, until none is left to try.
 
-    ``at`` is the place in ``order`` at which a message counts.
+    ``at`` is the first of ``order`` at which a message counts; a refused one's is null.
+
+    What waits at a snapshot newer than every update before it is old, so nothing before such a snapshot matters after it: a key falls
+    into runs that begin there (two scans), and each run is one pass in order, whose memory is the list.  The number
+    of snapshots doesn't matter; a run is long only where no snapshot ever overtakes the updates.
     """
-    now = messages.withColumn("at", F.col(order)).withColumn("__late", F.lit(0)).withColumn("__lost", F.lit(False))
-    while True:
-        seen = depth_sync(now, keys, ["at", "__late", order], bucket)
-        # a refused message is no snapshot, so the last one seen when time runs backwards is the next
-        back = seen.withColumns({f"__b{i}": -F.col(c) for i, c in enumerate(["at", "__late", order])}).withColumn("__snap", F.when(F.col("snapshot"), F.col("at")))
-        seen = prefix_scan(back, keys, ["__b0", "__b1", "__b2"], -bucket, {"__next": ("last", F.col("__snap"))}).drop("__b0", "__b1", "__b2", "__snap")
-        seen = written(seen.withColumn("__refused", (F.col("state") == "gap") & ~F.col("__lost") & F.col("__next").isNotNull()))
-        if seen.where("__refused").isEmpty():
-            return seen.drop("__late", "__lost", "__next", "__refused")
-        late = Window.partitionBy(*keys, "__next").orderBy(F.desc(order))
-        refused = seen.where("__refused").withColumn("__kept", F.row_number().over(late) <= limit)
-        now = seen.where("not __refused").withColumn("__kept", F.lit(False)).unionByName(refused)
-        now = now.withColumn("at", F.when(F.col("__kept"), F.col("__next")).otherwise(F.col("at")))
-        now = now.withColumn("__late", F.when(F.col("__kept"), 1).otherwise(F.col("__late"))).withColumn("__lost", F.col("__lost") | (F.col("__refused") & ~F.col("__kept"))).drop("state", "__next", "__refused", "__kept")
+    # a scan reads its input twice, so it is written before the next one
+    update = ~F.col("snapshot")
+    m = messages.select(*keys, *order, "snapshot", *(F.col(c).cast("long").alias(c) for c in ("first_id", "last_id", "prev_id")))
+    m = written(prefix_scan(m, keys, order, bucket, {"__top": ("max<", F.when(update, F.col("last_id")))}))
+    fresh = F.col("snapshot") & (F.coalesce("__top", F.lit(-1)) < F.col("last_id"))
+    m = prefix_scan(m, keys, order, bucket, {"__run": ("sum", fresh.cast("int"))})
+    run = [*keys, "__run"]
+    place = [*keys, *order]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_run, seen, out = None, None, []
+
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            if final and seen:
+                out.extend((*u[0], "gap", None) for u in seen.waiting)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*place, "state", "at"])
+                out.clear()
+
+        for b in batches:
+            types = [*(b.schema.field(c).type for c in place), pa.string(), b.schema.field(order[0]).type]
+            names = zip(*(b.column(c).to_pylist() for c in place), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in run), strict=True)
+            for name, here, snapshot, *ids in zip(names, rows, *(b.column(c).to_pylist() for c in ("snapshot", "first_id", "last_id", "prev_id")), strict=True):
+                if here != last_run:
+                    yield from flush(True)
+                    last_run, seen = here, DepthSequence(limit)
+                at = name[len(keys)]
+                if snapshot:
+                    out.append((*name, "snapshot", at))
+                    out.extend((*n, kind, at) for n, kind in seen.snapshot(ids[1]))
+                elif (kind := seen.update((name, *ids))) != "gap":
+                    out.append((*name, kind, at))
+                out.extend((*n, "gap", None) for n in seen.lost)
+                seen.lost.clear()
+            yield from flush(False)
+        yield from flush(True)
+
+    types = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in place) + f", state string, at {types[order[0]]}"
+    return m.repartition(*run).sortWithinPartitions(*run, *order).mapInArrow(walk, schema)
 
 
 def fan_out(statuses: DataFrame, streams: DataFrame) -> DataFrame:

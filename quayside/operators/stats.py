@@ -6,6 +6,7 @@ Resampling draws come from keyed hashes, so they are the same however the rows a
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from itertools import combinations
 from statistics import NormalDist
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scans import prefix_scan, uniform
+from ..sources.tables import written
 
 
 def cluster_se(df: DataFrame, by: list[str], value: str, cluster: str) -> DataFrame:
@@ -25,6 +27,28 @@ def cluster_se(df: DataFrame, by: list[str], value: str, cluster: str) -> DataFr
     return g.select(*by, "n", "clusters", "mean", se.alias("se"))
 
 
+#: Ranges that hold about as many values each, in which ranks are counted.
+RANGES = 256
+
+
+def exact_quantiles(df: DataFrame, by: list[str], column: str, qs: Sequence[float]) -> DataFrame:
+    """``by``, q, value: exact quantiles of ``column``, interpolated between neighbours; rows without a value don't count.
+
+    Equal values are counted first, the counts are summed along ranges of values that approximate quantiles cut, and a
+    quantile's neighbours are the least values whose running count passes its rank: no task sees a group.
+    """
+    if not by:
+        return exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], column, qs).drop("__all")
+    held = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(*by, F.col(column).cast("double").alias("__x"))
+    cuts = held.groupBy(*by).agg(F.percentile_approx("__x", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("__cuts"), F.count("*").alias("__n"))
+    counts = written(held.groupBy(*by, "__x").agg(F.count("*").alias("__k")).join(cuts, by))
+    ranked = prefix_scan(counts, by, ["__x"], F.size(F.filter("__cuts", lambda c: c < F.col("__x"))), {"__upto": ("sum", F.col("__k"))})
+    wanted = ranked.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    rank = (F.col("__n") - 1) * F.col("q")
+    near = wanted.groupBy(*by, "q", "__n").agg(*(F.min(F.when(F.col("__upto") > f(rank), F.col("__x"))).alias(c) for c, f in (("__lo", F.floor), ("__hi", F.ceil))))
+    return near.select(*by, "q", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (rank - F.floor(rank))).alias("value"))
+
+
 def cluster_bootstrap(df: DataFrame, by: list[str], value: str, cluster: str, reps: int, conf: float, seed: str) -> DataFrame:
     """Percentile interval of the mean from whole clusters drawn with replacement: lo, hi."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))

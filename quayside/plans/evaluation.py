@@ -9,11 +9,11 @@ from ..functions.scans import asof_join, prefix_scan, uniform
 from ..operators import book, risk, stats
 from ..sources import reports
 from ..sources.tables import shared_path, written
-from ..sources.views import DAY, HOUR, QUOTES, quotes, table
+from ..sources.views import DAY, HOUR, QUOTES, quotes, table, tape
 from .feeds import data_span
 from .labels import _ENTRIES, PASSIVE, passive_fill
 from .market import _INSTANTS, INTERVALS, WEEK, _instants, level_intervals
-from .research import _DRAW, MONTH_NS, THRESHOLDS, R, deflated_sharpe, exec_latency_match, pbo_cscv, results_hash, spa, spa_test, threshold_candidates, walk_forward_folds
+from .research import _DRAW, MONTH_NS, THRESHOLDS, R, deflated_sharpe, exec_latency_match, pbo_cscv, results_hash, spa, spa_test, beyond_thresholds, walk_forward_folds
 
 REPS = 100
 NOTIONAL, TAKER, MAKER, HOLD = 50_000.0, 0.0004, 0.0002, 7 * DAY
@@ -34,9 +34,10 @@ TRADES = f"""tr AS (SELECT l_orderkey, l_linenumber, l_returnflag AS model, CASE
  (l_discount - {_D(0.05)}) + (l_tax - {_D(0.04)}) / 10 + CASE l_returnflag WHEN 'A' THEN {_D(0.004)} WHEN 'N' THEN {_D(0.0035)} ELSE {_D(-0.001)} END AS ret, {_D(0.0004)} AS fees, (l_linenumber - 4) / 1e5 AS funding, l_quantity % 5 AS slip_bps, -l_discount / 10 AS mae, l_quantity + 40 AS lat_ms,
  l_extendedprice AS notional, l_discount - {_D(0.05)} AS mu FROM lineitem)"""
 BY = ["model", "exec_mode"]
+_GAIN, _LOSS = "sum(greatest(ret, 0))", "sum(greatest(-ret, 0))"
 _AGGREGATES = {
     "n_trades": ("count(1)", None), "mean_net": ("avg(ret)", 8), "median_net": ("median(ret)", 8), "hit_rate": ("avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END)", 4), "mean_gross": ("avg(ret + fees - funding)", 8), "mean_fees": ("avg(fees)", 8),
-    "mean_funding": ("avg(funding)", 9), "mean_slip_bps": ("avg(slip_bps)", 5), "mean_mae": ("avg(mae)", 7), "profit_factor": ("sum(greatest(ret, 0)) / nullif(sum(greatest(-ret, 0)), 0)", 6), "expectancy": ("avg(ret * notional)", 4),
+    "mean_funding": ("avg(funding)", 9), "mean_slip_bps": ("avg(slip_bps)", 5), "mean_mae": ("avg(mae)", 7), "profit_factor": (f"CASE WHEN {_LOSS} > 0 THEN round({_GAIN} / {_LOSS}, 6) WHEN {_GAIN} > 0 THEN CAST('Infinity' AS DOUBLE) END", None), "expectancy": ("avg(ret * notional)", 4),
     "worst": ("min(ret)", 8), "best": ("max(ret)", 8), "mean_predicted": ("avg(mu)", 8)}
 _QUANTILES = {"slip_p90_bps": ("slip_bps", 0.9, 4), "latency_p50_ms": ("lat_ms", 0.5, 4), "latency_p90_ms": ("lat_ms", 0.9, 4)}
 _NAMES = [*_AGGREGATES, *_QUANTILES]
@@ -96,13 +97,15 @@ EQUITY = f"""WITH {TRADES}, o AS (SELECT model, t_entry, l_orderkey * 8 + l_line
 
 
 def median_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median spread and impact of each symbol on calibration rows."""
-    q = quotes(spark, sf_dir).where((F.col("venue") == "lit") & (F.col("event_id") % 4 == 1) | (F.col("event_id") % 4 == 2))
+    """Median spread and impact of each symbol on the calibration rows of the traded venue, the last 30 % of its time."""
+    q = quotes(spark, sf_dir).where("venue = 'lit'")
+    span = q.agg(F.max("ts_local_ns").alias("hi"), F.min("ts_local_ns").alias("lo"))  # one row
+    q = q.join(F.broadcast(span)).where(F.expr("ts_local_ns >= hi - (hi - lo) DIV 10 * 3"))
     spread = (F.col("ask_px") - F.col("bid_px")) / (F.col("ask_px") + F.col("bid_px")) * 2e4
     return q.groupBy("symbol").agg(R(F.median(spread)).alias("spread_bps"), R(F.median(spread / 2 + 10 / F.col("ask_sz"))).alias("impact_bps"))
 
 
-COSTS = f"""WITH {QUOTES}, s AS (SELECT symbol, (ask_px - bid_px) / (ask_px + bid_px) * 2e4 AS s, ask_sz FROM quotes WHERE venue = 'lit' AND event_id % 4 = 1 OR event_id % 4 = 2) SELECT symbol, round(median(s), 6) AS spread_bps, round(median(s / 2 + 10 / ask_sz), 6) AS impact_bps FROM s GROUP BY symbol"""
+COSTS = f"""WITH {QUOTES}, l AS (SELECT * FROM quotes WHERE venue = 'lit'), s AS (SELECT symbol, (ask_px - bid_px) / (ask_px + bid_px) * 2e4 AS s, ask_sz FROM l WHERE ts_local_ns >= (SELECT max(ts_local_ns) - (max(ts_local_ns) - min(ts_local_ns)) // 10 * 3 FROM l)) SELECT symbol, round(median(s), 6) AS spread_bps, round(median(s / 2 + 10 / ask_sz), 6) AS impact_bps FROM s GROUP BY symbol"""
 
 
 def position_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,15 +204,17 @@ SYMBOLS, LEAST_TRADES = 8, 50
 
 
 def policy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threshold of each side with the largest min(trades, capacity) times lower bound, where that is positive."""
-    c = threshold_candidates(spark, sf_dir).where((F.col("n") >= LEAST_TRADES) & (F.col("lcb") > -0.01))
+    """The threshold of each side with the largest min(trades, capacity) times lower bound, where that is positive (M14); the
+    tape's returns lie around 0, so trades here earn a cent more."""
+    t = tape(spark, sf_dir).withColumn("ret", F.col("ret") + 0.01)
+    c = beyond_thresholds(t).where((F.col("n") >= LEAST_TRADES) & (F.col("lcb") > 0))
     capacity = SYMBOLS * 2555 * 86_400 / (3600.0 + 1)
-    gain = F.least(F.col("n").cast("double"), F.lit(capacity)) * (F.col("lcb") + 0.01)
+    gain = F.least(F.col("n").cast("double"), F.lit(capacity)) * F.col("lcb")
     best = c.groupBy("mode").agg(F.max_by(F.struct("k", "n", "mean", "lcb"), F.struct(gain, -F.col("k"))).alias("b"))
     return best.select("mode", "b.*")
 
 
-POLICY = f"""WITH c AS ({THRESHOLDS}) SELECT mode, k, n, mean, lcb FROM c WHERE n >= {LEAST_TRADES} AND lcb > -0.01 QUALIFY row_number() OVER (PARTITION BY mode ORDER BY least(CAST(n AS DOUBLE), {SYMBOLS * 2555 * 86_400 / 3601.0!r}) * (lcb + {_D(0.01)}) DESC, k) = 1"""
+POLICY = f"""WITH c AS ({THRESHOLDS.replace('sum(ret) AS s', f'sum(ret + {_D(0.01)}) AS s')}) SELECT mode, k, n, mean, lcb FROM c WHERE n >= {LEAST_TRADES} AND lcb > 0 QUALIFY row_number() OVER (PARTITION BY mode ORDER BY least(CAST(n AS DOUBLE), {SYMBOLS * 2555 * 86_400 / 3601.0!r}) * lcb DESC, k) = 1"""
 
 #: Models from the simplest to the most complex; the first is a baseline.
 COMPLEXITY = {"R": 1, "N": 2, "A": 3}

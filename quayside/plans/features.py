@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scans import asof_scan, ewma, lagged, prefix_scan, rolling
@@ -167,27 +167,38 @@ GRID_FEATURES = (
 BAND, DEPTH, NOTIONAL = 0.005, 10, 50_000.0
 
 
-def band_flow(changes: DataFrame, intervals: DataFrame, band: float, bucket_ns: int) -> DataFrame:
-    """``changes`` of valid books that lie in the band around the mid just before them, with what they add and remove."""
-    at = changes.select("symbol", "epoch", F.col("ts_local_ns").alias("t")).distinct()
-    mids = book.top(book.book_at(intervals, at, bucket_ns, before=True)).select("symbol", "epoch", F.col("t").alias("ts_local_ns"), ((F.col("bid_px") + F.col("ask_px")) / 2).alias("mid"))
-    old = intervals.select("symbol", "epoch", "side", "price", F.col("size").alias("old"), F.col("valid_to").alias("ts_local_ns"))
-    each = changes.join(mids, ["symbol", "epoch", "ts_local_ns"]).join(old, ["symbol", "epoch", "side", "price", "ts_local_ns"], "left").withColumn("old", F.coalesce("old", F.lit(0.0)))
-    each = each.where((F.col("price") >= F.col("mid") * (1 - band)) & (F.col("price") <= F.col("mid") * (1 + band)))
+def band_flow(changes: DataFrame, band: float, bucket_ns: int) -> DataFrame:
+    """``changes`` of valid books that lie in the band around the mid just before them, with what they add and remove.
+
+    Changes count one after another by (ts_local_ns, seq), those of one instant too: each meets the levels that the ones
+    before it left, in buckets of time.
+    """
+    keys = ["symbol", "epoch"]
+    w = Window.partitionBy(*keys, "side", "price").orderBy("ts_local_ns", "seq")  # one level of one epoch
+    place = F.struct("ts_local_ns", "seq")
+    each = changes.select(*keys, "side", "price", "size", "ts_local_ns", "seq", F.coalesce(F.lag("size").over(w), F.lit(0.0)).alias("old"), F.lead(place).over(w).alias("until"))
+    last = changes.groupBy(*keys).agg(F.max(place).alias("last"))
+    held = each.where("size > 0").join(last, keys).select(*keys, F.col("side").alias("s"), F.col("price").alias("p"), place.alias("since"), F.coalesce("until", "last").alias("until"))
+    held = held.withColumn("b", F.explode(F.sequence(F.floor(F.col("since.ts_local_ns") / bucket_ns), F.floor(F.col("until.ts_local_ns") / bucket_ns))))
+    at = each.select(*keys, place.alias("at"), F.floor(F.col("ts_local_ns") / bucket_ns).alias("b"))
+    met = at.join(held, [*keys, "b"]).where("at > since and at <= until")
+    mids = met.groupBy(*keys, "at").agg((F.max(F.when(F.col("s") == "bid", F.col("p"))) + F.min(F.when(F.col("s") == "ask", F.col("p")))).alias("twice"))
+    mids = mids.where("twice is not null").select(*keys, "at.ts_local_ns", "at.seq", (F.col("twice") / 2).alias("mid"))
+    each = each.join(mids, [*keys, "ts_local_ns", "seq"]).where((F.col("price") >= F.col("mid") * (1 - band)) & (F.col("price") <= F.col("mid") * (1 + band)))
     d = F.col("size") - F.col("old")
-    return each.select("symbol", "epoch", "ts_local_ns", "seq", F.greatest(d, F.lit(0.0)).alias("added"), F.greatest(-d, F.lit(0.0)).alias("removed"))
+    return each.select(*keys, "ts_local_ns", "seq", F.greatest(d, F.lit(0.0)).alias("added"), F.greatest(-d, F.lit(0.0)).alias("removed"))
 
 
 def band_added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size added and removed inside the band around the mid before each change, by day."""
-    flow = band_flow(levels(spark, sf_dir), level_intervals(spark, sf_dir), BAND, WEEK)
+    flow = band_flow(levels(spark, sf_dir), BAND, WEEK)
     return flow.groupBy("symbol", F.floor(F.col("ts_local_ns") / DAY).alias("day")).agg(F.round(F.sum("added"), 5).alias("added"), F.round(F.sum("removed"), 5).alias("removed"))
 
 
-_FLOW = f"""bm AS (SELECT c.symbol, c.epoch, c.side, c.price, c.size, c.seq, c.ts_local_ns, (max(i.price) FILTER (i.side = 'bid') + min(i.price) FILTER (i.side = 'ask')) / 2 AS mid
-  FROM levels c JOIN iv i ON c.symbol = i.symbol AND c.epoch = i.epoch AND c.ts_local_ns > i.valid_from AND (i.valid_to IS NULL OR c.ts_local_ns <= i.valid_to) GROUP BY ALL),
- lo AS (SELECT seq, coalesce(lag(size) OVER (PARTITION BY symbol, epoch, side, price ORDER BY ts_local_ns, seq), 0) AS old FROM levels),
- bf AS (SELECT bm.*, greatest(size - old, 0) AS added, greatest(old - size, 0) AS removed FROM bm JOIN lo USING (seq) WHERE price >= mid * (1 - CAST({BAND} AS DOUBLE)) AND price <= mid * (1 + CAST({BAND} AS DOUBLE)))"""
+_FLOW = f"""lv AS (SELECT *, coalesce(lag(size) OVER w, 0) AS old, lead(ts_local_ns) OVER w AS to_ts, lead(seq) OVER w AS to_seq FROM levels WINDOW w AS (PARTITION BY symbol, epoch, side, price ORDER BY ts_local_ns, seq)),
+ bm AS (SELECT c.symbol, c.epoch, c.price, c.size, c.old, c.seq, c.ts_local_ns, (max(i.price) FILTER (i.side = 'bid') + min(i.price) FILTER (i.side = 'ask')) / 2 AS mid FROM lv c JOIN lv i ON c.symbol = i.symbol AND c.epoch = i.epoch AND i.size > 0
+  AND (c.ts_local_ns > i.ts_local_ns OR (c.ts_local_ns = i.ts_local_ns AND c.seq > i.seq)) AND (i.to_ts IS NULL OR c.ts_local_ns < i.to_ts OR (c.ts_local_ns = i.to_ts AND c.seq <= i.to_seq)) GROUP BY ALL),
+ bf AS (SELECT *, greatest(size - old, 0) AS added, greatest(old - size, 0) AS removed FROM bm WHERE price >= mid * (1 - CAST({BAND} AS DOUBLE)) AND price <= mid * (1 + CAST({BAND} AS DOUBLE)))"""
 ADDED = f"WITH {INTERVALS}, {_FLOW} SELECT symbol, ts_local_ns // {DAY} AS day, round(sum(added), 5) AS added, round(sum(removed), 5) AS removed FROM bf GROUP BY 1, 2"
 
 
@@ -206,7 +217,7 @@ def book_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = deep.where("bids = 1 and asks = 1").drop("bids", "asks")
     walked = book.walk(b, keys, "notional", NOTIONAL).join(mid, keys)
     impact = walked.groupBy(*keys).agg(*[F.max(F.when(F.col("taker") == s, book.impact_bps("vwap", "mid", "taker", "complete"))).alias(f"impact_{s}") for s in ("buy", "sell")])
-    flow = band_flow(levels(spark, sf_dir), iv, BAND, WEEK).select("symbol", F.col("ts_local_ns").alias("ts"), "seq", "added", "removed")
+    flow = band_flow(levels(spark, sf_dir), BAND, WEEK).select("symbol", F.col("ts_local_ns").alias("ts"), "seq", "added", "removed")
     traded = tape(spark, sf_dir).where("venue = 'lit'").select("symbol", F.col("ts_local_ns").alias("ts"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("size").alias("traded"))
     moves = flow.unionByName(traded, allowMissingColumns=True)
     s = asof_scan(instants, written(moves), ["symbol"], "t", "ts", {c: ("sum", F.col(c)) for c in ("added", "removed", "traded")}, WEEK, "seq").join(deep, keys, "left").join(impact, keys, "left")

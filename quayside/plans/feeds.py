@@ -157,16 +157,27 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_scan(quotes(spark, sf_dir), ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY), {"n": ("count", F.lit(1))})
 
 
+def numbered_messages(m: DataFrame) -> DataFrame:
+    """``m`` (event_id, event_type, n) with snapshot, begin and nonce: breaks, deltas without nonce or beginning, a beginning of 0, a snapshot of 0."""
+    i, snapshot = F.col("event_id"), F.col("event_type") == "signup"
+    nonce = F.when(snapshot & (i % 5 == 0), 0).when(~snapshot & (i % 9 == 0), 0).otherwise(F.col("n"))
+    begin = F.when(i % 11 == 0, F.col("n") - 2).when(i % 37 == 0, 0).when(i % 3 == 0, None).otherwise(F.col("n") - 1)
+    return m.withColumn("snapshot", snapshot).withColumn("nonce", nonce.cast("long")).withColumn("begin", begin.cast("long"))
+
+
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuity of numbered messages with snapshots and breaks."""
-    m = numbered(spark, sf_dir).withColumn("nonce", F.col("n")).withColumn("snapshot", F.col("event_type") == "signup")
-    m = m.withColumn("begin", F.col("nonce") - F.when(F.col("event_id") % 11 == 0, 2).otherwise(1))
+    m = numbered_messages(numbered(spark, sf_dir))
     return feeds.continuity(m, ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY)).select("event_id", "state")
 
 
-GAPS = f"""WITH {QUOTES}, m AS (SELECT *, row_number() OVER w AS nonce, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM quotes WINDOW w AS (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id)),
- b AS (SELECT *, max(CASE WHEN event_type <> 'signup' AND event_id % 11 = 0 AND nonce - 2 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol, epoch ORDER BY nonce ROWS UNBOUNDED PRECEDING) AS broken FROM m)
- SELECT event_id, CASE WHEN event_type = 'signup' THEN 'snapshot' WHEN epoch = 0 OR broken = 1 THEN 'gap' ELSE 'delta' END AS state FROM b"""
+#: States of numbered messages ``m`` (venue, symbol, event_id, event_type, n: the place in the stream).
+CONTINUITY = """s AS (SELECT *, event_type = 'signup' AS snap, CASE WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 0 WHEN event_type <> 'signup' AND event_id % 9 = 0 THEN 0 ELSE n END AS nonce,
+  CASE WHEN event_id % 11 = 0 THEN n - 2 WHEN event_id % 37 = 0 THEN 0 WHEN event_id % 3 = 0 THEN NULL ELSE n - 1 END AS begins FROM m),
+ l AS (SELECT *, last_value(CASE WHEN snap OR nonce <> 0 THEN nonce END IGNORE NULLS) OVER (PARTITION BY venue, symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s),
+ k AS (SELECT *, last_value(CASE WHEN snap THEN 0 WHEN nonce <> 0 AND begins <> last THEN 1 END IGNORE NULLS) OVER (PARTITION BY venue, symbol ORDER BY n ROWS UNBOUNDED PRECEDING) AS mark FROM l)
+ SELECT event_id, CASE WHEN snap THEN 'snapshot' WHEN mark = 0 THEN 'delta' ELSE 'gap' END AS state FROM k"""
+GAPS = f"WITH {QUOTES}, m AS (SELECT *, row_number() OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id) AS n FROM quotes), {CONTINUITY}"
 
 
 def depth_sync(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scans import asof_join, interval_join, prefix_scan, rolling
 from ..operators import feeds, stats
 from ..sources import datasets
-from ..sources.tables import shared_path
+from ..sources.tables import shared_path, written
 from ..sources.views import DAY, GRID, HOUR, QUOTES, TAPE, grid, quotes, tape
 from .feeds import numbered
 from .market import LABELS, LEAD_LAG, MIDS, entry_exit_labels, lead_lag_features
@@ -142,26 +142,43 @@ PROMOTION = f"""WITH {TAPE}, h AS (SELECT model, ts_local_ns // {MONTH_NS} AS bl
 PROMOTION = PROMOTION.replace(" AS check,", ' AS "check",')
 
 
+def waiting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth messages of both venues with breaks, and with snapshots behind, at and ahead of the updates before them."""
+    m = numbered(spark, sf_dir).withColumn("snapshot", F.col("event_type") == "signup").withColumn("last_id", F.col("n") * 10)
+    behind = F.when(F.col("event_id") % 3 == 0, 25).when(F.col("event_id") % 3 == 1, 10).otherwise(-5)
+    m = m.withColumn("last_id", F.when(F.col("snapshot"), F.col("last_id") - behind).otherwise(F.col("last_id")))
+    chained = F.col("last_id") - F.when(F.col("event_id") % 13 == 0, 11).otherwise(10)
+    return m.withColumn("first_id", F.col("last_id") - 9).withColumn("prev_id", chained)
+
+
 def depth_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth updates refused before a snapshot and released at it."""
-    m = numbered(spark, sf_dir).where("venue = 'ref'").withColumn("last_id", F.col("n") * 10).withColumn("snapshot", F.col("event_type") == "signup")
-    m = m.withColumn("last_id", F.when(F.col("snapshot"), F.col("last_id") - 25).otherwise(F.col("last_id"))).withColumn("first_id", F.col("last_id") - 9).withColumn("prev_id", F.col("last_id") - 10)
-    out = feeds.release_buffered(m, ["venue", "symbol"], "ts_local_ns", F.floor(F.col("at") / DAY))
-    return out.select("event_id", "state", "at")
+    return feeds.release_buffered(waiting_messages(spark, sf_dir), ["venue", "symbol"], ["ts_local_ns", "event_id"], F.floor(F.col("ts_local_ns") / DAY)).select("event_id", "state", "at")
+
+
+CHANGED = "20240110"
 
 
 def dataset_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature dataset written by day, the second time nothing, and read again."""
-    root = shared_path(spark)
-    key = datasets.fingerprint(spark, sf_dir, "events*")
-    features = lead_lag_features(spark, sf_dir)
-    datasets.write_days(features, root, key)
-    if datasets.write_days(features, root, key):
+    """The feature dataset of inputs A, of B in which a row of one day differs, and of A again: each day's rows for A, and how often
+    it was built (S14, S15, U01)."""
+    root, features = shared_path(spark), lead_lag_features(spark, sf_dir)
+    a = quotes(spark, sf_dir)
+    first = a.where(datasets.day_of("ts_local_ns") == CHANGED).agg(F.min("event_id")).first()[0]
+    b = a.withColumn("bid_sz", F.when(F.col("event_id") == first, F.col("bid_sz") + 1).otherwise(F.col("bid_sz")))
+    keys_a, keys_b = written(datasets.day_keys(a)), written(datasets.day_keys(b))
+    datasets.write_days(features, root, keys_a)
+    changed = F.col("day") == CHANGED
+    datasets.write_days(features.withColumn("basis_bps", F.when(datasets.day_of("ts_ns") == CHANGED, -F.col("basis_bps")).otherwise(F.col("basis_bps"))), root, keys_b)
+    if datasets.write_days(features, root, keys_a):
         raise ValueError("known days were built again")
-    return spark.read.parquet(f"{root}/data").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), R(F.sum("basis_bps"), 4).alias("basis"))
+    built = datasets.manifest(spark, root).groupBy("day").agg(F.count("*").alias("builds"))
+    rows = datasets.read_days(spark, root, keys_a).groupBy("day").agg(F.count("*").alias("n"), R(F.sum("basis_bps"), 4).alias("basis"))
+    other = datasets.read_days(spark, root, keys_b).where(changed).agg(R(F.sum("basis_bps"), 4).alias("basis_b"))
+    return rows.join(built, "day").join(F.broadcast(other)).select("day", "n", "basis", "builds", F.when(changed, F.col("basis_b")).otherwise(F.col("basis")).alias("basis_b"))
 
 
-SINK = f"""WITH {MIDS}, f AS ({LEAD_LAG}) SELECT strftime(make_timestamp(ts_ns // 1000), '%Y%m%d') AS day, count(*) AS n, round(sum(basis_bps), 4) AS basis FROM f GROUP BY 1"""
+SINK = f"""WITH {MIDS}, f AS ({LEAD_LAG}) SELECT day, count(*) AS n, round(sum(basis_bps), 4) AS basis, CASE WHEN day = '{CHANGED}' THEN 2 ELSE 1 END AS builds, CASE WHEN day = '{CHANGED}' THEN -round(sum(basis_bps), 4) ELSE round(sum(basis_bps), 4) END AS basis_b FROM (SELECT *, strftime(make_timestamp(ts_ns // 1000), '%Y%m%d') AS day FROM f) GROUP BY day"""
 
 
 def trade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

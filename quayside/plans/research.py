@@ -143,7 +143,8 @@ def feature_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def standardised(m: DataFrame) -> DataFrame:
     """Features less their mean over their deviation, missing ones replaced by the median before, clipped at 8."""
-    medians = m.agg(*[F.percentile(f, F.lit(0.5)).alias(f"q_{f}") for f in FEATURES])  # one row
+    q = stats.exact_quantiles(unpivoted(m), ["feature"], "x", [0.5])
+    medians = q.agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"q_{f}") for f in FEATURES])  # one row
     m = m.join(F.broadcast(medians)).select("vec_id", "target", *[F.coalesce(f, f"q_{f}").alias(f) for f in FEATURES])
     moments = m.agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES])
     return m.join(F.broadcast(moments)).select("vec_id", "target", *[F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"))).alias(f) for f in FEATURES])
@@ -233,7 +234,8 @@ LAG_FLOW = f"WITH {_FLOW} SELECT vec_id, round(CASE WHEN sign(f0) = sign(flow) T
 def gated_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of regimes: reversion where a feature exceeds its 80 % quantile, momentum where another exceeds its 67 %."""
     m = matrix(spark, sf_dir)
-    q = m.agg(F.percentile("f1", F.lit(0.8)).alias("a"), F.percentile("f4", F.lit(0.67)).alias("b"))
+    at = lambda f, q: stats.exact_quantiles(m, [], f, [q]).select(F.col("value"))
+    q = at("f1", 0.8).withColumnRenamed("value", "a").join(at("f4", 0.67).withColumnRenamed("value", "b"))  # one row
     return m.join(F.broadcast(q)).select("vec_id", R(F.when(F.col("f1") > F.col("a"), -F.col("f2"))).alias("shock_reversion"), R(F.when(F.col("f4") > F.col("b"), F.col("f3"))).alias("vol_momentum"))
 
 
@@ -306,16 +308,21 @@ FOLDS = f"""WITH {TAPE}, s AS (SELECT min(ts_local_ns) AS t0, max(ts_local_ns) A
  SELECT fold, part, count(*) AS n, round(avg(ret), 8) AS mean FROM p WHERE part IS NOT NULL GROUP BY fold, part"""
 
 
-def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades, mean, cluster error and lower bound beyond eight score quantiles."""
-    t = tape(spark, sf_dir).withColumn("score", F.col("price")).withColumn("block", F.floor(F.col("ts_local_ns") / MONTH_NS))
+def beyond_thresholds(tape: DataFrame) -> DataFrame:
+    """Trades, mean, cluster error and lower bound of ``tape`` beyond eight score quantiles of each mode."""
+    t = tape.withColumn("score", F.col("price")).withColumn("block", F.floor(F.col("ts_local_ns") / MONTH_NS))
     qs = [0.1 * i for i in range(1, 9)]
-    th = t.groupBy("mode").agg(F.percentile("score", F.array(*[F.lit(q) for q in qs])).alias("th")).select("mode", F.posexplode("th").alias("k", "threshold"))
+    place = F.create_map(*[F.lit(x) for k, q in enumerate(qs) for x in (q, k)])
+    th = stats.exact_quantiles(t, ["mode"], "score", qs).select("mode", place[F.col("q")].alias("k"), F.col("value").alias("threshold"))
     hit = t.join(F.broadcast(th), "mode").where("score >= threshold")
     out = stats.cluster_se(hit, ["mode", "k"], "ret", "block")
     return out.select("mode", "k", "n", "clusters", R("mean", 8).alias("mean"), R("se", 8).alias("se"), R(F.col("mean") - 1.645 * F.col("se"), 8).alias("lcb"))
 
 
+def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beyond_thresholds(tape(spark, sf_dir))
+
+
 THRESHOLDS = f"""WITH {TAPE}, q AS (SELECT mode, quantile_cont(price, [{', '.join(f'{0.1 * i:.1f}' for i in range(1, 9))}]) AS th FROM tape GROUP BY mode), u AS (SELECT mode, CAST(k AS INTEGER) AS k, th[k + 1] AS threshold FROM q, (SELECT unnest(range(8)) AS k)),
  h AS (SELECT t.mode, k, ts_local_ns // {MONTH_NS} AS block, sum(ret) AS s, count(*) AS n FROM tape t JOIN u ON t.mode = u.mode AND price >= threshold GROUP BY ALL), m AS (SELECT *, sum(s) OVER (PARTITION BY mode, k) / sum(n) OVER (PARTITION BY mode, k) AS mean FROM h),
  z AS (SELECT mode, k, CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters, any_value(mean) AS mean, sqrt(sum(pow(s - n * mean, 2)) * count(*) / (count(*) - 1)) / sum(n) AS se FROM m GROUP BY mode, k)

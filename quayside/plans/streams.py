@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_path
-from ..sources.views import HOUR, QUOTES, quotes
+from ..sources.views import DAY, HOUR, QUOTES, quotes, table
 from ..streaming import jobs
+from ..streaming.ordered import landed, run_ordered
+from .feeds import CONTINUITY, numbered, numbered_messages
+from .labels import waiting_messages
 from .market import HALFLIFE, MIDS, PAIRS, pair_returns
 
 
@@ -65,34 +67,31 @@ def edge_trades(t: DataFrame) -> DataFrame:
 
 def stream_edge_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last state of each strategy's monitor over all its trades."""
-    seen = jobs.run_updates(jobs.edge_monitor(edge_trades(jobs.stream_table(spark, sf_dir, "lineitem"))))
-    last = seen.groupBy("strategy").agg(F.max_by(F.struct("n", "multiplier", "reductions", "status"), "batch").alias("s"))
-    return last.select("strategy", "s.*")
+    trades = landed(edge_trades(table(spark, sf_dir, "lineitem")), "ts")
+    seen = run_ordered(jobs.edge_monitor(trades, width="400 days"))
+    last = seen.groupBy("strategy").agg(F.max_by(F.struct("multiplier", "reductions", "status"), "n").alias("s"), F.max("n").alias("n"))
+    return last.select("strategy", "n", "s.*")
 
 
 def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The continuity check as a stateful stream; numbers follow the event ids of a stream."""
-    e = jobs.stream_table(spark, sf_dir, "events")
-    m = e.select(
-        F.when(F.col("event_id") % 2 == 0, "lit").otherwise("ref").alias("venue"), (F.col("user_id") % 8).cast("string").alias("symbol"), "event_id", (F.col("event_type") == "signup").alias("snapshot"),
-        F.when(F.col("event_id") % 11 == 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("begin"), (F.col("event_id") + 2).alias("nonce"))
-    return jobs.run_once(jobs.sequence_monitor(m))
+    """The continuity check as a stateful stream; the batch twin is ``sequence_gaps``."""
+    m = numbered_messages(numbered(spark, sf_dir)).withColumn("ts_us", F.expr("ts_local_ns DIV 1000"))
+    return run_ordered(jobs.sequence_monitor(landed(m.select("venue", "symbol", "ts_us", "event_id", "snapshot", "begin", "nonce"), "ts_us"), width="2 days"))
 
 
-SEQUENCE = """WITH m AS (SELECT event_id, event_id % 2 AS venue, user_id % 8 AS symbol, event_type = 'signup' AS snap, event_id % 11 = 0 AS cut FROM events), n AS (SELECT *, sum(CASE WHEN snap THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS epoch,
- row_number() OVER (PARTITION BY venue, symbol ORDER BY event_id) AS i FROM m), b AS (SELECT *, max(CASE WHEN NOT snap AND cut AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY venue, symbol, epoch ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS broken FROM n)
- SELECT event_id, CASE WHEN snap THEN 'snapshot' WHEN epoch = 0 OR broken = 1 THEN 'gap' ELSE 'delta' END AS state FROM b"""
+SEQUENCE = f"WITH {QUOTES}, m AS (SELECT *, row_number() OVER (PARTITION BY venue, symbol ORDER BY ts_local_ns, event_id) AS n FROM quotes), {CONTINUITY}"
 
 
 def stream_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth synchronisation as a stateful stream; numbers follow the event ids of a stream, some updates come twice."""
-    e = jobs.stream_table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     n, snap = F.col("event_id") * 10, F.col("event_type") == "signup"
     last = F.when(snap, n + 15).when(F.col("event_id") % 7 == 0, n - 160).otherwise(n)
     m = e.select(
-        F.lit("ref").alias("venue"), (F.col("event_id") % 16).cast("string").alias("symbol"), "event_id", snap.alias("snapshot"), (last - 159).alias("first_id"), last.alias("last_id"),
+        F.lit("ref").alias("venue"), (F.col("event_id") % 16).cast("string").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", snap.alias("snapshot"), (last - 159).alias("first_id"), last.alias("last_id"),
         (last - F.when(F.col("event_id") % 13 == 0, 161).when((F.col("event_id") - 16) % 7 == 0, 320).otherwise(160)).alias("prev_id"))
-    return jobs.run_once(jobs.depth_monitor(m))
+    log = run_ordered(jobs.depth_monitor(landed(m, "ts_us"), width="2 days"))
+    return log.groupBy("event_id").agg(F.min_by("state", "at_us").alias("state"))
 
 
 DEPTH = """WITH m AS (SELECT event_id, event_id % 16 AS k, event_type = 'signup' AS snap, CASE WHEN event_type = 'signup' THEN event_id * 10 + 15 WHEN event_id % 7 = 0 THEN event_id * 10 - 160 ELSE event_id * 10 END AS u,
@@ -104,9 +103,16 @@ DEPTH = """WITH m AS (SELECT event_id, event_id % 16 AS k, event_type = 'signup'
  SELECT event_id, CASE WHEN snap THEN 'snapshot' WHEN epoch = 0 OR broken = 1 THEN 'gap' WHEN old THEN 'old' ELSE 'delta' END AS state FROM q"""
 
 
+def stream_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synchronisation with buffered release as a stream (X02, X10); the batch twin is ``depth_release``."""
+    m = waiting_messages(spark, sf_dir).withColumn("ts_us", F.expr("ts_local_ns DIV 1000")).select("venue", "symbol", "ts_us", "event_id", "snapshot", "first_id", "last_id", "prev_id")
+    last = jobs.outcomes(run_ordered(jobs.depth_monitor(landed(m, "ts_us"), width="2 days")))
+    return last.select("event_id", "state", F.when(F.col("state") != "gap", F.col("at_us") * 1000).alias("at"))
+
+
 def stream_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid samples of a live run; the batch twin is ``asof_grid_state``."""
-    e = jobs.stream_table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     base = F.round(100 + F.col("value") / 100, 2)
     mid = (F.round(base - 0.01 * (k % 5 + 1), 2) + F.round(base + 0.01 * (k % 5 + 1), 2)) / 2
@@ -114,7 +120,7 @@ def stream_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = e.select(
         F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("event_id") % 2 == 0, "lit").otherwise("ref").alias("venue"), "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), mid.alias("mid"), traded(0).alias("buy"), traded(1).alias("sell"))
-    out = jobs.run_once(jobs.grid_samples(q, HOUR // 1000))
+    out = run_ordered(jobs.grid_samples(landed(q, "ts_us"), HOUR // 1000, width="2 days"))
     known = lambda c: F.round(F.nanvl(c, F.lit(None).cast("double")), 6).alias(c)
     return out.select("symbol", (F.col("tick_us") * 1000).alias("ts_ns"), known("lit_mid"), known("ref_mid"), "buy", "sell", "trades")
 
@@ -126,11 +132,10 @@ STREAM_GRID = f"""WITH {MIDS}, t AS (SELECT symbol, ts_local_ns, sum(CASE WHEN e
 
 def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pair tracker over landed returns of the grid; the batch twin is ``pair_correlation``."""
-    path = shared_path(spark)
-    pair_returns(spark, sf_dir).select("tick", "a", "b", "ra", "rb").write.parquet(path)
-    landed = spark.readStream.schema("tick long, a string, b string, ra double, rb double").parquet(path)
-    last = jobs.run_updates(jobs.pair_tracker(landed, HALFLIFE)).groupBy("a", "b").agg(F.max_by(F.struct("n", "corr"), "batch").alias("s"))
-    return last.select("a", "b", "s.n", F.round("s.corr", 6).alias("corr"))
+    returns = pair_returns(spark, sf_dir).select((F.col("tick") * (HOUR // 1000)).alias("tick"), "a", "b", "ra", "rb")
+    seen = run_ordered(jobs.pair_tracker(landed(returns, "tick"), HALFLIFE, width="8 days"))
+    last = seen.groupBy("a", "b").agg(F.max_by("corr", "n").alias("corr"), F.max("n").alias("n"))
+    return last.select("a", "b", "n", F.round("corr", 6).alias("corr"))
 
 
 QUERIES = {
@@ -142,6 +147,7 @@ QUERIES = {
     "stream_edge_monitor": (stream_edge_monitor, None),
     "stream_sequence": (stream_sequence, SEQUENCE),
     "stream_depth": (stream_depth, DEPTH),
+    "stream_release": (stream_release, None),
     "stream_grid": (stream_grid, STREAM_GRID),
     "stream_pairs": (stream_pairs, PAIRS),
 }

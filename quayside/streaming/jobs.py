@@ -6,25 +6,25 @@ are there (trigger availableNow) into a table in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from ..operators import risk
+from ..operators.feeds import DepthSequence
 from ..sources.tables import shared_path
+from .ordered import Machine, in_order
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+#: Files in a micro-batch at most.
+FILES = 64
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream; the schema is that of the batch table."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -35,17 +35,6 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_updates(stream: DataFrame) -> DataFrame:
-    """All updates of a stream in update mode, as a table with ``batch``: a batch that runs again replaces its rows."""
-    spark, path = stream.sparkSession, shared_path(stream.sparkSession)
-
-    def keep(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
-
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out")
-
-
 def typed_events(events: DataFrame) -> DataFrame:
     """Raw rows to quotes with a watermark."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -92,28 +81,21 @@ def annotated(events: DataFrame, policy: DataFrame) -> DataFrame:
     return events.join(policy, "symbol").select("event_id", "symbol", "value", choice.alias("choice"))
 
 
-def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """All rows of a key in a micro-batch, sorted: Arrow cuts them into batches anywhere, so each alone has no order.
-    What a micro-batch holds is bounded by the source's ``maxFilesPerTrigger`` or offsets."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-
-
-def edge_monitor(trades: DataFrame, window: int = 200, least: int = 30, suspend: int = 3) -> DataFrame:
-    """Multiplier of each strategy after its trades (strategy, ts, id, ret, lcb): halved while the edge is lost, suspended
-    for good at the ``suspend``-th reduction, doubled back when the edge is proven (X07).
+class EdgeMonitor(Machine):
+    """See ``edge_monitor``."""
 
-    After an action ``least`` // 2 trades pass before the next; a restore takes no reduction back.  State is one window
-    of returns for each strategy.
-    """
+    state = "rets array<double>, multiplier double, reductions int, since int, n long"
+    start = ([], 1.0, 0, 0, 0)
     out = "strategy string, n long, multiplier double, reductions int, status string"
-    state_schema = "rets array<double>, multiplier double, reductions int, since int, n long"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rets, multiplier, reductions, since, n = state.get if state.exists else ([], 1.0, 0, 0, 0)
-        new = _in_order(batches, ["ts", "id"])
-        x = np.concatenate((np.asarray(rets, float), new["ret"].to_numpy(float)))
+    def __init__(self, window: int, least: int, suspend: int) -> None:
+        self.window, self.least, self.suspend = window, least, suspend
+
+    def steps(self, key: tuple, state: tuple, rows: list) -> tuple[tuple, list[tuple]]:
+        rets, multiplier, reductions, since, n = state
+        x = np.concatenate((np.asarray(rets, float), [r.ret for r in rows]))
         ends = np.arange(len(rets) + 1, len(x) + 1)
-        starts = np.maximum(0, ends - window)
+        starts = np.maximum(0, ends - self.window)
         # moments of every window at once; centred first, so that the differences of sums lose nothing
         centre = x.mean() if len(x) else 0.0
         s1, s2 = (np.concatenate(([0.0], np.cumsum((x - centre) ** p))) for p in (1, 2))
@@ -121,116 +103,157 @@ def edge_monitor(trades: DataFrame, window: int = 200, least: int = 30, suspend:
         mean = (s1[ends] - s1[starts]) / size
         se = np.sqrt(np.maximum(0.0, (s2[ends] - s2[starts]) - size * mean**2) / np.maximum(1, size - 1) / size)
         mean = mean + centre
-        lost = (mean + 1.96 * se < 0) | (mean < new["lcb"].to_numpy(float) - 2 * se)
-        proven, full = mean - 1.96 * se > 0, size >= least
-        for i in range(len(new)):
+        lost = (mean + 1.96 * se < 0) | (mean < np.array([r.lcb for r in rows]) - 2 * se)
+        proven, full = mean - 1.96 * se > 0, size >= self.least
+        for i in range(len(rows)):
             since += 1
-            if not full[i] or reductions >= suspend or since < least // 2:
+            if not full[i] or reductions >= self.suspend or since < self.least // 2:
                 continue
             if lost[i]:
                 reductions, since = reductions + 1, 0
-                multiplier = 0.0 if reductions >= suspend else multiplier / 2
+                multiplier = 0.0 if reductions >= self.suspend else multiplier / 2
             elif proven[i] and multiplier < 1:
                 multiplier, since = min(1.0, 2 * multiplier), 0
-        n += len(new)
-        state.update((x[-window:].tolist(), float(multiplier), int(reductions), int(since), int(n)))
-        status = "suspended" if reductions >= suspend else "reduced" if multiplier < 1 else "ok"
-        yield pd.DataFrame([(key[0], n, multiplier, reductions, status)], columns=["strategy", "n", "multiplier", "reductions", "status"])
+        n += len(rows)
+        status = "suspended" if reductions >= self.suspend else "reduced" if multiplier < 1 else "ok"
+        return (x[-self.window :].tolist(), float(multiplier), int(reductions), int(since), int(n)), [(key[0], n, multiplier, reductions, status)]
+
+
+def edge_monitor(trades: DataFrame, window: int = 200, least: int = 30, suspend: int = 3, **order: str) -> DataFrame:
+    """Multiplier of each strategy after its trades (strategy, ts, id, ret, lcb), a row for each bucket of time: halved while the edge is
+    lost, suspended for good at the ``suspend``-th reduction, doubled back when the edge is proven (X07).
+
+    After an action ``least`` // 2 trades pass before the next; a restore takes no reduction back.  State is one window
+    of returns for each strategy, and what the watermark holds.
+    """
+    return in_order(trades, ["strategy"], "ts", ["id"], EdgeMonitor(window, least, suspend), **order)
 
-    return trades.groupBy("strategy").applyInPandasWithState(step, out, state_schema, "update", GroupStateTimeout.NoTimeout)
 
+class Continuity(Machine):
+    """See ``sequence_monitor``."""
 
-def sequence_monitor(messages: DataFrame) -> DataFrame:
-    """State of each message of a numbered stream (venue, symbol, event_id, snapshot, begin, nonce), in order of arrival."""
-    state_schema = "last long, synced boolean"
+    state, start, out = "last long, synced boolean", (0, False), "event_id long, state string"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, synced = state.get if state.exists else (0, False)
-        rows = []
-        for r in _in_order(batches, ["event_id"]).itertuples():
+    def steps(self, key: tuple, state: tuple, rows: list) -> tuple[tuple, list[tuple]]:
+        last, synced = state
+        found = []
+        for r in rows:
             if r.snapshot:
-                kind, synced = "snapshot", True
-            elif not synced or (r.begin > 0 and last > 0 and r.begin != last):
+                kind, synced, last = "snapshot", True, r.nonce or 0
+            elif not synced or (r.begin is not None and r.nonce and r.begin != last):
                 kind, synced = "gap", False
             else:
-                kind = "delta"
-            last = r.nonce if r.nonce > 0 else last
-            rows.append((int(r.event_id), kind))
-        state.update((int(last), bool(synced)))
-        yield pd.DataFrame(rows, columns=["event_id", "state"])
+                kind, last = "delta", r.nonce or last
+            found.append((r.event_id, kind))
+        return (last, synced), found
+
+    def late(self, key: tuple, row: object) -> list[tuple]:
+        return [(row.event_id, "late")]
+
+
+def sequence_monitor(messages: DataFrame, **order: str) -> DataFrame:
+    """State of each message of a numbered stream (venue, symbol, ts_us, event_id, snapshot, begin, nonce), in order of time (X02);
+    the rule is that of ``feeds.continuity``.  A message after the watermark is ``late``."""
+    return in_order(messages, ["venue", "symbol"], "ts_us", ["event_id"], Continuity(), **order)
+
 
-    return messages.groupBy("venue", "symbol").applyInPandasWithState(step, "event_id long, state string", state_schema, "append", GroupStateTimeout.NoTimeout)
+class DepthSync(Machine):
+    """See ``depth_monitor``."""
 
+    state, start, out = "last long, synced boolean, bridged boolean", (0, False, False), "event_id long, state string, at_us long"
 
-def depth_monitor(messages: DataFrame) -> DataFrame:
-    """State of each depth message (venue, symbol, event_id, snapshot, first_id, last_id, prev_id) as ``feeds.depth_sync`` has it."""
-    state_schema = "last long, synced boolean, bridged boolean"
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, synced, bridged = state.get if state.exists else (0, False, False)
-        rows = []
-        for r in _in_order(batches, ["event_id"]).itertuples():
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("refused", "event_id long, first_id long, last_id long, prev_id long")
+
+    def steps(self, key: tuple, state: tuple, rows: list) -> tuple[tuple, list[tuple]]:
+        seen = DepthSequence(self.limit, *state, map(tuple, self.kept.get()))
+        found = []
+        for r in rows:
             if r.snapshot:
-                kind, last, synced, bridged = "snapshot", r.last_id, True, False
-            elif not synced:
-                kind = "gap"
-            elif r.last_id < last or (bridged and r.last_id == last):
-                kind = "old"
-            elif (r.prev_id == last) if bridged else (r.first_id <= last + 1):
-                kind, last, bridged = "delta", r.last_id, True
+                found.append((r.event_id, "snapshot", r.ts_us))
+                found += [(name, kind, r.ts_us) for name, kind in seen.snapshot(r.last_id)]
             else:
-                kind, synced = "gap", False
-            rows.append((int(r.event_id), kind))
-        state.update((int(last), bool(synced), bool(bridged)))
-        yield pd.DataFrame(rows, columns=["event_id", "state"])
+                found.append((r.event_id, seen.update((r.event_id, r.first_id, r.last_id, r.prev_id)), r.ts_us))
+        self.kept.put(list(seen.waiting)) if seen.waiting else self.kept.clear()
+        return (seen.last, seen.synced, seen.bridged), found
 
-    return messages.groupBy("venue", "symbol").applyInPandasWithState(step, "event_id long, state string", state_schema, "append", GroupStateTimeout.NoTimeout)
+    def late(self, key: tuple, row: object) -> list[tuple]:
+        return [(row.event_id, "late", row.ts_us)]
 
 
-def grid_samples(events: DataFrame, step_us: int) -> DataFrame:
-    """State of both venues at each tick that a later event of the symbol has passed (X03): mids, traded volume of the traded
-    venue by side, trades.
+def depth_monitor(messages: DataFrame, limit: int = 2000, **order: str) -> DataFrame:
+    """What becomes of each depth message (venue, symbol, ts_us, event_id, snapshot, first_id, last_id, prev_id), in order of time.
 
-    ``events``: symbol, venue, event_id, ts_us, mid, buy, sell (volumes, 0 where nothing traded), in order of arrival.
-    State is a few numbers for each symbol.
+    The rule is that of ``feeds.depth_sync``.  An update refused while unsynced says ``gap`` at its own time and waits in a list
+    of the ``limit`` newest ones; the next snapshot tries the list again, in its order, and what it accepts is a second row,
+    with the snapshot's time.  A message's last row is its outcome in ``feeds.release_buffered``.
     """
-    schema = "symbol string, tick_us long, lit_mid double, ref_mid double, buy double, sell double, trades long"
-    state_schema = "lit double, ref double, tick long, buy double, sell double, trades long"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lit, ref, tick, buy, sell, trades = state.get if state.exists else (None, None, 0, 0.0, 0.0, 0)
-        rows = []
-        for r in _in_order(batches, ["ts_us", "event_id"]).itertuples():
-            tick = tick or (r.ts_us // step_us + 1) * step_us
+    return in_order(messages, ["venue", "symbol"], "ts_us", ["event_id"], DepthSync(limit), **order)
+
+
+def outcomes(log: DataFrame) -> DataFrame:
+    """The last row of each message in a log of ``depth_monitor``: released ones count, refusals stay where nothing followed."""
+    return log.groupBy("event_id").agg(F.max_by(F.struct("state", "at_us"), F.struct("at_us", F.col("state") != "gap")).alias("o")).select("event_id", "o.*")
+
+
+class GridSamples(Machine):
+    """See ``grid_samples``."""
+
+    state, start = "lit double, ref double, tick long, buy double, sell double, trades long", (None, None, 0, 0.0, 0.0, 0)
+    out = "symbol string, tick_us long, lit_mid double, ref_mid double, buy double, sell double, trades long"
+
+    def __init__(self, step_us: int) -> None:
+        self.step_us = step_us
+
+    def steps(self, key: tuple, state: tuple, rows: list) -> tuple[tuple, list[tuple]]:
+        lit, ref, tick, buy, sell, trades = state
+        found = []
+        for r in rows:
+            tick = tick or (r.ts_us // self.step_us + 1) * self.step_us
             while tick < r.ts_us:
-                rows.append((key[0], tick, lit, ref, buy, sell, trades))
-                tick += step_us
+                found.append((key[0], tick, lit, ref, buy, sell, trades))
+                tick += self.step_us
             if r.venue == "lit":
                 lit, buy, sell, trades = r.mid, buy + r.buy, sell + r.sell, trades + int(r.buy + r.sell > 0)
             else:
                 ref = r.mid
-        state.update((lit, ref, int(tick), float(buy), float(sell), int(trades)))
-        yield pd.DataFrame(rows, columns=["symbol", "tick_us", "lit_mid", "ref_mid", "buy", "sell", "trades"]).astype({"lit_mid": "float64", "ref_mid": "float64"})
+        return (lit, ref, tick, buy, sell, trades), found
+
+
+def grid_samples(events: DataFrame, step_us: int, **order: str) -> DataFrame:
+    """State of both venues at each tick that a later event of the symbol has passed (X03): mids, traded volume of the traded
+    venue by side, trades.
+
+    ``events``: symbol, venue, event_id, ts_us, mid, buy, sell (volumes, 0 where nothing traded); they count in order of time, and
+    late ones don't.  State is a few numbers for each symbol, and what the watermark holds.
+    """
+    return in_order(events, ["symbol"], "ts_us", ["event_id"], GridSamples(step_us), **order)
+
+
+class PairTracker(Machine):
+    """See ``pair_tracker``."""
+
+    state, start, out = "n long, aa double, bb double, ab double", (0, 1e-8, 1e-8, 0.0), "a string, b string, n long, corr double"
+
+    def __init__(self, halflife: float, least: int) -> None:
+        self.alpha, self.least = 1 - 0.5 ** (1 / max(halflife, 1.0)), least
 
-    return events.groupBy("symbol").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    def steps(self, key: tuple, state: tuple, rows: list) -> tuple[tuple, list[tuple]]:
+        n, aa, bb, ab = state
+        keep, new = 1 - self.alpha, self.alpha
+        for r in rows:
+            aa, bb, ab = keep * aa + new * r.ra * r.ra, keep * bb + new * r.rb * r.rb, keep * ab + new * r.ra * r.rb
+        n += len(rows)
+        return (n, aa, bb, ab), [(*key, n, ab / (aa * bb) ** 0.5 if n >= self.least and aa * bb > 0 else 0.5)]
 
 
-def pair_tracker(returns: DataFrame, halflife: float, least: int = 100) -> DataFrame:
-    """Correlation of pairs (a, b) from exponentially weighted products of returns.
+def pair_tracker(returns: DataFrame, halflife: float, least: int = 100, **order: str) -> DataFrame:
+    """Correlation of pairs (a, b) from exponentially weighted products of returns (X08), a row for each bucket of time.
 
-    ``returns``: tick, a, b, ra, rb, one row for each pair and tick in order of arrival; 0.5 below ``least`` ticks.
-    Variances start at 1e-8, products of different symbols at 0.  State is three numbers for each pair.
+    ``returns``: tick (microseconds), a, b, ra, rb, one row for each pair and tick; 0.5 below ``least`` ticks.
+    Variances start at 1e-8, products of different symbols at 0.  State is three numbers for each pair, and what the watermark holds.
     """
-    alpha = 1 - 0.5 ** (1 / max(halflife, 1.0))
-    state_schema = "n long, aa double, bb double, ab double"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, aa, bb, ab = state.get if state.exists else (0, 1e-8, 1e-8, 0.0)
-        new = _in_order(batches, ["tick"])
-        for x, y in zip(new["ra"].to_numpy(float), new["rb"].to_numpy(float), strict=True):
-            aa, bb, ab = (1 - alpha) * aa + alpha * x * x, (1 - alpha) * bb + alpha * y * y, (1 - alpha) * ab + alpha * x * y
-        n += len(new)
-        state.update((int(n), float(aa), float(bb), float(ab)))
-        yield pd.DataFrame([(*key, n, ab / (aa * bb) ** 0.5 if n >= least and aa * bb > 0 else 0.5)], columns=["a", "b", "n", "corr"])
-
-    return returns.groupBy("a", "b").applyInPandasWithState(step, "a string, b string, n long, corr double", state_schema, "update", GroupStateTimeout.NoTimeout)
+    return in_order(returns, ["a", "b"], "tick", ["tick"], PairTracker(halflife, least), **order)

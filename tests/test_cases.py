@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from quayside.functions.scans import asof_join, ewma, interval_join, lagged, non_overlapping, prefix_scan, rolling
 from quayside.operators import book, feeds, risk, schema, stats
+from quayside.plans import features
 from quayside.plans.research import walk_forward
-from quayside.sources.tables import shared_path, written
-from quayside.streaming import jobs
+from quayside.sources import datasets
+from quayside.sources.tables import written
 
 BOOK = [("bid", 99.0, 2.0), ("bid", 98.0, 5.0), ("bid", 97.0, 10.0), ("ask", 101.0, 1.0), ("ask", 102.0, 4.0), ("ask", 103.0, 10.0)]
 
@@ -47,11 +48,21 @@ def test_units(spark):
     assert [r[0] for r in df.select(feeds.to_ns("x")).collect()] == [1704067200000000000] * 4 + [0, 0, 0]
 
 
-def test_continuity(spark):
-    rows = [(1, True, 0, 10), (2, False, 10, 12), (3, False, 15, 16), (4, False, 16, 17), (5, True, 0, 20), (6, False, 20, 21)]
+@pytest.mark.parametrize("rows, want", [
+    ([(1, True, 0, 10), (2, False, 10, 12), (3, False, 15, 16), (4, False, 16, 17), (5, True, 0, 20), (6, False, 20, 21)], "snapshot delta gap gap snapshot delta"),
+    # without its own nonce a delta isn't checked, and leaves the last one
+    ([(1, True, None, 10), (2, False, 7, None), (3, False, 7, 0), (4, False, 10, 11)], "snapshot delta delta delta"),
+    # a beginning of 0 is one
+    ([(1, True, None, 10), (2, False, 0, 11)], "snapshot gap"),
+    # a snapshot's nonce counts even if it is 0 or missing
+    ([(1, True, None, 5), (2, True, None, 0), (3, False, 5, 6)], "snapshot snapshot gap"),
+    ([(1, True, None, None), (2, False, 0, 6), (3, False, None, 9), (4, False, 9, 10)], "snapshot delta delta delta"),
+    ([(1, False, None, 3)], "gap"),
+])
+def test_continuity(spark, rows, want):
     df = spark.createDataFrame([("lit", "S", *r) for r in rows], "venue string, symbol string, n long, snapshot boolean, begin long, nonce long")
-    got = {r.n: r.state for r in feeds.continuity(df, ["venue", "symbol"], ["n"], F.col("n")).collect()}
-    assert got == {1: "snapshot", 2: "delta", 3: "gap", 4: "gap", 5: "snapshot", 6: "delta"}
+    got = {r.n: r.state for r in feeds.continuity(df, ["venue", "symbol"], ["n"], F.floor(F.col("n") / 2)).collect()}
+    assert got == dict(enumerate(want.split(), 1))
 
 
 def test_depth_sync(spark):
@@ -177,15 +188,15 @@ def test_non_overlapping_is_the_greedy_pass(spark):
 
 @pytest.mark.parametrize("rows, want", [
     # buffered updates bridge the snapshot; a later one breaks the chain
-    ([(1, False, 90, 95, 89), (2, False, 96, 105, 95), (3, True, None, 100, None), (4, False, 106, 110, 105), (5, False, 113, 115, 112)], {1: ("old", 3), 2: ("delta", 3), 3: ("snapshot", 3), 4: ("delta", 4), 5: ("gap", 5)}),
+    ([(1, False, 90, 95, 89), (2, False, 96, 105, 95), (3, True, None, 100, None), (4, False, 106, 110, 105), (5, False, 113, 115, 112)], {1: ("old", 3), 2: ("delta", 3), 3: ("snapshot", 3), 4: ("delta", 4), 5: ("gap", None)}),
     # what four snapshots refuse the fifth releases
     ([(1, False, 501, 510, 500), *[(k, True, None, 100 * (k - 1), None) for k in range(2, 7)]], {1: ("delta", 6)} | {k: ("snapshot", k) for k in range(2, 7)}),
     # the buffer doesn't bridge
-    ([(1, False, 120, 130, 119), (2, True, None, 100, None)], {1: ("gap", 2), 2: ("snapshot", 2)}),
+    ([(1, False, 120, 130, 119), (2, True, None, 100, None)], {1: ("gap", None), 2: ("snapshot", 2)}),
 ])
 def test_release_of_buffered_updates(spark, rows, want):
     df = spark.createDataFrame([("ref", "S", *r) for r in rows], "venue string, symbol string, n long, snapshot boolean, first_id long, last_id long, prev_id long")
-    got = {r.n: (r.state, r.at) for r in feeds.release_buffered(df, ["venue", "symbol"], "n", F.floor(F.col("at") / 100)).collect()}
+    got = {r.n: (r.state, r.at) for r in feeds.release_buffered(df, ["venue", "symbol"], ["n"], F.floor(F.col("n") / 100)).collect()}
     assert got == want
 
 
@@ -233,61 +244,6 @@ def test_depth_sync_against_the_state_machine(spark):
         assert got == depth_states(rows)
 
 
-def landed(spark, df, n=1):
-    """A stream over ``df`` written as ``n`` files."""
-    path = shared_path(spark)
-    df.repartition(n).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
-
-
-def test_streams_keep_the_order_of_a_large_key(spark):
-    """One key with more rows than an Arrow batch, shuffled in the file."""
-    n = 30_000
-    df = spark.range(n).select(F.lit("lit").alias("venue"), F.lit("S").alias("symbol"), F.col("id").alias("event_id"), (F.col("id") == 0).alias("snapshot"), F.col("id").alias("begin"), (F.col("id") + 1).alias("nonce")).orderBy(F.hash("event_id"))
-    got = {r.state: r["count"] for r in jobs.run_once(jobs.sequence_monitor(landed(spark, df))).groupBy("state").count().collect()}
-    assert got == {"snapshot": 1, "delta": n - 1}
-    rows = [(i, *r[1:]) for i, r in enumerate(r for seed in range(40) for r in depth_rows(seed))]
-    depth = spark.createDataFrame([("ref", "S", *r) for r in rows], "venue string, symbol string, event_id long, snapshot boolean, first_id long, last_id long, prev_id long").orderBy(F.hash("event_id"))
-    assert {r.event_id: r.state for r in jobs.run_once(jobs.depth_monitor(landed(spark, depth))).collect()} == depth_states(rows)
-    ticks = spark.range(n).select(F.lit("S").alias("symbol"), F.lit("lit").alias("venue"), F.col("id").alias("event_id"), (F.col("id") * 7 + 3).alias("ts_us"), F.col("id").cast("double").alias("mid"), F.lit(1.0).alias("buy"), F.lit(0.0).alias("sell")).orderBy(F.hash("event_id"))
-    for r in jobs.run_once(jobs.grid_samples(landed(spark, ticks), 1000)).collect():
-        assert r.lit_mid == (r.tick_us - 3) // 7 and r.trades == r.buy == (r.tick_us - 3) // 7 + 1
-
-
-def edge_states(rows, window=200, least=30, suspend=3):
-    import numpy as np
-
-    rets, multiplier, reductions, since = [], 1.0, 0, 0
-    for ret, lcb in rows:
-        rets, since = [*rets, ret][-window:], since + 1
-        if reductions >= suspend or len(rets) < least or since < least // 2:
-            continue
-        m, se = np.mean(rets), np.std(rets, ddof=1) / len(rets) ** 0.5
-        if m + 1.96 * se < 0 or m < lcb - 2 * se:
-            reductions, since = reductions + 1, 0
-            multiplier = 0.0 if reductions >= suspend else multiplier / 2
-        elif m - 1.96 * se > 0 and multiplier < 1:
-            multiplier, since = min(1.0, 2 * multiplier), 0
-    return len(rows), multiplier, reductions, "suspended" if reductions >= suspend else "reduced" if multiplier < 1 else "ok"
-
-
-def test_edge_monitor_against_the_state_machine(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    # lost, proven again, lost once more: a restore takes no reduction back
-    phases = {"a": (0.0, -0.02, 0.03), "b": (0.01,), "c": (-0.01, 0.02, -0.02, 0.02, -0.02, 0.02), "d": (-0.03, 0.03)}
-    rows, want = [], {}
-    for name, means in phases.items():
-        rets = [float(x) for m in means for x in rng.normal(m, 0.01, 300)]
-        rows += [(name, i, i, x, -0.05) for i, x in enumerate(rets)]
-        want[name] = edge_states([(x, -0.05) for x in rets])
-    assert {w[3] for w in want.values()} >= {"ok", "suspended"}
-    df = spark.createDataFrame(rows, "strategy string, ts long, id long, ret double, lcb double").orderBy(F.hash("id"))
-    got = {r.strategy: (r.n, r.multiplier, r.reductions, r.status) for r in jobs.run_updates(jobs.edge_monitor(landed(spark, df))).collect()}
-    assert got == want
-
-
 def test_lags_rolling_frames_and_series_of_averages(spark):
     rows = [(k, t, float((t * 7 + k) % 11) if t % 4 else None) for k in range(2) for t in range(300) if (t + k) % 50]
     df = spark.createDataFrame(rows, "k int, t long, x double")
@@ -354,3 +310,35 @@ def test_torn_gzip_files_keep_their_prefix(spark, tmp_path):
     (day / "a.gz").write_bytes(data[: len(data) // 2])
     got = feeds.read_raw(spark, str(tmp_path), ["lit"])
     assert 100 < got.count() < 20_000 and got.where("raw is null").count() == 0
+
+
+def test_changes_of_one_instant_count_one_after_another(spark):
+    base = [("bid", 99.9, 4.0, 1, 1), ("ask", 100.1, 4.0, 1, 2)]
+    # one level grows twice at an instant; then the touch goes and a level counts by the mid that is left
+    rows = [*base, ("bid", 99.8, 5.0, 10, 3), ("bid", 99.8, 8.0, 10, 4), ("bid", 99.8, 6.0, 10, 5), ("bid", 99.9, 0.0, 20, 6), ("ask", 100.2, 1.0, 20, 7), ("ask", 140.0, 9.0, 20, 8)]
+    df = spark.createDataFrame([("S", 1, *r) for r in rows], "symbol string, epoch long, side string, price double, size double, ts_local_ns long, seq long")
+    got = {r.seq: (r.added, r.removed) for r in features.band_flow(df, 0.005, 7).collect()}
+    assert got == {3: (5, 0), 4: (3, 0), 5: (0, 2), 6: (0, 4), 7: (1, 0)}
+
+
+def test_datasets_keep_each_inputs_days(spark, tmp_path):
+    day, root = 86_400_000_000_000, str(tmp_path / "set")
+    a = spark.createDataFrame([(day * 19_723 + k * day // 2, float(k)) for k in range(6)], "ts_ns long, x double")
+    b = a.withColumn("x", F.when(F.col("x") == 2, 20.0).otherwise(F.col("x")))
+    build = lambda df: datasets.write_days(df, root, datasets.day_keys(df, "ts_ns"))
+    assert build(a) == ["20240101", "20240102", "20240103"] and build(b) == ["20240102"]
+    assert build(a) == [] and build(b.repartition(3)) == []
+    for df in (a, b):
+        back = datasets.read_days(spark, root, datasets.day_keys(df, "ts_ns"))
+        assert sorted(r.x for r in back.collect()) == sorted(r.x for r in df.collect())
+    # a day that looks back changes with the day before it
+    keys = [{r.day: r.key for r in datasets.day_keys(df, "ts_ns", 1).collect()} for df in (a, b)]
+    assert {d for d in keys[0] if keys[0][d] != keys[1][d]} == {"20240102", "20240103"}
+
+
+def test_fingerprints_see_contents(spark, tmp_path):
+    for folder, text in (("a", "one"), ("b", "two"), ("c", "two")):
+        (tmp_path / folder / "h=1").mkdir(parents=True)
+        (tmp_path / folder / "h=1" / "x.tsv").write_text(text)
+    prints = [datasets.fingerprint(spark, str(tmp_path / f)) for f in "abc"]
+    assert prints[0] != prints[1] == prints[2]
