@@ -74,19 +74,20 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Alternating large-star and small-star steps: every step is one grouped minimum and
     one join, rows never exceed the edges, and a hot node's neighbours stay rows (no list
-    is gathered).  Ends when a full round changes nothing.  Returns (node, root); nodes
+    is gathered), spread as they were.  Ends when a full round changes nothing.  Returns (node, root); nodes
     without edges don't appear.
     """
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("n")).where("n > 0")
+        least = written(least.select("a", F.least("a", "m").alias("m"), "n"), name)
+        return hot_join(both.where("b > a"), least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        linked = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = written(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        linked = hot_join(down, least, ["a"], "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return linked.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     def mark(e: DataFrame) -> tuple:

@@ -6,12 +6,10 @@ each rank left is an interval of the suffix array with a longest common prefix o
 that many lines.  Ranks follow a range-partitioned sort, so no task sees a whole level, and
 a pair of ranks that a third of all suffixes share is one row after the partial aggregation.
 
-From each line the shortest run of at least ``min_words`` words is looked up in those
-intervals: two ranks, of its first and of its last power-of-two lines, name it.  Where the
+The shortest runs of at least ``min_words`` words that begin and that end at each line are looked up in those
+intervals: two ranks, of its first and of its last power-of-two lines, name a run.  Where the
 same run begins earlier (in an earlier document, or before it in the same one without
-overlap), all its lines are deleted.  Those runs alone leave the last lines of a repeated
-run, from which fewer words than ``min_words`` remain: that is the rule of ``OP10_SQL``.
-With ``whole`` the shortest run that ends at each line is looked up too.  A line of a maximal
+overlap), all its lines are deleted.  A line of a maximal
 repeated run has ``min_words`` words of it from there on, or up to there, or lies in the
 shortest run from its first line: both kinds together cover exactly the maximal runs.
 """
@@ -43,7 +41,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, name: str) -> DataFrame:
-    """Distinct pairs (r1, r2) with a rank in their order: range partitions hold rising ids."""
+    """Distinct pairs (r1, r2), and how many suffixes have each (n), with a rank in their order: range partitions hold rising ids."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = pairs.repartitionByRange(n, "r1", "r2").sortWithinPartitions("r1", "r2")
     return written(ordered.withColumn("rank", F.monotonically_increasing_id()), name)
@@ -51,8 +49,8 @@ def _ranked(pairs: DataFrame, name: str) -> DataFrame:
 
 def _level(suffixes: DataFrame, name: str) -> DataFrame:
     """Suffixes (key, ..., r1, r2) whose pair occurs twice or more, with its rank."""
-    pairs = suffixes.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r1", "r2")
-    return suffixes.join(_ranked(pairs, f"{name}-ranks"), ["r1", "r2"]).drop("r1", "r2")
+    pairs = suffixes.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1")
+    return hot_join(suffixes, _ranked(pairs, f"{name}-ranks"), ["r1", "r2"], "n").drop("r1", "r2", "n")
 
 
 def _doubled(level: DataFrame, step: int) -> DataFrame:
@@ -65,13 +63,11 @@ def _doubled(level: DataFrame, step: int) -> DataFrame:
     return level.withColumn("r2", F.first("rank").over(w)).where("r2 is not null").withColumnRenamed("rank", "r1")
 
 
-def shortest_runs(first: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
-    """key, doc_id, seq, len: place and lines of the shortest run of repeated lines from each line of
-    first (key, doc_id, seq, words, ...) with ``min_words`` words, if there is one; with ``whole`` also
-    of the shortest that ends there.  A line has a word, so at most ``min_words`` lines are looked at."""
+def shortest_runs(first: DataFrame, min_words: int) -> DataFrame:
+    """key, doc_id, seq, len: place and lines of the shortest runs of repeated lines from each line of
+    first (key, doc_id, seq, words, ...) and up to it with ``min_words`` words, if there are any.  A line has a word,
+    so at most ``min_words`` lines are looked at."""
     runs = _shortest(first, min_words, 1)
-    if not whole:
-        return runs
     # a line with all the words is the same run both ways
     return runs.unionByName(_shortest(first, min_words, -1).where("len > 1")).distinct()
 
@@ -91,14 +87,14 @@ def _shortest(first: DataFrame, min_words: int, way: int) -> DataFrame:
     return ahead.select("key", "doc_id", (F.col("seq") if way > 0 else F.col("seq") - F.col("len") + 1).alias("seq"), "len")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """key, seq, len of each shortest run that begins earlier elsewhere; and the repeated lines."""
     lines = line_table(docs)
     twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    first = lines.withColumnsRenamed({"h1": "r1", "h2": "r2"}).join(
-        _ranked(twice.select(F.col("h1").alias("r1"), F.col("h2").alias("r2")), "lines-ids"), ["r1", "r2"]).drop("r1", "r2")
+    ids = _ranked(twice.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "n"), "lines-ids")
+    first = hot_join(lines.withColumnsRenamed({"h1": "r1", "h2": "r2"}), ids, ["r1", "r2"], "n").drop("r1", "r2", "n")
     first = written(first.dropDuplicates(["key", "seq"]), "lines-1")
-    starts = written(shortest_runs(first, min_words, whole), "lines-runs")
+    starts = written(shortest_runs(first, min_words), "lines-runs")
     longest = starts.agg(F.max("len")).first()[0] or 0
 
     found, level, step = [], first.select("key", "seq", "doc_id", "rank"), 1
@@ -127,19 +123,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = Fal
     return later.where(apart & (F.col("first") < place)).select("key", "seq", "len"), first
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """key, gone: sorted places (among all lines) of the lines that go, for documents that lose any."""
-    runs, first = repeated_runs(docs, min_words, whole)
+    runs, first = repeated_runs(docs, min_words)
     gone = runs.select("key", F.explode(F.sequence("seq", F.col("seq") + F.col("len") - 1)).alias("seq")).distinct()
     return gone.join(first.select("key", "seq", "raw"), ["key", "seq"]).groupBy("key").agg(F.sort_array(F.collect_list("raw")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut from ``text``, plus n_lines_cut.
 
-    ``whole`` cuts them to their last line; without it a copy's end stays where fewer than
-    ``min_words`` words remain.
-
     Every row stays, with all its columns; a text that loses all its lines becomes empty.
     Null text stays null and has no lines; blank lines belong to no run and stay.  Rows that
     repeat both id and text count as one document; rows with a null doc_id come last in the
@@ -147,7 +140,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False)
     already has is replaced; other names don't clash.
     """
     docs = docs.drop("n_lines_cut")
-    gone = written(deleted_lines(docs, min_words, whole), "lines-gone").withColumnsRenamed({"key": "__line_key", "gone": "__line_gone"})
+    gone = written(deleted_lines(docs, min_words), "lines-gone").withColumnsRenamed({"key": "__line_key", "gone": "__line_gone"})
     # always a merge join: a broadcast of what goes would have no bound
     joined = docs.withColumn("__line_key", _key()).join(gone.hint("merge"), "__line_key", "left")
     lines = F.split("text", "\n", -1)
@@ -160,7 +153,3 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False)
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)

@@ -64,19 +64,24 @@ def _sets(b: pd.DataFrame, shingle: int) -> Iterator[np.ndarray]:
         yield np.unique(np.array(shingle_hashes(t, shingle), np.uint64))
 
 
+def _rid() -> tuple[F.Column, F.Column]:
+    """Names a row by 128 bits of id and text."""
+    return F.xxhash64("doc_id", text_of()).alias("rid"), F.xxhash64(F.lit(1), "doc_id", text_of()).alias("rid2")
+
+
 def _signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, rid (names a row by id and text), node, n (shingles of the set), keys."""
+    """doc_id, rid and rid2, h1 and h2 (128 bits of the set), n (shingles of the set), keys."""
     bands = _bands(similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         multipliers = _multipliers(bands)
         for b in batches:
-            rows = [(xxhash.xxh64_intdigest(s.tobytes()) - 2**63, len(s), band_keys(s, multipliers)) for s in _sets(b, shingle)]
-            node, n, keys = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "rid": b["rid"], "node": node, "n": n, "keys": keys})
+            rows = [(*(xxhash.xxh64_intdigest(s.tobytes(), k) - 2**63 for k in (0, 1)), len(s), band_keys(s, multipliers)) for s in _sets(b, shingle)]
+            h1, h2, n, keys = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pd.DataFrame({"doc_id": b["doc_id"], "rid": b["rid"], "rid2": b["rid2"], "h1": h1, "h2": h2, "n": n, "keys": keys})
 
-    rows = docs.select(F.col("doc_id").cast("string"), F.xxhash64("doc_id", text_of()).alias("rid"), text_of().alias("text"))
-    return rows.mapInPandas(run, "doc_id string, rid long, node long, n long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("string"), *_rid(), text_of().alias("text"))
+    return rows.mapInPandas(run, "doc_id string, rid long, rid2 long, h1 long, h2 long, n long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _set_table(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -86,8 +91,8 @@ def _set_table(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: in
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "set": [s.view(np.int64) for s in _sets(b, shingle)]})
 
-    rids = wanted.join(nodes.select("node", "rid"), "node")
-    texts = docs.select(F.xxhash64("doc_id", text_of()).alias("rid"), text_of().alias("text")).join(rids.hint("merge"), "rid").dropDuplicates(["node"])
+    rids = wanted.join(nodes.select("node", "rid", "rid2"), "node")
+    texts = docs.select(*_rid(), text_of().alias("text")).join(rids.hint("merge"), ["rid", "rid2"]).dropDuplicates(["node"])
     return written(texts.select("node", "text").mapInPandas(run, "node long, set array<long>"), "near-sets")
 
 
@@ -142,7 +147,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: floa
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(keyed.join(counts, "key"), "near-keys")
+    shared = written(hot_join(keyed, written(counts, "near-counts"), ["key"], "size"), "near-keys")
     cold = shared.where(F.col("size") <= HOT)
     a = cold.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
     b = cold.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -179,10 +184,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     Rows that repeat a doc_id stay together; rows without doc_id are linked too, but kept.
     """
     sigs = written(_signatures(docs, shingle, similarity), "near-sigs")
-    nodes = written(sigs.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("rows")), "near-nodes")
+    nodes = sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("rid", "rid2")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
+    # written once, so a set keeps its number
+    nodes = written(nodes.select("h1", "h2", "least", "r.rid", "r.rid2", "n", "keys", "rows", F.monotonically_increasing_id().alias("node")), "near-nodes")
     roots = _roots(nodes, near_links(nodes, docs, shingle, similarity))
-    placed = nodes.select("node", "least", "rows").join(roots, "node")
-    named = written(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "rows"), "near-named")
-    gone = hot_join(sigs.select("doc_id", "node"), named, ["node"], "rows").where("doc_id <> component_id").select("doc_id").distinct()
+    placed = nodes.select("node", "h1", "h2", "least", "rows").join(roots, "node")
+    named = written(placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h1", "h2", "component_id", "rows"), "near-named")
+    gone = hot_join(sigs.select("doc_id", "h1", "h2"), named, ["h1", "h2"], "rows").where("doc_id <> component_id").select("doc_id").distinct()
     # always a merge join: a broadcast of what goes would have no bound
     return docs.join(gone.hint("merge"), "doc_id", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op9_decontamination
 from .extract import op3_extract_text
 from .histogram_packing import op11_histogram_packing
-from .line_dedup import op10_line_dedup, op10_line_dedup_whole
+from .line_dedup import op10_line_dedup
 from .packing import op8_packing
 from .periodic_runs import op13_periodic_runs
 from .prefix_trie import op12_prefix_trie
@@ -22,7 +22,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_surrogates, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup, op10_line_dedup_whole, op11_histogram_packing, op12_prefix_trie, op13_periodic_runs)
+    found = (op1_toxicity, op2_surrogates, op3_extract_text, op4_token_files, op5_warc, op6_simhash, op7_quality_rules, op8_packing, op9_decontamination, op10_line_dedup, op11_histogram_packing, op12_prefix_trie, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
@@ -34,12 +34,13 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, ''))
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
 """
 
-#: The shortest run of 50 words from each line, named by its text; where it begins earlier, its lines go.
+#: The shortest runs of 50 words from each line and up to it, named by their text; where one begins earlier, its lines go.
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'raw': i - 1, 'line': x})) AS u FROM documents),
  a AS (SELECT doc_id, u.raw AS raw, u.line AS line, len(regexp_extract_all(u.line, '[^\x20\x09-\x0D]+')) AS w FROM l),
  c AS (SELECT *, row_number() OVER o - 1 AS seq, sum(w) OVER o AS cum FROM a WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY raw ROWS UNBOUNDED PRECEDING)),
- r AS (SELECT s.doc_id, s.seq, min(e.seq) AS last FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.seq BETWEEN s.seq AND s.seq + 49 AND e.cum - s.cum + s.w >= 50 GROUP BY ALL),
+ p AS (SELECT s.doc_id, s.seq AS a, e.seq AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.seq BETWEEN s.seq AND s.seq + 49 AND e.cum - s.cum + s.w >= 50),
+ r AS (SELECT doc_id, a AS seq, min(b) AS last FROM p GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM p GROUP BY doc_id, b),
  k AS (SELECT r.doc_id, r.seq, r.last - r.seq + 1 AS len, string_agg(c.line, chr(10) ORDER BY c.seq) AS run FROM r JOIN c ON r.doc_id = c.doc_id AND c.seq BETWEEN r.seq AND r.last GROUP BY ALL),
  f AS (SELECT *, min({'d': doc_id, 's': seq}) OVER (PARTITION BY run) AS first FROM k),
  g AS (SELECT DISTINCT doc_id, unnest(range(seq, seq + len)) AS seq FROM f WHERE first.d < doc_id OR (first.d = doc_id AND first.s + len <= seq)),

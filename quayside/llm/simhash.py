@@ -146,7 +146,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     keyed = fps.select("fp").mapInPandas(keys, "key long, fp long")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(counts, "key"), "simhash-keys")
+    shared = written(hot_join(keyed, written(counts, "simhash-counts"), ["key"], "n"), "simhash-keys")
     cold = shared.where(F.col("n") <= HOT).select("key", "fp")
     a, b = cold.select("key", F.col("fp").alias("a")), cold.select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import hot_join, table, text_of, written
 
 BROADCAST = 100_000
 #: Draws within the format; later ones append characters (addresses and IBANs: draw freely), which ends the collisions.
@@ -41,7 +41,8 @@ DEFAULT_KEY = "change me"
 
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<!\w)\+\d{8,15}(?!\d))"
+#: National numbers begin with a zero; local ones are three and four digits with a hyphen.
+PHONE = r"(?:(?<![\w.,:/-])0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{2,4}){0,2}(?![\w/-]|[.,:]\d)|(?<![\w.,:/-])0\d{9,10}(?![\w/-]|[.,:]\d)|(?<![\w.,:/-])[2-9]\d{2}-\d{4}(?![\w/-]|[.,:]\d)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<!\w)\+\d{8,15}(?!\d))"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?)(?!\d)"
 #: Where a number can begin: only there the patterns are tried.
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -59,8 +60,10 @@ TITLES = {
 #: Phrases before a name that tell no gender.
 CUES = ("name is", "Name:", "Name ist", "heiße", "llamo", "nombre es", "Nombre:", "appelle", "Nom:", "зовут", "λένε")
 INTRODUCED = {**TITLES, **dict.fromkeys(CUES, "n")}
-NAME = re.compile(r"\.?[ ]((?:[^\W\d_a-z][^\W\d_]+)(?:[ -](?:[^\W\d_a-z][^\W\d_]+)){0,2})")
-BETWEEN = re.compile(r"[ -]")
+WORD = r"(?:[^\W\d_a-z]['\u2019])?[^\W\d_a-z][^\W\d_]+"
+NAME = re.compile(rf"\.?[ ]({WORD}(?:[ -]{WORD}){{0,2}})")
+MARKS = " '\u2019-"
+BETWEEN = re.compile(rf"[{MARKS}]")
 #: Syllables of made-up names: consonants, vowels, endings by gender.
 SCRIPTS = {
     "LATIN": ("bcdfglmnprstv", "aeiou", {"m": ("o", "us", "en"), "f": ("a", "ia", "ina"), "n": ("e", "is", "or")}),
@@ -83,11 +86,12 @@ def _names(text: str) -> list[tuple[int, int, str]]:
                 else:
                     gender_here = gender
                 found.append((m.start(1), m.end(1), gender_here))
-                said.update(BETWEEN.split(m[1]))
+                # as written, and in capitals or not: an ordinary word in small letters is none
+                said.update(x for w in BETWEEN.split(m[1]) if len(w) > 1 for x in (w, w.upper(), w.capitalize()))
             at = text.find(title, at + len(title))
     if said:
         one = "|".join(map(re.escape, sorted(said, key=lambda w: (-len(w), w))))
-        found += [(m.start(), m.end(), "n") for m in re.finditer(rf"(?<!\w)(?:{one})(?:[ -](?:{one}))*(?!\w)", text)]
+        found += [(m.start(), m.end(), "n") for m in re.finditer(rf"(?<!\w)(?:[^\W\d_a-z]['\u2019])?(?:{one})(?:[ -](?:{one}))*(?!\w)", text)]
     return found
 
 
@@ -127,7 +131,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def _is_ipv6(value: str) -> bool:
-    if sum(1 for g in value.split(":") if g) < 3:
+    groups = [g for g in value.split(":") if g]
+    # short forms are addresses if a digit is in them: a::b may be program text
+    if not groups or (len(groups) < 3 and not any(c.isdigit() for c in value)):
         return False
     try:
         ipaddress.IPv6Address(value)
@@ -203,16 +209,21 @@ def draw_canonical(key: str, kind: str, name: str, attempt: int, gender: str = "
             out = out[:-1] + next(d for d in "0123456789" if _luhn(out[:-1] + d) == 0)
         more = "0123456789"
     elif kind == "ip":
+        if attempt >= 2 * DRAWS:  # the range of IPv4 is crowded: the documentation range of IPv6 never is
+            return ipaddress.IPv6Address((0x20010DB8 << 96) | sum(draw.below(1 << 32) << 32 * k for k in range(3))).compressed
         out = []
         for p in name.split("."):
             lo, hi = {1: (0, 10), 2: (10, 100)}.get(len(p), (100, 256)) if attempt < DRAWS else (0, 256)
             out.append(str(lo + draw.below(hi - lo)))
         return ".".join(out)
     elif kind == "ipv6":
+        if attempt >= DRAWS:
+            return ipaddress.IPv6Address(sum(draw.below(1 << 32) << 32 * k for k in range(4))).compressed
         groups = [f"{1 + draw.below(16 ** len(g) - 1):x}" if g else g for g in name.split(":")]
         return ipaddress.IPv6Address(":".join(groups)).compressed
     elif kind == "iban":
         body = "".join(str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in name[4:])
+        body += "".join(str(draw.below(10)) for _ in range(max(0, attempt - DRAWS)))
         return f"{name[:2]}{98 - _mod97(name[:2] + '00' + body):02d}{body}"
     elif kind == "name":
         out, more = _name(draw, name, gender), "aeiou"
@@ -254,7 +265,7 @@ def replace(text: str, key: str, special: dict) -> tuple[str, int]:
         out.append(text[at:a])
         value = text[a:b]
         words = BETWEEN.split(value) if kind.startswith("name") else [value]
-        marks = [c for c in value if c in " -"] if len(words) > 1 else []
+        marks = [c for c in value if c in MARKS] if len(words) > 1 else []
         for (own, name, _), word, mark in zip(parts(kind, value), words, [*marks, ""], strict=True):
             attempt, gender = special.get((own, name), (0, "n"))
             out.append(dress(own, word, draw_canonical(key, own, name, attempt, gender)) + mark)
@@ -290,7 +301,7 @@ def collisions(known: DataFrame, key: str) -> DataFrame:
 
     columns = ["kind", "name", "gender", "attempt", "surrogate"]
     current = written(with_surrogate(known.withColumn("attempt", F.lit(0))).select(columns), "surrogates")
-    for _ in range(DRAWS + 60):
+    while True:  # later draws come from ranges that grow, so this ends
         # all but the smallest entity of a surrogate draw again, as does one that is an entity itself
         first = current.groupBy("surrogate").agg(F.min(F.struct("attempt", "kind", "name")).alias("first"))
         itself = known.select(F.col("name").alias("surrogate"), F.lit(True).alias("taken")).distinct()
@@ -301,8 +312,6 @@ def collisions(known: DataFrame, key: str) -> DataFrame:
             break
         redone = with_surrogate(marked.where("again").drop("surrogate"))
         current = written(marked.where("not again").select(columns).unionByName(redone.select(columns)), "surrogates")
-    else:
-        raise ValueError("surrogates still collide")
     return current.where("attempt > 0 or gender <> 'n'").select("kind", "name", "gender", "attempt")
 
 
@@ -335,10 +344,14 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, broadcast: int = BROAD
             return pd.DataFrame([replace(t, key, {(r["kind"], r["name"]): (r["attempt"], r["gender"]) for r in o} if o is not None else {}) if t is not None else (None, 0) for t, o in rows], columns=["text", "n"])
 
         # a text's own entities, by a digest of the text; hot texts count once
-        texts = docs.select(F.md5("text").alias("__at"), "text").where("text is not null").dropDuplicates(["__at"])
+        at = docs.withColumn("__at", F.md5("text"))
+        texts = written(at.where("text is not null").groupBy("__at").agg(F.first("text").alias("text"), F.count("*").alias("__rows")), "texts")
         each = texts.select("__at", F.explode(F.pandas_udf(named, "array<struct<kind:string,name:string>>")("text")).alias("e")).select("__at", "e.*")
-        own = each.join(special, ["kind", "name"]).groupBy("__at").agg(F.collect_list(F.struct("kind", "name", "attempt", "gender")).alias("__own"))
-        joined = docs.withColumn("__at", F.md5("text")).join(own, "__at", "left")
+        each = written(each, "mentions")
+        wanted = written(each.groupBy("kind", "name").agg(F.count("*").alias("__rows")).join(special, ["kind", "name"]), "wanted")
+        own = hot_join(each, wanted, ["kind", "name"], "__rows").groupBy("__at").agg(F.collect_list(F.struct("kind", "name", "attempt", "gender")).alias("__own"))
+        own = written(texts.select("__at", "__rows").join(own, "__at", "left"), "own")
+        joined = hot_join(at.where("text is not null"), own, ["__at"], "__rows").unionByName(at.where("text is null"), allowMissingColumns=True)
         done = joined.withColumn("__surrogates", F.pandas_udf(many, schema)("text", "__own"))
     columns = [F.col("__surrogates.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return done.select(*columns, F.col("__surrogates.n").alias("n_replaced"))

@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,7 +41,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import scratch, table, text_of
+from .common import hot_join, scratch, table, text_of, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_length long, file string, offset long, payload binary"
 #: Columns that headers alone decide.
@@ -200,6 +201,13 @@ TESTS = {
 }
 
 
+def _archives(files, root: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the archives in a folder, by name."""
+    from pyarrow import fs
+
+    return sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith((".warc.gz", ".warc")))
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
@@ -218,10 +226,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        from pyarrow import fs
-
         files, root = _files(self.path)
-        found = sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith((".warc.gz", ".warc")))
+        found = _archives(files, root)
         most = min(self.most, max(1, sum(n for _, n in found) // self.parallelism))
         plans, size = [], most
         for path, n in found:
@@ -254,10 +260,11 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows (record_id, target_uri, payload, refers_to); files get their names at the commit."""
+    """Writes rows (record_id, target_uri, payload, refers_to); files get their names at the commit, and no other job's: an append adds to
+    what is there, an overwrite takes it away once its own files are complete."""
 
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex[:12]
         files, root = _files(self.path)
         files.create_dir(root)  # at the driver: a table without rows is an empty folder
 
@@ -274,7 +281,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size > ROLL:
                     if out is not None:
                         out.close()
-                    base = f"part-{context.partitionId():06d}-{len(moves):04d}"
+                    base = f"part-{self.job}-{context.partitionId():06d}-{len(moves):04d}"
                     moves.append((f".{base}.{context.taskAttemptId()}", f"{base}.warc.gz"))
                     out, size = files.open_output_stream(f"{root}/{moves[-1][0]}", compression=None), 0
                 data = member(record_bytes(record_id.as_py(), uri.as_py(), payload.as_py() or b"", refers_to.as_py()))
@@ -286,6 +293,9 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         files, root = _files(self.path)
+        old = [p for p, _ in _archives(files, root)] if self.overwrite else []
+        for p in old:
+            files.delete_file(p)
         for m in messages:
             for a, b in m.moves if m else ():
                 files.move(f"{root}/{a}", f"{root}/{b}")
@@ -311,7 +321,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -329,8 +339,8 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     html = text_of("html")
     keyed = pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= min_bytes)
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = keyed.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
+    first = written(keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "payloads")
+    again = hot_join(keyed, first, ["digest"], "copies").where("page_id <> first").select("page_id", "digest", "first").distinct()
     whole = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha1("html"))
     joined = whole.join(again.hint("merge"), ["page_id", "digest"], "left")
     name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))

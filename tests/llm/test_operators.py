@@ -193,36 +193,6 @@ def test_near_dedup_against_exact_jaccard(spark, hot, monkeypatch):
 # op 10
 
 
-def brute_lines(texts, least):
-    rows = {i: [(k, x) for k, x in enumerate(t.split("\n")) if words(x)] for i, t in texts.items()}
-    runs, gone = {}, {}
-    for i in sorted(rows):
-        ls = rows[i]
-        for a in range(len(ls)):
-            n = 0
-            for b in range(a, len(ls)):
-                n += len(words(ls[b][1]))
-                if n >= least:
-                    runs.setdefault(tuple(x for _, x in ls[a : b + 1]), []).append((i, a))
-                    break
-    for run, at in runs.items():
-        i0, a0 = at[0]
-        for i, a in at[1:]:
-            if i != i0 or a0 + len(run) <= a:
-                gone.setdefault(i, set()).update(k for k, _ in rows[i][a : a + len(run)])
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in texts.items()}
-
-
-def test_line_dedup_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    lines = ["", " "] + [" ".join(f"w{rng.integers(0, 9)}" for _ in range(rng.integers(1, 6))) for _ in range(6)]
-    texts = {i: "\n".join(lines[k] for k in rng.integers(0, len(lines), rng.integers(0, 25))) for i in range(40)}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for least in (1, 5, 12):
-        got = {r.doc_id: r.text for r in line_dedup.line_dedup(df, least).collect()}
-        assert got == brute_lines(texts, least)
-
-
 def test_line_dedup_replaces_its_column(spark):
     df = odd(spark, ODD).withColumn("n_lines_cut", F.lit("mine")).withColumn("a", F.lit(1)).withColumn("b", F.lit(2))
     got = line_dedup.line_dedup(df)
@@ -256,16 +226,16 @@ def brute_whole(texts, least):
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in texts.items()}
 
 
-def test_whole_line_runs_against_definition(spark):
+def test_line_runs_against_definition(spark):
     rng = np.random.default_rng(4)
     lines = ["", " "] + [" ".join(f"w{rng.integers(0, 9)}" for _ in range(rng.integers(1, 6))) for _ in range(6)]
     texts = {i: "\n".join(lines[k] for k in rng.integers(0, len(lines), rng.integers(0, 25))) for i in range(40)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for least in (1, 5, 12):
-        assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, least, whole=True).collect()} == brute_whole(texts, least)
+        assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, least).collect()} == brute_whole(texts, least)
     run = lambda *n: "\n".join(f"{k} " * k for k in n)
     ends = odd(spark, [run(60, 20), f"x\n{run(60, 20)}\ny", run(20, 21, 22, 5), f"{run(20, 21, 22, 5)}\nz"])
-    assert {r.doc_id: r.text for r in line_dedup.line_dedup(ends, whole=True).collect() if r.doc_id in (1, 3)} == {1: "x\ny", 3: "z"}
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(ends).collect() if r.doc_id in (1, 3)} == {1: "x\ny", 3: "z"}
 
 
 # op 4 and 8
@@ -752,3 +722,69 @@ def test_operators_with_sql(spark, name):
     names = sorted(d[0] for d in r.description)
     at = [[d[0] for d in r.description].index(n) for n in names]
     assert sorted(map(str, ([row[n] for n in names] for row in got))) == sorted(map(str, ([row[i] for i in at] for row in r.fetchall())))
+
+
+def test_warc_append_adds_and_overwrite_replaces(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/archive"
+    pages = lambda *ids: warc.page_records(spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in ids], "page_id long, url string, html string"))
+    read = lambda: sorted(r.target_uri for r in spark.read.format("warc").load(path).where("record_type = 'response'").select("target_uri").collect())
+    pages(1).write.format("warc").mode("append").save(path)
+    pages(2).write.format("warc").mode("append").save(path)
+    assert read() == ["u1", "u2"]
+    pages(3, 4).write.format("warc").mode("overwrite").save(path)
+    assert read() == ["u3", "u4"]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>one</p><!--><p>two</p><!-- x --><p>three</p>", ["one", "two", "three"]),
+    ("<p>a</p><!---><p>b</p><!----><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><!--x--!><p>b</p>", ["a", "b"]),
+    ("<p>a</p><![CDATA[ foo > bar<p>rest</p>", ["a", "bar", "rest"]),
+    ("<p>a</p><!-- open <p>b</p>", ["a"]),
+])
+def test_comments_end_where_browsers_end_them(page, want):
+    assert [t for _, t in extract.blocks_of(page)] == want
+
+
+def test_surrogates_find_other_writings():
+    swap = lambda t: surrogates.replace(t, "k", {})[0]
+    out = swap("My name is Bob. Hello BOB! Then bob and Bobby.")
+    assert "Bob." not in out and "BOB" not in out and out.endswith("Then bob and Bobby.")
+    out = swap("Mr. O\u2019Brien met Mrs. D'Arcy; O\u2019Brien left.")
+    assert "Brien" not in out and "Arcy" not in out and out.count("\u2019") == 2
+    for number in ("030 1234567", "0612345678", "555-1234", "0221/998877", "::1", "fe80::1"):
+        found = swap(f"reach {number} now")
+        assert number not in found and len(found.split()) == len(f"reach {number} now".split())
+    for text in ("std::vector<a::b>", "12-1234", "2001-02-03", "a 0.5000001 b", "v1.030 12", "1/030 1234567"):
+        assert swap(text) == text
+
+
+def test_crowded_ranges_still_give_surrogates(spark):
+    draws = {surrogates.draw_canonical("k", "ip", "9.9.9.9", n) for n in range(200)} | {surrogates.draw_canonical("k", "ipv6", "::1", n) for n in range(200)}
+    assert len(draws) > 250
+    iban = surrogates.draw_canonical("k", "iban", "DE89370400440532013000", 95)
+    assert surrogates._mod97(iban) == 1 and len(iban) > 22
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_dup.near_dedup(none).count() == simhash.simhash_components(none).count() == packing.pack_sequences(none, tokenize.default_path()).count() == 0
+    assert token_files.write_token_files(none, scratch(spark, "empty"), tokenize.default_path()).count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_of_ties_clashes_and_a_very_long_text(spark):
+    rows = [(i, "tie " * 500, 1, "x", 3) for i in range(8)] + [(99, "word " * 50_000, 1, "x", 3), (None, None, 1, "x", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item long, region string, length long")
+    got = packing.pack_sequences(df, tokenize.default_path()).collect()
+    fills = Counter()
+    for r in got:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 2048 and sum(fills.values()) == sum(r.length for r in got)
+    assert sum(r.length for r in got if r.doc_id == 99) == 50_001 and len([r for r in got if r.doc_id is None]) == 1
