@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,11 +15,11 @@ from ..sources.tables import written
 DAY_NS = 86_400_000_000_000
 
 
-def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """ts_local_ns, ts_wall_ns, conn_id, raw of tab-separated lines; lines with fewer parts (torn at a crash) go."""
+def split_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ts_local_ns, ts_wall_ns, conn_id, raw of tab-separated lines; lines with fewer parts (torn at a crash) go."""
     parts = F.split(column, "\t", 4)
     out = lines.where(F.size(parts) == 4)
-    return out.select(parts[0].try_cast("long").alias("ts_local_ns"), parts[1].try_cast("long").alias("ts_wall_ns"), parts[2].alias("conn_id"), parts[3].alias("raw"))
+    return out.select(*keep, parts[0].try_cast("long").alias("ts_local_ns"), parts[1].try_cast("long").alias("ts_wall_ns"), parts[2].alias("conn_id"), parts[3].alias("raw"))
 
 
 def read_raw(spark, root: str, venues: list[str] | None = None, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
@@ -59,24 +59,27 @@ def to_ns(x: str) -> Column:
         .when(v > 10**11, v.cast("long") * 1_000_000).otherwise(F.round(v.cast("double") * 1e9).cast("long")))
 
 
-LEVEL_OBJECTS = "array<struct<price:string,size:string>>"
 LEVEL_PAIRS = "array<array<string>>"
 
 
-def level_objects(column: Column) -> Column:
-    return F.transform(column, lambda x: F.struct(x["price"].try_cast("double").alias("price"), x["size"].try_cast("double").alias("size")))
-
 
 def level_pairs(column: Column) -> Column:
     return F.transform(column, lambda x: F.struct(x[0].try_cast("double").alias("price"), x[1].try_cast("double").alias("size")))
 
 
+def level_texts(column: Column) -> Column:
+    """Levels in either shape, pair or object, from their JSON texts."""
+    pair = lambda x: F.from_json(x, F.lit("array<string>"))
+    value = lambda x, i, name: F.when(x.startswith("["), pair(x)[i]).otherwise(F.get_json_object(x, f"$.{name}")).try_cast("double")
+    return F.transform(column, lambda x: F.struct(value(x, 0, "price").alias("price"), value(x, 1, "size").alias("size")))
+
+
 def channel_id(column: str) -> Column:
     """The number after the last : or / of a channel."""
     return F.expr(f"try_cast(regexp_extract({column}, '[:/]([0-9]+)$', 1) as int)")
 
 
-BOOK = f"type string, channel string, timestamp long, order_book struct<bids:{LEVEL_OBJECTS},asks:{LEVEL_OBJECTS},nonce:long>, begin_nonce long"
+BOOK = "type string, channel string, timestamp long, order_book struct<bids:array<string>,asks:array<string>,nonce:long,begin_nonce:long>"
 TRADES = "type string, channel string, trades array<struct<trade_id:string,market_id:int,price:string,size:string,is_maker_ask:boolean,bid_account_id:long,ask_account_id:long>>"
 ONE_STAT = "struct<market_id:int,mark_price:string,current_funding_rate:string,funding_rate:string,open_interest:string>"
 
@@ -86,7 +89,7 @@ def parse_lit_books(raw: DataFrame) -> DataFrame:
     m = raw.withColumn("m", F.from_json("raw", BOOK)).where(F.col("m.type").endswith("order_book"))
     return m.select(
         *[c for c in raw.columns if c != "raw"], F.when(F.col("m.type").startswith("subscribed"), "snapshot").otherwise("delta").alias("kind"), channel_id("m.channel").alias("market_id"),
-        level_objects(F.col("m.order_book.bids")).alias("bids"), level_objects(F.col("m.order_book.asks")).alias("asks"), F.col("m.order_book.nonce").alias("nonce"), F.col("m.begin_nonce").alias("begin_nonce"))
+        level_texts(F.col("m.order_book.bids")).alias("bids"), level_texts(F.col("m.order_book.asks")).alias("asks"), F.col("m.order_book.nonce").alias("nonce"), F.col("m.order_book.begin_nonce").alias("begin_nonce"))
 
 
 def parse_lit_trades(raw: DataFrame, account: int | None = None) -> DataFrame:

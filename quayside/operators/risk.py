@@ -66,15 +66,19 @@ def allocate(
     with open positions, under five caps.
 
     ``df``: equity, side, mu, se, sd, es, price, decimals, min_base, min_quote, market_leverage, multiplier and open_positions
-    (array of side, notional, sd, leverage, corr with the candidate).  A size below the exchange's minimum is lifted to it
+    (array of side, notional, sd, leverage, corr with the candidate), or in its place the positions' sums held_risk (of side times notional
+    times sd times corr), held_notional and held_margin (of notional over leverage).  A size below the exchange's minimum is lifted to it
     only within the caps and with positive growth.
     """
     c, zero = F.col, F.lit(0.0)
     free = c("equity") - reserve
     total = lambda f: F.aggregate("open_positions", zero, lambda a, p: a + f(p))
     d = df.withColumn("__e", free).withColumn("__lcb", c("mu") - z * c("se")).withColumn("leverage", account_leverage(F.lit(gross_cap), c("market_leverage")))
-    d = d.withColumn("__cov", total(lambda p: p["side"] * p["notional"] / c("__e") * p["corr"] * c("sd") * p["sd"] * c("side")))
-    d = d.withColumn("__gross", total(lambda p: p["notional"]) / c("__e")).withColumn("__margin", total(lambda p: p["notional"] / p["leverage"]) / c("__e"))
+    if "held_risk" in df.columns:
+        risk, notional, margin = c("held_risk"), c("held_notional"), c("held_margin")
+    else:
+        risk, notional, margin = total(lambda p: p["side"] * p["notional"] * p["corr"] * p["sd"]), total(lambda p: p["notional"]), total(lambda p: p["notional"] / p["leverage"])
+    d = d.withColumn("__cov", risk / c("__e") * c("sd") * c("side")).withColumn("__gross", notional / c("__e")).withColumn("__margin", margin / c("__e"))
     d = d.withColumn("__opt", F.when(c("sd") > 0, (c("__lcb") - c("__cov")) / (c("sd") * c("sd"))))
     caps = {
         "position": F.lit(position_cap), "gross": gross_cap - c("__gross"), "margin": (margin_cap - c("__margin")) * c("leverage"),
@@ -114,6 +118,45 @@ def data_reason(lit_usable: Column, ref_usable: Column, lit_stale: Column, ref_s
         .when(F.abs(lit_stale - ref_stale) > 1500, "venue_skew").when(~within(clock, clock_ms), "clock_uncertain"))
 
 
+def funding_adjusted(mu: Column, rate: Column, eta_s: Column, side: Column, horizon_s: Column, latency_ms: Column) -> Column:
+    """The expectation less the funding that falls due inside the holding time (F09): longs pay a positive rate."""
+    hold = horizon_s + F.coalesce(2 * latency_ms / 1000, F.lit(0.0))
+    return mu - F.when(rate.isNotNull() & (eta_s >= 0) & (eta_s <= hold), rate * side).otherwise(0.0)
+
+
+def cascade(df: DataFrame, *, z: float, min_lcb: float, stale_ms: float, clock_ms: float, **limits: float) -> DataFrame:
+    """``df`` with step, ok, reason, exec_mode, qty, leverage, mu_adj, lcb: how far each signal gets in ten steps, and why no farther.
+
+    1 eligibility (eligible, active, suspended); 2 synchronised data (usable, lit_stale, ref_stale, clock); 3 to 5 a side of the
+    policy (side, mu, se, horizon_s); 6 funding (funding_rate, funding_eta_s, latency); 7 the lower bound; 8 no position open in
+    the market (held: how many are, as of the signal); 9 the size as in ``allocate``; 10 execution (p_fill, mu_passive,
+    se_passive, d_spread, d_impact, latency_cal, capacity).  One projection: what a signal needs of the past is in its row.
+    """
+    c = F.col
+    adj = funding_adjusted(c("mu"), c("funding_rate"), c("funding_eta_s"), c("side"), c("horizon_s"), c("latency"))
+    d = df.withColumn("mu_adj", adj).withColumn("lcb", c("mu_adj") - z * c("se")).withColumn("__mu", c("mu"))
+    d = allocate(d.withColumn("mu", c("mu_adj")), z=z, min_lcb=min_lcb, **limits)
+    funding = c("__mu") - c("mu_adj")
+    choice = execution_choice(c("mu_adj"), c("se"), c("p_fill"), c("mu_passive") - funding, c("se_passive"), c("d_spread"), c("d_impact"), c("latency"), c("latency_cal"), c("capacity"), z)
+    data = data_reason(c("usable"), c("usable"), c("lit_stale"), c("ref_stale"), c("clock"), stale_ms, clock_ms)
+    sized = c("size_reason").isin("ok", "raised_to_exchange_minimum")
+    d = d.withColumn("__data", data).withColumn("__choice", choice)
+    failed = lambda step, reason: F.struct(F.lit(step).alias("step"), F.lit(False).alias("ok"), reason.alias("reason"))
+    taken = c("__choice").isin("aggressive", "passive")
+    result = (
+        F.when(~(c("eligible") & c("active")), failed(1, F.lit("instrument_ineligible"))).when(c("suspended"), failed(1, F.lit("strategy_suspended")))
+        .when(c("__data").isNotNull(), failed(2, c("__data"))).when(c("side") == 0, failed(3, F.lit("no_signal")))
+        .when(~F.coalesce(c("lcb") > min_lcb, F.lit(False)), failed(7, F.lit("lcb_below_margin"))).when(c("held") > 0, failed(8, F.lit("position_open")))
+        .when(~sized, failed(9, c("size_reason"))).when(~taken, failed(10, F.concat(F.lit("execution_"), c("__choice"))))
+        .otherwise(F.struct(F.lit(10).alias("step"), F.lit(True).alias("ok"), c("size_reason").alias("reason"))))
+    d = d.withColumn("__r", result)
+    when_ok = lambda x: F.when(c("__r.ok"), x)
+    signalled = c("__r.step") >= 7
+    return d.select(
+        *(c("__mu").alias("mu") if k == "mu" else c(k) for k in df.columns), "__r.*", when_ok(c("__choice")).alias("exec_mode"), when_ok(c("qty")).alias("qty"), when_ok(c("leverage")).alias("leverage"),
+        F.when(signalled, c("mu_adj")).alias("mu_adj"), F.when(signalled, c("lcb")).alias("lcb"))
+
+
 MULTIPLIERS = (1.0, 1e-3, 1e3, 1e-4, 1e4, 1e-6, 1e6)
 
 

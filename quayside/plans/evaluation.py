@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scans import asof_join, prefix_scan, uniform
+from ..functions.scans import asof_join, asof_scan, prefix_scan, uniform
 from ..operators import book, risk, stats
 from ..sources import reports
 from ..sources.tables import shared_path, written
@@ -420,7 +420,64 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORT = f"""WITH {TRADES}, g AS (SELECT {_BY}, count(*) AS n FROM tr GROUP BY ALL), s AS (SELECT count(*) AS n, CAST(sum(n) AS DOUBLE) AS t FROM g)
  SELECT 'trades' AS file, count(*) AS n, round(sum(ret), 6) AS total FROM tr UNION ALL SELECT 'results', n, t FROM s UNION ALL SELECT 'experiments', 2 * n, 2 * t FROM s"""
 
+#: What positions have in common: their leverage, and the correlation of any two markets.
+HELD_LEVERAGE, HELD_CORR = 5.0, 0.5
+
+
+def position_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opens and closes of positions of the traded venue, as changes of what is held: symbol, ts, id, held, risk, notional."""
+    q = quotes(spark, sf_dir).where((F.col("venue") == "lit") & (F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 0))
+    k, side = F.col("event_id"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)
+    notional = 20.0 + k % 7 * 10
+    p = q.select("symbol", "event_id", side.alias("side"), notional.alias("notional"), (0.003 + k % 4 / 1000).alias("sd"), (F.col("ts_local_ns") + 1).alias("t_open"), (F.col("ts_local_ns") + (k % 5 + 1) * HOUR).alias("t_close"))
+    move = lambda sign, ts: p.select("symbol", F.col(ts).alias("ts"), (F.col("event_id") * 2 + int(sign < 0)).alias("id"), F.lit(sign).alias("held"), (F.col("side") * F.col("notional") * F.col("sd") * HELD_CORR * sign).alias("risk"), (F.col("notional") * sign).alias("notional"))
+    return move(1, "t_open").unionByName(move(-1, "t_close"))
+
+
+def opportunity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step, reason, execution and size of every quote of the traded venue taken as a signal, with the positions of its market and of the account as
+    they stand then (F06, F09)."""
+    c, k = F.col, F.col("event_id")
+    delay = (c("ts_local_ns") - c("ts_exch_ns")) / 1e6
+    q = quotes(spark, sf_dir).where("venue = 'lit'").withColumn("account", F.lit("a"))
+    moves = written(position_moves(spark, sf_dir).withColumn("account", F.lit("a")))
+    own = asof_scan(q, moves, ["symbol"], "ts_local_ns", "ts", {"held": ("sum", c("held"))}, DAY, "id")
+    s = asof_scan(written(own), moves.drop("symbol"), ["account"], "ts_local_ns", "ts", {"held_risk": ("sum", c("risk")), "held_notional": ("sum", c("notional"))}, DAY, "id")
+    s = s.withColumn("side", F.when(c("bid_sz") >= 5, 1).when(c("bid_sz") <= 2, -1).otherwise(0)).select(
+        "event_id", "held", "held_risk", "held_notional", "side", (c("symbol") != "S7").alias("eligible"), (c("symbol") != "S6").alias("active"), (k % 97 == 0).alias("suspended"), ((c("bid_px") < c("ask_px")) & (c("bid_sz") > 1)).alias("usable"),
+        (delay * 40).alias("lit_stale"), F.when(k % 50 != 0, delay * 20).alias("ref_stale"), c("ask_sz").alias("clock"), (c("bid_sz") / 1000).alias("mu"), (c("ask_sz") / 20000).alias("se"), F.lit(15.0).alias("horizon_s"),
+        ((k % 7 - 3) / 1000).alias("funding_rate"), (k % 40).alias("funding_eta_s"), delay.alias("latency"), F.lit(45.0).alias("latency_cal"), F.when(k % 22 == 0, 9.0).otherwise(1000.0).alias("equity"), (0.004 + k % 3 / 1000).alias("sd"), (-0.004 - k % 4 / 1000).alias("es"),
+        F.when(c("side") > 0, c("ask_px")).otherwise(c("bid_px")).alias("price"), F.lit(2).alias("decimals"), F.lit(0.05).alias("min_base"), F.lit(10.0).alias("min_quote"), F.lit(HELD_LEVERAGE).alias("market_leverage"), F.when(k % 62 == 0, 0.0).otherwise(1.0).alias("multiplier"),
+        (c("held_notional") / HELD_LEVERAGE).alias("held_margin"), F.lit(0.6).alias("p_fill"), (c("bid_sz") / 800).alias("mu_passive"), (c("ask_sz") / 18000).alias("se_passive"), (c("bid_sz") - 3).alias("d_spread"), (c("ask_sz") - 5).alias("d_impact"), (k % 18).alias("capacity"))
+    s = risk.cascade(s.fillna(0, ["held", "held_risk", "held_notional", "held_margin"]), stale_ms=3000.0, clock_ms=9.0, **LIMITS)
+    return s.select("event_id", "step", "ok", "reason", "exec_mode", R("qty").alias("qty"), "leverage", R("mu_adj", 8).alias("mu_adj"), R("lcb", 8).alias("lcb"))
+
+
+_CASCADE_CHOICE = f"mu - greatest(0, (bid_sz - 3) / 2 + ask_sz - 5) / 1e4 - {_D(_L['z'])} * se"
+OPPORTUNITIES = f"""WITH {QUOTES}, p AS (SELECT symbol, event_id AS k, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS side, 20 + event_id % 7 * 10 AS nl, {_D(0.003)} + event_id % 4 / {_D(1000)} AS psd, ts_local_ns + 1 AS a, ts_local_ns + (event_id % 5 + 1) * {HOUR} AS b
+  FROM quotes WHERE venue = 'lit' AND event_type = 'purchase' AND event_id % 5 = 0), mv AS (SELECT symbol, a AS ts, 1 AS held, side * nl * psd * {HELD_CORR} AS risk, nl FROM p UNION ALL SELECT symbol, b, -1, -side * nl * psd * {HELD_CORR}, -nl FROM p),
+ ms AS (SELECT symbol, ts, sum(held) AS held FROM mv GROUP BY ALL), cs AS (SELECT symbol, ts, sum(held) OVER (PARTITION BY symbol ORDER BY ts) AS held FROM ms), ma AS (SELECT ts, sum(risk) AS risk, sum(nl) AS nl FROM mv GROUP BY ts), ca AS (SELECT ts, sum(risk) OVER (ORDER BY ts) AS risk, sum(nl) OVER (ORDER BY ts) AS nl FROM ma),
+ s0 AS (SELECT q.*, coalesce(cs.held, 0) AS held FROM quotes q ASOF LEFT JOIN cs ON q.symbol = cs.symbol AND q.ts_local_ns >= cs.ts WHERE venue = 'lit'), s1 AS (SELECT s0.*, coalesce(ca.risk, 0) AS risk, coalesce(ca.nl, 0) AS nl FROM s0 ASOF LEFT JOIN ca ON s0.ts_local_ns >= ca.ts),
+ s2 AS (SELECT *, event_id AS k, (ts_local_ns - ts_exch_ns) / 1e6 AS dl, CASE WHEN bid_sz >= 5 THEN 1 WHEN bid_sz <= 2 THEN -1 ELSE 0 END AS side, bid_sz / {_D(1000)} AS mu0, ask_sz / {_D(20000)} AS se, (CASE WHEN event_id % 22 = 0 THEN 9 ELSE 1000 END) - {_D(_L['reserve'])} AS e,
+  {_D(0.004)} + event_id % 3 / {_D(1000)} AS sd, {_D(0.004)} + event_id % 4 / {_D(1000)} AS es, CASE WHEN event_id % 62 = 0 THEN 0 ELSE 1 END AS mult FROM s1),
+ s3 AS (SELECT *, CASE WHEN k % 40 <= 15 + 2 * dl / 1000 THEN (k % 7 - 3) / {_D(1000)} * side ELSE 0 END AS fund, CASE WHEN side > 0 THEN ask_px ELSE bid_px END AS price FROM s2), s4 AS (SELECT *, mu0 - fund AS mu, mu0 - fund - {_D(_L['z'])} * se AS lcb, risk / e * sd * side AS cov FROM s3),
+ o AS (SELECT *, (lcb - cov) / (sd * sd) AS opt, {_D(_L['gross_cap'])} - nl / e AS c2, ({_D(_L['margin_cap'])} - nl / {HELD_LEVERAGE} / e) * least({_D(HELD_LEVERAGE)}, ceil({_D(_L['gross_cap'])})) AS c3, {_D(_L['loss_share'])} / es AS c4, {_D(_L['max_notional'])} / e AS c5 FROM s4),
+ z AS (SELECT *, least({_D(_L['position_cap'])}, c2, c3, c4, c5) AS cap FROM o),
+ y AS (SELECT *, CASE WHEN e <= 0 THEN 'no_free_equity' WHEN mult <= 0 THEN 'risk_halt' WHEN NOT lcb > {_D(_L['min_lcb'])} THEN 'ev_lcb_not_positive' WHEN opt <= 0 THEN 'portfolio_correlation' WHEN cap <= 0 THEN
+  CASE cap WHEN c2 THEN 'cap_gross_exhausted' WHEN c3 THEN 'cap_margin_exhausted' WHEN c4 THEN 'cap_loss_budget_exhausted' ELSE 'cap_validated_notional_exhausted' END END AS refused, least({_D(_L['kappa'])} * opt * mult, cap) AS f FROM z),
+ x AS (SELECT *, CASE WHEN refused IS NULL THEN floor(CAST(f * e / price AS DECIMAL(28,10)) * 100) / 100 END AS raw, round(ceil(greatest({_D(0.05)}, 10 / price) / {_D(0.01)} - {_D(1e-9)}) * {_D(0.01)}, 10) AS qmin FROM y),
+ w AS (SELECT *, raw + {_D(1e-12)} >= {_D(0.05)} AND raw * price + {_D(1e-9)} >= 10 AS feasible, qmin * price / e AS fmin FROM x), v AS (SELECT *, fmin <= cap AND fmin * lcb - 0.5 * fmin * fmin * sd * sd - fmin * cov > 0 AS lifted FROM w),
+ u AS (SELECT *, coalesce(refused, CASE WHEN feasible THEN 'ok' WHEN lifted THEN 'raised_to_exchange_minimum' WHEN fmin > cap THEN 'below_exchange_minimum_cap' ELSE 'below_exchange_minimum_negative_growth' END) AS size_reason, CASE WHEN feasible THEN raw WHEN lifted THEN qmin END AS qty,
+  {_CASCADE_CHOICE} AS ea, {_D(0.6)} * (bid_sz / {_D(800)} - fund - {_D(_L['z'])} * (ask_sz / {_D(18000)})) AS ep FROM v),
+ t AS (SELECT *, CASE WHEN k % 18 < 2 THEN 'transaction_capacity' WHEN dl > 90 THEN 'latency_degraded' WHEN greatest(ea, ep) <= 0 THEN 'skip' WHEN ep > ea THEN 'passive' ELSE 'aggressive' END AS choice,
+  CASE WHEN NOT (bid_px < ask_px AND bid_sz > 1) THEN 'book_unusable' WHEN dl * 40 > 3000 THEN 'lit_stale' WHEN k % 50 = 0 OR dl * 20 > 3000 THEN 'ref_stale' WHEN abs(dl * 40 - dl * 20) > 1500 THEN 'venue_skew' WHEN ask_sz > 9 THEN 'clock_uncertain' END AS data FROM u),
+ r AS (SELECT *, CASE WHEN symbol IN ('S6', 'S7') OR k % 97 = 0 THEN 1 WHEN data IS NOT NULL THEN 2 WHEN side = 0 THEN 3 WHEN NOT lcb > {_D(_L['min_lcb'])} THEN 7 WHEN held > 0 THEN 8 WHEN size_reason NOT IN ('ok', 'raised_to_exchange_minimum') THEN 9 ELSE 10 END AS step FROM t)
+ SELECT event_id, step, step = 10 AND choice IN ('aggressive', 'passive') AS ok, CASE step WHEN 1 THEN CASE WHEN symbol IN ('S6', 'S7') THEN 'instrument_ineligible' ELSE 'strategy_suspended' END WHEN 2 THEN data WHEN 3 THEN 'no_signal' WHEN 7 THEN 'lcb_below_margin' WHEN 8 THEN 'position_open' WHEN 9 THEN size_reason
+  ELSE CASE WHEN choice IN ('aggressive', 'passive') THEN size_reason ELSE concat('execution_', choice) END END AS reason, CASE WHEN step = 10 AND choice IN ('aggressive', 'passive') THEN choice END AS exec_mode, CASE WHEN step = 10 AND choice IN ('aggressive', 'passive') THEN round(qty, 6) END AS qty,
+ CASE WHEN step = 10 AND choice IN ('aggressive', 'passive') THEN least({_D(HELD_LEVERAGE)}, ceil({_D(_L['gross_cap'])})) END AS leverage, CASE WHEN step >= 7 THEN round(mu, 8) END AS mu_adj, CASE WHEN step >= 7 THEN round(lcb, 8) END AS lcb FROM r"""
+
 QUERIES = {
+    "opportunity_cascade": (opportunity_cascade, OPPORTUNITIES),
     "comparison_bundle": (comparison_bundle, None),
     "promotion_gate": (promotion_gate, None),
     "report_files": (report_files, REPORT),

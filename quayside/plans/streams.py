@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.feeds import parse_lit_books
+from ..sources.tables import shared_path
 from ..sources.views import DAY, HOUR, QUOTES, quotes, table
 from ..streaming import jobs
+from ..streaming.landing import land, landed_messages
 from ..streaming.ordered import landed, run_ordered
 from .feeds import CONTINUITY, numbered, numbered_messages
 from .labels import waiting_messages
@@ -138,7 +141,23 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("a", "b", "n", F.round("corr", 6).alias("corr"))
 
 
+def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Book messages landed as raw lines by venue, day and hour, and parsed from there by a second stream."""
+    root = shared_path(spark, "landing")
+    k = F.get_json_object("props", "$.k")
+    raw = F.concat(F.lit('{"type":"update/order_book","channel":"order_book:'), (F.col("user_id") % 8).cast("string"), F.lit('","order_book":\n{"bids":[["1.5","'), k, F.lit('"]],"asks":[],"nonce":'), F.col("event_id").cast("string"), F.lit("}}"))
+    feed = jobs.stream_table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 2 == 0, "lit").otherwise("ref").alias("venue"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("conn_id"), raw.alias("raw"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("at"))
+    land(feed, f"{root}/raw", f"{root}/state", "at").awaitTermination()
+    rows = jobs.run_once(parse_lit_books(landed_messages(spark, f"{root}/raw", 10_000)))
+    return rows.select("venue", "day", "hour", "ts_local_ns", "conn_id", "kind", "market_id", F.col("bids")[0]["size"].alias("bid_sz"), "nonce")
+
+
+LANDING = """SELECT CASE WHEN event_id % 2 = 0 THEN 'lit' ELSE 'ref' END AS venue, strftime(ts, '%Y%m%d') AS day, strftime(ts, '%H') AS hour, epoch_us(ts) * 1000 AS ts_local_ns, concat('c', user_id % 3) AS conn_id, 'delta' AS kind, CAST(user_id % 8 AS INTEGER) AS market_id,
+ CAST(json_extract_string(props, '$.k') AS DOUBLE) AS bid_sz, event_id AS nonce FROM events"""
+
 QUERIES = {
+    "stream_landing": (stream_landing, LANDING),
     "stream_typed": (stream_typed, f"WITH {QUOTES} SELECT event_id, venue, symbol, (ts_local_ns - ts_exch_ns) // 1000000 AS delay_ms FROM quotes"),
     "stream_health": (stream_health, HEALTH),
     "stream_silences": (stream_silences, None),

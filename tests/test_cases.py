@@ -342,3 +342,34 @@ def test_fingerprints_see_contents(spark, tmp_path):
         (tmp_path / folder / "h=1" / "x.tsv").write_text(text)
     prints = [datasets.fingerprint(spark, str(tmp_path / f)) for f in "abc"]
     assert prints[0] != prints[1] == prints[2]
+
+
+def test_each_step_of_the_cascade_has_its_reason(spark):
+    good = {
+        "eligible": True, "active": True, "suspended": False, "usable": True, "lit_stale": 50.0, "ref_stale": 40.0, "clock": 5.0, "side": 1, "mu": 0.0006, "se": 0.0001, "horizon_s": 15.0, "funding_rate": 0.0, "funding_eta_s": 1800.0, "latency": 300.0,
+        "held": 0, "equity": 1000.0, "sd": 0.002, "es": -0.004, "price": 100.0, "decimals": 4, "min_base": 0.005, "min_quote": 10.0, "market_leverage": 10.0, "multiplier": 1.0, "held_risk": 0.0, "held_notional": 0.0, "held_margin": 0.0,
+        "p_fill": 0.0, "mu_passive": 0.0, "se_passive": 0.0, "d_spread": 0.0, "d_impact": 0.0, "latency_cal": 300.0, "capacity": 1e9}
+    cases = [
+        ({}, (10, True, "ok", "aggressive")), ({"eligible": False}, (1, False, "instrument_ineligible", None)), ({"active": False}, (1, False, "instrument_ineligible", None)), ({"suspended": True}, (1, False, "strategy_suspended", None)),
+        ({"usable": False}, (2, False, "book_unusable", None)), ({"lit_stale": 10_000.0}, (2, False, "lit_stale", None)), ({"lit_stale": 2900.0, "ref_stale": 10.0}, (2, False, "venue_skew", None)), ({"side": 0}, (3, False, "no_signal", None)),
+        ({"se": 0.001}, (7, False, "lcb_below_margin", None)), ({"held": 1}, (8, False, "position_open", None)), ({"equity": 11.0}, (9, False, "below_exchange_minimum_cap", None)), ({"multiplier": 0.0}, (9, False, "risk_halt", None)),
+        ({"capacity": 1.0}, (10, False, "execution_transaction_capacity", None)), ({"p_fill": 0.9, "mu_passive": 0.002}, (10, True, "ok", "passive")),
+        # 30 bps due in 5 s wipe out the edge of a long; due later they don't, and a short earns them
+        ({"funding_rate": 0.003, "funding_eta_s": 5.0}, (7, False, "lcb_below_margin", None)), ({"funding_rate": 0.003, "funding_eta_s": 600.0}, (10, True, "ok", "aggressive")), ({"funding_rate": 0.003, "funding_eta_s": 5.0, "side": -1}, (10, True, "ok", "aggressive"))]
+    rows = [(i, *(good | changed).values()) for i, (changed, _) in enumerate(cases)]
+    kind = {bool: "boolean", int: "int", float: "double"}
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{k} {kind[type(v)]}" for k, v in good.items()))
+    limits = {"reserve": 10.0, "kappa": 0.25, "position_cap": 1.5, "gross_cap": 2.2, "margin_cap": 0.6, "loss_share": 0.01, "max_notional": 1500.0}
+    got = {r.i: r for r in risk.cascade(df, z=1.645, min_lcb=0.0, stale_ms=3000.0, clock_ms=9.0, **limits).collect()}
+    for i, (changed, want) in enumerate(cases):
+        r = got[i]
+        assert (r.step, r.ok, r.reason, r.exec_mode) == want, changed
+        assert (r.qty is not None and r.qty > 0) == r.ok
+
+
+def test_books_in_both_shapes_with_their_nonces(spark):
+    rows = ['{"type":"update/order_book","channel":"order_book:3","order_book":{"bids":[["1.5","2"],["1.4",0]],"asks":[{"price":"1.6","size":"3"}],"nonce":9,"begin_nonce":7}}',
+            '{"type":"subscribed/order_book","channel":"order_book/4","order_book":{"bids":[],"nonce":5}}']
+    a, b = feeds.parse_lit_books(spark.createDataFrame([(r,) for r in rows], "raw string")).collect()
+    assert (a.kind, a.market_id, [tuple(x) for x in a.bids], [tuple(x) for x in a.asks], a.nonce, a.begin_nonce) == ("delta", 3, [(1.5, 2.0), (1.4, 0.0)], [(1.6, 3.0)], 9, 7)
+    assert (b.kind, b.market_id, b.bids, b.asks, b.nonce, b.begin_nonce) == ("snapshot", 4, [], None, 5, None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.operators import feeds
 from quayside.sources.tables import shared_path
-from quayside.streaming import jobs
+from quayside.streaming import jobs, landing
 from quayside.streaming.ordered import close, run_ordered
 
 MINUTE = 60_000_000
@@ -165,3 +165,24 @@ def test_edge_monitor_against_the_state_machine(spark):
         seen = run_ordered(jobs.edge_monitor(cut(spark, df, "ts", files), delay="1 hour"))
         last = seen.groupBy("strategy").agg(F.max_by(F.struct("n", "multiplier", "reductions", "status"), "n").alias("s"))
         assert {r.strategy: tuple(r.s) for r in last.collect()} == want
+
+
+def test_a_feed_lands_once_over_restarts(spark):
+    rows = [("lit" if i % 3 else "ref", f"c{i % 2}", f'{{"n":{i},\n"x":"a\tb"}}', 1_704_067_200_000_000_000 + i * 60 * 10**9) for i in range(300)]
+    df = spark.createDataFrame(rows, "venue string, conn_id string, raw string, at long")
+    path, root = shared_path(spark, "feed"), shared_path(spark, "landing")
+    # the job ends after some files and starts again when more have come; a third start finds nothing new
+    for lo, hi in ((0, 120), (120, 300), (300, 300)):
+        if lo < hi:
+            spark.createDataFrame(rows[lo:hi], df.schema).repartition(3).write.mode("append").parquet(path)
+        feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        landing.land(feed, f"{root}/raw", f"{root}/state", "at").awaitTermination()
+    want = sorted((v, t, c, r.replace("\n", " ")) for v, c, r, t in rows)
+    seen = lambda d: sorted((r.venue, r.ts_local_ns, r.conn_id, r.raw) for r in d.collect())
+    assert seen(jobs.run_once(landing.landed_messages(spark, f"{root}/raw"))) == want
+    # the batch scan reads the same files, and only the hours it needs
+    assert seen(feeds.read_raw(spark, f"{root}/raw")) == want
+    some = seen(feeds.read_raw(spark, f"{root}/raw", ["lit"], rows[70][3], rows[200][3]))
+    assert some == [w for w in want if w[0] == "lit" and rows[70][3] <= w[1] < rows[200][3]]
+    live = landing.raw_lines(df.drop("at")).first()
+    assert live.day >= "20240101" and len(live.value.split("\t")) >= 4
