@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scans import asof_join, asof_scan, prefix_scan, uniform
-from ..operators import book, risk, stats
+from ..operators import book, outcomes, risk, stats
 from ..sources import reports
 from ..sources.tables import shared_path, written
 from ..sources.views import DAY, HOUR, QUOTES, quotes, table, tape
@@ -200,6 +200,40 @@ PASSIVE_OUT = f"""WITH pf AS ({PASSIVE}), e3 AS (WITH {_ENTRIES} SELECT symbol,
  o AS (SELECT f.*, bid_px, t_out <= (SELECT max(ts_local_ns) FROM q3) AS complete FROM f ASOF LEFT JOIN q3 ON f.symbol = q3.symbol AND f.t_out >= q3.ts_local_ns)
  SELECT symbol, ts_ns, round(CASE WHEN complete THEN (bid_px - px_in) / px_in - {_D(MAKER)} - {_D(TAKER)} * bid_px / px_in END, 8) AS pret_long, complete FROM o"""
 
+RESTING = outcomes.Passive(HOUR, 4 * HOUR, 12 * HOUR, (("1", HOUR), ("6", 6 * HOUR)), 1_000_000_000, MAKER, TAKER, "8")
+#: Days of a chunk of labels.
+CHUNK_DAYS = 10
+
+
+def passive_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resting orders of both sides and their results by horizon, built in chunks of ten days apart from each other."""
+    q = quotes(spark, sf_dir).where("venue = 'lit'")
+    top = q.select("symbol", F.col("ts_local_ns").alias("ts"), F.col("event_id").alias("id"), F.floor("bid_px").cast("double").alias("bid"), "bid_sz", F.ceil("ask_px").cast("double").alias("ask"), "ask_sz")
+    taker = F.when(F.expr("event_id DIV 2") % 2 == 0, 1).otherwise(-1)
+    t = q.where("event_type = 'purchase'").select("symbol", F.col("ts_local_ns").alias("ts"), F.col("event_id").alias("id"), taker.alias("taker"), F.when(taker == 1, F.ceil("ask_px")).otherwise(F.floor("bid_px")).cast("double").alias("px"), F.col("ask_sz").alias("sz"))
+    lo, hi = q.agg(F.min("ts_local_ns"), F.max("ts_local_ns")).first()
+    chunk = CHUNK_DAYS * DAY
+    parts = [outcomes.passive_labels(top, t, max(lo, a), min(a + chunk, hi + 1), hi, RESTING, DAY) for a in range(lo // chunk * chunk, hi + 1, chunk)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_OUT_DRAW = lambda n: _DRAW.format(parts=f"'8', o.symbol, CAST(o.ts_ns AS VARCHAR), CAST(o.side AS VARCHAR), '{n}'")
+PASSIVE_LABELS = f"""WITH {QUOTES}, l AS (SELECT * FROM quotes WHERE venue = 'lit'), m AS (SELECT symbol, ts_local_ns AS ts, arg_max({{'b': floor(bid_px), 'bs': bid_sz, 'a': ceil(ask_px), 'as': ask_sz}}, event_id) AS x FROM l GROUP BY ALL), sp AS (SELECT min(ts_local_ns) AS lo, max(ts_local_ns) AS hi FROM l),
+ d AS (SELECT DISTINCT symbol, h * {HOUR} AS ts_ns FROM (SELECT DISTINCT symbol FROM l), (SELECT unnest(range(-(-lo // {HOUR}), hi // {HOUR} + 1)) AS h FROM sp) WHERE h * {HOUR} >= (SELECT lo FROM sp)),
+ e AS (SELECT d.*, x FROM d ASOF JOIN m ON d.symbol = m.symbol AND d.ts_ns >= m.ts WHERE d.ts_ns - m.ts <= {RESTING.fresh}), o AS (SELECT symbol, ts_ns, 1 AS side, x.b AS rest, x.bs AS queue FROM e UNION ALL SELECT symbol, ts_ns, -1, x.a, x."as" FROM e),
+ t AS (SELECT symbol, ts_local_ns AS ts, event_id AS id, CASE WHEN event_id // 2 % 2 = 0 THEN 1 ELSE -1 END AS taker, CASE WHEN event_id // 2 % 2 = 0 THEN ceil(ask_px) ELSE floor(bid_px) END AS px, ask_sz AS sz FROM l WHERE event_type = 'purchase'),
+ h AS (SELECT o.*, t.ts, (px - rest) * side AS through, sum(CASE WHEN px = rest THEN sz ELSE 0 END) OVER (PARTITION BY o.symbol, o.ts_ns, side ORDER BY t.ts, id ROWS UNBOUNDED PRECEDING) AS seen FROM o JOIN t ON t.symbol = o.symbol AND taker = -side AND t.ts > o.ts_ns AND t.ts <= o.ts_ns + {RESTING.wait}),
+ f AS (SELECT symbol, ts_ns, side, min(ts) AS t_fill FROM h WHERE through < 0 OR (through = 0 AND seen >= queue + 1) GROUP BY ALL), g AS (SELECT o.*, t_fill FROM o LEFT JOIN f USING (symbol, ts_ns, side)),
+ u AS ({" UNION ALL ".join(f"SELECT o.*, '{n}' AS h, t_fill + {h} + CAST(floor({_OUT_DRAW(n)} * 1000000000) AS BIGINT) AS t_out FROM g o WHERE t_fill IS NOT NULL" for n, h in RESTING.horizons)}),
+ v AS (SELECT u.*, CASE WHEN side = 1 THEN m.x.b ELSE m.x.a END AS px FROM u ASOF JOIN m ON u.symbol = m.symbol AND u.t_out >= m.ts WHERE t_out <= (SELECT hi FROM sp)),
+ w AS (SELECT symbol, ts_ns, side, h, round((px - rest) / rest * side - {_D(MAKER)} - {_D(TAKER)} * px / rest, 8) AS net FROM v),
+ p AS (SELECT symbol, ts_ns, {", ".join(f"max(net) FILTER (side = {s} AND h = '{n}') AS pret_{k}_{n}" for k, s in outcomes.SIDES.items() for n, _ in RESTING.horizons)} FROM w GROUP BY ALL)
+ SELECT g.symbol, g.ts_ns, {", ".join(f"max(rest) FILTER (side = {s}) AS ppx_{k}, max(CASE WHEN t_fill IS NOT NULL THEN 1 WHEN g.ts_ns + {RESTING.wait} <= (SELECT hi FROM sp) THEN 0 END) FILTER (side = {s}) AS pfill_{k}, max(round((t_fill - g.ts_ns) / 1e6, 3)) FILTER (side = {s}) AS pwait_ms_{k}" for k, s in outcomes.SIDES.items())},
+ {", ".join(f"any_value(pret_{k}_{n}) AS pret_{k}_{n}" for k in outcomes.SIDES for n, _ in RESTING.horizons)} FROM g LEFT JOIN p USING (symbol, ts_ns) GROUP BY g.symbol, g.ts_ns"""
+
 SYMBOLS, LEAST_TRADES = 8, 50
 
 
@@ -487,6 +521,7 @@ QUERIES = {
     "position_ledger": (position_ledger, LEDGER),
     "walked_labels": (walked_labels, WALKED_SQL),
     "passive_outcome": (passive_outcome, PASSIVE_OUT),
+    "passive_labels": (passive_labels, PASSIVE_LABELS),
     "policy_choice": (policy_choice, POLICY),
     "champion_choice": (champion_choice, CHAMPION),
     "prior_latency": (prior_latency, None),
