@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, features, feeds, labels, market, metadata, models, research, streams
+from .plans import evaluation, features, feeds, labels, market, metadata, models, report_set, research, streams
 
-FAMILIES = (market, features, metadata, evaluation, feeds, labels, research, models, streams)
+FAMILIES = (market, features, metadata, evaluation, feeds, labels, research, models, report_set, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
