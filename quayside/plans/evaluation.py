@@ -13,7 +13,7 @@ from ..sources.views import DAY, HOUR, QUOTES, quotes, table, tape
 from .feeds import data_span
 from .labels import _ENTRIES, PASSIVE, passive_fill
 from .market import _INSTANTS, INTERVALS, WEEK, _instants, level_intervals
-from .research import _DRAW, MONTH_NS, THRESHOLDS, R, deflated_sharpe, exec_latency_match, pbo_cscv, results_hash, spa, spa_test, beyond_thresholds, walk_forward_folds
+from .research import _DRAW, MONTH_NS, R, THRESHOLDS, beyond_thresholds, deflated_sharpe, exec_latency_match, spa
 
 REPS = 100
 NOTIONAL, TAKER, MAKER, HOLD = 50_000.0, 0.0004, 0.0002, 7 * DAY
@@ -407,33 +407,51 @@ def comparison_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 GATE = {"periods": 3, "trades": 200, "alpha": 0.05, "pbo": 0.3, "dsr": 0.9}
 
 
+def gate_checks(f: dict) -> list[tuple[str, bool, str]]:
+    """The twelve checks of a promotion with their details, from the facts of one evaluation; without a champion the first three."""
+    out = [
+        ("data_recorded", not f["synthetic"], "synthetic" if f["synthetic"] else "recorded"), ("latency_measured", f["samples"] >= 30, f"{f['samples']} samples"),
+        ("credible_selection", f["champion"] is not None, "/".join(f["champion"]) if f["champion"] else "none")]
+    if f["champion"] is None:
+        return out
+    dsr, same = f["dsr"], f["champion"] == f["present"]
+    return [
+        *out, ("oos_periods", f["folds"] >= GATE["periods"], f"{f['folds']} periods"), ("min_trades", f["trades"] >= GATE["trades"], f"{f['trades']} trades"), ("net_ci_positive", f["ci_lo"] > 0, f"{f['ci_lo']:.6f}"),
+        ("spa_vs_no_trading", f["spa"] < GATE["alpha"], f"p {f['spa']:.4f}"), ("beats_baselines", f["gain"] > 0 and f["gain_p"] < GATE["alpha"], f"{f['gain']:.6f}, p {f['gain_p']:.4f}"), ("pbo", f["pbo"] <= GATE["pbo"], f"{f['pbo']:.4f}"),
+        ("deflated_sharpe", dsr is not None and dsr >= GATE["dsr"], "none" if dsr is None else f"{dsr:.4f}"), ("reproducible", len(f["digests"]) == 1, ",".join(sorted(f["digests"]))),
+        ("beats_champion", same or (f["unseen"] > 0 and f["unseen_p"] < GATE["alpha"]), "is the champion" if same else f"{f['unseen']:.6f}, p {f['unseen_p']:.4f}")]
+
+
+def metrics_digest(t: DataFrame) -> str:
+    """A digest of the metrics of each model and execution: a few rows."""
+    rows = metrics(t, BY)
+    line = F.to_json(F.struct(*sorted(rows.columns)))
+    return rows.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256), 1, 16)).first()[0]
+
+
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve checks of a promotion with their details, and whether all pass (T11): recorded data, measured latency, a credible
     champion, periods, trades, interval, both tests against nothing and the baseline, overfitting, deflated ratio,
-    reproduction and the present champion on months it has not seen.
+    reproduction with other partitions, and the present champion on months it has not seen.
 
-    Every number is a result of another query, a few rows each; the driver only compares them."""
+    All of it comes from one table of trades; the driver gets a few numbers and compares them."""
+    t = written(trades(spark, sf_dir))
     chosen = champion_choice(spark, sf_dir).where("chosen").first()
-    synthetic = data_span(spark, sf_dir).agg(F.max("synthetic")).first()[0]
-    samples = exec_latency_match(spark, sf_dir).count()
-    out = [("data_recorded", not synthetic, "synthetic" if synthetic else "recorded"), ("latency_measured", samples >= 30, f"{samples} samples"), ("credible_selection", chosen is not None, "/".join(chosen[:2]) if chosen else "none")]
+    facts = {
+        "synthetic": data_span(spark, sf_dir).agg(F.max("synthetic")).first()[0], "samples": exec_latency_match(spark, sf_dir).count(),
+        "champion": (chosen["model"], chosen["exec_mode"]) if chosen is not None else None, "present": ("A", "aggressive")}
     if chosen is not None:
-        key = (chosen["model"], chosen["exec_mode"])
+        key = facts["champion"]
+        own = t.where((F.col("model") == key[0]) & (F.col("exec_mode") == key[1]))
         m = trade_metrics(spark, sf_dir).where((F.col("model") == key[0]) & (F.col("exec_mode") == key[1])).first()
-        folds = walk_forward_folds(spark, sf_dir).select("fold").distinct().count()
-        spa = spa_test(spark, sf_dir).first()["p"]
-        baseline = min(COMPLEXITY, key=COMPLEXITY.get)
-        mean, p = paired(spark, sf_dir, key, (baseline, key[1]))
-        pbo = pbo_cscv(spark, sf_dir).agg(F.avg((F.col("logit") <= 0).cast("int"))).first()[0]
-        dsr = {r["model"]: r["dsr"] for r in deflated_sharpe(spark, sf_dir).collect()}.get(key[0])
-        digests = {results_hash(spark, sf_dir).first()[0] for _ in range(2)}
-        present = ("A", "aggressive")
-        unseen, q = paired(spark, sf_dir, key, present, 883_612_800_000_000_000 // MONTH_NS + 1) if key != present else (None, None)
-        out += [
-            ("oos_periods", folds >= GATE["periods"], f"{folds} periods"), ("min_trades", m["n_trades"] >= GATE["trades"], f"{m['n_trades']} trades"), ("net_ci_positive", m["ci_lo"] > 0, f"{m['ci_lo']:.6f}"), ("spa_vs_no_trading", spa < GATE["alpha"], f"p {spa:.4f}"),
-            ("beats_baselines", mean > 0 and p < GATE["alpha"], f"{mean:.6f}, p {p:.4f}"), ("pbo", pbo <= GATE["pbo"], f"{pbo:.4f}"), ("deflated_sharpe", dsr is not None and dsr >= GATE["dsr"], "none" if dsr is None else f"{dsr:.4f}"),
-            ("reproducible", len(digests) == 1, ",".join(sorted(digests))), ("beats_champion", key == present or (unseen > 0 and q < GATE["alpha"]), "is the champion" if key == present else f"{unseen:.6f}, p {q:.4f}")]
-    passes = all(ok for _, ok, _ in out)
+        bundle = {(r["exec_mode"], r["metric"], r["model"]): r["value"] for r in comparison_bundle(spark, sf_dir).collect()}
+        gain, gain_p = paired(spark, sf_dir, key, (min(COMPLEXITY, key=COMPLEXITY.get), key[1]))
+        unseen, unseen_p = paired(spark, sf_dir, key, facts["present"], 883_612_800_000_000_000 // MONTH_NS + 1) if key != facts["present"] else (None, None)
+        facts |= {
+            "folds": own.select(F.floor(F.col("t_entry") / FOLD)).distinct().count(), "trades": m["n_trades"], "ci_lo": m["ci_lo"], "spa": bundle[key[1], "spa_against_nothing", None], "gain": gain, "gain_p": gain_p, "pbo": bundle[key[1], "pbo", None],
+            "dsr": bundle.get((key[1], "deflated_sharpe", key[0])), "digests": {metrics_digest(t.repartition(3)), metrics_digest(t.repartition(7, "l_orderkey"))}, "unseen": unseen, "unseen_p": unseen_p}
+    out = gate_checks(facts)
+    passes = len(out) == 12 and all(ok for _, ok, _ in out)
     return spark.createDataFrame([(*r, passes) for r in out], "check string, ok boolean, detail string, passes boolean")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quayside.functions.scans import asof_join, ewma, interval_join, lagged, non_overlapping, prefix_scan, rolling
 from quayside.operators import book, feeds, risk, schema, stats
 from quayside.plans import features
+from quayside.plans.evaluation import gate_checks
 from quayside.plans.research import walk_forward
 from quayside.sources import datasets
 from quayside.sources.tables import written
@@ -373,3 +374,15 @@ def test_books_in_both_shapes_with_their_nonces(spark):
     a, b = feeds.parse_lit_books(spark.createDataFrame([(r,) for r in rows], "raw string")).collect()
     assert (a.kind, a.market_id, [tuple(x) for x in a.bids], [tuple(x) for x in a.asks], a.nonce, a.begin_nonce) == ("delta", 3, [(1.5, 2.0), (1.4, 0.0)], [(1.6, 3.0)], 9, 7)
     assert (b.kind, b.market_id, b.bids, b.asks, b.nonce, b.begin_nonce) == ("snapshot", 4, [], None, 5, None)
+
+
+def test_every_check_of_a_promotion_can_fail():
+    good = {"synthetic": False, "samples": 30, "champion": ("N", "passive"), "present": ("A", "aggressive"), "folds": 3, "trades": 200, "ci_lo": 1e-6, "spa": 0.049, "gain": 1e-6, "gain_p": 0.049, "pbo": 0.3, "dsr": 0.9, "digests": {"x"}, "unseen": 1e-6, "unseen_p": 0.04}
+    assert len(gate_checks(good)) == 12 and all(ok for _, ok, _ in gate_checks(good))
+    bad = {
+        "data_recorded": {"synthetic": True}, "latency_measured": {"samples": 29}, "oos_periods": {"folds": 2}, "min_trades": {"trades": 199}, "net_ci_positive": {"ci_lo": 0.0}, "spa_vs_no_trading": {"spa": 0.05}, "beats_baselines": {"gain_p": 0.05},
+        "pbo": {"pbo": 0.31}, "deflated_sharpe": {"dsr": None}, "reproducible": {"digests": {"x", "y"}}, "beats_champion": {"unseen": -1.0}}
+    for name, change in bad.items():
+        assert [c for c, ok, _ in gate_checks(good | change) if not ok] == [name]
+    assert [c for c, ok, _ in gate_checks(good | {"champion": None}) if not ok] == ["credible_selection"]
+    assert all(ok for _, ok, _ in gate_checks(good | {"present": ("N", "passive"), "unseen": None, "unseen_p": None}))
