@@ -158,6 +158,8 @@ def boosted(train: DataFrame, features: Sequence[str], targets: Sequence[str], t
 
     The fits are many small jobs that wait for each other, so targets are fitted side by side.
     """
+    if not targets:
+        return {}
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(train).select("features", *targets)
     counts = data.agg(*(F.count(t).alias(t) for t in targets)).first()
 

@@ -56,6 +56,11 @@ def time_window(df: DataFrame, ts: str, start: int, end: int) -> DataFrame:
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
+def purge_gap_ns(embargo_s: float, horizons_s: Iterable[float], latency_p99_ms: float, wait_s: float) -> int:
+    """Time between windows in which a label of one could reach into the next: the longest horizon, both latencies, the wait and ten seconds, or the embargo if that is longer."""
+    return int(max(embargo_s, max(horizons_s) + 2 * latency_p99_ms / 1e3 + wait_s + 10.0) * 1e9)
+
+
 def training_rows(df: DataFrame, valid: str, labels: list[str], most: int, ts: str, key: str, bucket_ns: int) -> DataFrame:
     """Valid rows with any label; every k-th of them along (ts, key), k the least that leaves ``most`` at most."""
     rows = df.where(F.col(valid) & F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in labels], F.lit(False)))

@@ -131,7 +131,11 @@ def temporal_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = models.filled(rows, _medians(rows, start, end + 1, [*FEATURES, *lags]))
     train, late = written(whole.where(F.col("place") < cut)), whole.where(F.col("place") >= cut)
     for name, features in (("plain", FEATURES), ("lagged", [*FEATURES, *lags])):
-        late = models.boosted_scores(models.boosted(train, features, targets), late, features).withColumnsRenamed({f"score_{t}": f"{name}_{t}" for t in targets})
+        fitted = models.boosted(train, features, targets)
+        targets = list(fitted)  # those with rows enough, the same for both
+        late = models.boosted_scores(fitted, late, features).withColumnsRenamed({f"score_{t}": f"{name}_{t}" for t in targets})
+    if not targets:  # too few rows for the gate: lags aren't justified
+        return spark.createDataFrame([(0, 0, None, None, False)], "rows long, clusters long, gain double, p_value double, justified boolean")
     terms = [F.pow(F.col(f"plain_{t}") - F.col(t), 2) - F.pow(F.col(f"lagged_{t}") - F.col(t), 2) for t in targets]
     known = sum((F.col(t).isNotNull().cast("int") for t in targets), F.lit(0))
     errors = late.where(known > 0).select((F.col("place") - cut).alias("place"), (sum((F.coalesce(x, F.lit(0.0)) for x in terms), F.lit(0.0)) / known).alias("gain"), F.lit(n - cut).alias("rows"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scans import non_overlapping, prefix_scan, rolling
-from ..operators import risk, stats
+from ..operators import risk, schema, stats
 from ..sources.tables import written
 from ..sources.views import DAY, LEVELS, QUOTES, TAPE, levels, quotes, table, tape
 
@@ -308,6 +308,26 @@ FOLDS = f"""WITH {TAPE}, s AS (SELECT min(ts_local_ns) AS t0, max(ts_local_ns) A
  SELECT fold, part, count(*) AS n, round(avg(ret), 8) AS mean FROM p WHERE part IS NOT NULL GROUP BY fold, part"""
 
 
+#: Embargo, horizons and wait of the labels in seconds.
+EMBARGO, HORIZONS, WAIT = 3600.0, (3600.0, 7200.0), 43_200.0
+
+
+def purged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three folds over the quotes' span, apart by the gap that the measured latencies ask for."""
+    q = quotes(spark, sf_dir)
+    lo, hi = q.agg(F.min("ts_local_ns"), F.max("ts_local_ns")).first()
+    p99 = stats.exact_quantiles(q.select(((F.col("ts_local_ns") - F.col("ts_exch_ns")) / 1e6).alias("d")).where("d > 0"), [], "d", [0.99]).first()["value"]
+    gap = schema.purge_gap_ns(EMBARGO, HORIZONS, p99, WAIT)
+    folds = walk_forward(lo, hi + 1, 3, 5 * DAY, 8 * DAY, 0.25, gap)
+    return spark.createDataFrame([(*f, gap) for f in folds], "fold int, fit_start long, fit_end long, cal_start long, cal_end long, test_start long, test_end long, gap_ns long")
+
+
+PURGED = f"""WITH {QUOTES}, p AS (SELECT quantile_cont((ts_local_ns - ts_exch_ns) / 1e6, 0.99) AS p99 FROM quotes WHERE ts_local_ns > ts_exch_ns), s AS (SELECT min(ts_local_ns) AS t0, max(ts_local_ns) + 1 AS t1 FROM quotes),
+ g AS (SELECT CAST(trunc(greatest(CAST({EMBARGO} AS DOUBLE), CAST({max(HORIZONS)} AS DOUBLE) + 2 * p99 / CAST(1000 AS DOUBLE) + CAST({WAIT} AS DOUBLE) + 10) * 1e9) AS BIGINT) AS gap FROM p),
+ f AS (SELECT CAST(fold AS INTEGER) AS fold, t0, t1 - (3 - fold) * 5 * {DAY} AS ts, t1 - (3 - fold) * 5 * {DAY} - gap AS ce, gap FROM s, g, (SELECT unnest(range(3)) AS fold)), c AS (SELECT *, ce - CAST(trunc((ce - t0) * CAST(0.25 AS DOUBLE)) AS BIGINT) AS cs FROM f)
+ SELECT fold, t0 AS fit_start, cs - gap AS fit_end, cs AS cal_start, ce AS cal_end, ts AS test_start, ts + 5 * {DAY} AS test_end, gap AS gap_ns FROM c"""
+
+
 def beyond_thresholds(tape: DataFrame) -> DataFrame:
     """Trades, mean, cluster error and lower bound of ``tape`` beyond eight score quantiles of each mode."""
     t = tape.withColumn("score", F.col("price")).withColumn("block", F.floor(F.col("ts_local_ns") / MONTH_NS))
@@ -635,9 +655,11 @@ ELIGIBLE = f"WITH {_MAPPED} SELECT symbol FROM mapping WHERE CASE WHEN CAST(subs
 
 def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of positive latencies, none below 30 samples, and the stressed median."""
-    d = (F.col("ts_local_ns") - F.col("ts_exch_ns")) / 1e6
-    q = quotes(spark, sf_dir).where(d > 0).groupBy("symbol").agg(F.count("*").alias("n"), *[F.percentile(d, F.lit(p)).alias(f"q{round(p * 100)}") for p in (0.5, 0.9, 0.99)])
-    return q.where("n >= 30").select("symbol", "n", *[R(f"q{p}", 4).alias(f"p{p}") for p in (50, 90, 99)], R(F.col("q90") / F.col("q50"), 6).alias("stress"))
+    d = quotes(spark, sf_dir).select("symbol", ((F.col("ts_local_ns") - F.col("ts_exch_ns")) / 1e6).alias("d")).where("d > 0")
+    n = d.groupBy("symbol").agg(F.count("*").alias("n")).where("n >= 30")
+    at = lambda p: F.max(F.when(F.col("q") == p, F.col("value")))
+    q = stats.exact_quantiles(d, ["symbol"], "d", [0.5, 0.9, 0.99]).groupBy("symbol").agg(*[at(p).alias(f"q{round(p * 100)}") for p in (0.5, 0.9, 0.99)])
+    return n.join(q, "symbol").select("symbol", "n", *[R(f"q{p}", 4).alias(f"p{p}") for p in (50, 90, 99)], R(F.col("q90") / F.col("q50"), 6).alias("stress"))
 
 
 LATENCY = f"""WITH {QUOTES}, d AS (SELECT symbol, (ts_local_ns - ts_exch_ns) / 1e6 AS d FROM quotes WHERE ts_local_ns > ts_exch_ns)
@@ -760,6 +782,7 @@ QUERIES = {
     "instrument_mapping": (instrument_mapping, MAPPING),
     "eligible_symbols": (eligible_symbols, ELIGIBLE),
     "latency_quantiles": (latency_quantiles, LATENCY),
+    "purged_windows": (purged_windows, PURGED),
     "clock_offset": (clock_offset, CLOCK),
     "fill_rollup": (fill_rollup, FILLS),
     "delta_fills": (delta_fills, DELTA),

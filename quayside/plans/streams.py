@@ -38,6 +38,12 @@ def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_once(jobs.silences(_typed(spark, sf_dir))).select("venue", "symbol", F.unix_micros("start").alias("start_us"), F.unix_micros("alarm").alias("alarm_us"), "messages")
 
 
+# the watermark at the end is ten minutes before the last event; sessions that end after it stay open
+SILENCES = f"""WITH {QUOTES}, q AS (SELECT venue, symbol, ts_local_ns // 1000 AS us FROM quotes), g AS (SELECT *, CASE WHEN us - lag(us) OVER w < 10800000000 THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY venue, symbol ORDER BY us)),
+ n AS (SELECT *, sum(fresh) OVER (PARTITION BY venue, symbol ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM g), s AS (SELECT venue, symbol, min(us) AS start_us, max(us) + 10800000000 AS alarm_us, count(*) AS messages FROM n GROUP BY venue, symbol, session)
+ SELECT * FROM s WHERE alarm_us <= (SELECT max(us) FROM q) - 600000000"""
+
+
 def stream_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders rolled up from fills that may come twice."""
     t = jobs.stream_table(spark, sf_dir, "lineitem")
@@ -160,7 +166,7 @@ QUERIES = {
     "stream_landing": (stream_landing, LANDING),
     "stream_typed": (stream_typed, f"WITH {QUOTES} SELECT event_id, venue, symbol, (ts_local_ns - ts_exch_ns) // 1000000 AS delay_ms FROM quotes"),
     "stream_health": (stream_health, HEALTH),
-    "stream_silences": (stream_silences, None),
+    "stream_silences": (stream_silences, SILENCES),
     "stream_fills": (stream_fills, STREAM_FILLS),
     "stream_signals": (stream_signals, SIGNALS),
     "stream_edge_monitor": (stream_edge_monitor, None),

@@ -386,3 +386,8 @@ def test_every_check_of_a_promotion_can_fail():
         assert [c for c, ok, _ in gate_checks(good | change) if not ok] == [name]
     assert [c for c, ok, _ in gate_checks(good | {"champion": None}) if not ok] == ["credible_selection"]
     assert all(ok for _, ok, _ in gate_checks(good | {"present": ("N", "passive"), "unseen": None, "unseen_p": None}))
+
+
+def test_purge_gap():
+    assert schema.purge_gap_ns(60.0, (5.0, 60.0), 500.0, 5.0) == 76 * 10**9
+    assert schema.purge_gap_ns(300.0, (5.0, 60.0), 500.0, 5.0) == 300 * 10**9
