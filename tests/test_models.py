@@ -141,3 +141,39 @@ def test_policy_takes_the_best_bounded_gain(spark):
         if lcb > 0 and (best is None or gain > best):
             best, want = gain, (th, hit.sum(), m, lcb)
     assert (got[0].threshold, got[0].n, got[0].mean, got[0].lcb) == pytest.approx(want)
+
+
+def test_isotonic_map_is_the_pooled_one(spark):
+    from quayside.plans.research import isotonic_calibrate, matrix
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.f0, r.target, r.vec_id) for r in matrix(spark, sf).select("f0", "target", "vec_id").collect())
+    pools = []  # sum, count, ids: equal scores first, then neighbours out of order
+    for k, (x, y, i) in enumerate(rows):
+        if k and rows[k - 1][0] == x:
+            pools[-1] = [pools[-1][0] + y, pools[-1][1] + 1, [*pools[-1][2], i]]
+        else:
+            pools.append([y, 1, [i]])
+    merged = []
+    for p in pools:
+        merged.append(p)
+        while len(merged) > 1 and merged[-2][0] / merged[-2][1] >= merged[-1][0] / merged[-1][1]:
+            b, a = merged.pop(), merged.pop()
+            merged.append([a[0] + b[0], a[1] + b[1], a[2] + b[2]])
+    want = {i: s / n for s, n, ids in merged for i in ids}
+    got = {r.vec_id: r.prediction for r in isotonic_calibrate(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_prior_latencies_follow_the_lognormal(spark):
+    from quayside.plans.evaluation import prior_latency
+
+    rows = prior_latency(spark, "/root/testdata/sf0.001").collect()
+    logs = np.log([r.latency_ms for r in rows])
+    n = len(rows)
+    assert n == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert logs.mean() == pytest.approx(np.log(400), abs=4 * 0.7 / n**0.5) and logs.std() == pytest.approx(0.7, abs=0.07)
+    by = {}
+    for r in rows:  # a row of the table is one latency, and later rows are longer
+        assert by.setdefault(r.i, r.latency_ms) == r.latency_ms
+    assert [by[i] for i in sorted(by)] == sorted(by.values())
