@@ -32,11 +32,8 @@ class TokenIds:
     Any other vocabulary encodes whole texts.
     """
 
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -105,8 +102,8 @@ class ByteTokenIds(TokenIds):
     text with any other white space, or with a special token's string, is encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, tokenizer) -> None:
+        super().__init__(tokenizer)
         self.known, self.cores, self.tails = {}, {}, {}
         self.feed = self._ids("\n")[-1]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -168,8 +165,10 @@ class ByteTokenIds(TokenIds):
 @cache
 def token_ids(path: str) -> TokenIds:
     """One for each Python worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, pre_tokenizers
 
+    tokenizer = Tokenizer.from_file(path)
     # the default pattern without a space before the text; any other settings encode whole texts
-    plain = repr(Tokenizer.from_file(path).pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False))
-    return (ByteTokenIds if plain else TokenIds)(path)
+    plain = repr(tokenizer.pre_tokenizer) == repr(pre_tokenizers.ByteLevel(add_prefix_space=False))
+    return (ByteTokenIds if plain else TokenIds)(tokenizer)
