@@ -331,7 +331,7 @@ PURGED = f"""WITH {QUOTES}, p AS (SELECT quantile_cont((ts_local_ns - ts_exch_ns
 def beyond_thresholds(tape: DataFrame) -> DataFrame:
     """Trades, mean, cluster error and lower bound of ``tape`` beyond eight score quantiles of each mode."""
     t = tape.withColumn("score", F.col("price")).withColumn("block", F.floor(F.col("ts_local_ns") / MONTH_NS))
-    qs = [0.1 * i for i in range(1, 9)]
+    qs = [i / 10 for i in range(1, 9)]  # 0.1 * 3 is more than 0.3 and would pass the rank of a whole number
     place = F.create_map(*[F.lit(x) for k, q in enumerate(qs) for x in (q, k)])
     th = stats.exact_quantiles(t, ["mode"], "score", qs).select("mode", place[F.col("q")].alias("k"), F.col("value").alias("threshold"))
     hit = t.join(F.broadcast(th), "mode").where("score >= threshold")
