@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 
 def quantize_down(value: Column, decimals: Column) -> Column:
     """Floor to a lot of ``decimals`` digits, in decimal arithmetic."""
@@ -175,12 +177,16 @@ def instrument_mapping(markets: DataFrame, prices: DataFrame, min_volume: float
     without a price is skipped.  Every market has a handful of candidates and seven multipliers, so the join
     is on the candidate.
     """
-    c = markets.select("*", F.posexplode(candidate_names("symbol", "override")).alias("cand_pos", "candidate"))
-    c = c.join(prices.where("price > 0"), "candidate").select("*", F.posexplode(F.array(*[F.lit(x) for x in MULTIPLIERS])).alias("mult_pos", "multiplier"))
-    fits = (F.col("last_price") > 0) & (F.abs(F.col("last_price") / (F.col("price") * F.col("multiplier")) - 1) <= tolerance)
-    best = F.min(F.when(fits, F.struct("cand_pos", "mult_pos", "candidate", "multiplier")))
-    met = c.groupBy("symbol").agg(best.alias("__best"), F.lit(True).alias("__seen"))
-    out = markets.join(met, "symbol", "left")
+    # only what the price check needs travels to a candidate; a place is a number, so the least of them is kept in hash maps
+    c = markets.select("symbol", "last_price", F.posexplode(candidate_names("symbol", "override")).alias("cand_pos", "candidate"))
+    c = spread(c, "candidate").join(spread(prices.where("price > 0"), "candidate").hint("merge"), "candidate")
+    fits = lambda x: (F.col("last_price") > 0) & (F.abs(F.col("last_price") / (F.col("price") * x) - 1) <= tolerance)
+    first = F.coalesce(*[F.when(fits(F.lit(x)), F.lit(i)) for i, x in enumerate(MULTIPLIERS)])
+    met = spread(c.select("symbol", (F.col("cand_pos") * len(MULTIPLIERS) + first).alias("place")), "symbol")
+    met = met.groupBy("symbol").agg(F.min("place").alias("__place"), F.lit(True).alias("__seen"))
+    name = candidate_names("symbol", "override")[F.floor(F.col("__place") / len(MULTIPLIERS)).cast("int")]
+    times = F.array(*[F.lit(x) for x in MULTIPLIERS])[F.col("__place") % len(MULTIPLIERS)]
+    out = spread(markets, "symbol").join(met.hint("merge"), "symbol", "left").withColumn("__best", F.when(F.col("__place").isNotNull(), F.struct(name.alias("candidate"), times.alias("multiplier"))))
     unmapped = F.when(F.col("__seen").isNull(), "not_covered").when(~F.coalesce(F.col("last_price") > 0, F.lit(False)), "no_price").otherwise("price_mismatch")
     reason = F.when(F.col("__best").isNull(), unmapped).when(~F.col("active"), "inactive").when(F.col("volume") < min_volume, "low_volume").when(~F.col("covered"), "outside_coverage").otherwise("ok")
     return out.select("symbol", F.col("__best.candidate").alias("candidate"), F.col("__best.multiplier").alias("multiplier"), (reason == "ok").alias("eligible"), reason.alias("reason"))
@@ -188,5 +194,5 @@ def instrument_mapping(markets: DataFrame, prices: DataFrame, min_volume: float
 
 def eligible_symbols(mappings: DataFrame) -> DataFrame:
     """Symbols that the latest mapping (symbol, ts, eligible) of each calls eligible."""
-    last = mappings.groupBy("symbol").agg(F.max_by("eligible", "ts").alias("eligible"))
+    last = spread(mappings, "symbol").groupBy("symbol").agg(F.max_by("eligible", "ts").alias("eligible"))
     return last.where("eligible").select("symbol")
