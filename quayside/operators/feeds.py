@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scans import prefix_scan
-from ..sources.tables import written
+from ..sources.tables import spread, written
 
 DAY_NS = 86_400_000_000_000
+#: The hour of raw files that hold all of a day.
+WHOLE_DAY = "24"
 
 
 def split_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
@@ -29,11 +31,12 @@ def read_raw(spark, root: str, venues: list[str] | None = None, start_ns: int |
     if venues:
         lines = lines.where(F.col("venue").isin(venues))
     hour = F.concat_ws("/", F.col("day").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0"))
-    stamp = lambda x: F.date_format(F.timestamp_micros(F.lit(x // 1000)), "yyyyMMdd/HH")
+    stamp = lambda x, form="yyyyMMdd/HH": F.date_format(F.timestamp_micros(F.lit(x // 1000)), form)
+    whole, day = F.lpad(F.col("hour").cast("string"), 2, "0") == WHOLE_DAY, F.col("day").cast("string")
     if start_ns is not None:
-        lines = lines.where(hour >= stamp(start_ns))
+        lines = lines.where(F.when(whole, day >= stamp(start_ns, "yyyyMMdd")).otherwise(hour >= stamp(start_ns)))
     if end_ns is not None:
-        lines = lines.where(hour <= stamp(end_ns))
+        lines = lines.where(F.when(whole, day <= stamp(end_ns, "yyyyMMdd")).otherwise(hour <= stamp(end_ns)))
     out = lines.select("venue", "value").withColumn("__p", F.split("value", "\t", 4)).where(F.size("__p") == 4)
     out = out.select("venue", F.col("__p")[0].try_cast("long").alias("ts_local_ns"), F.col("__p")[1].try_cast("long").alias("ts_wall_ns"), F.col("__p")[2].alias("conn_id"), F.col("__p")[3].alias("raw"))
     if start_ns is not None:
@@ -43,11 +46,15 @@ def read_raw(spark, root: str, venues: list[str] | None = None, start_ns: int |
     return out
 
 
-def write_raw(rows: DataFrame, root: str) -> None:
-    """Rows (venue, ts_local_ns, ts_wall_ns, conn_id, raw) as gzip lines by venue, day and hour."""
+def write_raw(rows: DataFrame, root: str, sparse: bool = False) -> None:
+    """Rows (venue, ts_local_ns, ts_wall_ns, conn_id, raw) as gzip lines by venue, day and hour.
+
+    ``sparse``: there are few rows an hour but many hours, so files cost more than bytes: a day is one file, of hour ``WHOLE_DAY``."""
     at = F.timestamp_micros(F.expr("ts_local_ns DIV 1000"))
     line = F.concat_ws("\t", F.col("ts_local_ns").cast("string"), F.col("ts_wall_ns").cast("string"), "conn_id", F.translate("raw", "\n", " "))
     out = rows.select("venue", F.date_format(at, "yyyyMMdd").alias("day"), F.date_format(at, "HH").alias("hour"), line.alias("value"))
+    if sparse:
+        out = spread(out.withColumn("hour", F.lit(WHOLE_DAY)), "venue", "day")
     out.write.mode("append").partitionBy("venue", "day", "hour").option("compression", "gzip").text(root)
 
 

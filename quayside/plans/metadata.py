@@ -44,7 +44,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market rows of metadata written to raw files and read from there."""
     path, lines = shared_path(spark), _lines(spark, sf_dir)
-    feeds.write_raw(lines.where(F.get_json_object("raw", "$.type") == "lighter_markets"), path)
+    feeds.write_raw(lines.where(F.get_json_object("raw", "$.type") == "lighter_markets"), path, sparse=True)
     return meta.market_details(feeds.read_raw(spark, path, ["meta"]))
 
 
