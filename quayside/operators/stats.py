@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import or_
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,26 +29,44 @@ def cluster_se(df: DataFrame, by: list[str], value: str, cluster: str) -> DataFr
     return g.select(*by, "n", "clusters", "mean", se.alias("se"))
 
 
-#: Ranges that hold about as many values each, in which ranks are counted.
-RANGES = 256
+#: Summaries hold this many values; a quantile is looked for among the 1/``MARGIN`` of the values on both sides of its approximation.
+SUMMARY, MARGIN = 4096, 256
+#: Ranges of values in which ranks are counted.
+RANGES = 64
 
 
 def exact_quantiles(df: DataFrame, by: list[str], column: str, qs: Sequence[float]) -> DataFrame:
     """``by``, q, value: exact quantiles of ``column``, interpolated between neighbours; rows without a value don't count.
 
-    Equal values are counted first, the counts are summed along ranges of values that approximate quantiles cut, and a
-    quantile's neighbours are the least values whose running count passes its rank: no task sees a group.
+    Approximate quantiles a little below and above each of ``qs`` bound where it lies.  Values below the bounds are only numbered,
+    those between them are counted by value and scanned; the neighbours are the least of them whose running count
+    passes the rank.  A rank outside its bounds, which the summaries rule out, is an error.  Groups are few: their bounds are broadcast.
     """
     if not by:
         return exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], column, qs).drop("__all")
     held = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(*by, F.col(column).cast("double").alias("__x"))
-    cuts = held.groupBy(*by).agg(F.percentile_approx("__x", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("__cuts"), F.count("*").alias("__n"))
-    counts = written(held.groupBy(*by, "__x").agg(F.count("*").alias("__k")).join(cuts, by))
-    ranked = prefix_scan(counts, by, ["__x"], F.size(F.filter("__cuts", lambda c: c < F.col("__x"))), {"__upto": ("sum", F.col("__k"))})
-    wanted = ranked.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    ends = [x for q in qs for x in (max(0.0, q - 1 / MARGIN), min(1.0, q + 1 / MARGIN))]
+    at = held.groupBy(*by).agg(F.percentile_approx("__x", ends, SUMMARY).alias("__at"), F.count("*").alias("__n"))
+    # at a small number of values the ranks next to a quantile may lie beyond: all of them are looked at
+    closed = lambda i, e: F.when((F.col("__n") > 4 * MARGIN) & F.lit(0 < e < 1), F.col("__at")[i])
+    bounds = written(at.select(*by, "__n", *[F.coalesce(closed(i, e), F.lit(float("inf" if i % 2 else "-inf"))).alias(f"__e{i}") for i, e in enumerate(ends)]))
+    met = held.join(F.broadcast(bounds), by)
+    spans = [(q, F.col(f"__e{2 * k}"), F.col(f"__e{2 * k + 1}")) for k, q in enumerate(qs)]
+    counted = met.groupBy(*by).agg(*[F.count(F.when(F.col("__x") < lo, 1)).alias(f"__u{k}") for k, (_, lo, _) in enumerate(spans)])
+    under = counted.select(*by, F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"__u{k}").alias("__under")) for k, q in enumerate(qs)])).alias("__s")).select(*by, "__s.*")
+    held_by = [(q, F.col("__x").between(lo, hi)) for q, lo, hi in spans]
+    near = met.where(reduce(or_, [c for _, c in held_by])).select(*by, "__n", "__x", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(q)) for q, c in held_by]))).alias("q"))
+    keys = [*by, "__n", "q"]
+    counts = written(near.groupBy(*keys, "__x").agg(F.count("*").alias("__k")))
+    width = counts.groupBy(*keys).agg(F.min("__x").alias("__least"), F.max("__x").alias("__most"))
+    inside = counts.join(F.broadcast(width.join(under, [*by, "q"])), keys)
+    part = F.floor(RANGES * (F.col("__x") - F.col("__least")) / F.greatest(F.col("__most") - F.col("__least"), F.lit(1e-300)))
+    ranked = prefix_scan(inside, keys, ["__x"], part, {"__upto": ("sum", F.col("__k"))}).withColumn("__upto", F.col("__upto") + F.col("__under"))
     rank = (F.col("__n") - 1) * F.col("q")
-    near = wanted.groupBy(*by, "q", "__n").agg(*(F.min(F.when(F.col("__upto") > f(rank), F.col("__x"))).alias(c) for c, f in (("__lo", F.floor), ("__hi", F.ceil))))
-    return near.select(*by, "q", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (rank - F.floor(rank))).alias("value"))
+    found = ranked.groupBy(*keys).agg(F.min("__under").alias("__under"), *(F.min(F.when(F.col("__upto") > f(rank), F.col("__x"))).alias(c) for c, f in (("__lo", F.floor), ("__hi", F.ceil))))
+    value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (rank - F.floor(rank))
+    sure = (F.col("__under") <= F.floor(rank)) & F.col("__hi").isNotNull()
+    return found.select(*by, "q", F.when(sure, value).otherwise(F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).alias("value"))
 
 
 def cluster_bootstrap(df: DataFrame, by: list[str], value: str, cluster: str, reps: int, conf: float, seed: str) -> DataFrame:

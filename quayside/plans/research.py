@@ -171,7 +171,7 @@ def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     the driver, and the validation error of every penalty follows from the last quarter's sums.
     """
     names = [*FEATURES, "target", "one"]
-    z = placed(standardised(matrix(spark, sf_dir))).withColumn("one", F.lit(1.0))
+    z = written(placed(standardised(matrix(spark, sf_dir))).withColumn("one", F.lit(1.0)))
     late = tile(F.col("place"), F.col("rows"), 4) == 4
     grams = []
     for part in (~late, late):
