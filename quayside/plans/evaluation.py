@@ -449,7 +449,7 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         unseen, unseen_p = paired(spark, sf_dir, key, facts["present"], 883_612_800_000_000_000 // MONTH_NS + 1) if key != facts["present"] else (None, None)
         facts |= {
             "folds": own.select(F.floor(F.col("t_entry") / FOLD)).distinct().count(), "trades": m["n_trades"], "ci_lo": m["ci_lo"], "spa": bundle[key[1], "spa_against_nothing", None], "gain": gain, "gain_p": gain_p, "pbo": bundle[key[1], "pbo", None],
-            "dsr": bundle.get((key[1], "deflated_sharpe", key[0])), "digests": {metrics_digest(t.repartition(3)), metrics_digest(t.repartition(7, "l_orderkey"))}, "unseen": unseen, "unseen_p": unseen_p}
+            "dsr": bundle.get((key[1], "deflated_sharpe", key[0])), "digests": {metrics_digest(t.repartition("t_entry", "l_linenumber")), metrics_digest(t.repartition("l_orderkey"))}, "unseen": unseen, "unseen_p": unseen_p}
     out = gate_checks(facts)
     passes = len(out) == 12 and all(ok for _, ok, _ in out)
     return spark.createDataFrame([(*r, passes) for r in out], "check string, ok boolean, detail string, passes boolean")
