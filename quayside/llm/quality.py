@@ -3,8 +3,8 @@
 Every document's unigrams and bigrams are hashed into a fixed number of buckets.  Two
 multinomials over the buckets, of trusted-target documents and of the whole raw corpus,
 give each bucket a log ratio; a document's score is the mean ratio over its n-grams
-(length-normalised), and it is kept if the score reaches a threshold.  Nothing is sampled at
-random: the same tables give the same verdicts.
+(length-normalised), and it is kept if the score reaches a threshold.  All labelled rows and all
+documents count, nothing is sampled: the same tables give the same verdicts.
 """
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import exact_quantiles
 from .common import SPACES, table, text_of, written
 
 BUCKETS = 1 << 16
-#: Labelled rows that the target multinomial and the threshold are fitted on, at most, for each label.
-FIT_ROWS = 20_000
 #: Pseudo-count of every bucket.
 PRIOR = 0.5
 #: Log ratios are whole multiples of 1/UNIT, so their sums are exact and don't depend on the order of rows.
@@ -96,14 +95,9 @@ def _positions(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def _fit_rows(labels: DataFrame, limit: int) -> DataFrame:
-    """A bounded, repeatable choice of labelled rows: the ``limit`` smallest by hash for each label."""
-    parts = [
-        labels.where(F.col("quality") == q).select("doc_id").where("doc_id is not null").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("fit_label", F.lit(q))
-        for q in (0, 1)
-    ]
-    return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.min("fit_label").alias("fit_label"))
+def _fit_rows(labels: DataFrame) -> DataFrame:
+    """All labelled rows; a document with both labels counts as rejected."""
+    return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("fit_label"))
 
 
 def ratio_table(worded: DataFrame) -> DataFrame:
@@ -136,18 +130,14 @@ def score(worded: DataFrame, ratios: DataFrame, *keep: str) -> DataFrame:
 def threshold(scored: DataFrame) -> float:
     """Middle between the trusted and the rejected documents' median scores, but never above the
     score that TRUSTED_TAIL of the trusted ones miss.  Without either label nothing is cut."""
-    fit = scored.where("not base_failed")
-    row = fit.agg(
-        F.percentile(F.when(F.col("fit_label") == 1, F.col("llr")), F.array(F.lit(TRUSTED_TAIL), F.lit(0.5))).alias("good"),
-        F.percentile(F.when(F.col("fit_label") == 0, F.col("llr")), F.lit(0.5)).alias("bad"),
-    ).first()
-    if row["good"] is None or row["bad"] is None:
+    fit = scored.where("not base_failed and fit_label is not null").select("fit_label", "llr")
+    at = {(r["fit_label"], r["q"]): r["value"] for r in exact_quantiles(fit, ["fit_label"], "llr", [TRUSTED_TAIL, 0.5]).collect()}
+    if (1, 0.5) not in at or (0, 0.5) not in at:
         return float("-inf")
-    tail, mid = row["good"]
-    return min(tail, (mid + row["bad"]) / 2)
+    return min(at[1, TRUSTED_TAIL], (at[1, 0.5] + at[0, 0.5]) / 2)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
     One row for each row of ``docs``; null text counts as empty, empty tables give empty
@@ -155,8 +145,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     scored but never serves as a fit row.  ``kept`` is false for base failures and for scores
     below the threshold.
     """
-    small = F.broadcast(_fit_rows(labels, fit_rows))  # at most 2 * fit_rows rows
-    base = docs.select("doc_id", "text").join(small, "doc_id", "left")
+    # no hint: labels have no bound
+    base = docs.select("doc_id", "text").join(_fit_rows(labels), "doc_id", "left")
     ratios = ratio_table(base.withColumn("words", words_of(text_of())))
     keep = ["doc_id", "row", "fit_label", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     ruled = rule_columns(base.withColumn("row", F.monotonically_increasing_id()))
