@@ -76,8 +76,8 @@ def edge_trades(t: DataFrame) -> DataFrame:
 
 def stream_edge_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last state of each strategy's monitor over all its trades."""
-    trades = landed(edge_trades(table(spark, sf_dir, "lineitem")), "ts")
-    seen = run_ordered(jobs.edge_monitor(trades, width="400 days"))
+    trades = landed(jobs.trade_blocks(edge_trades(table(spark, sf_dir, "lineitem"))), "ts")
+    seen = run_ordered(jobs.edge_monitor_blocks(trades, width="40 days"))
     last = seen.groupBy("strategy").agg(F.max_by(F.struct("multiplier", "reductions", "status"), "n").alias("s"), F.max("n").alias("n"))
     return last.select("strategy", "n", "s.*")
 

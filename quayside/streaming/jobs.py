@@ -7,6 +7,7 @@ are there (trigger availableNow) into a table in the shared folder.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
@@ -91,9 +92,14 @@ class EdgeMonitor(Machine):
     def __init__(self, window: int, least: int, suspend: int) -> None:
         self.window, self.least, self.suspend = window, least, suspend
 
+    def values(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """Returns and lower bounds of the trades in ``rows``."""
+        return np.array([r.ret for r in rows], float), np.array([r.lcb for r in rows], float)
+
     def steps(self, key: tuple, state: tuple, rows: list) -> tuple[tuple, list[tuple]]:
         rets, multiplier, reductions, since, n = state
-        x = np.concatenate((np.asarray(rets, float), [r.ret for r in rows]))
+        fresh, lcbs = self.values(rows)
+        x = np.concatenate((np.asarray(rets, float), fresh))
         ends = np.arange(len(rets) + 1, len(x) + 1)
         starts = np.maximum(0, ends - self.window)
         # moments of every window at once; centred first, so that the differences of sums lose nothing
@@ -103,18 +109,26 @@ class EdgeMonitor(Machine):
         mean = (s1[ends] - s1[starts]) / size
         se = np.sqrt(np.maximum(0.0, (s2[ends] - s2[starts]) - size * mean**2) / np.maximum(1, size - 1) / size)
         mean = mean + centre
-        lost = (mean + 1.96 * se < 0) | (mean < np.array([r.lcb for r in rows]) - 2 * se)
-        proven, full = mean - 1.96 * se > 0, size >= self.least
-        for i in range(len(rows)):
-            since += 1
-            if not full[i] or reductions >= self.suspend or since < self.least // 2:
-                continue
-            if lost[i]:
-                reductions, since = reductions + 1, 0
+        full = size >= self.least
+        lost = full & ((mean + 1.96 * se < 0) | (mean < lcbs - 2 * se))
+        proven = full & (mean - 1.96 * se > 0)
+        # only trades that can act are looked at: lost ones, and proven ones while the multiplier is reduced
+        acts, lost_at, pause, last = np.flatnonzero(lost | proven), np.flatnonzero(lost), self.least // 2, None
+        start = max(0, pause - since - 1)
+        while reductions < self.suspend:
+            at = acts if multiplier < 1 else lost_at
+            k = np.searchsorted(at, start)
+            if k == len(at):
+                break
+            last = int(at[k])
+            if lost[last]:
+                reductions += 1
                 multiplier = 0.0 if reductions >= self.suspend else multiplier / 2
-            elif proven[i] and multiplier < 1:
-                multiplier, since = min(1.0, 2 * multiplier), 0
-        n += len(rows)
+            else:
+                multiplier = min(1.0, 2 * multiplier)
+            start = last + max(1, pause)
+        since = since + len(fresh) if last is None else len(fresh) - 1 - last
+        n += len(fresh)
         status = "suspended" if reductions >= self.suspend else "reduced" if multiplier < 1 else "ok"
         return (x[-self.window :].tolist(), float(multiplier), int(reductions), int(since), int(n)), [(key[0], n, multiplier, reductions, status)]
 
@@ -129,6 +143,31 @@ def edge_monitor(trades: DataFrame, window: int = 200, least: int = 30, suspend:
     return in_order(trades, ["strategy"], "ts", ["id"], EdgeMonitor(window, least, suspend), **order)
 
 
+class EdgeBlocks(EdgeMonitor):
+    """The same over blocks of trades (n, rets and lcbs as packed doubles)."""
+
+    chunk = 64
+
+    def values(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in rows), "<f8") for c in (rows[0]._fields.index("rets"), rows[0]._fields.index("lcbs")))
+
+
+def trade_blocks(trades: DataFrame) -> DataFrame:
+    """The trades of each strategy and instant as one row, in order of id: numbers go to the monitor packed, not one by one."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        packed = {f"{c}s": [pdf[c].to_numpy("<f8").tobytes()] for c in ("ret", "lcb")}
+        return pd.DataFrame({"strategy": pdf["strategy"].iloc[:1].to_numpy(), "ts": pdf["ts"].iloc[:1].to_numpy(), "id": pdf["id"].iloc[:1].to_numpy(), **packed})
+
+    return trades.groupBy("strategy", "ts").applyInPandas(pack, "strategy string, ts long, id long, rets binary, lcbs binary")
+
+
+def edge_monitor_blocks(blocks: DataFrame, window: int = 200, least: int = 30, suspend: int = 3, **order: str) -> DataFrame:
+    """``edge_monitor`` over ``trade_blocks``."""
+    return in_order(blocks, ["strategy"], "ts", ["id"], EdgeBlocks(window, least, suspend), **order)
+
+
 class Continuity(Machine):
     """See ``sequence_monitor``."""
 
