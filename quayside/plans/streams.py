@@ -115,7 +115,7 @@ DEPTH = """WITH m AS (SELECT event_id, event_id % 16 AS k, event_type = 'signup'
 def stream_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synchronisation with buffered release as a stream (X02, X10); the batch twin is ``depth_release``."""
     m = waiting_messages(spark, sf_dir).withColumn("ts_us", F.expr("ts_local_ns DIV 1000")).select("venue", "symbol", "ts_us", "event_id", "snapshot", "first_id", "last_id", "prev_id")
-    last = jobs.outcomes(run_ordered(jobs.depth_monitor(landed(m, "ts_us"), width="2 days")))
+    last = jobs.outcomes(run_ordered(jobs.depth_monitor(landed(m, "ts_us"), width="6 hours")))
     return last.select("event_id", "state", F.when(F.col("state") != "gap", F.col("at_us") * 1000).alias("at"))
 
 
