@@ -35,8 +35,8 @@ HOT = 64
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
-#: Texts hashed at once in a task.
-CHUNK = 200
+#: Values of the bits of a fingerprint.
+BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 def shingle_hashes(text: str, k: int = SHINGLE) -> list[int]:
@@ -53,25 +53,18 @@ def shingle_hashes(text: str, k: int = SHINGLE) -> list[int]:
     return [h(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)]
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of unsigned shingle hashes, as a signed integer; zero of none."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 16):
+        part = hashes[a : a + (1 << 16)].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(BITS[ones * 2 > len(hashes)].sum(dtype=np.uint64).astype(np.int64))
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A 64-bit fingerprint for each text, as signed integers."""
-    out = np.zeros(len(texts), np.uint64)
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for lo in range(0, len(texts), CHUNK):
-        each = [shingle_hashes(t) for t in texts[lo : lo + CHUNK]]
-        sizes = np.array([len(x) for x in each])
-        full = np.flatnonzero(sizes)
-        if not len(full):
-            continue
-        flat = np.fromiter((h for x in each for h in x), np.uint64, sizes.sum())
-        offsets = np.concatenate(([0], np.cumsum(sizes[full])))
-        for k, doc in enumerate(full):
-            ones = np.zeros(64, np.int64)
-            for a in range(offsets[k], offsets[k + 1], 1 << 16):
-                part = flat[a : min(a + (1 << 16), offsets[k + 1])]
-                ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[lo + doc] = weights[ones * 2 > sizes[doc]].sum(dtype=np.uint64)
-    return out.view(np.int64)
+    return np.fromiter((fingerprint(np.array(shingle_hashes(t), np.uint64)) for t in texts), np.int64, len(texts))
 
 
 @cache
