@@ -145,15 +145,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored but never serves as a fit row.  ``kept`` is false for base failures and for scores
     below the threshold.
     """
-    # no hint: labels have no bound
-    base = docs.select("doc_id", "text").join(_fit_rows(labels), "doc_id", "left")
-    ratios = ratio_table(base.withColumn("words", words_of(text_of())))
-    keep = ["doc_id", "row", "fit_label", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    ruled = rule_columns(base.withColumn("row", F.monotonically_increasing_id()))
-    scored = written(score(ruled, ratios, *keep), "quality-scores")
-    cut = threshold(scored)
+    docs, labels = docs.select("doc_id", "text"), _fit_rows(labels)
+    # labels have no bound, so texts meet them in a shuffle: once, for the ratios; scores meet them without their texts
+    ratios = ratio_table(docs.join(labels.hint("merge"), "doc_id", "left").withColumn("words", words_of(text_of())))
+    keep = ["doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    ruled = rule_columns(docs.withColumn("row", F.monotonically_increasing_id()))
+    scored = written(score(ruled, ratios, *keep), "quality-scores").drop("row")
+    fit = scored.select("doc_id", "base_failed", "llr").join(labels.hint("merge"), "doc_id")
+    cut = threshold(written(fit.drop("doc_id"), "quality-fit"))
     kept = ~F.col("base_failed") & (F.col("llr") >= F.lit(cut))
-    return scored.drop("row", "fit_label").withColumn("kept", kept)
+    return scored.withColumn("kept", kept)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
